@@ -1,19 +1,470 @@
-"""The engine's queries by name, with equivalent SQL."""
+"""The engine's queries by name, each over whole tables, with SQL that states the same result."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.config import DEFAULT
+from tickloom.functions.rolling import indexed, q6
+from tickloom.operators import decisions, indicators, ledger, ml, scan, sessions, structure
+from tickloom.plans import sql
+from tickloom.sources import market
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if oracle is not None:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(market.bars(market.ticks(spark, sf_dir), 60, "1H"))
+
+
+def _swung(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.swings(indexed(market.scan_candles(spark, sf_dir)))
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.from_orders(market.table(spark, sf_dir, "orders"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision inputs made from events: scores, confidences and a time shifted over the calendars."""
+    k = F.col("event_id")
+    days = F.make_dt_interval(days=F.pmod(k * 7, F.lit(730)).cast("int"))
+    return market.table(spark, sf_dir, "events").select(
+        "event_id", (F.lit("2025-01-01").cast("timestamp_ntz") + days + (F.col("ts") - F.date_trunc("day", F.col("ts")).cast("timestamp_ntz"))).alias("ts"),
+        F.pmod(k * 13, F.lit(101)).cast("double").alias("smc_score"), F.pmod(k * 29, F.lit(101)).cast("double").alias("ml_confidence"),
+        F.when(k % 7 != 0, F.pmod(k * 31, F.lit(101)).cast("double")).alias("analyst_confidence"),
+        F.element_at(F.array(F.lit("STRONG"), F.lit("MODERATE"), F.lit("WEAK"), F.lit("NONE")), (F.pmod(k, F.lit(4)) + 1).cast("int")).alias("quality"),
+        ((F.pmod(k * 17, F.lit(21)) - 10) / 10.0).alias("usd_momentum"), ((F.pmod(k * 19, F.lit(7)) - 3) / 10.0).alias("rate_momentum"), F.pmod(k * 23, F.lit(30)).cast("double").alias("vix"),
+        F.when(k % 2 == 0, "BUY").otherwise("SELL").alias("direction"),
+    )
+
+
+def _out(df: DataFrame, keys: list[str], doubles: list[str] = (), others: list[str] = ()) -> DataFrame:
+    return df.select(*keys, *[q6(F.col(c)).alias(c) for c in doubles], *others)
+
+
+KEYS = ["symbol", "tf", "ts"]
+SER = ["symbol", "tf"]
+OHLCV = ["open", "high", "low", "close", "volume"]
+
+
+# bars and scans
+
+
+@query(sql.BARS_1H + "SELECT symbol, tf, ts, open, high, low, close, volume FROM bars")
+def bars_1h(spark, sf_dir):
+    return market.bars(market.ticks(spark, sf_dir), 60, "1H")
+
+
+@query(sql.LADDER + "SELECT symbol, tf, ts, open, high, low, close, volume FROM bars")
+def bars_mtf(spark, sf_dir):
+    return market.ladder(market.ticks(spark, sf_dir))
+
+
+@query(sql.CANDLES + "SELECT symbol, tf, ts, open, high, low, close, volume FROM candles")
+def drop_incomplete_bar(spark, sf_dir):
+    return market.scan_candles(spark, sf_dir)
+
+
+@query("""WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS account, CAST(user_id % 8 AS INTEGER) AS v, count(*) AS bars FROM events GROUP BY 1, 2),
+n AS (SELECT account, v, CASE v WHEN 0 THEN 'XAUUSDxx' WHEN 1 THEN 'XAUUSDm' WHEN 2 THEN 'XAUUSD' WHEN 3 THEN 'GOLD' WHEN 4 THEN 'XAUUSDc' WHEN 5 THEN 'XAUUSD.' WHEN 6 THEN 'XAU/USD' END AS symbol FROM e WHERE v < 7)
+SELECT account, arg_min(symbol, v) AS symbol FROM n GROUP BY account""")
+def resolve_symbol(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in (*DEFAULT.symbol_variants, "OTHER")])
+    e = market.table(spark, sf_dir, "events").groupBy(F.pmod("user_id", F.lit(50)).cast("string").alias("account"), F.element_at(names, (F.pmod("user_id", F.lit(8)) + 1).cast("int")).alias("symbol")).agg(F.count("*").alias("bars"))
+    return market.resolve_symbol(e)
+
+
+@query("""WITH raw AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'bad' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' END AS t, CASE WHEN event_id % 13 = 0 THEN 'x' ELSE CAST(event_id % 97 AS VARCHAR) END AS o,
+ CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 10 AS VARCHAR) END AS v, event_type AS symbol FROM events)
+SELECT symbol, count(*) AS parsed, CAST(sum(coalesce(TRY_CAST(v AS DOUBLE), 0)) AS DOUBLE) AS volume, CAST(sum(TRY_CAST(o AS DOUBLE)) AS DOUBLE) AS open_sum
+FROM raw WHERE t <> 'bad' AND TRY_CAST(o AS DOUBLE) IS NOT NULL GROUP BY symbol""")
+def normalise_candles(spark, sf_dir):
+    k = F.col("event_id")
+    price = F.when(k % 13 == 0, "x").otherwise(F.pmod(k, F.lit(97)).cast("string"))
+    raw = market.table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.lit("1H").alias("tf"), F.when(k % 11 == 0, "bad").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("time"), *[price.alias(c) for c in ("open", "high", "low", "close")], F.when(k % 5 != 0, F.pmod(k, F.lit(10)).cast("string")).alias("tickVolume"))
+    return market.normalise_raw(raw).groupBy("symbol").agg(F.count("*").alias("parsed"), F.sum("volume").alias("volume"), F.sum("open").alias("open_sum"))
+
+
+@query(sql.CANDLES + """, x AS (SELECT * FROM candles WHERE NOT (tf = '15M' AND symbol = 'ALL')),
+f AS (SELECT symbol, '15M' AS tf, ts, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM x WHERE tf = '1H' AND symbol NOT IN (SELECT symbol FROM x WHERE tf = '15M')) WHERE rn <= 40)
+SELECT symbol, tf, ts, close FROM x UNION ALL SELECT symbol, tf, ts, close FROM f""")
+def fallback_15m(spark, sf_dir):
+    return market.fallback_15m(market.scan_candles(spark, sf_dir).where("not (tf = '15M' and symbol = 'ALL')")).select(*KEYS, "close")
+
+
+@query(sql.LADDER + "SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS price FROM bars WHERE tf = '15M' GROUP BY symbol")
+def last_price(spark, sf_dir):
+    return market.last_price(market.ladder(market.ticks(spark, sf_dir)).where("tf = '15M'"))
+
+
+# indicators
+
+
+@query(sql.indicator("ma20, ma50, volume_ma20", others="close_above_ma20, close_above_ma50"))
+def rolling_ma(spark, sf_dir):
+    return _out(indicators.moving_averages(_hourly(spark, sf_dir)), KEYS, ["ma20", "ma50", "volume_ma20"], ["close_above_ma20", "close_above_ma50"])
+
+
+@query(sql.indicator("bb_mid, bb_upper, bb_lower, bb_position", others="CAST(close > bbu AS INTEGER) AS close_above_bb_upper"))
+def bollinger_gold(spark, sf_dir):
+    df = indicators.bollinger(_hourly(spark, sf_dir), pad=1e-6).where("i >= 19")
+    return _out(df, KEYS, ["bb_mid", "bb_upper", "bb_lower", "bb_position"], ["close_above_bb_upper"])
+
+
+@query(sql.indicator("bbp_upper, bbp_lower, bbp_width"))
+def bollinger_base(spark, sf_dir):
+    df = indicators.bollinger(_hourly(spark, sf_dir), population=True)
+    return _out(df.withColumnsRenamed({"bb_upper": "bbp_upper", "bb_lower": "bbp_lower", "bb_width": "bbp_width"}), KEYS, ["bbp_upper", "bbp_lower", "bbp_width"])
+
+
+@query(sql.indicator("rsi_14"))
+def rsi_simple(spark, sf_dir):
+    return _out(indicators.rsi_simple(_hourly(spark, sf_dir)), KEYS, ["rsi_14"])
+
+
+@query(sql.RECURSIVE + "SELECT symbol, tf, ts, " + sql.q6("CASE WHEN i >= 13 THEN CASE WHEN dn = 0 THEN 100.0::DOUBLE ELSE 100 - 100 / (1 + up / dn) END END", "rsi_wilder") + " FROM rsiw")
+def rsi_wilder(spark, sf_dir):
+    return _out(indicators.rsi_wilder(_hourly(spark, sf_dir)), KEYS, ["rsi_wilder"])
+
+
+@query(sql.indicator("atr_14"))
+def atr_simple(spark, sf_dir):
+    return _out(indicators.atr_simple(_hourly(spark, sf_dir)), KEYS, ["atr_14"])
+
+
+@query(sql.RECURSIVE + "SELECT symbol, tf, ts, " + sql.q6("atr", "atr_wilder") + " FROM atrw")
+def atr_wilder(spark, sf_dir):
+    return _out(indicators.atr_wilder(_hourly(spark, sf_dir)), KEYS, ["atr_wilder"])
+
+
+@query(sql.indicator("plus_di, minus_di, adx_14"))
+def adx_simple(spark, sf_dir):
+    return _out(indicators.adx_simple(_hourly(spark, sf_dir)), KEYS, ["plus_di", "minus_di", "adx_14"])
+
+
+@query(sql.RECURSIVE + "SELECT symbol, tf, ts, " + sql.q6("adx", "adx_wilder") + " FROM adxw")
+def adx_wilder(spark, sf_dir):
+    return _out(indicators.adx_wilder(_hourly(spark, sf_dir)), KEYS, ["adx_wilder"])
+
+
+@query(sql.RECURSIVE + "SELECT symbol, tf, ts, " + ", ".join([sql.q6("macd", "macd"), sql.q6("sig", "macd_signal"), sql.q6("macd - sig", "macd_diff")]) + " FROM macdf")
+def ewm_macd(spark, sf_dir):
+    return _out(indicators.macd(_hourly(spark, sf_dir)), KEYS, ["macd", "macd_signal", "macd_diff"])
+
+
+@query(sql.RECURSIVE + "SELECT symbol, tf, ts, " + ", ".join([sql.q6("CASE WHEN i >= 19 THEN e20 END", "ema20"), sql.q6("CASE WHEN i >= 49 THEN e50 END", "ema50")]) + " FROM emas")
+def ema(spark, sf_dir):
+    return _out(indicators.ema(_hourly(spark, sf_dir)), KEYS, ["ema20", "ema50"])
+
+
+@query(sql.RECURSIVE + """, m AS (SELECT *, lag(macd) OVER w AS pm, lag(sig) OVER w AS ps, macd - sig AS d, lag(macd - sig) OVER w AS d1, lag(macd - sig, 2) OVER w AS d2 FROM macdf WINDOW w AS (PARTITION BY symbol, tf ORDER BY ts))
+SELECT symbol, tf, ts, coalesce(pm < ps AND macd > sig, false) AS crossover, coalesce(d > d1 AND d1 > d2, false) AS hist_improving FROM m""")
+def macd_crossover(spark, sf_dir):
+    return indicators.macd_events(indicators.macd(_hourly(spark, sf_dir))).select(*KEYS, "crossover", "hist_improving")
+
+
+@query(sql.indicator("returns_1, price_momentum, volatility"))
+def momentum_volatility(spark, sf_dir):
+    return _out(indicators.momentum(_hourly(spark, sf_dir)), KEYS, ["returns_1", "price_momentum", "volatility"])
+
+
+@query(sql.indicator("volume_spike, volume_ratio"))
+def volume_spike(spark, sf_dir):
+    return _out(indicators.volume_spike(_hourly(spark, sf_dir)), KEYS, ["volume_spike", "volume_ratio"])
+
+
+@query(sql.FEATURES + "SELECT symbol, tf, ts, " + ", ".join(sql.q6(f"coalesce(first_value({c} IGNORE NULLS) OVER (PARTITION BY symbol, tf ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)", c) for c in ("rsi_14", "atr_14", "adx_14", "volatility")) + " FROM feat")
+def bfill_features(spark, sf_dir):
+    names = ("rsi_14", "atr_14", "adx_14", "volatility")
+    return _out(indicators.filled(indicators.gold_features(market.bars(market.ticks(spark, sf_dir), 60, "1H")), names), KEYS, list(names))
+
+
+@query(sql.FEATURES + "SELECT symbol, tf, ts, " + ", ".join(sql.q6(c, c) for c in ("rsi_14", "adx_14", "atr_14", "bb_width", "price_momentum", "volatility", "volume_spike", "usd_strength", "real_rates_momentum", "risk_sentiment", "session_hour_encoded", "day_of_week_encoded")) + ", close_above_ma20, close_above_ma50 FROM feat")
+def feature_frame_gold(spark, sf_dir):
+    names = ["rsi_14", "adx_14", "atr_14", "bb_width", "price_momentum", "volatility", "volume_spike", "usd_strength", "real_rates_momentum", "risk_sentiment", "session_hour_encoded", "day_of_week_encoded"]
+    return _out(indicators.gold_features(market.bars(market.ticks(spark, sf_dir), 60, "1H")), KEYS, names, ["close_above_ma20", "close_above_ma50"])
+
+
+@query(sql.RECURSIVE + """SELECT r.symbol, r.tf, r.ts, CAST(coalesce(CASE WHEN r.i >= 13 THEN CASE WHEN r.dn = 0 THEN false ELSE 100 - 100 / (1 + r.up / r.dn) < 35 END END, false) AS INTEGER) AS rsi_oversold, """ + sql.q6("a.atr", "atr_14") + ", " + sql.q6("x.adx", "adx_14") + ", " + sql.q6("CASE WHEN m.i >= 25 THEN m.macd END", "macd") + """
+FROM rsiw r JOIN atrw a USING (symbol, tf, ts) JOIN adxw x USING (symbol, tf, ts) JOIN macdf m USING (symbol, tf, ts)""")
+def feature_frame_base(spark, sf_dir):
+    return _out(indicators.base_features(market.bars(market.ticks(spark, sf_dir), 60, "1H")), KEYS, ["atr_14", "adx_14", "macd"], ["rsi_oversold"])
+
+
+# structure
+
+
+@query(sql.SWINGS + "SELECT symbol, tf, ts, i, sh AS swing_high, sl AS swing_low FROM sw WHERE sh OR sl")
+def swings(spark, sf_dir):
+    return _swung(spark, sf_dir).where("swing_high or swing_low").select(*KEYS, "i", "swing_high", "swing_low")
+
+
+@query(sql.STRUCTURE + "SELECT symbol, tf, nh AS n_highs, nl AS n_lows, structure FROM st")
+def market_structure(spark, sf_dir):
+    return structure.market_structure(_swung(spark, sf_dir))
+
+
+@query(sql.STRUCTURE + "SELECT symbol, tf, j AS bos_index, " + sql.q6("level", "broken_level") + ", from_i AS swing_high_index FROM bos")
+def bos_up(spark, sf_dir):
+    return _out(structure.bos_up(_swung(spark, sf_dir)), SER, ["broken_level"], ["bos_index", "swing_high_index"])
+
+
+@query(sql.STRUCTURE + "SELECT symbol, tf, j AS choch_index, " + sql.q6("level", "broken_level") + ", lsl AS swing_low_index FROM choch")
+def choch_up(spark, sf_dir):
+    return _out(structure.choch_up(_swung(spark, sf_dir)), SER, ["broken_level"], ["choch_index", "swing_low_index"])
+
+
+@query(sql.STRUCTURE + "SELECT symbol, tf, j AS sweep_index, " + ", ".join([sql.q6("level", "swept_level"), sql.q6("low", "wick_low"), sql.q6("close", "close_after")]) + ", n - j AS age FROM sweep")
+def liquidity_sweep(spark, sf_dir):
+    return _out(structure.liquidity_sweep(_swung(spark, sf_dir)), SER, ["swept_level", "wick_low", "close_after"], ["sweep_index", "age"])
+
+
+@query(sql.STRUCTURE + "SELECT symbol, tf, i AS ob_index, " + ", ".join(sql.q6(c, f"ob_{c}") for c in ("open", "high", "low", "close")) + ", mitigated FROM ob")
+def order_block(spark, sf_dir):
+    return _out(structure.order_block(_swung(spark, sf_dir)), SER, ["ob_open", "ob_high", "ob_low", "ob_close"], ["ob_index", "mitigated"])
+
+
+@query(sql.STRUCTURE + """SELECT o.symbol, o.tf, coalesce(NOT o.mitigated AND p.last_close BETWEEN o.low - o.high * 0.005::DOUBLE AND o.high + o.high * 0.005::DOUBLE, false) AS at_block FROM ob o JOIN st p USING (symbol, tf)""")
+def price_at_ob(spark, sf_dir):
+    s = _swung(spark, sf_dir)
+    prices = s.groupBy(*SER).agg(F.max_by("close", "i").alias("price"))
+    return structure.order_block(s).join(prices, SER).select(*SER, structure.at_block(F.col("price"), F.col("ob_high"), F.col("ob_low"), F.col("mitigated")).alias("at_block"))
+
+
+@query(sql.STRUCTURE + "SELECT symbol, tf, i - 1 AS fvg_index, " + ", ".join([sql.q6("flow", "fvg_low"), sql.q6("low", "fvg_high"), sql.q6("size * 100", "fvg_size_pct")]) + ", n - i AS age FROM fvg")
+def fvg_up(spark, sf_dir):
+    return _out(structure.fvg_up(indexed(market.scan_candles(spark, sf_dir))), SER, ["fvg_low", "fvg_high", "fvg_size_pct"], ["fvg_index", "age"])
+
+
+@query(sql.STRUCTURE + "SELECT symbol, tf, zone, " + sql.q6("pct", "pct_in_range") + " FROM pd")
+def premium_discount(spark, sf_dir):
+    return _out(structure.premium_discount(_swung(spark, sf_dir)), SER, ["pct_in_range"], ["zone"])
+
+
+@query(sql.STRUCTURE + "SELECT symbol, tf, " + sql.q6("last_close", "price") + ", " + sql.q6("(SELECT min(high) FROM sw WHERE sw.symbol = st.symbol AND sw.tf = st.tf AND sh AND high > st.last_close * 1.001::DOUBLE)", "tp_level") + " FROM st")
+def nearest_tp(spark, sf_dir):
+    return _out(structure.nearest_target(_swung(spark, sf_dir)), SER, ["price", "tp_level"])
+
+
+@query(sql.HISTORY)
+def structure_history(spark, sf_dir):
+    return structure.structure_history(_swung(spark, sf_dir)).select(*KEYS, "structure")
+
+
+# sessions and decisions
+
+
+@query(sql.EVENTS + """SELECT event_id, CASE WHEN isodow(ts) = 6 THEN 'weekend' WHEN isodow(ts) = 5 AND hour(ts) >= 21 THEN 'friday_close' WHEN isodow(ts) = 7 AND hour(ts) < 22 THEN 'sunday_before_open'
+ WHEN isodow(ts) = 5 AND day(ts) <= 7 AND CAST(ts AS TIME) BETWEEN TIME '13:25:00' AND TIME '14:05:00' THEN 'jobs_report'
+ WHEN CAST(ts AS DATE) IN (""" + ", ".join(f"DATE '{d}'" for d in DEFAULT.rate_days) + """) AND hour(ts) BETWEEN 17 AND 21 THEN 'rate_statement'
+ WHEN CAST(ts AS DATE) IN (""" + ", ".join(f"DATE '{d}'" for d in DEFAULT.price_days) + """) AND hour(ts) BETWEEN 13 AND 14 THEN 'price_release' END AS reason FROM ev""")
+def news_guard(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", sessions.news_guard(F.col("ts")).alias("reason"))
+
+
+@query(sql.EVENTS + "SELECT event_id, CASE WHEN hour(ts) IN (6, 7, 8, 9) THEN 'London Open' WHEN hour(ts) BETWEEN 11 AND 15 THEN 'NY AM' END AS killzone FROM ev")
+def killzone(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", sessions.killzone(F.col("ts")).alias("killzone"))
+
+
+@query(sql.EVENTS + "SELECT event_id, session, tier, isodow(ts) < 6 AS market_open, mult AS size_multiplier, gate AS confidence_gate, tier <> 'closed' AS is_trading_allowed FROM tiers")
+def session_tier(spark, sf_dir):
+    return sessions.session_info(_events(spark, sf_dir)).select("event_id", "session", "tier", "market_open", "size_multiplier", "confidence_gate", "is_trading_allowed")
+
+
+@query(sql.EVENTS + """SELECT event_id, """ + sql.q6("10.0::DOUBLE * mult", "size") + ", " + sql.q6("2.5::DOUBLE * width", "stop_width") + """,
+ CASE quality WHEN 'STRONG' THEN 3 WHEN 'MODERATE' THEN 2 WHEN 'WEAK' THEN 1 ELSE 0 END >= CASE gate WHEN 'STRONG' THEN 3 WHEN 'MODERATE' THEN 2 ELSE 1 END AS can_trade FROM tiers""")
+def liquidity_adjust(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("tier", sessions.tier(F.col("ts")))
+    e = e.withColumn("size", F.lit(10.0) * sessions.size_multiplier(F.col("tier"))).withColumn("stop_width", sessions.stop_width(F.lit(2.5), F.col("tier")))
+    return _out(e.withColumn("can_trade", sessions.can_trade(F.col("quality"), sessions.confidence_gate(F.col("tier")))), ["event_id"], ["size", "stop_width"], ["can_trade"])
+
+
+@query(sql.MACRO + "SELECT event_id, usd_trend, rate_direction, risk_mode, " + sql.q6("risk", "risk_sentiment") + """, CAST(50 + 15 * (u::INTEGER + r::INTEGER + q::INTEGER) AS INTEGER) AS smt_score, b AS is_blocked, (50 + 15 * (u::INTEGER + r::INTEGER + q::INTEGER) >= 60) AND NOT b AS is_confirmed FROM m3""")
+def macro_validate(spark, sf_dir):
+    m = decisions.macro_validate(decisions.macro_buckets(_events(spark, sf_dir)))
+    return _out(m, ["event_id"], ["risk_sentiment"], ["usd_trend", "rate_direction", "risk_mode", "smt_score", "is_blocked", "is_confirmed"])
+
+
+@query(sql.EVENTS + "SELECT event_id, " + sql.q6("c", "combined") + ", th AS threshold, c >= th AS should_trade FROM (SELECT event_id, smc_score * 0.4::DOUBLE + ml_confidence * 0.6::DOUBLE AS c, CAST(CASE tier WHEN 'peak' THEN 60 WHEN 'high' THEN 65 WHEN 'secondary' THEN 75 WHEN 'closed' THEN 100 ELSE 70 END AS INTEGER) AS th FROM tiers)")
+def ml_filter_decision(spark, sf_dir):
+    e = decisions.filter_decision(_events(spark, sf_dir).withColumn("tier", sessions.tier(F.col("ts"))))
+    return _out(e, ["event_id"], ["combined"], ["threshold", "should_trade"])
+
+
+@query(sql.EVENTS + "SELECT event_id, " + sql.q6("c", "combined") + ", th AS threshold, c >= th AS should_trade FROM (SELECT event_id, ml_confidence * 0.35::DOUBLE + coalesce(analyst_confidence, 50.0::DOUBLE) * 0.35::DOUBLE + smc_score * 0.30::DOUBLE AS c, CAST(CASE tier WHEN 'peak' THEN 50 WHEN 'high' THEN 52 WHEN 'secondary' THEN 58 WHEN 'closed' THEN 100 ELSE 52 END AS INTEGER) AS th FROM tiers)")
+def composite_decision(spark, sf_dir):
+    e = decisions.composite_decision(_events(spark, sf_dir).withColumn("tier", sessions.tier(F.col("ts"))))
+    return _out(e, ["event_id"], ["combined"], ["threshold", "should_trade"])
+
+
+@query(sql.REPLIES + """SELECT event_id, ok AS parsed, CASE WHEN ok THEN coalesce(CAST(json_extract(j, '$.should_trade') AS BOOLEAN), true) ELSE true END AS should_trade,
+ CASE WHEN ok THEN greatest(coalesce(CAST(json_extract(j, '$.confidence') AS DOUBLE), 50.0), 40.0) ELSE 50.0 END::DOUBLE AS analyst_confidence,
+ CASE WHEN ok THEN coalesce(json_extract_string(j, '$.reasoning'), 'No explanation provided') ELSE 'Parse error' END AS reasoning FROM r2""")
+def analyst_json_parse(spark, sf_dir):
+    k = F.col("event_id")
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit('Here: {"should_trade": '), F.when(k % 8 == 0, "true").otherwise("false"), F.lit(', "confidence": '), F.pmod(k, F.lit(101)).cast("string"), F.lit(', "reasoning": "r'), F.pmod(k, F.lit(9)).cast("string"), F.lit('"} done')))
+        .when(k % 4 == 1, F.concat(F.lit('{"confidence": '), F.pmod(k, F.lit(101)).cast("string"), F.lit("}")))
+        .when(k % 4 == 2, "no object here")
+        .otherwise('{"should_trade": tru')
+    )
+    return decisions.parse_analyst(market.table(spark, sf_dir, "events").select("event_id", text.alias("response"))).select("event_id", "parsed", "should_trade", "analyst_confidence", "reasoning")
+
+
+# scan
+
+
+@query(sql.SCAN + "SELECT symbol, struct_4h, skipped, CAST(score AS INTEGER) AS score, " + sql.q6("adx_15m", "adx_15m") + ", " + sql.q6("rsi_15m", "rsi_15m") + " FROM scored")
+def confluence_score(spark, sf_dir):
+    return _out(scan.mtf_scan(market.scan_candles(spark, sf_dir)), ["symbol"], ["adx_15m", "rsi_15m"], ["struct_4h", "skipped", "score"])
+
+
+@query(sql.SCAN + "SELECT symbol, sl_source, " + ", ".join(sql.q6(c, c) for c in ("price", "stop_loss", "take_profit", "rr_ratio", "entry_low", "entry_high")) + " FROM levels")
+def signal_build(spark, sf_dir):
+    return _out(scan.mtf_scan(market.scan_candles(spark, sf_dir)), ["symbol"], ["price", "stop_loss", "take_profit", "rr_ratio", "entry_low", "entry_high"], ["sl_source"])
+
+
+@query(sql.SCAN + "SELECT symbol, struct_1w, struct_1d, struct_4h, struct_1h, struct_15m, at_block, sweep_index, fvg_index, zone, CAST(score AS INTEGER) AS score, tier, killzone, " + sql.q6("stop_loss", "stop_loss") + ", " + sql.q6("take_profit", "take_profit") + ", NOT skipped AND score >= 45 AND tier <> 'closed' AS fired FROM levels")
+def mtf_scan(spark, sf_dir):
+    s = scan.mtf_scan(market.scan_candles(spark, sf_dir))
+    return _out(s, ["symbol"], ["stop_loss", "take_profit"], ["struct_1w", "struct_1d", "struct_4h", "struct_1h", "struct_15m", "at_block", "sweep_index", "fvg_index", "zone", "score", "tier", "killzone", "fired"])
+
+
+# ledger
+
+
+@query(sql.LEDGER + "SELECT system, trades, wins, losses, " + ", ".join([sql.q6("wins * 100.0::DOUBLE / trades", "win_rate"), sql.q6("pnl", "pnl"), sql.q6("10000 + pnl", "capital"), sql.q6("pnl / 10000 * 100", "return_pct"), sql.q6("CASE WHEN losses > 0 THEN won / abs(lost) ELSE won END", "profit_factor")]) + " FROM (SELECT system, count(*) AS trades, count(*) FILTER (profit_pct > 0) AS wins, count(*) FILTER (profit_pct < 0) AS losses, sum(coalesce(profit_pct, 0)) AS pnl, sum(CASE WHEN profit_pct > 0 THEN profit_pct ELSE 0 END) AS won, sum(CASE WHEN profit_pct < 0 THEN profit_pct ELSE 0 END) AS lost FROM l GROUP BY system)")
+def ledger_metrics_dashboard(spark, sf_dir):
+    return _out(ledger.dashboard_metrics(_ledger(spark, sf_dir)), ["system"], ["win_rate", "pnl", "capital", "return_pct", "profit_factor"], ["trades", "wins", "losses"])
+
+
+@query(sql.LEDGER + "SELECT system, count(*) AS trades, count(*) FILTER (profit_pct > 0) AS wins, count(*) FILTER (profit_pct < 0) AS losses, " + sql.q6("sum(profit_pct)", "pnl") + ", " + sql.q6("count(*) FILTER (profit_pct > 0) * 100.0::DOUBLE / count(*)", "win_rate") + " FROM l WHERE NOT (system = 'A' AND status = 'BLOCKED') GROUP BY system")
+def ledger_metrics_daily(spark, sf_dir):
+    return _out(ledger.daily_metrics(_ledger(spark, sf_dir)), ["system"], ["pnl", "win_rate"], ["trades", "wins", "losses"])
+
+
+@query(sql.LEDGER + "SELECT system, count(*) FILTER (status <> 'BLOCKED') AS total_signals, count(*) FILTER (status = 'BLOCKED') AS total_blocked, count(*) FILTER (status = 'OPEN') AS total_open, count(*) FILTER (result = 'WIN') AS total_wins, count(*) FILTER (result = 'LOSS') AS total_losses, count(*) FILTER (result = 'EXPIRED') AS total_expired, " + ", ".join([sql.q6("coalesce(count(*) FILTER (result = 'WIN') * 100.0::DOUBLE / nullif(count(*) FILTER (result IN ('WIN', 'LOSS')), 0), 0)", "win_rate"), sql.q6("coalesce(avg(profit_pct) FILTER (result = 'WIN'), 0)", "avg_win_pct"), sql.q6("coalesce(avg(profit_pct) FILTER (result = 'LOSS'), 0)", "avg_loss_pct"), sql.q6("coalesce(sum(profit_pct), 0)", "total_pnl")]) + ", count(*) FILTER (starts_with(trend, 'TREND_OK')) AS trend_passed, count(*) FILTER (starts_with(trend, 'BLOCKED')) AS trend_blocked FROM l GROUP BY system")
+def ledger_running_stats(spark, sf_dir):
+    return _out(ledger.running_stats(_ledger(spark, sf_dir)), ["system"], ["win_rate", "avg_win_pct", "avg_loss_pct", "total_pnl"], ["total_signals", "total_blocked", "total_open", "total_wins", "total_losses", "total_expired", "trend_passed", "trend_blocked"])
+
+
+@query(sql.LEDGER + "SELECT system, round(sum(profit_pct) FILTER (result = 'WIN') / abs(sum(profit_pct) FILTER (result = 'LOSS')), 2) AS profit_factor FROM l GROUP BY system")
+def profit_factor(spark, sf_dir):
+    return ledger.profit_factor(_ledger(spark, sf_dir), "system")
+
+
+@query(sql.LEDGER + """, o AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY exit_time DESC, signal_id DESC) AS rn, first_value(result) OVER (PARTITION BY system ORDER BY exit_time DESC, signal_id DESC) AS kind FROM l WHERE result IS NOT NULL),
+s AS (SELECT system, kind, coalesce(min(rn) FILTER (result <> kind) - 1, count(*)) AS k FROM o GROUP BY system, kind)
+SELECT system, CASE WHEN kind = 'WIN' THEN k ELSE 0 END AS consecutive_wins, CASE WHEN kind = 'LOSS' THEN k ELSE 0 END AS consecutive_losses FROM s""")
+def streaks(spark, sf_dir):
+    return ledger.streaks(_ledger(spark, sf_dir))
+
+
+@query(sql.LEDGER + """SELECT system, first(signal_id ORDER BY profit_pct DESC, signal_id) FILTER (result = 'WIN') AS best_id, max(profit_pct) FILTER (result = 'WIN') AS best_pct,
+ first(signal_id ORDER BY profit_pct, signal_id) FILTER (result = 'LOSS') AS worst_id, min(profit_pct) FILTER (result = 'LOSS') AS worst_pct FROM l GROUP BY system""")
+def best_worst(spark, sf_dir):
+    return ledger.best_worst(_ledger(spark, sf_dir))
+
+
+@query(sql.LEDGER + "SELECT signal_quality, count(*) AS n FROM l WHERE status <> 'BLOCKED' GROUP BY signal_quality")
+def quality_histogram(spark, sf_dir):
+    return ledger.quality_histogram(_ledger(spark, sf_dir))
+
+
+@query(sql.LEDGER + "SELECT system, signal_id, " + sql.q6("10000 + e", "equity") + " FROM (SELECT *, sum(coalesce(profit_pct, 0)) OVER (PARTITION BY system ORDER BY signal_id) AS e, row_number() OVER (PARTITION BY system ORDER BY signal_id DESC) AS rn FROM l) WHERE rn <= 50")
+def equity_curve(spark, sf_dir):
+    return _out(ledger.equity_curve(_ledger(spark, sf_dir)), ["system", "signal_id"], ["equity"])
+
+
+@query(sql.LEDGER + "SELECT signal_id, strftime(timestamp, '%Y-%m-%d') AS date, CASE WHEN stop_loss > entry_price THEN 'SHORT' ELSE 'LONG' END AS direction, entry_price, stop_loss, signal_quality, result, profit_pct, left(summary, 200) AS summary FROM l WHERE result IS NOT NULL ORDER BY exit_time DESC, signal_id DESC LIMIT 5")
+def recent_closed(spark, sf_dir):
+    return ledger.recent_closed(_ledger(spark, sf_dir))
+
+
+@query(sql.LEDGER + "SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS signals FROM l WHERE status <> 'BLOCKED' GROUP BY 1")
+def daily_signal_count(spark, sf_dir):
+    return ledger.daily_count(_ledger(spark, sf_dir))
+
+
+@query(sql.LEDGER + "SELECT count(*) AS closed, count(*) FILTER (profit_pct IS NULL) AS unknown FROM l WHERE profit_pct <> 0 OR profit_pct IS NULL")
+def closed_filter(spark, sf_dir):
+    return ledger.closed_trades(_ledger(spark, sf_dir)).agg(F.count("*").alias("closed"), F.count_if(F.col("profit_pct").isNull()).alias("unknown"))
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'np.float64(' || CAST(4000 + event_id % 500 AS VARCHAR) || '.25)' WHEN 1 THEN '[np.float64(' || CAST(4000 + event_id % 500 AS VARCHAR) || '.5)]' WHEN 2 THEN '[' || CAST(4000 + event_id % 500 AS VARCHAR) || '.75]' ELSE '[none]' END AS x FROM events)
+SELECT event_id, coalesce(nullif(regexp_extract(x, '\\((\\d+\\.?\\d*)\\)', 1), ''), nullif(regexp_extract(x, '(\\d{4,}\\.\\d+)', 1), ''), 'N/A') AS target FROM t""".replace("\\\\", "\\"))
+def tp_regex_clean(spark, sf_dir):
+    k, n = F.col("event_id"), (4000 + F.pmod("event_id", F.lit(500))).cast("string")
+    text = F.when(k % 4 == 0, F.concat(F.lit("np.float64("), n, F.lit(".25)"))).when(k % 4 == 1, F.concat(F.lit("[np.float64("), n, F.lit(".5)]"))).when(k % 4 == 2, F.concat(F.lit("["), n, F.lit(".75]"))).otherwise("[none]")
+    return market.table(spark, sf_dir, "events").select("event_id", ledger.clean_target(text).alias("target"))
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every fourth hourly bar of a symbol opens a trade (fixture); its candles; its as-of time."""
+    candles = market.bars(market.ticks(spark, sf_dir), 60, "1H")
+    df = indexed(candles)
+    k = F.col("i") + 1
+    w = F.when(k % 8 == 0, 0.0002).otherwise(0.004)
+    trades = df.where(k % 4 == 0).select(F.concat_ws("-", "symbol", k.cast("string")).alias("signal_id"), "symbol", F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price"), (F.col("close") * (1 - w)).alias("stop_loss"), (F.col("close") * (1 + 2 * w)).alias("take_profit"))
+    as_of = candles.groupBy("symbol").agg((F.max("ts") + F.expr("interval 1 hour")).alias("as_of"), F.max_by("close", "ts").alias("last_close"))
+    return trades, candles, as_of
+
+
+@query(sql.TRADES + "SELECT signal_id, status, reason AS exit_reason, " + sql.q6("exit_price", "exit_price") + ", " + sql.q6("(exit_price - entry) / entry * 100", "profit_pct") + " FROM snap")
+def barrier_resolve_snapshot(spark, sf_dir):
+    return _out(ledger.resolve_snapshot(*_trades(spark, sf_dir)), ["signal_id"], ["exit_price", "profit_pct"], ["status", "exit_reason"])
+
+
+@query(sql.TRADES + "SELECT signal_id, status, reason AS exit_reason, " + sql.q6("exit_price", "exit_price") + ", " + sql.q6("(exit_price - entry) / entry * 100", "profit_pct") + " FROM replay")
+def barrier_resolve_replay(spark, sf_dir):
+    return _out(ledger.resolve_replay(*_trades(spark, sf_dir)), ["signal_id"], ["exit_price", "profit_pct"], ["status", "exit_reason"])
+
+
+@query(sql.LEDGER + """, w AS (SELECT *, coalesce(sum(profit_pct) OVER (PARTITION BY system, CAST(timestamp AS DATE) ORDER BY timestamp, signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dp,
+ count(*) FILTER (status = 'OPEN') OVER (PARTITION BY system ORDER BY timestamp, signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ob,
+ last_value(CASE WHEN result = 'LOSS' THEN exit_time END IGNORE NULLS) OVER (PARTITION BY system ORDER BY timestamp, signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ll FROM l)
+SELECT signal_id, """ + sql.q6("dp", "day_pnl") + """, ob AS open_before, coalesce(timestamp < ll + INTERVAL 40 MINUTE, false) AS in_cooldown FROM w""")
+def risk_gates(spark, sf_dir):
+    return _out(ledger.cooldown(_ledger(spark, sf_dir)), ["signal_id"], ["day_pnl"], ["open_before", "in_cooldown"])
+
+
+@query(sql.LEDGER + "SELECT system, 'System ' || system || ': ' || trades || ' trades, win rate ' || printf('%.1f', wr) || '%, P&L ' || CASE WHEN pnl < 0 THEN '-$' ELSE '+$' END || format('{:,.2f}', abs(pnl)) || ', profit factor ' || printf('%.2f', pf) AS message FROM (SELECT system, count(*) AS trades, count(*) FILTER (profit_pct > 0) * 100.0::DOUBLE / count(*) AS wr, sum(coalesce(profit_pct, 0)) AS pnl, sum(CASE WHEN profit_pct > 0 THEN profit_pct END) / abs(sum(CASE WHEN profit_pct < 0 THEN profit_pct END)) AS pf FROM l GROUP BY system)")
+def metrics_message(spark, sf_dir):
+    return ledger.metrics_text(ledger.dashboard_metrics(_ledger(spark, sf_dir)))
+
+
+@query()
+def gbt_score(spark, sf_dir):
+    """Scores of the newest hourly bars by a model fitted on the synthetic set."""
+    model = ml.fit(ml.synthetic_training(spark, 1000), trees=20)
+    feats = indicators.filled(indicators.gold_features(market.bars(market.ticks(spark, sf_dir), 60, "1H")), indicators.GOLD_FEATURES)
+    return ml.score(model, feats.where("i = n - 1")).select("symbol", "ts", "ml_confidence")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The scan of all symbols and timeframes."""
+    return mtf_scan(spark, sf_dir)
