@@ -27,13 +27,13 @@ def test_recursions_over_several_blocks(spark):
         for x in xs:
             y = x if y is None else (1 - alpha) * y + alpha * x
             want.append(y)
-        got = column(ewm(df, "y", df["close"], alpha), "y")
+        got = column(ewm(df, {"y": (df["close"], alpha)}), "y")
         assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-9
     y, want = None, []
     for i, x in enumerate(xs):
         y = None if i < 13 else sum(xs[:14]) / 14 if i == 13 else y * 13 / 14 + x / 14
         want.append(y)
-    got = column(wilder(df, "y", df["close"], 14, 13), "y")
+    got = column(wilder(df, {"y": df["close"]}, 14, 13), "y")
     assert got[:13] == [None] * 13 and max(abs(a - b) for a, b in zip(got[13:], want[13:], strict=True)) < 1e-9
 
 

@@ -65,37 +65,39 @@ def indexed(df: DataFrame) -> DataFrame:
     return df.withColumn("i", F.row_number().over(series()).cast("long") - 1).withColumn("n", F.count("*").over(Window.partitionBy(*SERIES)))
 
 
-def recursion(df: DataFrame, name: str, term: Column, decay: float) -> DataFrame:
-    """Add *name*: y(i) = decay * y(i - 1) + term(i), y(-1) = 0, over rows with place i.
+def recursions(df: DataFrame, terms: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Add each name: y(i) = decay * y(i - 1) + term(i), y(-1) = 0, over rows with place i.
 
     Within blocks of 1,024 rows this is a prefix sum of terms scaled by powers of
     the decay; a block's value at its end is all that the next one needs, as
     earlier blocks weigh less than the precision of a double.  No series is
-    gathered in an array.  Null terms count as 0.
+    gathered in an array.  Null terms count as 0.  All recursions of a call share
+    their windows.
     """
-    r, block = F.pmod(F.col("i"), F.lit(BLOCK)), F.floor(F.col("i") / BLOCK)
+    r, block = F.pmod(F.col("i"), F.lit(BLOCK)).cast("double"), F.floor(F.col("i") / BLOCK)
     inner = Window.partitionBy(*SERIES, "__block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__block", block).withColumn("__r", r.cast("double"))
-    df = df.withColumn("__part", F.pow(F.lit(decay), F.col("__r")) * F.sum(F.coalesce(term, F.lit(0.0)) * F.pow(F.lit(decay), -F.col("__r"))).over(inner))
-    ends = F.last(F.when(F.col("__r") == BLOCK - 1, F.col("__part")), ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn(name, F.col("__part") + F.coalesce(F.pow(F.lit(decay), F.col("__r") + 1) * ends, F.lit(0.0))).drop("__block", "__r", "__part")
+    upto = series().rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({"__block": block, "__r": r} | {f"__t_{k}": F.coalesce(t, F.lit(0.0)) * F.pow(F.lit(d), -r) for k, (t, d) in terms.items()})
+    df = df.withColumns({f"__p_{k}": F.pow(F.lit(d), F.col("__r")) * F.sum(f"__t_{k}").over(inner) for k, (_, d) in terms.items()})
+    ends = {k: F.last(F.when(F.col("__r") == BLOCK - 1, F.col(f"__p_{k}")), ignorenulls=True).over(upto) for k in terms}
+    df = df.withColumns({k: F.col(f"__p_{k}") + F.coalesce(F.pow(F.lit(d), F.col("__r") + 1) * ends[k], F.lit(0.0)) for k, (_, d) in terms.items()})
+    return df.drop("__block", "__r", *[f"__{x}_{k}" for k in terms for x in "tp"])
 
 
-def ewm(df: DataFrame, name: str, x: Column, alpha: float) -> DataFrame:
-    """Exponential mean without adjustment: y(0) = x(0), then (1 - alpha) y + alpha x; x known throughout."""
-    return recursion(df, name, F.when(F.col("i") == 0, x).otherwise(alpha * x), 1 - alpha)
+def ewm(df: DataFrame, alphas: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Exponential means without adjustment, name: (x, alpha); y(0) = x(0), then (1 - alpha) y + alpha x; x known throughout."""
+    return recursions(df, {k: (F.when(F.col("i") == 0, x).otherwise(a * x), 1 - a) for k, (x, a) in alphas.items()})
 
 
 def ewm_from(df: DataFrame, name: str, x: Column, alpha: float, start: int) -> DataFrame:
     """``ewm`` of the rows from place *start* on; null before."""
-    df = recursion(df, name, F.when(F.col("i") == start, x).when(F.col("i") > start, alpha * x), 1 - alpha)
+    df = recursions(df, {name: (F.when(F.col("i") == start, x).when(F.col("i") > start, alpha * x), 1 - alpha)})
     return df.withColumn(name, F.when(F.col("i") >= start, F.col(name)))
 
 
-def wilder(df: DataFrame, name: str, x: Column, n: int, start: int, total: bool = False) -> DataFrame:
-    """Wilder smoothing: the mean (sum) of the n values up to place *start*, then y (n-1)/n + x/n (+ x); null before."""
-    seed = (F.sum(x) if total else F.avg(x)).over(back(n))
-    df = df.withColumn("__seed", seed)
+def wilder(df: DataFrame, columns: dict[str, Column], n: int, start: int, total: bool = False) -> DataFrame:
+    """Wilder smoothing, name: x; the mean (sum) of the n values up to place *start*, then y (n-1)/n + x/n (+ x); null before."""
+    df = df.withColumns({f"__seed_{k}": (F.sum(x) if total else F.avg(x)).over(back(n)) for k, x in columns.items()})
     gain = 1.0 if total else 1.0 / n
-    df = recursion(df, name, F.when(F.col("i") == start, F.col("__seed")).when(F.col("i") > start, x * gain), (n - 1) / n)
-    return df.withColumn(name, F.when(F.col("i") >= start, F.col(name))).drop("__seed")
+    df = recursions(df, {k: (F.when(F.col("i") == start, F.col(f"__seed_{k}")).when(F.col("i") > start, x * gain), (n - 1) / n) for k, x in columns.items()})
+    return df.withColumns({k: F.when(F.col("i") >= start, F.col(k)) for k in columns}).drop(*[f"__seed_{k}" for k in columns])

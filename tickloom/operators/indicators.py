@@ -65,8 +65,7 @@ def rsi_simple(df: DataFrame, n: int = 14) -> DataFrame:
 def rsi_wilder(df: DataFrame, n: int = 14, name: str = "rsi_wilder") -> DataFrame:
     """rsi of exponential means with alpha 1/n from the first change on, known from the n-th row; no loss: 100."""
     df = df.withColumn("__d", F.coalesce(change(), F.lit(0.0)))
-    df = ewm(df, "__up", F.greatest("__d", F.lit(0.0)), 1 / n)
-    df = ewm(df, "__down", F.greatest(-F.col("__d"), F.lit(0.0)), 1 / n)
+    df = ewm(df, {"__up": (F.greatest("__d", F.lit(0.0)), 1 / n), "__down": (F.greatest(-F.col("__d"), F.lit(0.0)), 1 / n)})
     value = F.when(F.col("__down") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("__up") / F.nullif("__down", F.lit(0.0))))
     return df.withColumn(name, F.when(F.col("i") >= n - 1, value)).drop("__d", "__up", "__down")
 
@@ -78,7 +77,7 @@ def atr_simple(df: DataFrame, n: int = 14) -> DataFrame:
 
 def atr_wilder(df: DataFrame, n: int = 14, name: str = "atr_wilder") -> DataFrame:
     """Seeded with the mean of the first n true ranges; 0 before."""
-    df = wilder(df.withColumn("__tr", true_range()), name, F.col("__tr"), n, n - 1)
+    df = wilder(df.withColumn("__tr", true_range()), {name: F.col("__tr")}, n, n - 1)
     return df.withColumn(name, F.coalesce(name, F.lit(0.0))).drop("__tr")
 
 
@@ -101,20 +100,19 @@ def adx_wilder(df: DataFrame, n: int = 14, name: str = "adx_wilder") -> DataFram
     df = df.withColumn("__tr", true_range()).withColumn("__rise", change(high())).withColumn("__fall", -change(low()))
     df = df.withColumn("__up", F.when((F.col("__rise") > F.col("__fall")) & (F.col("__rise") > 0), F.col("__rise")).otherwise(0.0))
     df = df.withColumn("__down", F.when((F.col("__fall") > F.col("__rise")) & (F.col("__fall") > 0), F.col("__fall")).otherwise(0.0))
-    for out, x in (("__st", "__tr"), ("__su", "__up"), ("__sd", "__down")):
-        df = wilder(df, out, F.col(x), n, n, total=True)
+    df = wilder(df, {"__st": F.col("__tr"), "__su": F.col("__up"), "__sd": F.col("__down")}, n, n, total=True)
     both = F.col("__su") + F.col("__sd")
     df = df.withColumn("__dx", F.when(both > 0, 100 * F.abs(F.col("__su") - F.col("__sd")) / F.nullif(both, F.lit(0.0))).otherwise(F.when(F.col("__st").isNotNull(), F.lit(0.0))))
-    df = wilder(df, name, F.col("__dx"), n, 2 * n - 1)
+    df = wilder(df, {name: F.col("__dx")}, n, 2 * n - 1)
     return df.drop("__tr", "__rise", "__fall", "__up", "__down", "__st", "__su", "__sd", "__dx")
 
 
 def macd(df: DataFrame, config: Config = DEFAULT, warm: bool = False) -> DataFrame:
     """macd, macd_signal, macd_diff; with *warm* null until the spans are filled."""
     fast, slow, signal = config.macd
-    df = ewm(ewm(df, "__f", close(), 2 / (fast + 1)), "__s", close(), 2 / (slow + 1))
+    df = ewm(df, {"__f": (close(), 2 / (fast + 1)), "__s": (close(), 2 / (slow + 1))})
     if not warm:
-        df = ewm(df.withColumn("macd", F.col("__f") - F.col("__s")), "macd_signal", F.col("macd"), 2 / (signal + 1))
+        df = ewm(df.withColumn("macd", F.col("__f") - F.col("__s")), {"macd_signal": (F.col("macd"), 2 / (signal + 1))})
     else:
         df = df.withColumn("macd", F.when(F.col("i") >= slow - 1, F.col("__f") - F.col("__s")))
         df = ewm_from(df, "macd_signal", F.col("macd"), 2 / (signal + 1), slow - 1)
@@ -133,10 +131,8 @@ def macd_events(df: DataFrame) -> DataFrame:
 
 def ema(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """ema20 and ema50, null until their windows are filled."""
-    for span in config.ema:
-        df = ewm(df, f"ema{span}", close(), 2 / (span + 1))
-        df = df.withColumn(f"ema{span}", F.when(F.col("i") >= span - 1, F.col(f"ema{span}")))
-    return df
+    df = ewm(df, {f"ema{span}": (close(), 2 / (span + 1)) for span in config.ema})
+    return df.withColumns({f"ema{span}": F.when(F.col("i") >= span - 1, F.col(f"ema{span}")) for span in config.ema})
 
 
 def momentum(df: DataFrame) -> DataFrame:

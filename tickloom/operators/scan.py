@@ -10,48 +10,81 @@ from tickloom.functions.rolling import indexed
 from tickloom.operators import decisions, indicators, sessions, structure
 
 
-def momentum_15m(candles: DataFrame) -> DataFrame:
-    """(symbol, adx_15m, rsi_15m) of the newest 15M bar."""
-    df = indicators.rsi_wilder(indicators.adx_wilder(candles.where("tf = '15M'")))
-    return df.where("i = n - 1").select("symbol", F.col("adx_wilder").alias("adx_15m"), F.col("rsi_wilder").alias("rsi_15m"))
+def series_facts(swung: DataFrame, config: Config = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row per series with its structure, events, blocks and zone, and the newest value of *carry*.
+
+    A scan's series has at most ``config.fetch_bars`` rows, so each fits in one
+    array and every pattern is an expression over it: the windows before and the
+    grouping share one partitioning by series, without a join.  Patterns are
+    those of ``operators.structure``, which has no bound on the length.
+    """
+    bar = F.struct("i", "open", "high", "low", "close", "swing_high", "swing_low")
+    df = swung.groupBy(*structure.KEYS).agg(F.array_sort(F.collect_list(bar)).alias("b"), *[F.max_by(c, "i").alias(c) for c in carry])
+    b = F.col("b")
+    first = lambda x: F.try_element_at(x, F.lit(1))
+    last = lambda x: F.try_element_at(x, F.lit(-1))
+    df = df.select("*", F.size(b).cast("long").alias("n"), F.filter(b, lambda x: x["swing_high"]).alias("tops"), F.filter(b, lambda x: x["swing_low"]).alias("lows"))
+    tops, lows, n = F.col("tops"), F.col("lows"), F.col("n")
+
+    broken = F.transform(tops, lambda s: F.struct(first(F.filter(b, lambda x: (x["i"] > s["i"]) & (x["close"] > s["high"])))["i"].alias("j"), (-s["i"]).alias("m")))
+    swept = F.flatten(F.transform(
+        F.filter(lows, lambda s: s["i"] < F.col("low2")["i"]),
+        lambda s: F.transform(F.filter(b, lambda x: (x["i"] > s["i"]) & (x["i"] >= n - config.sweep_lookback) & (x["low"] < s["low"]) & (x["close"] > s["low"])), lambda x: F.struct(s["i"].alias("s"), (-x["i"]).alias("j"))),
+    ))
+
+    def gap(x):
+        one, two = F.try_element_at(b, x["i"].cast("int")), F.try_element_at(b, x["i"].cast("int") - 1)
+        body, span = one["close"] - one["open"], one["high"] - one["low"]
+        solid = (body > 0) & (span != 0) & (body / F.nullif(span, F.lit(0.0)) >= 0.6)
+        wide = (x["low"] > two["high"]) & ((x["low"] - two["high"]) / F.nullif(two["high"], F.lit(0.0)) >= config.gap_least)
+        return (x["i"] > F.greatest(F.lit(2), n - config.gap_age)) & solid & wide & ~F.exists(b, lambda z: (z["i"] >= x["i"]) & (z["low"] < two["high"]))
+
+    df = df.select("*", last(tops).alias("top2"), F.try_element_at(tops, F.lit(-2)).alias("top1"), last(lows).alias("low2"), F.try_element_at(lows, F.lit(-2)).alias("low1"), last(b)["close"].alias("last_close"))
+    df = df.select("*", F.when(F.size(tops) >= 2, F.array_max(F.filter(broken, lambda x: x["j"].isNotNull()))["j"]).alias("bos_index"), last(F.filter(tops, lambda s: s["i"] < F.col("low2")["i"])).alias("prior"))
+    span = F.col("top2")["high"] - F.col("low2")["low"]
+    inside = F.coalesce(span > 0, F.lit(False))
+    df = df.select(
+        "*",
+        first(F.filter(b, lambda x: (x["i"] > F.col("low2")["i"]) & (x["close"] > F.col("prior")["high"])))["i"].alias("choch_index"),
+        (-F.array_max(swept)["j"]).alias("sweep_index"),
+        last(F.filter(b, lambda x: (x["i"] >= F.col("bos_index") - config.block_lookback) & (x["i"] < F.col("bos_index")) & (x["close"] < x["open"]))).alias("block"),
+        (last(F.filter(b, gap))["i"] - 1).alias("fvg_index"),
+        F.when(inside, (F.col("last_close") - F.col("low2")["low"]) / F.nullif(span, F.lit(0.0))).otherwise(0.5).alias("pct_in_range"),
+    )
+    up = (F.col("top2")["high"] > F.col("top1")["high"]) & (F.col("low2")["low"] > F.col("low1")["low"])
+    down = (F.col("top2")["high"] < F.col("top1")["high"]) & (F.col("low2")["low"] < F.col("low1")["low"])
+    return df.select(
+        *structure.KEYS, "n", "last_close", "bos_index", "choch_index", "sweep_index", "fvg_index", "pct_in_range", *carry,
+        F.when(up, "bullish").when(down, "bearish").otherwise("ranging").alias("structure"),
+        F.when(~inside, "unknown").when(F.col("pct_in_range") <= 0.40, "discount").when(F.col("pct_in_range") >= 0.60, "premium").otherwise("equilibrium").alias("zone"),
+        F.col("block")["high"].alias("ob_high"), F.col("block")["low"].alias("ob_low"),
+        F.when(F.col("block").isNotNull(), F.exists(b, lambda x: (x["i"] >= F.col("bos_index")) & (x["close"] < F.col("block")["low"]))).alias("mitigated"),
+        F.transform(tops, lambda s: s["high"]).alias("top_highs"),
+    )
 
 
-def context(swung: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """A row per symbol with structure, events and blocks of every role, by conditional aggregation of one row per series."""
-    keys = structure.KEYS
-    per = structure.pivots(swung).select(*keys, "last_close", "n")
-    for part in (
-        structure.market_structure(swung).select(*keys, "structure"),
-        structure.bos_up(swung).select(*keys, "bos_index"),
-        structure.choch_up(swung).select(*keys, "choch_index"),
-        structure.liquidity_sweep(swung, config).select(*keys, "sweep_index"),
-        structure.order_block(swung, config).select(*keys, "ob_high", "ob_low", "mitigated"),
-        structure.fvg_up(swung, config).select(*keys, "fvg_index"),
-        structure.premium_discount(swung).select(*keys, "zone", "pct_in_range"),
-    ):
-        per = per.join(part, keys, "left")
+def context(facts: DataFrame) -> DataFrame:
+    """A row per symbol out of one row per series, by conditional aggregation over the roles."""
     of = lambda tf, c: F.max(F.when(F.col("tf") == tf, F.col(c)))
-    return per.groupBy("symbol").agg(
+    return facts.groupBy("symbol").agg(
         *[of(t, "structure").alias(f"struct_{t.lower()}") for t in ("1W", "1D", "4H", "1H", "15M")],
         *[of(t, c).alias(f"{c}_{t.lower()}") for t in ("4H", "1H", "15M") for c in ("bos_index", "choch_index", "ob_high", "ob_low", "mitigated")],
         of("1H", "sweep_index").alias("sweep_index"), of("1H", "fvg_index").alias("fvg_index"), of("4H", "zone").alias("zone"), of("4H", "pct_in_range").alias("pct_in_range"),
-        of("1H", "last_close").alias("price"),
+        of("1H", "last_close").alias("price"), of("4H", "top_highs").alias("top_highs"), of("1H", "atr_wilder").alias("atr"), of("1H", "ts").alias("last_ts"),
+        of("15M", "adx_wilder").alias("adx_15m"), of("15M", "rsi_wilder").alias("rsi_15m"),
     )
 
 
 def mtf_scan(candles: DataFrame, config: Config = DEFAULT, side_aware: bool = False) -> DataFrame:
     """A row per symbol, fired or not: structures, events, score, decision gate and levels as of its newest 1H bar's end.
 
-    Takes a scan's candles (``market.drop_incomplete``), which it persists; the
-    session's ``catalog.clearCache()`` lets them go.
+    Takes a scan's candles (``market.drop_incomplete``).  Two exchanges follow
+    them: one by series for windows and patterns, one by symbol for the rest.
     """
-    # a dozen consumers, at most fetch_bars rows a series: kept rather than read again
-    df = swung = structure.swings(indexed(candles), config).persist()
-    base = context(swung, config)
-    atr = indicators.atr_wilder(df.where("tf = '1H'")).where("i = n - 1").select("symbol", F.col("atr_wilder").alias("atr"), (F.col("ts") + F.expr("interval 1 hour")).alias("as_of"))
-    rows = base.join(atr, "symbol").join(momentum_15m(df), "symbol", "left")
-    target = structure.nearest_target(swung, rows.select("symbol", "price"), "4H").select("symbol", "tp_level")
-    rows = rows.join(target, "symbol", "left")
+    df = structure.swings(indexed(candles), config)
+    df = indicators.rsi_wilder(indicators.adx_wilder(indicators.atr_wilder(df)))
+    rows = context(series_facts(df, config, ("ts", "atr_wilder", "adx_wilder", "rsi_wilder"))).where("price is not null")
+    rows = rows.withColumn("as_of", F.col("last_ts") + F.expr("interval 1 hour")).withColumn("tp_level", F.array_min(F.filter("top_highs", lambda h: h > F.col("price") * 1.001)))
     at = [structure.at_block(F.col("price"), F.col(f"ob_high_{t}"), F.col(f"ob_low_{t}"), F.col(f"mitigated_{t}"), config) for t in ("15m", "1h", "4h")]
     rows = rows.withColumn("at_block", at[0] | at[1] | at[2]).withColumn("killzone", sessions.killzone(F.col("as_of"), config))
     s = {
