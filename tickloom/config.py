@@ -45,3 +45,26 @@ class Config:
 
 
 DEFAULT = Config()
+
+
+def load(path: str, base: Config = DEFAULT) -> Config:
+    """*base* with what a JSON file of strategy parameters sets: composite weights and thresholds, expiry and gates' neighbours; a missing file is *base*."""
+    import json
+    from dataclasses import replace
+    from pathlib import Path
+
+    if not Path(path).exists():
+        return base
+    data = json.loads(Path(path).read_text())
+    out = {}
+    composite = data.get("composite_decision", {})
+    if "fire_thresholds" in composite:
+        out["thresholds_composite"] = {k: int(v) for k, v in composite["fire_thresholds"].items()}
+    weights = [v for k, v in sorted(composite.items()) if k.endswith("_weight")]
+    if {"ml_weight", "smc_weight"} <= composite.keys() and len(weights) == 3:
+        analyst = next(v for k, v in composite.items() if k.endswith("_weight") and k not in ("ml_weight", "smc_weight"))
+        out["weights_composite"] = (composite["ml_weight"], analyst, composite["smc_weight"])
+    gap = data.get("smc_parameters", {}).get("fair_value_gap", {})
+    if "max_lookback" in gap:
+        out["gap_age"] = int(gap["max_lookback"])
+    return replace(base, **out)

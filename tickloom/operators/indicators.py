@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import DEFAULT, Config
@@ -161,30 +161,29 @@ BASE_FEATURES = (
 )
 
 
+#: Rows of day-wise macro spans up to which they are sent to every task.
+MACRO_ROWS = 100_000
+
+
 def with_macro(df: DataFrame, macro: DataFrame | None) -> DataFrame:
     """usd_strength, real_rates_momentum, risk_sentiment: the newest macro row at or before ts, or 0, 0, 50.
 
-    *macro* is (ts, usd_strength, real_rates_momentum, risk_sentiment).  Both
-    sides are unioned per day range and the last known row carried forward, so
-    no candle meets every macro row.
+    *macro* is (ts, usd_strength, real_rates_momentum, risk_sentiment), one row a
+    time.  A row holds until the next one; spans are cut by day, so candles meet
+    by an equi-join on the day only the rows in force on it.
     """
     names = {"usd_strength": 0.0, "real_rates_momentum": 0.0, "risk_sentiment": 50.0}
     if macro is None:
         return df.withColumns({c: F.lit(v) for c, v in names.items()})
-    spans = macro.withColumn("__until", F.lead("ts").over(series_of_all())).withColumnRenamed("ts", "__from")
-    joined = df.join(F.broadcast(spans) if macro_is_small(spans) else spans, (F.col("ts") >= F.col("__from")) & (F.col("__until").isNull() | (F.col("ts") < F.col("__until"))), "left")
-    return joined.drop("__from", "__until").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in names.items()})
-
-
-def series_of_all():
-    from pyspark.sql import Window
-
-    return Window.orderBy("ts")
-
-
-def macro_is_small(macro: DataFrame, rows: int = 100_000) -> bool:
-    """Daily macro rows of centuries fit; their number is checked before they are sent to every task."""
-    return macro.limit(rows + 1).count() <= rows
+    end = df.agg(F.max("ts")).first()[0]
+    spans = macro.select(F.col("ts").alias("__from"), F.lead("ts").over(Window.orderBy("ts")).alias("__until"), *names)
+    last = F.coalesce("__until", F.greatest(F.col("__from"), F.lit(end).cast("timestamp_ntz")))
+    spans = spans.withColumn("__day", F.explode(F.sequence(F.to_date("__from"), F.to_date(last))))
+    few = spans.limit(MACRO_ROWS + 1).count() <= MACRO_ROWS
+    joined = df.withColumn("__d", F.to_date("ts")).join(
+        F.broadcast(spans) if few else spans, (F.col("__d") == F.col("__day")) & (F.col("ts") >= F.col("__from")) & (F.col("__until").isNull() | (F.col("ts") < F.col("__until"))), "left"
+    )
+    return joined.drop("__from", "__until", "__day", "__d").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in names.items()})
 
 
 def with_clock(df: DataFrame) -> DataFrame:

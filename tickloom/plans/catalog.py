@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import DEFAULT
 from tickloom.functions.rolling import indexed, q6
-from tickloom.operators import decisions, indicators, ledger, ml, scan, sessions, structure
+from tickloom.operators import decisions, indicators, ledger, ml, reports, scan, sessions, structure
 from tickloom.plans import sql
 from tickloom.sources import market
 
@@ -449,6 +449,70 @@ def metrics_message(spark, sf_dir):
     return ledger.metrics_text(ledger.dashboard_metrics(_ledger(spark, sf_dir)))
 
 
+@query(sql.BARS_1H + """, macro AS (SELECT ts, ((event_id * 17) % 21 - 10) / 10.0::DOUBLE AS u, ((event_id * 19) % 7 - 3) / 10.0::DOUBLE AS r, CAST((event_id * 23) % 100 AS DOUBLE) AS k FROM events WHERE event_id % 50 = 7)
+SELECT b.symbol, b.ts, coalesce(m.u, 0) AS usd_strength, coalesce(m.r, 0) AS real_rates_momentum, coalesce(m.k, 50) AS risk_sentiment FROM bars b ASOF LEFT JOIN macro m ON b.ts >= m.ts""")
+def macro_asof(spark, sf_dir):
+    e = market.table(spark, sf_dir, "events").where("event_id % 50 = 7")
+    macro = e.select("ts", ((F.pmod(F.col("event_id") * 17, F.lit(21)) - 10) / 10.0).alias("usd_strength"), ((F.pmod(F.col("event_id") * 19, F.lit(7)) - 3) / 10.0).alias("real_rates_momentum"), F.pmod(F.col("event_id") * 23, F.lit(100)).cast("double").alias("risk_sentiment"))
+    return indicators.with_macro(_hourly(spark, sf_dir), macro).select("symbol", "ts", "usd_strength", "real_rates_momentum", "risk_sentiment")
+
+
+@query("""WITH s AS (SELECT date_trunc('hour', ts) AS ts, count(*) AS scanned, count(*) FILTER (value > 80) AS sh, count(*) FILTER (value > 99) AS lg, count(*) FILTER (value < 1) AS bl FROM events GROUP BY 1),
+l AS (SELECT *, ts + INTERVAL 1 HOUR AS lt FROM s)
+SELECT ts, CASE WHEN lg > 0 OR bl > 0 OR hour(lt) = 0 THEN 'Scan complete, ' || strftime(lt, '%Y-%m-%d %H:%M') || chr(10) || CASE WHEN lg = 0 AND bl = 0 THEN 'No signals today so far' WHEN lg > 0 THEN 'Signals found' ELSE 'Signals blocked by risk rules' END
+ || chr(10) || 'Scanned: ' || scanned || chr(10) || 'Shortlisted: ' || sh || ', logged: ' || lg || ', blocked: ' || bl || chr(10) || 'Open paper trades: 3/15' END AS message FROM l""")
+def scan_heartbeat(spark, sf_dir):
+    v = F.col("value")
+    hours = market.table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("scanned"), F.count_if(v > 80).alias("shortlisted"), F.count_if(v > 99).alias("signals_logged"), F.count_if(v < 1).alias("signals_blocked"))
+    return reports.scan_summary(hours.withColumn("open_trades", F.lit(3))).select("ts", "message")
+
+
+@query(sql.LEDGER + """, s AS (SELECT system, count(*) FILTER (status = 'OPEN') AS o, count(*) FILTER (result = 'WIN') AS w, count(*) FILTER (result = 'LOSS') AS s, count(*) FILTER (result = 'EXPIRED') AS x, sum(profit_pct) AS p,
+ count(*) FILTER (starts_with(trend, 'TREND_OK')) AS a, count(*) FILTER (starts_with(trend, 'BLOCKED')) AS b FROM l GROUP BY system)
+SELECT system, 'Open trades: ' || o || '/15' || chr(10) || 'Wins: ' || w || ', losses: ' || s || ', expired: ' || x || chr(10) || 'Win rate: ' || format('{:,.1f}', w * 100.0::DOUBLE / (w + s)) || '%' || chr(10)
+ || 'Cumulative result: ' || CASE WHEN p > 0 THEN '+' ELSE '' END || format('{:,.2f}', p) || '%' || chr(10) || 'Trend filter passed: ' || a || ', blocked: ' || b AS message FROM s""")
+def daily_report(spark, sf_dir):
+    return reports.daily_report(ledger.running_stats(_ledger(spark, sf_dir))).select("system", "message")
+
+
+@query(sql.LEDGER + """SELECT 'XAUUSD' AS pair, '?' AS direction, CASE WHEN profit_pct > 0 THEN 'WIN' WHEN profit_pct < 0 THEN 'LOSS' ELSE 'OPEN' END AS outcome, CASE WHEN coalesce(profit_pct, 0) < 0 THEN '-$' ELSE '+$' END || format('{:,.2f}', abs(coalesce(profit_pct, 0))) AS pnl, strftime(timestamp, '%Y-%m-%d') AS date
+ FROM l ORDER BY timestamp DESC, signal_id DESC LIMIT 10""")
+def dashboard_rows(spark, sf_dir):
+    return reports.dashboard_rows(_ledger(spark, sf_dir), tie="signal_id").select("pair", "direction", "outcome", "pnl", "date")
+
+
+@query(sql.LEDGER + "SELECT " + ", ".join(f"count(*) FILTER (system = '{s}') AS trades_{s.lower()}, count(*) FILTER (system = '{s}' AND profit_pct > 0) AS wins_{s.lower()}, " + sql.q6(f"coalesce(sum(profit_pct) FILTER (system = '{s}'), 0)", f"pnl_{s.lower()}") for s in ("A", "C")) + " FROM l")
+def system_comparison(spark, sf_dir):
+    c = reports.comparison(ledger.dashboard_metrics(_ledger(spark, sf_dir)))
+    return c.select("trades_a", "wins_a", q6(F.col("pnl_a")).alias("pnl_a"), "trades_c", "wins_c", q6(F.col("pnl_c")).alias("pnl_c"))
+
+
+@query(sql.LEDGER + """, d AS (SELECT system, CAST(timestamp AS DATE) AS day, coalesce(sum(profit_pct), 0) AS p FROM l GROUP BY ALL), w AS (SELECT *, sum(p) OVER (PARTITION BY system, date_trunc('week', day) ORDER BY day) AS wp FROM d)
+SELECT system, day, """ + sql.q6("p", "day_pnl") + ", " + sql.q6("wp", "week_pnl") + ", round(p, 6) <= -3 OR round(wp, 6) <= -6 AS stopped FROM w")
+def loss_caps(spark, sf_dir):
+    caps = reports.loss_caps(_ledger(spark, sf_dir).withColumn("profit_pct", F.col("profit_pct")))
+    return caps.select("system", "day", q6(F.col("day_pnl")).alias("day_pnl"), q6(F.col("week_pnl")).alias("week_pnl"), ((q6(F.col("day_pnl")) <= -3) | (q6(F.col("week_pnl")) <= -6)).alias("stopped"))
+
+
+@query(sql.EVENTS + "SELECT event_id, " + sql.q6("least(greatest(ml_confidence / 100 - (1 - ml_confidence / 100) / 2, 0), 0.25)", "kelly") + ", " + sql.q6("5000 * mult * CASE WHEN ml_confidence < 40 THEN 0.5 WHEN ml_confidence > 60 THEN 1.5 ELSE 1 END", "size") + " FROM tiers")
+def position_size(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("size_multiplier", sessions.size_multiplier(sessions.tier(F.col("ts")))).withColumn("win_rate", F.col("ml_confidence")).withColumn("rr_ratio", F.lit(2.0))
+    return _out(reports.position_size(e), ["event_id"], ["kelly", "size"])
+
+
+@query(sql.SCAN + "SELECT symbol, no AS target_no, share, " + sql.q6("price + (take_profit - price) * share", "target_price") + " FROM levels, (VALUES (1, 0.33::DOUBLE), (2, 0.67::DOUBLE), (3, 1.0::DOUBLE)) v(no, share)")
+def partial_targets(spark, sf_dir):
+    return _out(decisions.split_targets(scan.mtf_scan(market.scan_candles(spark, sf_dir))), ["symbol"], ["target_price"], ["target_no", "share"])
+
+
+@query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'no time' WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS t, date_trunc('second', ts) AS ts FROM events)
+SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN ts END AS parsed, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS shown FROM r""")
+def time_parsing(spark, sf_dir):
+    k = F.col("event_id")
+    text = F.when(k % 9 == 0, "no time").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 2 == 0, "Z").otherwise("")))
+    return market.table(spark, sf_dir, "events").select("event_id", sessions.parse_iso(text).alias("parsed"), sessions.local_text(F.col("ts")).alias("shown"))
+
+
 @query()
 def gbt_score(spark, sf_dir):
     """Scores of the newest hourly bars by a model fitted on the synthetic set."""
