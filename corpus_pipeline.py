@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of *sf_dir*."""
-    scratch = Scratch(spark)
+    """All stages over the documents of *sf_dir*; a stage's table goes once the next one is written."""
+    scratch, before = Scratch(spark), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.forget(before)
+        before = name
     return docs

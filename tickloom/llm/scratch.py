@@ -73,6 +73,9 @@ class Scratch:
     def drop(self, name: str) -> None:
         remove(self.spark, f"{self.base}/tmp/{name}")
 
+    def forget(self, name: str) -> None:
+        remove(self.spark, f"{self.base}/kept/{name}")
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/kept/{name}"
         if not _left or _left[-1][1] != self.base:
