@@ -70,12 +70,16 @@ def fingerprint_batches(width: int, bands: int, rows: int):
     return run
 
 
-def sketch_batches(width: int):
+def sketch_batches(width: int, bands: int, rows: int):
+    """Rows (rep, text) to (rep, keys, sketch): the band keys again, and a long sketch of low bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, offsets in slices(batch.column("text")):
-                low = signatures(*shingle_hashes(raw, offsets, width), SKETCH).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array([x.tobytes() for x in low], pa.binary())], ["rep", "sketch"])
+                signature = signatures(*shingle_hashes(raw, offsets, width), max(SKETCH, bands * rows))
+                keys = band_keys(signature[:, : bands * rows], rows)
+                low = signature[:, :SKETCH].astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], ["rep", "keys", "sketch"])
 
     return run
 
@@ -105,11 +109,13 @@ def verify_batches(width: int, numerator: int, denominator: int):
     return run
 
 
-def close_pairs(sketch: np.ndarray, comp: np.ndarray, side: np.ndarray, both: bool, least: int, first: int | None):
+def close_pairs(sketch: np.ndarray, keys: np.ndarray, key: int, comp: np.ndarray, side: np.ndarray, both: bool, least: int, first: int | None):
     """Index pairs of different components whose sketches agree in *least* places.
 
-    side tells the two blocks apart; within one block (both False) all its pairs
-    are compared, else only pairs across.  With *first*, at most that many of a
+    A pair that shares several buckets counts in the one of its first common
+    band only (*keys* are the band keys, *key* this bucket's).  side tells the
+    two blocks apart; within one block (both False) all its pairs are compared,
+    else only pairs across.  With *first*, at most that many of a
     pair of components, best first; the flag says whether any were left.
     """
     n, found, more = len(comp), [], False
@@ -118,6 +124,9 @@ def close_pairs(sketch: np.ndarray, comp: np.ndarray, side: np.ndarray, both: bo
         if len(rest):
             same = (sketch[rest] == sketch[i]).sum(1)
             hit = same >= least
+            if hit.any():
+                common = keys[rest] == keys[i]
+                hit &= keys[i][common.argmax(1)] == key
             found += zip([i] * int(hit.sum()), rest[hit].tolist(), same[hit].tolist(), strict=True)
     if first is not None and len(found) > first:
         kept: dict[tuple[int, int], int] = {}
@@ -143,7 +152,8 @@ def block_batches(least: int, first: int | None):
             return
         blocks = t["block"].to_numpy()
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(comp), SKETCH)
-        found, more = close_pairs(sketch, comp, blocks, t["bi"][0].as_py() != t["bj"][0].as_py(), least, first)
+        keys = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int64).reshape(len(comp), -1)
+        found, more = close_pairs(sketch, keys, t["key"][0].as_py(), comp, blocks, t["bi"][0].as_py() != t["bj"][0].as_py(), least, first)
         for i, j, _ in found:
             yield max(rep[i], rep[j]), min(rep[i], rep[j]), more
 
@@ -232,7 +242,7 @@ def near_duplicates(
             placed = members.select("key", "rep", "cnt").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "cnt", F.coalesce("component", "rep").alias("comp"))
             mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
             if sketches is None:
-                sketches = scratch.put(texts.mapInArrow(sketch_batches(width), "rep long, sketch binary"), "sketches")
+                sketches = scratch.put(texts.mapInArrow(sketch_batches(width, bands, rows), "rep long, keys binary, sketch binary"), "sketches")
             parts = F.ceil(F.col("cnt") / F.lit(BLOCK)).cast("int")
             tasks = (
                 placed.join(mixed, "key")
