@@ -17,7 +17,7 @@ so a source with a third of all rows is no single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.scratch import Scratch
@@ -27,6 +27,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 SMALL_ROWS = 20_000
 
 
+def portable_hash(*parts: Column) -> Column:
+    """60 bits of the parts' md5 as a long: equal in every SQL engine; null parts are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
@@ -128,7 +133,7 @@ def mixture(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
-        F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("h"),
+        portable_hash(F.col(id_col), F.col(source_col), F.col(text_col)).alias("h"),
         *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
     with Scratch(spark) as scratch:
@@ -140,13 +145,13 @@ def mixture(
         key = targets.select(F.col("source").alias("src"), "rank", "source_size", "target", part.alias("blocks"))
         # rows of a source do not meet: blocks do
         def placed(df: DataFrame) -> DataFrame:
-            return df.join(_sent(key, n_sources), F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed)), F.col("blocks")))
+            return df.join(_sent(key, n_sources), F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("block", F.pmod(portable_hash(F.col("h"), F.lit(seed)), F.col("blocks")))
 
         blocks = scratch.put(placed(sizes).groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target")), "blocks")
         whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
         passes = blocks.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
         draws = passes.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("whole"))))
-        draws = draws.withColumn("order", F.xxhash64("rank", "block", "turn", F.lit(seed))).withColumn("grp", F.pmod(F.xxhash64("order"), F.ceil(F.col("blocks") / F.lit(group_blocks))))
+        draws = draws.withColumn("order", portable_hash(F.col("rank"), F.col("block"), F.col("turn"), F.lit(seed))).withColumn("grp", F.pmod(portable_hash(F.col("order")), F.ceil(F.col("blocks") / F.lit(group_blocks))))
         groups = draws.groupBy("rank", "turn", "grp").agg(F.sum("words").alias("gw"), F.count("*").alias("gn"))
         ahead = Window.partitionBy("rank", "turn").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
         groups = groups.select("rank", "turn", "grp", F.coalesce(F.sum("gw").over(ahead), F.lit(0)).alias("words_ahead"), F.coalesce(F.sum("gn").over(ahead), F.lit(0)).alias("blocks_ahead"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.chat_format import recover_roles, render
-from tickloom.llm.decontam import contaminated
+from tickloom.llm.decontam import UNITS, contaminated
 from tickloom.llm.langid import LanguageModels, identify
 from tickloom.llm.media_chunks import store_and_read
 from tickloom.llm.minhash_dedup import near_duplicates
@@ -118,5 +118,92 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def _hash(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, {_hash("doc_id", "source", "text")} AS h FROM documents),
+src AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM d GROUP BY source)),
+wt AS (SELECT *, [3.0, 1.0, 2.0][rank % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS most, (SELECT sum(source_size) FROM src)::DOUBLE * 1.5 AS pool FROM src),
+-- sources are capped one round after another until no share is above its cap
+fill(step, capped) AS (
+  SELECT 0, CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT step + 1, next FROM (
+    SELECT step, capped, (SELECT list(rank ORDER BY rank) FROM wt x WHERE list_contains(capped, x.rank) OR x.w * (
+      (x.pool - coalesce((SELECT sum(most) FROM wt y WHERE list_contains(capped, y.rank)), 0)) / (SELECT sum(w) FROM wt y WHERE NOT list_contains(capped, y.rank))) > x.most) AS next FROM fill)
+  WHERE next IS NOT NULL AND len(next) > len(capped)),
+last AS (SELECT capped FROM fill ORDER BY step DESC LIMIT 1),
+tg AS (
+  SELECT wt.*, CASE WHEN list_contains(capped, rank) THEN most ELSE least(most, (pool - coalesce((SELECT sum(most) FROM wt y WHERE list_contains(capped, y.rank)), 0)) / (SELECT sum(w) FROM wt y WHERE NOT list_contains(capped, y.rank)) * w) END AS target,
+    CAST(greatest(1, ceil(docs / 256.0)) AS BIGINT) AS blocks FROM wt, last),
+p AS (
+  SELECT d.doc_id, d.source, size, h, rank, source_size, target, blocks, {_hash("h", "7")} % blocks AS block,
+    CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS whole FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source),
+b AS (SELECT rank, block, sum(size) AS words, any_value(blocks) AS blocks, any_value(whole) AS whole, any_value(target) - any_value(whole) * any_value(source_size) AS rest FROM p GROUP BY rank, block),
+o AS (SELECT *, {_hash("rank", "block", "turn", "7")} AS ord FROM (SELECT b.*, unnest(range(0, whole + 1)) AS turn FROM b)),
+c AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY rank, turn ORDER BY {_hash("ord")} % CAST(ceil(blocks / 4096.0) AS BIGINT), ord, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM o),
+k AS (SELECT *, CASE WHEN turn < whole THEN words ELSE least(words, rest - ahead) END AS room FROM c),
+e AS (
+  SELECT p.rank, p.block, room, h, sum(size) AS s, row_number() OVER (PARTITION BY p.rank, p.block ORDER BY sum(size) DESC, h) AS rn
+  FROM p JOIN k ON k.rank = p.rank AND k.block = p.block AND room > 0 AND room < words WHERE size > 0 GROUP BY p.rank, p.block, room, h),
+g(rank, block, rn, h, hit, room) AS (
+  SELECT rank, block, rn, h, s <= room, CASE WHEN s <= room THEN room - s ELSE room END FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.rank, e.block, e.rn, e.h, e.s <= g.room, CASE WHEN e.s <= g.room THEN g.room - e.s ELSE g.room END FROM g JOIN e ON e.rank = g.rank AND e.block = g.block AND e.rn = g.rn + 1),
+f AS (SELECT rank, block, count(*) AS n FROM k WHERE room > 0 AND room >= words GROUP BY rank, block)
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(p.size * (coalesce(f.n, 0) + CASE WHEN coalesce(g.hit, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM p LEFT JOIN f ON f.rank = p.rank AND f.block = p.block LEFT JOIN g ON g.rank = p.rank AND g.block = p.block AND g.h = p.h
+"""
+
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+_WORDS = "0-9A-Za-z\\x{80}-\\x{10FFFF}"
+#: Tokens are told from what stands between them; a stop or comma inside a number is private-use for a while.
+OP5_SQL = f"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+m AS (
+  SELECT kind, id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g'), '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g'),
+    '([0-9]),([0-9])', '\\1\ue001\\2', 'g'), '([0-9]),([0-9])', '\\1\ue001\\2', 'g'), '[{_WORDS}]+|[^{_WORDS}]+') AS parts FROM t),
+u AS (SELECT kind, id, row_number() OVER () AS r, parts FROM m),
+x AS (SELECT *, lag(part) OVER (PARTITION BY r ORDER BY i) AS gap FROM (SELECT kind, id, r, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM u)),
+tok AS (
+  SELECT kind, id, r, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS pos, translate(part, '{_CAPITALS}', '{_CAPITALS.lower()}') AS low, part AS raw,
+    row_number() OVER (PARTITION BY r ORDER BY i) = 1 AS opening, coalesce(gap, '') AS gap
+  FROM x WHERE regexp_matches(part, '^[{_WORDS}]')),
+f AS (
+  SELECT *, regexp_matches(raw, '^[0-9\ue000\ue001]+$') AS number,
+    regexp_matches(raw, '^[{_CAPITALS}]') AND len(regexp_extract_all(raw, '[{_CAPITALS}]')) = 1 AND strlen(raw) > 1 AND NOT opening AND NOT regexp_matches(gap, '[!.:?\\n\\r"]') AS name FROM tok),
+un AS (SELECT unnest(string_split('{" ".join(UNITS)}', ' ')) AS w),
+c AS (
+  SELECT kind, id, r, pos, low, CASE WHEN number THEN '<n>' WHEN coalesce(lag(number) OVER (PARTITION BY r ORDER BY pos), false) AND low IN (SELECT w FROM un) THEN '<u>' WHEN name THEN '<p>' ELSE low END AS k,
+    count(*) OVER (PARTITION BY r) AS n FROM f),
+it AS (SELECT *, least(8, n) AS w, n - least(8, n) + 1 AS nw FROM c WHERE kind = 'b' AND n >= 5),
+ii AS (SELECT id, r, n, w, nw, list(k ORDER BY pos) AS ks, list(low ORDER BY pos) AS ls FROM it GROUP BY ALL),
+iw AS (
+  SELECT id, w, nw, p, ks[p + 1 : p + w] AS ks, ls[p + 1 : p + w] AS ls FROM (SELECT *, unnest(range(0, nw)) AS p FROM ii)
+  UNION ALL
+  SELECT id, w, nw, 0, list_prepend('<p>', ks[2 : w]), ls[1 : w] FROM ii WHERE ks[1] NOT IN ('<n>', '<p>', '<u>')),
+dd AS (SELECT id, r, list(k ORDER BY pos) AS ks, list(low ORDER BY pos) AS ls, max(n) AS n FROM c WHERE kind = 'd' GROUP BY id, r),
+sp AS (
+  SELECT r, pos AS p, w FROM (SELECT *, lead(k) OVER (PARTITION BY r ORDER BY pos) AS k2 FROM c WHERE kind = 'd') z JOIN (SELECT DISTINCT w, ks[1] AS a, ks[2] AS b FROM iw) y ON z.k = y.a AND z.k2 = y.b),
+dw AS (SELECT dd.id, dd.r, w, p, ks[p + 1 : p + w] AS ks, ls[p + 1 : p + w] AS ls FROM sp JOIN dd ON dd.r = sp.r AND p + w <= dd.n),
+hit AS (
+  SELECT dw.id AS doc_id, iw.id AS item_id, dw.p - iw.p AS off, iw.p AS place, iw.nw,
+    list_filter(list_transform(range(1, iw.w + 1), lambda j: CASE WHEN iw.ks[j] IN ('<n>', '<p>', '<u>') THEN {{'i': iw.ks[j] || iw.ls[j], 'd': dw.ks[j] || dw.ls[j]}} END), lambda y: y IS NOT NULL) AS pairs
+  FROM dw JOIN iw ON dw.w = iw.w AND array_to_string(dw.ks, ' ') = array_to_string(iw.ks, ' ')),
+oc AS (SELECT doc_id, item_id, off, count(DISTINCT place) AS windows, any_value(nw) AS nw, list_distinct(flatten(list(pairs))) AS pairs FROM hit GROUP BY doc_id, item_id, off),
+ok AS (
+  SELECT *, len(pairs) AS s, len(list_filter(pairs, lambda y: y.i <> y.d)) = 0 AS verbatim FROM oc
+  WHERE windows >= ceil(nw * 0.5) AND len(list_distinct(list_transform(pairs, lambda y: y.i))) = len(pairs) AND len(list_distinct(list_transform(pairs, lambda y: y.d))) = len(pairs))
+SELECT doc_id, item_id, CAST(windows AS BIGINT) AS windows, CAST(nw AS INTEGER) AS item_windows, CAST(s AS INTEGER) AS n_slots, verbatim
+FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY windows DESC, verbatim DESC, s DESC) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op7_mixing": OP7_SQL}
