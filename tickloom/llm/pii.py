@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from tickloom.llm.scratch import Scratch
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_MALE, _FEMALE, _ANY = r"(?:Mr|Sir|Herr|Señor|Sr|Monsieur|Господин)", r"(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mademoiselle|Госпожа)", r"(?:Dr|Prof)"
+#: Titles before names, by the gender they tell.
+TITLES = {"m": ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mademoiselle", "Госпожа"), "": ("Dr", "Prof")}
+_MALE, _FEMALE, _ANY = (f"(?:{'|'.join(v)})" for v in TITLES.values())
 _PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_ANY})\.? \p{{Lu}}[\p{{L}}'-]*+(?: \p{{Lu}}\p{{Ll}}++)?"
 #: Type and pattern, the first that matches at a place wins.
 PATTERNS: tuple[tuple[str, str], ...] = (
@@ -34,8 +36,9 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("person", _PERSON),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: A text with an entity has one of these; scanned first, as it is much cheaper.
-HINT = r"[0-9@]|[=:]|" + rf"\b(?:{_MALE}|{_FEMALE}|{_ANY})\b"
+#: A text with an entity has one of these: a class of signs, or a title by any first letter and any rest, which fails fast.
+_SPELT = sorted({t for v in TITLES.values() for t in v})
+HINT = "[0-9@=:]|[" + "".join(sorted({t[0] for t in _SPELT})) + "](?:" + "|".join(sorted({t[1:] for t in _SPELT}, key=len)) + r")\.? \p{Lu}"
 
 #: Given names and surnames for surrogates of persons.
 NAMES = {
@@ -173,13 +176,15 @@ def pseudonymise(documents: DataFrame, *, key: str = "tickloom", id_col: str = "
         mentions.select("sha", F.explode("found").alias("value")).join(table, "value")
         .groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("map"))
     )
-    clean = found.where(F.size("found") == 0).withColumn("new", F.col("text")).withColumn("subs", F.expr("cast(array() as array<string>)"))
+    # no list is made for a text that passes
+    none = F.expr("cast(array() as array<string>)")
+    clean = packed.where(~F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))).select("row", F.col("text").alias("new"), none.alias("found"), none.alias("subs"))
     dirty = found.where(F.size("found") > 0).withColumn("sha", F.sha2("text", 256)).join(maps, "sha")
     dirty = dirty.withColumn("subs", F.transform("found", lambda v: F.element_at(F.col("map"), v)))
     gaps = F.split("text", PATTERN, -1)
     woven = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with("subs", F.slice(gaps, F.lit(2), F.size("subs")), lambda s, g: F.concat(s, g)), ""))
     dirty = dirty.withColumn("new", woven)
-    both = clean.select("row", "new", "found", "subs").unionByName(dirty.select("row", "new", "found", "subs"))
+    both = clean.unionByName(dirty.select("row", "new", "found", "subs"))
     out = [F.col("new").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
     if report:
         out += [F.size("found").alias("n_entities"), F.col("found").alias("originals_found"), F.col("subs").alias("surrogates")]
