@@ -19,6 +19,10 @@ def shingles(text, width=3):
 def brute(rows, num=85, den=100):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
+    least = {}  # sets whose least id is the same are one node
+    for (i, _), s in zip(rows, sets, strict=True):
+        if i is not None:
+            least[frozenset(s)] = min(i, least.get(frozenset(s), i))
 
     def find(x):
         while parent[x] != x:
@@ -27,6 +31,8 @@ def brute(rows, num=85, den=100):
 
     for a in range(len(rows)):
         for b in range(a):
+            if sets[a] and sets[b] and least.get(frozenset(sets[a]), a) == least.get(frozenset(sets[b]), b) and None not in (rows[a][0], rows[b][0]):
+                parent[find(a)] = find(b)
             if sets[a] and sets[b] and rows[a][0] is not None and rows[b][0] is not None and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 parent[find(a)] = find(b)
     out = []
@@ -61,7 +67,7 @@ def test_against_brute_force(spark):
             for _ in range(copy):
                 mine[rng.integers(0, 60)] = vocab[rng.integers(0, 300)]
             rows.append((base * 10 + copy, " ".join(mine)))
-    rows += [(500, None), (501, ""), (502, " \t\n"), (503, "Only two"), (504, "only TWO"), (505, "É x y z"), (506, "é x y z"), (507, rows[0][1].upper()), (3, rows[3][1]), (3, rows[3][1]), (None, rows[0][1]), (508, "long " * 30000), (509, "long\n" * 30000)]
+    rows += [(500, None), (501, ""), (502, " \t\n"), (503, "Only two"), (504, "only TWO"), (505, "É x y z"), (506, "é x y z"), (507, rows[0][1].upper()), (3, rows[3][1]), (3, rows[3][1]), (None, rows[0][1]), (508, "long " * 30000), (509, "long\n" * 30000), (600, rows[0][1]), (600, rows[12][1]), (600, ""), (700, "q " + rows[20][1]), (700, "q " + rows[30][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as n", "'x' as rep", "'y' as key", "0 as component_id")
     got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=repr)
     assert got == sorted(brute(rows), key=repr)

@@ -202,9 +202,9 @@ def near_duplicates(
 
     * null or empty text, or text without words: n_shingles 0, linked with nothing;
     * fewer words than *width*: the whole sequence is the one shingle;
-    * repeated rows: one result row each, in the same component; two different
-      texts under one id: each row keeps its own n_shingles, and links of both
-      count for that id's row of the same text;
+    * repeated rows: one result row each, in the same component; different texts
+      under one id: each row goes with the rows of its own set, and sets whose
+      least id is the same are one node, linked by any of its texts;
     * null id: component_id and kept are null, the row takes no part in links;
     * an empty table gives an empty result; further columns are ignored.
     """
@@ -221,9 +221,9 @@ def near_duplicates(
         shared = places.groupBy("key").agg(F.count("*").alias("cnt"), F.min("rep").alias("pivot")).where("cnt > 1")
         members = scratch.put(places.join(shared, "key"), "members")
         wanted = members.select("rep").distinct()
-        # texts of the classes that share a bucket; an id with two texts keeps the class's own
+        # texts of the ids that share a bucket, equal rows once; an id may have several texts
         texts = scratch.put(
-            docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text").groupBy("rep").agg(F.min("text").alias("text")),
+            docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h"),
             "texts",
         )
 
