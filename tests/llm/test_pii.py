@@ -80,3 +80,13 @@ def test_plan_is_native(spark, sf_dir):
     clean = pii.pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     left = clean.where(F.col("text").rlike(r"@mail\d\.example\.com"))
     assert left.count() == 0
+
+
+def test_signs_alone_and_short_layouts(spark):
+    forms = ["Password: ________", "token = ------", "secret: ......", "---@---.com", "_@-.-.org"]
+    few = [f"{c}@-.com" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"secret: _____{d}" for d in range(10)] + ["٣٣@٣.com", "-@a.com", "a@-.com", "-@-.b.com"]
+    rows = pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(forms + few)], "doc_id long, text string"), report=True).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows[: len(forms)]] == forms
+    given = {r["originals_found"][0]: r["surrogates"][0] for r in rows[len(forms) :]}
+    assert set(given) == set(few) and len(set(given.values())) == len(given) and not set(given) & set(given.values())
+    assert all(re.fullmatch(r"\S+@\S+\.com|secret: \S+", x) for x in given.values())

@@ -6,7 +6,8 @@ one entity; the surrogate has the entity's type, its layout character by
 character (digit for digit, letter for letter of the same case and script) and,
 for persons, the gender their title gives.  Rounds of joins check that no
 surrogate equals another's or any entity of the corpus; those that do are drawn
-again.  Texts without entities pass in the scan; only the others are joined.
+again, and lengthened where their layout has too few values.  Signs alone
+('Password: ________') are no entity.  Texts without entities pass in the scan; only the others are joined.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ _MALE, _FEMALE, _ANY = (f"(?:{'|'.join(v)})" for v in TITLES.values())
 _PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_ANY})\.? \p{{Lu}}[\p{{L}}'-]*+(?: \p{{Lu}}\p{{Ll}}++)?"
 #: Type and pattern, the first that matches at a place wins.
 PATTERNS: tuple[tuple[str, str], ...] = (
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+"),
-    ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}+"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])(?![._%+-]++@[.-]++\p{L}++(?![\p{L}\p{N}.-]))[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+"),
+    ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{6,}+"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("phone", r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)"),
@@ -80,7 +81,10 @@ LAYOUT: tuple[tuple[str, str], ...] = (
     (r"[\p{IsGreek}&&\p{L}]", "αβγδεζηθικλμνξοπρστυφχψω"),
     (r"\p{Lu}", "ÁÀÂÄÉÈÊËÍÎÓÔÖÚÜÑÇ"),
     (r"\p{L}", "áàâäéèêëíîóôöúüñç"),
+    (r"\p{N}", "0123456789"),
 )
+#: Draws after which an entity of few replaceable signs is lengthened, as its layout may have no free value.
+SAME_LAYOUT = 4
 
 
 def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -119,7 +123,15 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
         return F.when(v.rlike(r"^\S+ \S+ "), F.concat(given, F.lit(" "), family)).otherwise(family)
 
     persons = F.concat(F.regexp_extract(v, r"^\S+ ", 0), F.when(v.rlike(r"\p{IsCyrillic}"), person("cyrillic")).otherwise(person("latin")))
-    df = df.withColumn("made", F.when(k == "ip", octets).when(k == "person", persons).otherwise(F.concat("head", layout, "tail")))
+    # short layouts run out: later draws add letters, or groups of digits a phone number has room for
+    late = F.greatest(F.col("attempt") - (SAME_LAYOUT - 1), F.lit(0))
+    spare = F.sha2(F.concat(seed, F.lit("\x1fspare")), 512)
+    letters = F.substring(F.translate(spare, "0123456789abcdef", "abcdefghijklmnop"), F.lit(1), 2 * late)
+    digits = F.translate(spare, "abcdef", "012345")
+    group = lambda at: F.concat(F.lit(" "), F.substring(digits, at, 4))
+    roomy = (k == "phone") & v.rlike(r"^\+\d{1,3}[ .-]\d{2,4}(?:[ .-]\d{2,4}){1,2}$")
+    extra = F.when(late == 0, "").when(k.isin("email", "secret", "other"), letters).when(roomy & (late < 3), group(1)).when(roomy, F.concat(group(1), group(5))).otherwise("")
+    df = df.withColumn("made", F.when(k == "ip", octets).when(k == "person", persons).otherwise(F.concat("head", layout, extra, "tail")))
     bare = F.regexp_replace(v, r"\D", "")
     base = F.col("made").substr(F.lit(1), F.length("made") - 1)
     check = F.pmod(10 - _luhn(F.concat(F.regexp_replace(base, r"\D", ""), F.lit("0"))), F.lit(10)).cast("string")
