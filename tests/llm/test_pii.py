@@ -90,3 +90,13 @@ def test_signs_alone_and_short_layouts(spark):
     given = {r["originals_found"][0]: r["surrogates"][0] for r in rows[len(forms) :]}
     assert set(given) == set(few) and len(set(given.values())) == len(given) and not set(given) & set(given.values())
     assert all(re.fullmatch(r"\S+@\S+\.com|secret: \S+", x) for x in given.values())
+
+
+def test_more_persons_than_names(spark):
+    few = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(500)]
+    texts = [f"Mr. X{x}" for x in few] + [f"Господин Я{'абвгдежзик'[i // 10]}{'абвгдежзик'[i % 10]}" for i in range(100)] + [f"Mr. Q{x} Smith" for x in few[:50]]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), report=True).orderBy("doc_id").collect()
+    assert [r["originals_found"] for r in rows] == [[t] for t in texts]
+    given = [r["text"] for r in rows]
+    assert len(set(given)) == len(given) and not set(given) & set(texts)
+    assert all(x.split()[0] == t.split()[0] and len(x.split()) == len(t.split()) for x, t in zip(given, texts, strict=True))

@@ -120,6 +120,9 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     def person(script: str) -> Column:
         names, family = NAMES[script], F.concat(_pick(SURNAMES[script], number(9)), F.lower(_pick(SURNAMES[script], number(17))))
         given = F.when(women, _pick(names["f"], number(1))).when(men, _pick(names["m"], number(1))).otherwise(_pick(names["m"] + names["f"], number(1)))
+        # a further part a draw, so that there is a name for every person
+        more = F.transform(F.sequence(F.lit(1), F.col("attempt")), lambda i: F.lower(_pick(SURNAMES[script], number(F.pmod(i * 3, F.lit(228)) + 25))))
+        family = F.concat(family, F.when(F.col("attempt") > 0, F.array_join(more, "")).otherwise(""))
         return F.when(v.rlike(r"^\S+ \S+ "), F.concat(given, F.lit(" "), family)).otherwise(family)
 
     persons = F.concat(F.regexp_extract(v, r"^\S+ ", 0), F.when(v.rlike(r"\p{IsCyrillic}"), person("cyrillic")).otherwise(person("latin")))
