@@ -100,3 +100,16 @@ def test_more_persons_than_names(spark):
     given = [r["text"] for r in rows]
     assert len(set(given)) == len(given) and not set(given) & set(texts)
     assert all(x.split()[0] == t.split()[0] and len(x.split()) == len(t.split()) for x, t in zip(given, texts, strict=True))
+
+
+def test_whole_names_and_one_surname(spark):
+    names = ["Mr. John Paul Smith", "Mr. J. Smith", "Mr. Smith", "Prof. Dr. Müller", "Dr. Anna Müller-Lang", "Frau Müller", "Mrs. Mary O'Brien", "Sir Vincent van Gogh", "Dr. von Braun", "Mr. John F Smith", "Mr. Jean SMITH", "Herr Dr. J. R. R. McDonald"]
+    texts = [f"We saw {n}'s house, and then left." for n in names] + ["Prof. Dr. said so.", "Ask the Prof. Dr"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), report=True).orderBy("doc_id").collect()
+    assert [r["originals_found"] for r in rows] == [[n] for n in names] + [[], []]
+    last = [r["surrogates"][0].split()[-1] for r in rows[: len(names)]]
+    assert last[0] == last[1] == last[2] == last[9] and last[3] == last[5] and len(set(last)) == 8
+    for n, r in zip(names, rows, strict=False):
+        assert n.split()[-1] not in r["text"] and r["text"].endswith("'s house, and then left.")
+        assert r["surrogates"][0].split()[0] == n.split()[0] and len(r["surrogates"][0].split()) == len(n.split())
+    assert rows[0]["surrogates"][0].split()[1] == rows[9]["surrogates"][0].split()[1]

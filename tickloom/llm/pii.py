@@ -12,6 +12,8 @@ again, and lengthened where their layout has too few values.  Signs alone
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,16 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Titles before names, by the gender they tell.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mademoiselle", "Госпожа"), "": ("Dr", "Prof")}
 _MALE, _FEMALE, _ANY = (f"(?:{'|'.join(v)})" for v in TITLES.values())
-_PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_ANY})\.? \p{{Lu}}[\p{{L}}'-]*+(?: \p{{Lu}}\p{{Ll}}++)?"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|{_ANY})\.? "
+#: Small words inside surnames, which stay.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "zu", "bin", "ibn", "al", "el")
+_PART = rf"(?:(?:{'|'.join(PARTICLES)}) )*+"
+_REST = r"(?:['’](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++|-[\p{L}\p{M}]++)*+"
+# titles, a first name word or initial, further ones, and a surname in capitals (three words of them at most, as headings go on)
+_PERSON = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})++{_PART}(?!{_TITLE.rstrip()}(?![\p{{L}}\p{{M}}'’-]))(?:\p{{Lu}}\.(?= (?:{'|'.join(p + ' ' for p in PARTICLES)}|\p{{Lu}}))|\p{{Lu}}[\p{{L}}\p{{M}}]*+{_REST})"
+    rf"(?: {_PART}(?:\p{{Lu}}\.(?= (?:{'|'.join(p + ' ' for p in PARTICLES)}|\p{{Lu}}))|\p{{Lu}}(?= {_PART}\p{{Lu}}\p{{L}})|\p{{Lu}}\p{{M}}*+(?:['’]\p{{Lu}})?\p{{Lu}}*+\p{{Ll}}[\p{{L}}\p{{M}}]*+{_REST}))*(?: {_PART}\p{{Lu}}\p{{M}}*+(?:['’-]?\p{{Lu}}\p{{M}}*+)++(?![\p{{L}}\p{{M}}])){{0,3}}"
+)
 #: Type and pattern, the first that matches at a place wins.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![\p{L}\p{N}._%+-])(?![._%+-]++@[.-]++\p{L}++(?![\p{L}\p{N}.-]))[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+"),
@@ -39,7 +50,7 @@ PATTERNS: tuple[tuple[str, str], ...] = (
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A text with an entity has one of these: a class of signs, or a title by any first letter and any rest, which fails fast.
 _SPELT = sorted({t for v in TITLES.values() for t in v})
-HINT = "[0-9@=:]|[" + "".join(sorted({t[0] for t in _SPELT})) + "](?:" + "|".join(sorted({t[1:] for t in _SPELT}, key=len)) + r")\.? \p{Lu}"
+HINT = "[0-9@=:]|[" + "".join(sorted({t[0] for t in _SPELT})) + "](?:" + "|".join(sorted({t[1:] for t in _SPELT}, key=len)) + r")\.? (?:\p{Lu}|(?:" + "|".join(PARTICLES) + ") )"
 
 #: Given names and surnames for surrogates of persons.
 NAMES = {
@@ -87,6 +98,29 @@ LAYOUT: tuple[tuple[str, str], ...] = (
 SAME_LAYOUT = 4
 
 
+#: Kinds of the words that names of persons are made of.
+NAME_KINDS = ("surname", "given_m", "given_f", "given_")
+
+
+def name_parts(persons: DataFrame, key: str) -> DataFrame:
+    """(person, pos, value, kind, fixed) of the words of *persons* (value); fixed ones need no surrogate drawn.
+
+    Titles and particles stay, initials move along their alphabet by the key.
+    """
+    v = F.col("value")
+    titles = F.regexp_extract(v, f"^(?:{_TITLE})+", 0)
+    words = F.split(F.substring(v, F.length(titles) + 1, F.length(v)), " ")
+    given = F.when(titles.rlike(rf"(?:^| ){_FEMALE}\.? "), "given_f").when(titles.rlike(rf"(?:^| ){_MALE}\.? "), "given_m").otherwise("given_")
+    shift = 1 + int(hashlib.sha256(key.encode()).hexdigest(), 16) % 23
+    spelt = ["".join(x for _, x in LAYOUT if x[0] == c) for c in "AАΑ"]
+    moved = F.translate("value", "".join(spelt), "".join(x[shift:] + x[:shift] for x in spelt))
+    parts = persons.select(v.alias("person"), titles.alias("titles"), given.alias("given"), F.size(words).alias("n"), F.posexplode(words).alias("pos", "value"))
+    kind = F.when(F.col("pos") == F.col("n") - 1, "surname").when(v.isin(*PARTICLES) | v.rlike(r"^\p{Lu}\.?$"), "fixed").otherwise(F.col("given"))
+    parts = parts.select("person", "pos", "value", kind.alias("kind"), F.when(v.rlike(r"^\p{Lu}\.?$"), moved).otherwise(v).alias("fixed"))
+    heads = persons.select(v.alias("person"), F.lit(-1).alias("pos"), F.rtrim(titles).alias("value"), F.lit("fixed").alias("kind"), F.rtrim(titles).alias("fixed"))
+    return heads.unionByName(parts)
+
+
 def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Add column surrogate to (value, kind, attempt): same type, layout, case and script."""
     v, k = F.col("value"), F.col("kind")
@@ -115,17 +149,16 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     layout = F.array_join(F.transform(F.split("body", ""), one), "")
     octets = F.concat_ws(".", *[(1 + F.pmod(number(1 + 4 * i, 4), F.lit(254))).cast("string") for i in range(4)])
-    women, men = v.rlike(f"^{_FEMALE}"), v.rlike(f"^{_MALE}")
 
-    def person(script: str) -> Column:
-        names, family = NAMES[script], F.concat(_pick(SURNAMES[script], number(9)), F.lower(_pick(SURNAMES[script], number(17))))
-        given = F.when(women, _pick(names["f"], number(1))).when(men, _pick(names["m"], number(1))).otherwise(_pick(names["m"] + names["f"], number(1)))
+    def name(script: str) -> Column:
+        given, family = NAMES[script], SURNAMES[script]
+        short = F.when(k == "given_f", _pick(given["f"], number(1))).when(k == "given_m", _pick(given["m"], number(1))).otherwise(_pick(given["m"] + given["f"], number(1)))
         # a further part a draw, so that there is a name for every person
-        more = F.transform(F.sequence(F.lit(1), F.col("attempt")), lambda i: F.lower(_pick(SURNAMES[script], number(F.pmod(i * 3, F.lit(228)) + 25))))
-        family = F.concat(family, F.when(F.col("attempt") > 0, F.array_join(more, "")).otherwise(""))
-        return F.when(v.rlike(r"^\S+ \S+ "), F.concat(given, F.lit(" "), family)).otherwise(family)
+        more = F.transform(F.sequence(F.lit(1), F.col("attempt")), lambda i: F.lower(_pick(family, number(F.pmod(i * 3, F.lit(228)) + 25))))
+        more = F.when(F.col("attempt") > 0, F.array_join(more, "")).otherwise("")
+        return F.concat(F.when(k == "surname", F.concat(_pick(family, number(9)), F.lower(_pick(family, number(17))))).otherwise(short), more)
 
-    persons = F.concat(F.regexp_extract(v, r"^\S+ ", 0), F.when(v.rlike(r"\p{IsCyrillic}"), person("cyrillic")).otherwise(person("latin")))
+    names = F.when(v.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))
     # short layouts run out: later draws add letters, or groups of digits a phone number has room for
     late = F.greatest(F.col("attempt") - (SAME_LAYOUT - 1), F.lit(0))
     spare = F.sha2(F.concat(seed, F.lit("\x1fspare")), 512)
@@ -134,7 +167,7 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     group = lambda at: F.concat(F.lit(" "), F.substring(digits, at, 4))
     roomy = (k == "phone") & v.rlike(r"^\+\d{1,3}[ .-]\d{2,4}(?:[ .-]\d{2,4}){1,2}$")
     extra = F.when(late == 0, "").when(k.isin("email", "secret", "other"), letters).when(roomy & (late < 3), group(1)).when(roomy, F.concat(group(1), group(5))).otherwise("")
-    df = df.withColumn("made", F.when(k == "ip", octets).when(k == "person", persons).otherwise(F.concat("head", layout, extra, "tail")))
+    df = df.withColumn("made", F.when(k == "ip", octets).when(k.isin(*NAME_KINDS), names).otherwise(F.concat("head", layout, extra, "tail")))
     bare = F.regexp_replace(v, r"\D", "")
     base = F.col("made").substr(F.lit(1), F.length("made") - 1)
     check = F.pmod(10 - _luhn(F.concat(F.regexp_replace(base, r"\D", ""), F.lit("0"))), F.lit(10)).cast("string")
@@ -147,22 +180,35 @@ def surrogate_table(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 
     A surrogate that equals an entity of the corpus, or one already given, is
     drawn again with the next attempt; of several drawn alike in a round the
-    least value keeps it.
+    least value keeps it.  Persons get theirs word by word: one for a surname
+    whatever stands before it, and one for a given name under titles of one
+    gender, each one to one, so whole names are as well.
     """
-    todo, done, step = values.select("value", entity_type(F.col("value")).alias("kind"), F.lit(0).alias("attempt")), None, 0
+    kinds = scratch.put(values.select("value", entity_type(F.col("value")).alias("kind")), "kinds")
+    parts = scratch.put(name_parts(kinds.where("kind = 'person'"), key), "parts")
+    units = scratch.put(kinds.where("kind <> 'person'").unionByName(parts.where("kind <> 'fixed'").select("value", "kind").distinct()), "units")
+    # entities share one space of surrogates, names have one a kind
+    space = F.when(F.col("kind").isin(*NAME_KINDS), F.col("kind")).otherwise("")
+    real = units.select(F.col("value").alias("surrogate"), space.alias("space"), F.lit(True).alias("real"))
+    todo, done, step = units.withColumn("attempt", F.lit(0)), None, 0
     while True:
-        drawn = scratch.put(with_surrogates(todo, key), f"drawn{step}")
-        taken = drawn.groupBy("surrogate").agg(F.min("value").alias("owner"))
-        bad = drawn.join(taken, "surrogate").withColumn("second", F.col("value") != F.col("owner"))
-        seen = values.select(F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-        seen = seen if done is None else seen.unionByName(done.select("surrogate", F.lit(True).alias("real")))
-        checked = scratch.put(bad.join(seen.distinct(), "surrogate", "left").withColumn("ok", ~F.col("second") & F.col("real").isNull()).select("value", "kind", "attempt", "surrogate", "ok"), f"checked{step}")
+        drawn = scratch.put(with_surrogates(todo, key).withColumn("space", space), f"drawn{step}")
+        taken = drawn.groupBy("space", "surrogate").agg(F.min("value").alias("owner"))
+        bad = drawn.join(taken, ["space", "surrogate"]).withColumn("second", F.col("value") != F.col("owner"))
+        seen = real if done is None else real.unionByName(done.select("surrogate", "space", F.lit(True).alias("real")))
+        checked = scratch.put(bad.join(seen.distinct(), ["space", "surrogate"], "left").withColumn("ok", ~F.col("second") & F.col("real").isNull()).select("value", "kind", "attempt", "surrogate", "space", "ok"), f"checked{step}")
         good = checked.where("ok").drop("ok")
         done = good if done is None else done.unionByName(good)
         if checked.where("not ok").isEmpty():
-            return done
+            break
         todo = checked.where("not ok").select("value", "kind", (F.col("attempt") + 1).alias("attempt"))
         step += 1
+    done = done.drop("space")
+    words = parts.join(done, ["value", "kind"], "left").groupBy("person").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("surrogate", "fixed").alias("word")))).alias("words"), F.coalesce(F.max("attempt"), F.lit(0)).alias("attempt")
+    )
+    persons = words.select(F.col("person").alias("value"), F.lit("person").alias("kind"), "attempt", F.array_join("words.word", " ").alias("surrogate"))
+    return done.where(~F.col("kind").isin(*NAME_KINDS)).unionByName(persons)
 
 
 def pseudonymise(documents: DataFrame, *, key: str = "tickloom", id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
