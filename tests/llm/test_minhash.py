@@ -1,9 +1,10 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tickloom.llm.components import components
-from tickloom.llm.minhash_dedup import near_duplicates
+from tickloom.llm.minhash_dedup import near_duplicates, verify_batches
 from tickloom.llm.minhash_kernel import permute, scatter, shingle_hashes, signatures
 from tickloom.llm.scratch import Scratch
 
@@ -73,6 +74,17 @@ def test_against_brute_force(spark):
     assert got == sorted(brute(rows), key=repr)
 
 
+def test_every_text_of_a_repeated_pivot_is_verified(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"r{i}" for i in rng.integers(0, 10**6, 60)) for _ in range(6)]
+    rows = [(k, t) for k in (1, 2) for t in texts[3 * k - 3 : 3 * k]]
+    rows += [(10 * k + i, f"{t} e{k}{i}") for k in (1, 2) for i, t in enumerate(texts[3 * k - 3 : 3 * k])]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute(rows)) and {r[2] for r in got} == {1, 2}
+    pair = pa.RecordBatch.from_pylist([{"a": 9, "b": 1, "h": h, "text_a": "one two three four", "text_b": t} for h, t in enumerate(("other words stand here", "one two three four"))])
+    assert [b.num_rows for b in verify_batches(3, 85, 100)(iter([pair]))] == [1]
+
+
 def test_empty_table(spark):
     out = near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and out.count() == 0

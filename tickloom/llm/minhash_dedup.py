@@ -85,7 +85,7 @@ def sketch_batches(width: int, bands: int, rows: int):
 
 
 def verify_batches(width: int, numerator: int, denominator: int):
-    """Rows (a, b, text_a, text_b) to the (a, b) whose sets pass the threshold."""
+    """Rows (a, b, h, text_a, text_b) to the (a, b) whose sets pass the threshold; h tells the texts of b apart."""
 
     def unique(text: pa.Scalar) -> np.ndarray:
         raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
@@ -95,10 +95,10 @@ def verify_batches(width: int, numerator: int, denominator: int):
         held, its = None, None
         for batch in batches:
             out_a, out_b = [], []
-            ids = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
-            for k, (a, b) in enumerate(ids):
-                if held != b:
-                    held, its = b, unique(batch.column("text_b")[k])
+            ids = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "h")), strict=True)
+            for k, (a, b, h) in enumerate(ids):
+                if held != (b, h):
+                    held, its = (b, h), unique(batch.column("text_b")[k])
                 mine = unique(batch.column("text_a")[k])
                 both = len(np.intersect1d(mine, its, assume_unique=True))
                 if both and denominator * both >= numerator * (len(mine) + len(its) - both):
@@ -223,13 +223,13 @@ def near_duplicates(
         wanted = members.select("rep").distinct()
         # texts of the ids that share a bucket, equal rows once; an id may have several texts
         texts = scratch.put(
-            docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h"),
+            docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")),
             "texts",
         )
 
         def verified(pairs: DataFrame, name: str) -> DataFrame:
-            side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
-            joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+            side = lambda c, *more: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"), *more)
+            joined = pairs.select("a", "b").join(side("a"), "a").join(side("b", "h"), "b").select("a", "b", "h", "text_a", "text_b")
             return scratch.put(joined.mapInArrow(verify_batches(width, numerator, denominator), "a long, b long"), name)
 
         votes = members.where("pivot < rep").groupBy("rep", "pivot").agg(F.count("*").alias("votes"))
@@ -242,7 +242,7 @@ def near_duplicates(
             placed = members.select("key", "rep", "cnt").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "cnt", F.coalesce("component", "rep").alias("comp"))
             mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
             if sketches is None:
-                sketches = scratch.put(texts.mapInArrow(sketch_batches(width, bands, rows), "rep long, keys binary, sketch binary"), "sketches")
+                sketches = scratch.put(texts.select("rep", "text").mapInArrow(sketch_batches(width, bands, rows), "rep long, keys binary, sketch binary"), "sketches")
             parts = F.ceil(F.col("cnt") / F.lit(BLOCK)).cast("int")
             tasks = (
                 placed.join(mixed, "key")
