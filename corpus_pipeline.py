@@ -28,15 +28,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    groups = near_duplicates(docs, width=5, numerator=80, denominator=100, bands=24)
-    kept = without_ids(docs, groups.where("not kept").select("doc_id").distinct())
-    # rows that repeat whole are copies as well
-    again = groups.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if again.isEmpty():
+    """One row of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Where an id repeats, its texts are told apart by numbers in the order of the ids.
+    """
+    names, id_col = docs.columns, "doc_id"
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("__h"))
+    if not texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        scratch, id_col = Scratch(spark), "__row"
+        numbers = scratch.keep(texts.distinct().orderBy("doc_id", "__h").select("doc_id", "__h", F.monotonically_increasing_id().alias(id_col)), "numbers")
+        docs = scratch.keep(docs.withColumn("__h", F.xxhash64("text")).join(numbers, ["doc_id", "__h"], "left"), "numbered")
+    groups = near_duplicates(docs, width=5, numerator=80, denominator=100, bands=24, id_col=id_col)
+    kept = without_ids(docs, groups.where("not kept").select("doc_id").distinct(), id_col)
+    if id_col == "doc_id":
         return kept
-    rest = without_ids(kept, again)
-    return rest.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    # rows that repeat whole are copies as well
+    again = groups.where("kept").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    rest = without_ids(kept, again, id_col)
+    return rest.select(*names).unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*names))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,12 @@ def test_repeated_rows_and_nulls(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
         stage(spark, docs, sf_dir).collect()
+
+
+def test_an_id_with_different_texts_loses_only_copies(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    texts = [(3, a), (5, a), (5, b), (5, ""), (6, c), (7, c + " more"), (7, "other"), (8, b + " end"), (8, b + " end"), (9, None), (9, None), (9, "x y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "-") for r in got.collect()) == sorted([(3, a), (5, b), (5, "-"), (6, c), (7, "other"), (9, "-"), (9, "x y z")])
