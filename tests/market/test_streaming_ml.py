@@ -27,3 +27,12 @@ def test_model(spark, tmp_path):
     assert ml.score(None, rows).first()["ml_confidence"] == 50.0
     imp = ml.feature_importance(model, spark)
     assert imp.count() == len(GOLD_FEATURES) and imp.groupBy().sum("importance").first()[0] == pytest.approx(1.0)
+
+
+def test_registered_scores_are_of_the_whole_model(spark, sf_dir, monkeypatch):
+    from tickloom.plans import catalog
+
+    fitted, score = [], ml.score
+    monkeypatch.setattr(ml, "score", lambda model, rows: fitted.append(model) or score(model, rows))
+    catalog.gbt_score(spark, sf_dir)
+    assert fitted[0].stages[-1].getNumTrees == 100

@@ -516,7 +516,7 @@ def time_parsing(spark, sf_dir):
 @query()
 def gbt_score(spark, sf_dir):
     """Scores of the newest hourly bars by a model fitted on the synthetic set."""
-    model = ml.fit(ml.synthetic_training(spark, 1000), trees=20)
+    model = ml.fit(ml.synthetic_training(spark, 1000))
     feats = indicators.filled(indicators.gold_features(market.bars(market.ticks(spark, sf_dir), 60, "1H")), indicators.GOLD_FEATURES)
     return ml.score(model, feats.where("i = n - 1")).select("symbol", "ts", "ml_confidence")
 
