@@ -61,3 +61,14 @@ def test_against_brute_force(spark, sf_dir):
             if len(w) >= 8 and 2 * len(hit) >= len(windows):
                 want.add((d["doc_id"], item["item_id"]))
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()} == want and want
+
+
+def test_names_that_open_a_sentence_and_short_items(spark):
+    items = [(1, "Tom has 3 apples and buys 5 more"), (2, "Tom has 5 apples. Anna gives him 3. How many apples does Tom have now?"), (3, "Name the capital"), (4, "seven words make one short window"), (5, "Yes")]
+    docs = [
+        (10, "Anna has 4 apples and buys 6 more"), (11, "Bob has 7 apples. Eve gives him 2. How many apples does Bob have now?"),
+        (12, "Bob has 7 apples. Bob gives him 2. How many apples does Bob have now?"), (13, "name the capital"), (14, "Please name the capital of it"),
+        (15, "Here. Tom has 3 apples and buys 5 more"), (16, "Every words make one short window"), (17, "Seven words make one short window"), (18, "Hello"), (19, "yes!"),
+    ]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["verbatim"] for r in got.collect()} == {(10, 1): False, (11, 2): False, (13, 3): True, (15, 1): True, (17, 4): True, (19, 5): True}

@@ -37,6 +37,7 @@ UNITS = (
 ).split()
 
 NUM, NAME, UNIT = (int(x) for x in mix64(np.array([101, 102, 103], _U64)))
+_MARKS = np.array([NUM, NAME, UNIT], _U64)
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -61,7 +62,7 @@ def lowered(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def canonical(raw: np.ndarray, offsets: np.ndarray):
-    """Canonical token hashes, plain hashes, starts, ends, first token of each document."""
+    """Canonical token hashes, plain hashes, starts, ends, first token of each document, tokens that may be names."""
     inside = _WORD[raw]
     if len(raw) > 2:
         inside[1:-1] |= _JOIN[raw[1:-1]] & _DIGIT[raw[:-2]] & _DIGIT[raw[2:]]
@@ -70,7 +71,7 @@ def canonical(raw: np.ndarray, offsets: np.ndarray):
     plain = span_hash(low, starts, ends)
     first = np.searchsorted(starts, offsets)
     if not len(starts):
-        return plain, plain, starts, ends, first
+        return plain, plain, starts, ends, first, np.zeros(0, bool)
     digits, capitals = np.zeros(len(raw) + 1, np.int32), np.zeros(len(raw) + 1, np.int32)
     np.cumsum(_DIGIT[raw] | (_JOIN[raw] & inside), out=digits[1:])
     np.cumsum(upper, out=capitals[1:])
@@ -89,7 +90,7 @@ def canonical(raw: np.ndarray, offsets: np.ndarray):
     unit[first[:-1][first[:-1] < len(starts)]] = False
     canon = plain.copy()
     canon[number], canon[name], canon[unit] = _U64(NUM), _U64(NAME), _U64(UNIT)
-    return canon, plain, starts, ends, first
+    return canon, plain, starts, ends, first, title & opens & ~number & ~unit
 
 
 def _unit_hashes() -> np.ndarray:
@@ -109,16 +110,39 @@ def window_hashes(canon: np.ndarray, width: int) -> np.ndarray:
     return out + _U64(width)
 
 
-def _slots(canon, starts, ends, low, at, width) -> list[list[str]]:
-    """Fillings of the window's placeholders as 'place:type:text'."""
+def readings(canon: np.ndarray, maybe: np.ndarray, width: int):
+    """(places, mask, hashes) of all readings of the windows: a token that may be a name as word and as name (its bit set)."""
+    yield np.arange(len(canon)), 0, window_hashes(canon, width)
+    bits = np.zeros(len(canon), np.int64)
+    for k in range(width):
+        bits |= np.roll(maybe, -k).astype(np.int64) << k
+    some = np.flatnonzero(bits)
+    masks = set()
+    for whole in np.unique(bits[some]).tolist():
+        part = whole
+        while part:
+            masks.add(part)
+            part = (part - 1) & whole
+    for mask in sorted(masks):
+        at = some[bits[some] & mask == mask]
+        out = np.zeros(len(at), _U64)
+        for k in range(width):
+            token = _U64(NAME) if mask >> k & 1 else canon[(at + k) % len(canon)]
+            out = mix64(out * _U64(0x9DDFEA08EB382D69) + token + _U64(k + 1))
+        yield at, mask, out + _U64(width)
+
+
+def _slots(canon, starts, ends, low, at, width, mask=0, flag="?") -> list[list[str]]:
+    """Fillings of the window's placeholders as 'place:type:text'; those of *mask* are flagged."""
     kinds = {NUM: "n", NAME: "p", UNIT: "u"}
     out = []
     for i in at.tolist():
         row = []
         for k in range(width):
-            kind = kinds.get(int(canon[i + k]))
+            read = mask >> k & 1
+            kind = "p" if read else kinds.get(int(canon[i + k]))
             if kind:
-                row.append(f"{k}:{kind}:{low[starts[i + k] : ends[i + k]].tobytes().decode('utf-8', 'replace')}")
+                row.append(f"{k}{flag if read else ''}:{kind}:{low[starts[i + k] : ends[i + k]].tobytes().decode('utf-8', 'replace')}")
         out.append(row)
     return out
 
@@ -132,63 +156,79 @@ def _batch(ids, keys, places, slots, extra=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names)
 
 
+def _item_slots(canon, starts, ends, low, at, width, mask, flag):
+    """_slots of an item, whose first word has a flag of its own."""
+    rows = _slots(canon, starts, ends, low, at, width, mask)
+    if flag != "?":
+        rows = [[x.replace("0?:", "0x:", 1) if x.startswith("0?:") else x for x in row] for row in rows]
+    return rows
+
+
 def item_batches(width: int, least: int):
-    """Windows of benchmark items; an item shorter than *width* is one window of its own length."""
+    """Windows of benchmark items; an item shorter than *width* is one window of its own length.
+
+    Flagged '?' are names that open a sentence and may be words, 'x' a first word that looks like a name inside a document only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for i, j, raw, offsets in slices(batch.column("text")):
-                canon, plain, starts, ends, first = canonical(raw, offsets)
+                canon, plain, starts, ends, first, maybe = canonical(raw, offsets)
                 low = lowered(raw)[0]
                 out = ([], [], [], [], [])
                 for x in range(j - i):
                     a, b = int(first[x]), int(first[x + 1])
-                    if b - a < least or ids[i + x] is None:
+                    if b == a or ids[i + x] is None:
                         continue
                     w = min(width, b - a)
                     own = canon[a:b].copy()
-                    forms = [own]
+                    may, fixed = maybe[a:b].copy(), np.isin(own, _MARKS)
                     # inside a document the first word may look like a name
-                    if own[0] not in (_U64(NUM), _U64(NAME), _U64(UNIT)):
-                        other = own.copy()
-                        other[0] = _U64(NAME)
-                        forms.append(other)
+                    first_flag = "?" if may[0] else "x"
+                    may[0] |= not fixed[0]
                     n = b - a - w + 1
-                    for f, form in enumerate(forms):
-                        keys = window_hashes(form, w)[: n if f == 0 else 1].view(np.int64)
-                        places = np.arange(len(keys))
-                        for c, v in zip(out, ([ids[i + x]] * len(keys), keys.tolist(), places.tolist(), _slots(form, starts[a:b], ends[a:b], low, places, w), [n] * len(keys)), strict=True):
-                            c += v
+                    for at, mask, keys in readings(own, may, w):
+                        places = at[at < n]
+                        if b - a < least and (fixed | np.array([bool(mask >> k & 1) for k in range(b - a)])).all():
+                            continue
+                        for some, flag in ((places == 0, first_flag), (places > 0, "?")):
+                            at_these = places[some]
+                            rows = [ids[i + x]] * len(at_these), keys[at < n][some].view(np.int64).tolist(), at_these.tolist(), _item_slots(own, starts[a:b], ends[a:b], low, at_these, w, mask, flag), [n] * len(at_these)
+                            for c, v in zip(out, rows, strict=True):
+                                c += v
                 if out[0]:
                     yield _batch(*out)
 
     return run
 
 
-def hit_batches(bits: bytes, widths: list[int]):
-    """Windows of documents whose bit is set in the map."""
+def hit_batches(bits: bytes, widths: list[int], least: int):
+    """Windows of documents whose bit is set in the map; of fewer than *least* tokens only whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits, np.uint8)
         for batch in batches:
             ids = batch.column("id")
             for i, j, raw, offsets in slices(batch.column("text")):
-                canon, plain, starts, ends, first = canonical(raw, offsets)
+                canon, plain, starts, ends, first, maybe = canonical(raw, offsets)
                 low = None
                 names = ids.slice(i, j - i).to_numpy(zero_copy_only=False)
                 for w in widths:
                     if len(canon) < w:
                         continue
-                    key = window_hashes(canon, w)
-                    slot = key >> _U64(64 - MAP_BITS)
-                    hit = np.flatnonzero(table[slot >> _U64(3)] >> (slot & _U64(7)).astype(np.uint8) & 1)
-                    doc = np.searchsorted(first, hit, "right") - 1
-                    fits = hit + w <= first[doc + 1]
-                    hit, doc = hit[fits], doc[fits]
-                    if len(hit):
-                        low = lowered(raw)[0] if low is None else low
-                        yield _batch(names[doc].tolist(), key[hit].view(np.int64), hit - first[doc], _slots(canon, starts, ends, low, hit, w))
+                    for at, mask, key in readings(canon, maybe, w):
+                        slot = key >> _U64(64 - MAP_BITS)
+                        hit = np.flatnonzero(table[slot >> _U64(3)] >> (slot & _U64(7)).astype(np.uint8) & 1)
+                        key, hit = key[hit], at[hit]
+                        doc = np.searchsorted(first, hit, "right") - 1
+                        fits = hit + w <= first[doc + 1]
+                        if w < least:
+                            fits &= (hit == first[doc]) & (hit + w == first[doc + 1])
+                        key, hit, doc = key[fits], hit[fits], doc[fits]
+                        if len(hit):
+                            low = lowered(raw)[0] if low is None else low
+                            yield _batch(names[doc].tolist(), key.view(np.int64), hit - first[doc], _slots(canon, starts, ends, low, hit, w, mask))
 
     return run
 
@@ -220,8 +260,10 @@ def contaminated(
     windows of *width* canonical tokens match and the fillings of their
     placeholders correspond one to one; verbatim tells that they are equal.
 
-    * null or empty texts and items match nothing; so do items of fewer than
-      *least* tokens; items shorter than *width* are one window as a whole;
+    * null or empty texts and items match nothing; items shorter than *width*
+      are one window as a whole, and those of fewer than *least* tokens are held
+      only by a document that is nothing else and share a word with it;
+    * a capital that opens a sentence is read both as a word and as a name;
     * null ids of documents or items are left out;
     * repeated rows: ids that repeat give one result row; several items, or one
       item at several offsets, give a row per item (the best offset);
@@ -238,15 +280,20 @@ def contaminated(
         for row in marks.toLocalIterator():
             table[row["at"]] = row["bits"]
         sizes = windows.agg(F.count("*").alias("n")).first()
-        short = [r["w"] for r in items.mapInArrow(_widths(width, least), "w int").distinct().collect()]
-        hits = docs.mapInArrow(hit_batches(table.tobytes(), sorted(short)), "id long, win long, place int, slots array<string>")
+        short = [r["w"] for r in items.mapInArrow(_widths(width), "w int").distinct().collect()]
+        hits = docs.mapInArrow(hit_batches(table.tobytes(), sorted(short), least), "id long, win long, place int, slots array<string>")
         known = windows.select(F.col("id").alias("item_id"), "win", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "n_windows")
         known = F.broadcast(known) if sizes["n"] <= SMALL_WINDOWS else known
         matched = hits.join(known, "win").withColumn("offset", F.col("place") - F.col("item_place"))
-        pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(F.substring_index(a, ":", -2).alias("i"), F.substring_index(b, ":", -2).alias("d")))
+        # what opens a sentence on both sides is a word if it is equal; a plain first word is no name by standing where sentences open
+        flag = lambda c: F.regexp_extract(c, "^[0-9]+([?x]?):", 1)
+        pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(F.substring_index(a, ":", -2).alias("i"), F.substring_index(b, ":", -2).alias("d"), F.concat(flag(a), flag(b)).alias("f")))
+        plain = lambda c: F.transform(F.filter(c, lambda p: (p["f"] != "??") | (p["i"] != p["d"])), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
         # an occurrence is as long as its item; its slots are no more than its tokens
         found = (
             matched.withColumn("pairs", pairs)
+            .where(~F.exists("pairs", lambda p: p["f"] == "x?"))
+            .withColumn("pairs", plain("pairs"))
             .groupBy("id", "item_id", "offset")
             .agg(F.countDistinct("item_place").alias("windows"), F.first("n_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
             .withColumn("n_slots", F.size("pairs"))
@@ -259,7 +306,7 @@ def contaminated(
         return scratch.keep(best.select(F.col("id").alias("doc_id"), "item_id", "m.windows", "m.item_windows", "m.n_slots", "m.verbatim"), "found")
 
 
-def _widths(width: int, least: int):
+def _widths(width: int):
     """Distinct window widths that the items need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +314,7 @@ def _widths(width: int, least: int):
         for batch in batches:
             for _, _, raw, offsets in slices(batch.column("text")):
                 first = canonical(raw, offsets)[4]
-                seen |= {min(width, int(n)) for n in np.diff(first) if n >= least}
+                seen |= {min(width, int(n)) for n in np.diff(first) if n}
         yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int32())], ["w"])
 
     return run
