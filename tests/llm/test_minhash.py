@@ -4,8 +4,10 @@ import numpy as np
 import pyarrow as pa
 
 from tickloom.llm.components import components
-from tickloom.llm.minhash_dedup import near_duplicates, verify_batches
+from tickloom.llm import minhash_dedup
+from tickloom.llm.minhash_dedup import CELLS, blocks_of, close_pairs, histogram, near_duplicates, possible, verify_batches
 from tickloom.llm.minhash_kernel import permute, scatter, shingle_hashes, signatures
+from tickloom.llm.rows import meet, split_join
 from tickloom.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,3 +114,56 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(60)]
     with Scratch(spark) as s:
         assert {r["component"] for r in components(spark.createDataFrame(chain, "a long, b long"), s, "v").collect()} == {0}
+
+
+def test_the_bound_never_rules_a_link_out():
+    rng = np.random.default_rng(4)
+    for n, share in ((30, 0.9), (400, 0.86), (9000, 0.85), (300_000, 0.85)):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        other = base.copy()
+        cut = int(n * (1 - share) / (1 + share))
+        other[:cut] = rng.integers(0, 2**63, cut, dtype=np.uint64)
+        a, b = np.unique(base), np.unique(other)
+        both = len(np.intersect1d(a, b))
+        ok, most = possible(histogram(b)[None], np.array([len(b)]), histogram(a), len(a), 85, 100)
+        assert most[0] >= both and (ok[0] or 100 * both < 85 * (len(a) + len(b) - both))
+    far = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(0, 2**63, 300, dtype=np.uint64)
+    assert not possible(histogram(far[0])[None], np.array([300]), histogram(far[1]), 300, 85, 100)[0][0]
+
+
+def test_blocks_meet_every_pair_of_two_components_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "MAIN_BLOCK", 3)
+    monkeypatch.setattr(minhash_dedup, "REST_BLOCK", 2)
+    rows = [(k, k * 100 + i, c) for k in (1, 2, 3) for i, c in enumerate([7] * 8 + [5] * 4 + [9] * 3 * (k - 1) + [4] * (k == 2))] + [(4, i, 1) for i in range(5)]
+    got = blocks_of(spark.createDataFrame(rows, "key long, rep long, comp long")).collect()
+    assert {r["key"] for r in got} == {1, 2, 3}
+    seen = []
+    for block in {(r["key"], r["bi"], r["bj"]) for r in got}:
+        mine = [r for r in got if (r["key"], r["bi"], r["bj"]) == block]
+        cells = np.zeros((len(mine), CELLS), np.uint8)
+        cells[:, 0] = 10
+        t = {c: np.array([r[c] for r in mine]) for c in ("rep", "comp", "side")} | {"n": np.full(len(mine), 10), "keys": np.full((len(mine), 1), block[0]), "cells": cells}
+        found, _ = close_pairs(t, block[0], block[1] != block[2], 85, 100, None)
+        seen += [(block[0], *sorted((mine[i]["rep"], mine[j]["rep"]))) for i, j, _ in found]
+    want = {(k, min(a, b), max(a, b)) for k, a, c in rows for j, b, d in rows if k == j and c != d and a != b}
+    assert len(seen) == len(set(seen)) and set(seen) == want
+
+
+def test_joins_of_hot_keys(spark):
+    left = spark.createDataFrame([(k % 3 if k < 40 else k, k) for k in range(60)], "k long, v long")
+    right = left.groupBy("k").count().where("k <> 59")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, meet(left, right, "k", "count", 5).select("k", "v", "count").collect())) == want
+    twice = right.unionByName(right)
+    with Scratch(spark) as scratch:
+        for limit in (4, 1000):
+            got = split_join(left, twice, "k", scratch, f"s{limit}", limit).select("k", "v", "count").collect()
+            assert sorted(map(tuple, got)) == sorted(want * 2)
+
+
+def test_a_link_is_judged_by_its_own_text(spark):
+    """Id 5 stands on a set of its own and on one whose least id is 2; only the latter is near id 7's."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(2, b), (5, a), (5, b), (7, b + " more"), (8, a + " " + b)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(2, 2), (5, 2), (5, 5), (7, 2), (8, 8)]

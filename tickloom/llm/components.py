@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.rows import HOT_ROWS, meet
 from tickloom.llm.scratch import Scratch
 
 
@@ -13,21 +14,24 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
 
     Each round every node hands its larger neighbours to its least neighbour
     (large star) and then its smaller ones (small star), which ends in
-    O(log^2 n) rounds of group-bys and joins; no neighbourhood is gathered in
-    one row, so one hub with most of the edges is a sum, not a list.  Self
+    O(log^2 n) rounds of group-bys and joins.  No neighbourhood is gathered in
+    one row or task: minima are taken before the shuffle, and a hub's edges
+    learn them from a broadcast (``rows.meet``).  Self
     loops and repeated edges are ignored; no edges give no rows.
     """
     now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-0")
-    step, last = 0, None
+    step, last, size = 0, None, now.count()
     while True:
+        # so few edges make no hub
+        join = (lambda left, right: left.join(right, "u")) if 2 * size <= HOT_ROWS else (lambda left, right: meet(left, right, "u", "d"))
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
+        large = join(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         step += 1
         large = scratch.put(large, f"{tag}-{step}l")
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
+        m = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
         small = (
-            large.join(m, "u")
+            join(large, m)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
@@ -38,6 +42,6 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         # done when nothing moved
         if (n, total, most) == last or n == 0:
             break
-        last = (n, total, most)
+        last, size = (n, total, most), n
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

@@ -12,12 +12,16 @@ How it stays linear on hot groups
   minimum over a 128-bit set fingerprint), so copies are never paired.
 * Round 1 proposes one partner per class: the least member of the buckets it
   shares most often.  Verified links are contracted to components.
-* Round 2 looks at buckets that still hold several components.  Their members'
-  long sketches are compared in blocks of bounded size (a bucket is split in
-  blocks, a task sees two blocks), and only pairs between components whose
-  sketches leave 85 % possible are passed on to exact verification.  If two
+* Round 2 looks at buckets that still hold several components.  A bucket's
+  largest component meets the members of the others, and those meet each other,
+  in blocks of bounded size; pairs within a component are never formed.  A pair
+  goes on to exact verification unless its sizes or its histograms rule the link
+  out.  Both are bounds, not estimates: shingles are counted in 1,024 cells, and
+  the sum of the lesser counts is never below the intersection.  If two
   components have many such pairs in a block, the best few go first; round 3
   takes what contraction left.
+* Buckets, and documents that stand in many pairs, are hot keys of joins: they
+  are split (``rows.meet``, ``rows.split_join``).
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ from pyspark.sql import functions as F
 from tickloom.llm.components import components
 from tickloom.llm.kernels import mix64, slices
 from tickloom.llm.minhash_kernel import band_keys, shingle_hashes, signatures
+from tickloom.llm.rows import meet, split_join
 from tickloom.llm.scratch import Scratch, ship
 
-#: Members of a bucket that one block holds.
-BLOCK = 512
-#: Sketch coordinates (one byte each) that round 2 compares.
-SKETCH = 1024
+#: Members that one block of a bucket holds: of its largest component, and of the others.
+MAIN_BLOCK, REST_BLOCK = 4096, 512
+#: Cells of a set's histogram, one byte each; a full cell bounds nothing.
+CELLS, FULL = 1024, 255
 #: Pairs of one pair of components that a block passes on before contraction.
 FIRST_PAIRS = 16
 
@@ -70,16 +75,31 @@ def fingerprint_batches(width: int, bands: int, rows: int):
     return run
 
 
+def histogram(unique: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall in each cell, FULL at most."""
+    cell = (unique & np.uint64(CELLS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=CELLS), FULL).astype(np.uint8)
+
+
+KEPT = "rep long, h long, n long, keys binary, cells binary, text string"
+
+
 def sketch_batches(width: int, bands: int, rows: int):
-    """Rows (rep, text) to (rep, keys, sketch): the band keys again, and a long sketch of low bytes."""
+    """Rows (rep, f1, f2, text) to KEPT where the text's set has the prints: its size, band keys and histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            f1, f2 = batch.column("f1").to_numpy(), batch.column("f2").to_numpy()
             for i, j, raw, offsets in slices(batch.column("text")):
-                signature = signatures(*shingle_hashes(raw, offsets, width), max(SKETCH, bands * rows))
-                keys = band_keys(signature[:, : bands * rows], rows)
-                low = signature[:, :SKETCH].astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], ["rep", "keys", "sketch"])
+                hashes, begin = shingle_hashes(raw, offsets, width)
+                sets = [np.unique(hashes[begin[x] : begin[x + 1]]) for x in range(j - i)]
+                own = np.array([set_prints(u) == (f1[i + x], f2[i + x]) for x, u in enumerate(sets)], bool)
+                keys = band_keys(signatures(hashes, begin, bands * rows), rows)
+                cols = [
+                    batch.column("rep").slice(i, j - i), batch.column("f1").slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary()),
+                    pa.array([histogram(u).tobytes() for u in sets], pa.binary()), batch.column("text").slice(i, j - i),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["rep", "h", "n", "keys", "cells", "text"]).filter(pa.array(own))
 
     return run
 
@@ -109,32 +129,42 @@ def verify_batches(width: int, numerator: int, denominator: int):
     return run
 
 
-def close_pairs(sketch: np.ndarray, keys: np.ndarray, key: int, comp: np.ndarray, side: np.ndarray, both: bool, least: int, first: int | None):
-    """Index pairs of different components whose sketches agree in *least* places.
+def possible(cells: np.ndarray, size: np.ndarray, one: np.ndarray, n: int, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets (histograms *cells*, sizes *size*) may be linked to the set (*one*, *n*), and the bound on what they share."""
+    most = np.minimum(cells, one).sum(1, dtype=np.int64)
+    most[(cells == FULL).any(1) | (one == FULL).any()] = np.iinfo(np.int64).max >> 8
+    return (denominator + numerator) * most >= numerator * (size + n), most
+
+
+def close_pairs(t: dict[str, np.ndarray], key: int, across: bool, numerator: int, denominator: int, first: int | None):
+    """Index pairs of different components in one block of bucket *key* that may be linked.
 
-    A pair that shares several buckets counts in the one of its first common
-    band only (*keys* are the band keys, *key* this bucket's).  side tells the
-    two blocks apart; within one block (both False) all its pairs are compared,
-    else only pairs across.  With *first*, at most that many of a
-    pair of components, best first; the flag says whether any were left.
+    *t* holds rep, comp, n (set size), rest (not of the largest component), bi
+    (block), keys (all band keys) and cells.  A pair that shares several buckets
+    counts in the one of its first common band only.  With *across* only pairs
+    of two blocks are formed.  With *first*, at most that many of a pair of
+    components, best first; the flag says whether any were left.
     """
-    n, found, more = len(comp), [], False
-    for i in range(n):
-        rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) if both else True)) + i + 1
+    comp, size, side, keys, cells = t["comp"], t["n"], t["side"], t["keys"], t["cells"]
+    found, more = [], False
+    few = np.flatnonzero(side == 1)
+    for at, i in enumerate(few.tolist()):
+        # within one block every pair once; across blocks the other block's rows
+        rest = np.flatnonzero(side == 0) if across else few[at + 1 :]
+        rest = rest[(comp[rest] != comp[i]) & (numerator * np.maximum(size[rest], size[i]) <= denominator * np.minimum(size[rest], size[i]))]
         if len(rest):
-            same = (sketch[rest] == sketch[i]).sum(1)
-            hit = same >= least
-            if hit.any():
-                common = keys[rest] == keys[i]
-                hit &= keys[i][common.argmax(1)] == key
-            found += zip([i] * int(hit.sum()), rest[hit].tolist(), same[hit].tolist(), strict=True)
+            common = keys[rest] == keys[i]
+            rest = rest[keys[i][common.argmax(1)] == key]
+        if len(rest):
+            ok, most = possible(cells[rest], size[rest], cells[i], int(size[i]), numerator, denominator)
+            found += zip([i] * int(ok.sum()), rest[ok].tolist(), (most[ok] / (size[rest[ok]] + size[i])).tolist(), strict=True)
     if first is not None and len(found) > first:
         kept: dict[tuple[int, int], int] = {}
         chosen = []
-        for i, j, s in sorted(found, key=lambda x: (-x[2], x[0], x[1])):
-            key = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-            kept[key] = kept.get(key, 0) + 1
-            if kept[key] <= first:
+        for i, j, s in sorted(found, key=lambda x: (-x[2], t["rep"][x[0]], t["rep"][x[1]])):
+            pair = (min(comp[i], comp[j]), max(comp[i], comp[j]))
+            kept[pair] = kept.get(pair, 0) + 1
+            if kept[pair] <= first:
                 chosen.append((i, j, s))
             else:
                 more = True
@@ -142,18 +172,18 @@ def close_pairs(sketch: np.ndarray, keys: np.ndarray, key: int, comp: np.ndarray
     return found, more
 
 
-def block_batches(least: int, first: int | None):
+def block_batches(numerator: int, denominator: int, first: int | None):
     """Rows sorted by (key, bi, bj) to candidate pairs (a, b, more)."""
 
     def pairs(group: list[pa.RecordBatch]):
         t = pa.Table.from_batches(group)
-        comp, rep = t["comp"].to_numpy(), t["rep"].to_numpy()
-        if len(comp) < 2 or comp.min() == comp.max():
+        cols = {c: t[c].to_numpy() for c in ("rep", "comp", "n", "side")}
+        if len(cols["comp"]) < 2 or cols["comp"].min() == cols["comp"].max():
             return
-        blocks = t["block"].to_numpy()
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(comp), SKETCH)
-        keys = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int64).reshape(len(comp), -1)
-        found, more = close_pairs(sketch, keys, t["key"][0].as_py(), comp, blocks, t["bi"][0].as_py() != t["bj"][0].as_py(), least, first)
+        cols["cells"] = np.frombuffer(b"".join(t["cells"].to_pylist()), np.uint8).reshape(-1, CELLS)
+        cols["keys"] = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int64).reshape(len(cols["comp"]), -1)
+        rep = cols["rep"]
+        found, more = close_pairs(cols, t["key"][0].as_py(), t["bi"][0].as_py() != t["bj"][0].as_py(), numerator, denominator, first)
         for i, j, _ in found:
             yield max(rep[i], rep[j]), min(rep[i], rep[j]), more
 
@@ -183,6 +213,29 @@ def block_batches(least: int, first: int | None):
     return run
 
 
+def blocks_of(placed: DataFrame) -> DataFrame:
+    """(key, rep, comp, bi, bj, side) of the block pairs in which members (key, rep, comp) of different components meet.
+
+    A bucket's largest component is cut in blocks 0, 1, ..., its other members
+    in blocks -1, -2, ....  Each of the latter meets all of the former and each
+    other: bi is the block of the side 1, bj the other one.
+    """
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("cnt"), F.count("*").alias("k")).where("k > 1")
+    mixed = mixed.select("key", "cnt", F.col("m.comp").alias("main"), F.ceil(F.col("m.c") / MAIN_BLOCK).cast("int").alias("mains"), F.ceil((F.col("cnt") - F.col("m.c")) / REST_BLOCK).cast("int").alias("rests"))
+    at = meet(placed, mixed, "key", "cnt").withColumn("is_main", F.col("comp") == F.col("main"))
+    at = at.withColumn("mine", F.when(F.col("is_main"), F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(-1 - F.pmod(F.xxhash64("rep"), F.col("rests"))).cast("int"))
+    block = lambda bi, bj, side: F.struct(bi.cast("int").alias("bi"), bj.cast("int").alias("bj"), F.lit(side).alias("side"))
+    mine = F.col("mine")
+    main = F.transform(F.sequence(F.lit(-1), -F.col("rests")), lambda o: block(o, mine, 0))
+    rest = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda o: block(mine, o, 1)),
+        # of two blocks of others the later one is side 1
+        F.transform(F.sequence(F.lit(-1), -F.col("rests")), lambda o: F.when(o < mine, block(o, mine, 0)).otherwise(block(mine, o, 1))),
+    )
+    return at.withColumn("b", F.explode(F.when(F.col("is_main"), main).otherwise(rest))).select("key", "rep", "comp", "b.bi", "b.bj", "b.side")
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -217,43 +270,31 @@ def near_duplicates(
             prints.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("f1", "f2", F.col("m.doc_id").alias("rep"), "m.bands"),
             "classes",
         )
-        places = classes.select("rep", F.explode("bands").alias("key"))
+        places = scratch.put(classes.select("rep", F.explode("bands").alias("key")), "places")
         shared = places.groupBy("key").agg(F.count("*").alias("cnt"), F.min("rep").alias("pivot")).where("cnt > 1")
-        members = scratch.put(places.join(shared, "key"), "members")
-        wanted = members.select("rep").distinct()
-        # texts of the ids that share a bucket, equal rows once; an id may have several texts
-        texts = scratch.put(
-            docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")),
-            "texts",
-        )
+        members = scratch.put(meet(places, shared, "key", "cnt").select("key", "rep", "pivot"), "members")
+        # the texts of classes that share a bucket, equal ones once; the least id of a class may stand on other texts too
+        wanted = classes.select("rep", "f1", "f2").join(members.select("rep").distinct(), "rep")
+        texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).groupBy("rep", "f1", "f2", F.xxhash64("text")).agg(F.first("text").alias("text"))
+        texts = scratch.put(texts.select("rep", "f1", "f2", "text").mapInArrow(sketch_batches(width, bands, rows), KEPT), "texts")
 
         def verified(pairs: DataFrame, name: str) -> DataFrame:
-            side = lambda c, *more: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"), *more)
-            joined = pairs.select("a", "b").join(side("a"), "a").join(side("b", "h"), "b").select("a", "b", "h", "text_a", "text_b")
+            pairs = scratch.put(pairs.select("a", "b"), f"{name}-pairs")
+            for c in ("a", "b"):
+                side = texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"), *([F.col("h")] if c == "b" else []))
+                pairs = split_join(pairs, side, c, scratch, f"{name}-{c}")
+            joined = pairs.select("a", "b", "h", "text_a", "text_b")
             return scratch.put(joined.mapInArrow(verify_batches(width, numerator, denominator), "a long, b long"), name)
 
         votes = members.where("pivot < rep").groupBy("rep", "pivot").agg(F.count("*").alias("votes"))
         best = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("p"))).alias("m")).select(F.col("rep").alias("a"), (-F.col("m.p")).alias("b"))
         links = verified(best, "links1")
-        sketches, share = None, numerator / denominator
-        least = int(SKETCH * (share - 4 * (share * (1 - share) / SKETCH) ** 0.5))
         for step, first in ((2, FIRST_PAIRS), (3, None)):
             comp = scratch.put(components(links, scratch, f"cc{step}"), f"comp{step}")
-            placed = members.select("key", "rep", "cnt").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "cnt", F.coalesce("component", "rep").alias("comp"))
-            mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            if sketches is None:
-                sketches = scratch.put(texts.select("rep", "text").mapInArrow(sketch_batches(width, bands, rows), "rep long, keys binary, sketch binary"), "sketches")
-            parts = F.ceil(F.col("cnt") / F.lit(BLOCK)).cast("int")
-            tasks = (
-                placed.join(mixed, "key")
-                .withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-                .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-                .select("key", "rep", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-                .join(sketches, "rep")
-                .repartition("key", "bi", "bj")
-                .sortWithinPartitions("key", "bi", "bj", "rep")
-            )
-            found = scratch.put(tasks.mapInArrow(block_batches(least, first), "a long, b long, more boolean"), f"found{step}")
+            placed = members.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+            tasks = blocks_of(scratch.put(placed, f"placed{step}"))
+            tasks = tasks.join(texts.select("rep", "n", "keys", "cells"), "rep").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+            found = scratch.put(tasks.mapInArrow(block_batches(numerator, denominator, first), "a long, b long, more boolean"), f"found{step}")
             more = found.groupBy("a", "b").agg(F.max("more").alias("more"))
             any_found, any_more = found.agg(F.count("*") > 0, F.coalesce(F.max("more"), F.lit(False))).first()
             if any_found:
