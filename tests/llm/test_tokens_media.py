@@ -3,8 +3,10 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tickloom.llm import media_chunks as media
+from tickloom.llm.scratch import Scratch
 from tickloom.llm.token_counts import Tree, count_tokens, tokenizer
 
 
@@ -63,3 +65,25 @@ def test_store_round_trip(spark, sf_dir):
         m = media.media_of(p)
         assert tuple(r)[1:] == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), media.features(p))
     assert media.store_and_read(docs.where("false")).count() == 0
+
+
+def test_every_chunk_is_stored_once(spark, sf_dir):
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    longer = docs.selectExpr("doc_id + 1000000", "'a new start ' || repeat(text, 3)")
+    docs = docs.unionByName(docs.limit(50)).union(longer)
+    with Scratch(spark) as scratch:
+        catalogue = scratch.put(docs.mapInArrow(media.catalogue_batches, from_arrow_schema(media.CATALOGUE)), "catalogue")
+        store = media.written(docs, catalogue, scratch).collect()
+    chunks = {c for r in docs.collect() for c in media.chunks_of(media.media_of(media.payload_of((r["text"] or "").encode())))}
+    plain, held = zstandard.ZstdDecompressor(), []
+    for r in store:
+        pack, at = plain.decompress(r["pack"]), 0
+        for _, length, inline in sorted({d: (k, n, i) for k, (d, n, i) in reversed(list(enumerate(zip(r["digests"], r["lens"], r["inline"], strict=True))))}.values()):
+            if inline:
+                held.append(pack[at : at + length])
+                at += length
+        held += [plain.decompress(o["data"]) for o in r["owned"]]
+    assert len(store) == docs.select("text").distinct().count()
+    assert len(held) == len(set(held)) and set(held) == chunks and any(r["owned"] for r in store)

@@ -6,12 +6,14 @@ by Spark joins; the ordered list of digests rebuilds the file, whose chunks and
 payload are verified before features are computed from the samples.
 
 What moves.  The first scan makes the catalogue: sizes, the payload's digest and
-the chunk list of every row, no bytes.  Grouping it tells one holder per equal
-payload and one owner per chunk that several payloads share.  The second scan
-writes the store: per held payload one pack of the chunks only it has, and the
-shared chunks it owns.  Holders and owners go to that scan as bit maps of bounded
-size; a false bit only stores a chunk or pack twice, which the readers collapse.
-Reading back joins just the shared chunks to the payloads that use them.
+the chunk list of every row, no bytes.  Joining its chunk lists with the chunks
+that several payloads have tells every payload which of its chunks are common
+and which of them it owns (the owner is the payload least by digest).  The
+second scan brings each payload, compressed, to these decisions, equal payloads
+collapsing before the shuffle, and the store is written: per payload one pack of
+the chunks only it has, and the common chunks it owns.  Every chunk is stored
+once, at every size of the input.  Reading back joins the common chunks to the
+other payloads that use them.
 """
 
 from __future__ import annotations
@@ -24,16 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tickloom.llm.kernels import mix64, slices
+from tickloom.llm.rows import meet
 from tickloom.llm.scratch import Scratch, ship
 
 _U32, _U64 = np.uint32, np.uint64
 UNIT = 576
 SIDE = 24
 LEAST, MASK_BITS, MOST = 256, 10, 4096
-#: Bits of a map at most; 16 bits an entry until then.
-MOST_BITS = 26
 
 _GEAR = (mix64(np.arange(1, 257, dtype=_U64) * _U64(0x2545F4914F6CDD1D)) >> _U64(32)).astype(_U32)
 
@@ -95,7 +97,14 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[object, bytes]]:
             yield ids[i + x], raw[offsets[x] : offsets[x + 1]].tobytes()
 
 
-CATALOGUE = "doc_id long, n_bytes long, sha binary, digests array<binary>"
+def _rows(rows, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of *rows* (tuples) of an Arrow schema."""
+    cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+_SUM, _SUMS = pa.binary(), pa.list_(pa.binary())
+CATALOGUE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", _SUM), ("digests", _SUMS)])
 
 
 def catalogue_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,79 +113,58 @@ def catalogue_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for doc, text in _texts(batch):
             payload = payload_of(text)
             rows.append((doc, len(text), hashlib.sha256(payload).digest(), [digest(c) for c in chunks_of(media_of(payload))]))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.binary()))], ["doc_id", "n_bytes", "sha", "digests"])
-
-
-class BitMap:
-    """A set of 64-bit hashes as a bit map of bounded size; may say yes wrongly, never no."""
-
-    def __init__(self, bits: int, words: np.ndarray):
-        self.bits, self.words = bits, words
-
-    @classmethod
-    def of(cls, keys: DataFrame, n: int) -> BitMap:
-        """From one long column; the map's words are or-ed together before they reach the driver."""
-        bits = cls.width(n)
-        slot = F.shiftrightunsigned(F.col("key"), 64 - bits)
-        words = keys.select(F.shiftright(slot, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(key, {64 - bits}) & 63))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-        table = np.zeros(1 << max(0, bits - 6), np.int64)
-        table[words["at"].to_numpy()] = words["bit"].to_numpy()
-        return cls(bits, table.view(_U64))
-
-    @staticmethod
-    def width(n: int) -> int:
-        return min(MOST_BITS, max(10, (16 * max(1, n) - 1).bit_length()))
-
-    def has(self, key: int) -> bool:
-        slot = (key & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
-        return bool(int(self.words[slot >> 6]) >> (slot & 63) & 1)
-
-
-def _key(*parts: bytes) -> int:
-    return int.from_bytes(hashlib.sha256(b"|".join(parts)).digest()[:8], "big")
-
-
-def _key_sql(*parts: str) -> F.Column:
-    """The same 64 bits as ``_key``, in SQL (hex of the first eight bytes)."""
-    joined = F.concat(*[x for k, p in enumerate(parts) for x in ([F.lit(b"|")] if k else []) + [F.col(p)]])
-    h = F.substring(F.sha2(joined, 256), 1, 16)
-    return F.conv(h, 16, -10).cast("long")
+        yield _rows(rows, CATALOGUE)
 
 
-PACKED = "sha binary, digests array<binary>, lens array<int>, inline array<boolean>, pack binary, owned array<struct<digest:binary,data:binary>>"
+PACKED = pa.schema([("sha", _SUM), ("digests", _SUMS), ("lens", pa.list_(pa.int32())), ("media", pa.binary())])
 
 
-def pack_batches(holders: BitMap, shared: BitMap, owners: BitMap):
-    """Second scan: the packs of held payloads and the shared chunks they own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def media_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second scan: every payload's media file, compressed, with its chunk list; equal payloads of a batch once."""
+    import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
-        kind = pa.struct([("digest", pa.binary()), ("data", pa.binary())])
-        types = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.list_(kind)]
-        names = ["sha", "digests", "lens", "inline", "pack", "owned"]
-        for batch in batches:
-            rows, size = [], 0
-            for doc, text in _texts(batch):
-                payload = payload_of(text)
-                sha = hashlib.sha256(payload).digest()
-                if not holders.has(_key(sha, b"" if doc is None else b"%d" % doc)):
-                    continue
-                parts = chunks_of(media_of(payload))
-                names_ = [digest(c) for c in parts]
-                own = [not shared.has(int.from_bytes(d[:8], "big")) for d in names_]
-                owned = {d: press.compress(c) for d, c, o in zip(names_, parts, own, strict=True) if not o and owners.has(_key(d, sha))}
-                rows.append((sha, names_, [len(c) for c in parts], own, press.compress(b"".join(c for c, o in zip(parts, own, strict=True) if o)), [{"digest": d, "data": c} for d, c in owned.items()]))
-                size += len(text)
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        rows, size = {}, 0
+        for _, text in _texts(batch):
+            payload = payload_of(text)
+            sha = hashlib.sha256(payload).digest()
+            if sha in rows:
+                continue
+            media = media_of(payload)
+            parts = chunks_of(media)
+            rows[sha] = (sha, [digest(c) for c in parts], [len(c) for c in parts], press.compress(media))
+            size += len(text)
+            if size > 8 << 20:
+                yield _rows(rows.values(), PACKED)
+                rows, size = {}, 0
+        if rows:
+            yield _rows(rows.values(), PACKED)
+
+
+STORED = pa.schema([
+    ("sha", _SUM), ("digests", _SUMS), ("lens", pa.list_(pa.int32())), ("inline", pa.list_(pa.bool_())), ("pack", pa.binary()), ("owned", pa.list_(pa.struct([("digest", _SUM), ("data", pa.binary())]))),
+])
+
+
+def store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED with their common chunks (digest, own) to STORED."""
+    import zstandard
 
-    return run
+    press, plain = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            common = {x["digest"]: x["own"] for x in row["common"] or []}
+            media, at, pack, owned = plain.decompress(row["media"]), 0, {}, {}
+            for name, length in zip(row["digests"], row["lens"], strict=True):
+                chunk, at = media[at : at + length], at + length
+                if name not in common:
+                    pack[name] = chunk
+                elif common[name]:
+                    owned[name] = chunk
+            rows.append((row["sha"], row["digests"], row["lens"], [d not in common for d in row["digests"]], press.compress(b"".join(pack.values())), [{"digest": d, "data": press.compress(c)} for d, c in owned.items()]))
+        yield _rows(rows, STORED)
 
 
 def features(samples: bytes) -> str:
@@ -189,7 +177,9 @@ def features(samples: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};entropy={-(p * np.log2(p)).sum():.4f};ahash={int(bits, 2):016x}"
 
 
-READ = "sha binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = pa.schema([
+    ("sha", _SUM), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+])
 
 
 def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +191,19 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in range(batch.num_rows):
             row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-            pack, at, parts = plain.decompress(row["pack"]), 0, []
-            fetched = {x["digest"]: x["data"] for x in row["fetched"] or []}
+            pack, at, parts, seen = plain.decompress(row["pack"]), 0, [], {}
+            fetched = {x["digest"]: x["data"] for x in [*row["owned"], *(row["fetched"] or [])]}
             for name, length, inline in zip(row["digests"], row["lens"], row["inline"], strict=True):
+                if name in seen:
+                    parts.append(seen[name])
+                    continue
                 if inline:
                     chunk, at = pack[at : at + length], at + length
                 else:
                     chunk = plain.decompress(fetched[name])
                 if digest(chunk) != name:
                     raise ValueError("a stored chunk does not match its digest")
+                seen[name] = chunk
                 parts.append(chunk)
             media = b"".join(parts)
             samples = samples_of(media)
@@ -217,14 +211,25 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sha.digest() != row["sha"]:
                 raise ValueError("a rebuilt payload does not match its digest")
             rows.append((row["sha"], len(samples), sha.hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], [x.split()[0] for x in READ.split(", ")])
+        yield _rows(rows, READ)
+
+
+def written(docs: DataFrame, catalogue: DataFrame, scratch: Scratch) -> DataFrame:
+    """The store (STORED, a row per distinct payload): a chunk of one payload stands in its pack, a common one with its owner."""
+    lists = catalogue.groupBy("sha").agg(F.first("digests").alias("digests")).select("sha", F.explode(F.array_distinct("digests")).alias("digest"))
+    lists = scratch.put(lists, "lists")
+    common = scratch.put(lists.groupBy("digest").agg(F.count("*").alias("n"), F.min("sha").alias("owner")).where("n > 1"), "common")
+    # a payload has no more common chunks than chunks
+    told = meet(lists, common, "digest", "n").groupBy("sha").agg(F.collect_list(F.struct("digest", (F.col("owner") == F.col("sha")).alias("own"))).alias("common"))
+    first = docs.mapInArrow(media_batches, from_arrow_schema(PACKED)).groupBy("sha").agg(F.first(F.struct("digests", "lens", "media")).alias("m")).select("sha", "m.*")
+    return scratch.put(first.join(told, "sha", "left").mapInArrow(store_batches, from_arrow_schema(STORED)), "store")
 
 
 def store_and_read(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), one row per input row.
 
     * null text is stored as the empty text: one frame of 255;
+    * very long texts are one payload of many chunks, cut like any other;
     * equal texts get equal values and are stored once; repeated rows and null
       ids each keep their result row;
     * an empty table gives an empty result; further columns are ignored.
@@ -233,31 +238,19 @@ def store_and_read(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     ship(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(spark) as scratch:
-        catalogue = scratch.keep(docs.mapInArrow(catalogue_batches, CATALOGUE), "catalogue")
-        # one holder per payload: the least id (null counts as none)
-        classes = catalogue.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
-        held = scratch.put(classes.select("sha", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary").alias("id")), "held")
-        lists = catalogue.groupBy("sha").agg(F.first("digests").alias("digests")).select("sha", F.explode(F.array_distinct("digests")).alias("digest"))
-        # chunks of several payloads; the owner is the payload least by digest
-        front = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long").alias("key")
-        common = scratch.put(lists.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", front), "common")
-        n_held, n_common = held.count(), common.count()
-        holders = BitMap.of(held.select(_key_sql("sha", "id").alias("key")), n_held)
-        shared = BitMap.of(common.select("key"), n_common)
-        # a chunk whose bit another one set is not kept in its pack either, so it needs an owner as well
-        slot = F.shiftrightunsigned("key", 64 - shared.bits).alias("slot")
-        marked = lists.select("sha", "digest", front).withColumn("slot", slot).join(common.select(slot).distinct(), "slot", "left_semi")
-        owned = scratch.put(marked.groupBy("digest").agg(F.min("sha").alias("sha")), "owned")
-        owners = BitMap.of(owned.select(_key_sql("digest", "sha").alias("key")), owned.count())
-        store = scratch.put(docs.mapInArrow(pack_batches(holders, shared, owners), PACKED), "store")
-        pieces = scratch.put(store.select(F.explode("owned").alias("o")).groupBy("o.digest").agg(F.first("o.data").alias("data")), "pieces")
-        packs = store.select("sha", "digests", "lens", "inline", "pack")
-        uses = F.exists("inline", lambda x: ~x)
+        catalogue = scratch.keep(docs.mapInArrow(catalogue_batches, from_arrow_schema(CATALOGUE)), "catalogue")
+        store = written(docs, catalogue, scratch)
+        pieces = store.select(F.explode("owned").alias("o")).select("o.*")
+        # what a payload has not and does not own is fetched
+        lacks = F.array_except(F.transform(F.filter(F.arrays_zip("digests", "inline"), lambda x: ~x["inline"]), lambda x: x["digests"]), F.col("owned.digest"))
+        wanted = scratch.put(store.select("sha", F.explode(lacks).alias("digest")), "wanted")
+        uses = wanted.groupBy("digest").agg(F.count("*").alias("uses"))
+        fetched = meet(wanted, pieces.join(uses, "digest"), "digest", "uses").groupBy("sha").agg(F.collect_list(F.struct("digest", "data")).alias("fetched"))
+        whole = F.size(lacks) == 0
         kind = "array<struct<digest:binary,data:binary>>"
-        alone = packs.where(~uses).withColumn("fetched", F.lit(None).cast(kind))
-        wanted = packs.where(uses).select("sha", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("digests", "inline"), lambda x: ~x["inline"]), lambda x: x["digests"]))).alias("digest")).distinct()
-        fetched = wanted.join(pieces, "digest").groupBy("sha").agg(F.collect_list(F.struct("digest", "data")).alias("fetched"))
-        joined = packs.where(uses).join(fetched, "sha").select(*packs.columns, F.col("fetched").cast(kind).alias("fetched"))
-        read = alone.unionByName(joined).mapInArrow(read_batches, READ)
-        values = scratch.keep(read.groupBy("sha").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")]), "values")
-        return catalogue.select("doc_id", "n_bytes", "sha").join(values, "sha").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        alone = store.where(whole).withColumn("fetched", F.lit(None).cast(kind))
+        joined = store.where(~whole).join(fetched, "sha").withColumn("fetched", F.col("fetched").cast(kind))
+        values = scratch.keep(alone.unionByName(joined).mapInArrow(read_batches, from_arrow_schema(READ)), "values")
+        n = catalogue.groupBy("sha").agg(F.count("*").alias("rows"))
+        read = meet(catalogue.select("doc_id", "n_bytes", "sha"), values.join(n, "sha"), "sha", "rows")
+        return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
