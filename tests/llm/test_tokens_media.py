@@ -7,7 +7,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tickloom.llm import media_chunks as media
 from tickloom.llm.scratch import Scratch
-from tickloom.llm.token_counts import Tree, count_tokens, tokenizer
+from tickloom.llm.token_counts import LEAF, Tree, apply_edits, build_trees, tokenizer
 
 
 def test_edits_equal_a_full_count(spark, sf_dir):
@@ -22,20 +22,50 @@ def test_edits_equal_a_full_count(spark, sf_dir):
             a = rng.randint(0, len(t))
             t, n = tree.edit(t, a, a + rng.choice([0, 1, 5, 60]), rng.choice(["", " ", "\n\n", "x", "'s", " wörld 12", "   "]), find, count)
             whole = count.encoding.encode_ordinary(t)
-            assert tree.tokens == len(whole) and sum(x[0] for x in tree.leaves) == len(t)
-            assert tree.levels[-1] == [tree.tokens] or not tree.leaves
-            redone, total = redone + n, total + sum(x[1] for x in tree.leaves)
+            assert tree.total == (len(t), len(find.findall(t)), len(whole))
+            again = Tree.of(tree.nodes(), len(tree.leaves))
+            assert again.levels == tree.levels == Tree(list(tree.leaves)).levels
+            redone, total = redone + n, total + tree.total[1]
     assert redone < 0.5 * total
 
 
-def test_count_tokens_edges(spark):
-    docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (None, "abc"), (1, "hello world"), (4, "ab cd " * 40000)], "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as leaves")
+def test_an_edit_touches_its_region_only():
+    find, count = tokenizer(None, None)
+    text = "some words of a very long text\n" * 20000
+    tree = Tree.build(text, find, count)
+    before = tree.nodes()
+    for k in range(40):
+        text, n = tree.edit(text, 300_000 + 5 * k, 300_003 + 5 * k, "another ", find, count)
+        assert n < 8 * LEAF
+    assert tree.total == (len(text), len(find.findall(text)), len(count.encoding.encode_ordinary(text)))
+    changed = sum(a != b for a, b in zip(before, tree.nodes(), strict=True))
+    assert 0 < changed < 100
+    # blanks before an edit are looked over by patterns that want a line end after them
+    import regex
+
+    lines, blanks = regex.compile(r"\s*[\r\n]+|\s+(?!\S)|\s+|\S+"), "x\n" + " " * 3000 + "y" * 50
+    other = Tree.build(blanks, lines, count)
+    blanks, _ = other.edit(blanks, 3002, 3003, "\n", lines, count)
+    assert other.total[:2] == (len(blanks), len(lines.findall(blanks)))
+
+
+def test_trees_take_later_edits(spark):
+    docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (None, "abc"), (1, "hello world"), (4, "ab cd " * 40000)], "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as nodes")
     edits = spark.createDataFrame([(1, 1, 5, 99, "!"), (1, 0, None, None, "x "), (2, 0, 0, 5, "new"), (9, 0, 0, 0, "z")], "doc_id long, seq int, start int, `end` int, insert string")
     find, count = tokenizer(None, None)
-    got = {r["doc_id"]: r for r in count_tokens(docs, edits).collect()}
-    assert got[1]["edited_tokens"] == len(count.encoding.encode_ordinary("x hel!")) and got[2]["edited_tokens"] == len(count.encoding.encode_ordinary("new"))
-    assert got[2]["n_tokens"] == got[3]["n_tokens"] == 0 and got[4]["n_tokens"] == len(count.encoding.encode_ordinary("ab cd " * 40000))
-    assert count_tokens(docs).count() == 6 and count_tokens(docs.where("false")).count() == 0
+    size = lambda t: len(count.encoding.encode_ordinary(t))
+    trees = build_trees(docs)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in trees.collect()) == [(0, size("abc")), (1, size("hello world")), (1, size("hello world")), (2, 0), (3, 0), (4, size("ab cd " * 40000))]
+    once = apply_edits(trees, edits)
+    got = {r["doc_id"]: r for r in once.collect()}
+    assert got[1]["text"] == "x hel!" and got[1]["n_tokens"] == size("x hel!") and got[1]["old_tokens"] == size("hello world") and got[2]["n_tokens"] == size("new")
+    assert got[3]["n_tokens"] == got[3]["old_tokens"] == 0 and got[4]["reencoded_pretokens"] == 0
+    later = spark.createDataFrame([(4, 0, 120_000, 120_006, "other words "), (2, 0, 3, 3, " one")], "doc_id long, seq int, start int, `end` int, insert string")
+    twice = {r["doc_id"]: r for r in apply_edits(once, later).collect()}
+    whole = "ab cd " * 20000 + "other words " + "ab cd " * 19999
+    assert twice[4]["text"] == whole and twice[4]["n_tokens"] == size(whole) and 0 < twice[4]["reencoded_pretokens"] < 200
+    assert twice[2]["text"] == "new one" and twice[2]["n_tokens"] == size("new one") and twice[1]["text"] == "x hel!"
+    assert apply_edits(build_trees(docs)).count() == 6 and apply_edits(build_trees(docs.where("false")), edits).count() == 0
 
 
 def test_chunks_are_content_defined():

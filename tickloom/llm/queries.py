@@ -15,7 +15,8 @@ from tickloom.llm.minhash_dedup import near_duplicates
 from tickloom.llm.mixing import mixture
 from tickloom.llm.pii import pseudonymise
 from tickloom.llm.quality import QualityModel
-from tickloom.llm.token_counts import count_tokens
+from tickloom.llm.scratch import Scratch
+from tickloom.llm.token_counts import apply_edits, build_trees
 from tickloom.llm.toxicity import ToxicityModel
 
 
@@ -76,11 +77,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every text before and after one edit that replaces 40 characters at a third of it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    at = (F.coalesce(F.length("text"), F.lit(0)) / 3).cast("int")
-    docs = docs.withColumn("edits", F.array(F.struct(at.alias("start"), (at + 40).alias("end"), F.lit(" [removed] ").alias("insert"))))
-    return count_tokens(docs).select("doc_id", "n_chars", "n_pretokens", "n_tokens", "n_nodes", "edited_chars", "edited_tokens", "reencoded_pretokens")
+    """Counts of every text, and after one edit of its stored tree that replaces 40 characters at a third of it."""
+    trees = Scratch(spark).keep(build_trees(table(spark, sf_dir, "documents")), "trees")
+    at = (F.col("n_chars") / 3).cast("int")
+    edit = F.array(F.struct(at.alias("start"), (at + 40).alias("end"), F.lit(" [removed] ").alias("insert")))
+    return apply_edits(trees.withColumn("edits", edit)).select(
+        "doc_id", F.col("old_chars").alias("n_chars"), F.col("old_pretokens").alias("n_pretokens"), F.col("old_tokens").alias("n_tokens"), F.col("old_nodes").alias("n_nodes"),
+        F.col("n_chars").alias("edited_chars"), F.col("n_tokens").alias("edited_tokens"), "reencoded_pretokens",
+    )
 
 
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
