@@ -3,28 +3,32 @@
 A transcript is a sequence of lines.  Hidden states are the roles; a line shows
 its speaker marker (or that it has none) and features: a question mark at its
 end, a blank line before it, its length.  Viterbi finds the most likely roles,
-consecutive lines of one role form a turn, and turns are rendered in one form.
-
-Long transcripts are cut in blocks of lines.  Viterbi is a product in the
-(max, +) algebra, so each block first gives the best score from each state at its
-start to each at its end, a short pass over the blocks fixes the states at their
-borders, and every block is then decoded on its own.  No transcript has to fit
-in one task.
+consecutive lines of one role form a turn (a marker always begins one), and turns
+are rendered in one form.
+
+All lines are sorted by transcript and place over range partitions, and every
+partition is cut in blocks, so a transcript of any length is spread over tasks.
+Viterbi is a product in the (max, +) algebra: a block gives the best score from
+each state at its start to each at its end, the blocks of a partition multiply to
+one such matrix, and a transcript has one matrix per partition it lies in.  The
+states at the borders are then fixed from the top down: partitions, blocks,
+lines.  The same array kernel, over many sequences at once, serves all three.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.scratch import Scratch, ship
 
-BLOCK = 256
+#: Lines of a block, and characters of a long line.
+BLOCK, LONG_LINE = 256, 240
 ROLES = ("system", "user", "assistant")
 #: Speaker markers by role.
 MARKERS = {
@@ -33,7 +37,7 @@ MARKERS = {
     "assistant": ("assistant", "ai", "bot", "answer", "a", "agent", "gpt", "model"),
 }
 _ROLE_OF = {m: i for i, r in enumerate(ROLES) for m in MARKERS[r]}
-_MARK = re.compile(r"^\s*(?:[#*>\[<|({\-]{0,4}\s*)(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")\s*(?:[\]>|)}*]{0,4})\s*[:\]>|]+\s*", re.I)
+_MARK = r"(?i)^\s*(?:[#*>\[<|({\-]{0,4}\s*)(?P<name>" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")\s*(?:[\]>|)}*]{0,4})\s*[:\]>|]+\s*"
 
 #: Start, transition and emission model (log space): a marker names its role nearly always,
 #: an unmarked line mostly stays with the speaker, a turn after a blank line mostly alternates.
@@ -45,156 +49,243 @@ ASKS = np.log(np.array([[0.05, 0.95], [0.40, 0.60], [0.10, 0.90]]))
 LONG = np.log(np.array([[0.5, 0.5], [0.3, 0.7], [0.6, 0.4]]))
 
 
-def marker_of(line: str) -> tuple[int | None, str]:
-    """The role a line's marker names, and the line without it."""
-    m = _MARK.match(line)
-    return (_ROLE_OF[m[1].lower()], line[m.end() :]) if m else (None, line)
+def _matrices() -> np.ndarray:
+    """Matrix of a line's code: score of each state at the line, from each state before it."""
+    out = np.zeros((64, len(ROLES), len(ROLES)))
+    for code in range(64):
+        first, fresh, mark, asks, long_ = code >> 5, code >> 4 & 1, (code >> 2 & 3) - 1, code >> 1 & 1, code & 1
+        seen = ASKS[:, 1 - asks] + LONG[:, 1 - long_]
+        if mark >= 0:
+            seen = seen + np.where(np.arange(len(ROLES)) == mark, MARKED[1], MARKED[0])
+        out[code] = (START if first else SWITCH if fresh or mark >= 0 else STAY) + seen
+    return out
+
+
+MATRICES = _matrices()
+
+
+#: Bit of the code of a transcript's first line.
+FIRST = 32
+
+
+def line_codes(lines: pa.Array, fresh: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Codes of lines (fresh, marker, asks, long) and the lines without their markers."""
+    lines = lines.cast(pa.large_string()).fill_null("")
+    found = pc.struct_field(pc.extract_regex(lines, _MARK), "name")
+    mark = pc.index_in(pc.utf8_lower(found), pa.array(list(_ROLE_OF), pa.large_string()))
+    mark = pc.take(pa.array(list(_ROLE_OF.values()), pa.int64()), mark).fill_null(-1).to_numpy(zero_copy_only=False)
+    text = pc.if_else(found.is_valid(), pc.replace_substring_regex(lines, _MARK, ""), lines)
+    asks = pc.ends_with(pc.utf8_rtrim_whitespace(text), "?").to_numpy(zero_copy_only=False)
+    long_ = pc.greater(pc.utf8_length(text), LONG_LINE).to_numpy(zero_copy_only=False)
+    return fresh * 16 + (mark + 1) * 4 + asks * 2 + long_, text
+
+
+def product(mats: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """(max, +) products of runs of matrices."""
+    out = np.where(np.eye(len(ROLES)) > 0, 0.0, -np.inf)[None].repeat(len(start), 0)
+    for k in range(int(length.max(initial=0))):
+        on = np.flatnonzero(length > k)
+        out[on] = (out[on][:, :, :, None] + mats[start[on] + k][:, None]).max(2)
+    return out
 
 
-def emission(mark: int | None, text: str) -> np.ndarray:
-    asks, long_ = text.rstrip().endswith("?"), len(text) > 240
-    out = ASKS[:, 0 if asks else 1] + LONG[:, 0 if long_ else 1]
-    if mark is not None:
-        out = out + np.where(np.arange(len(ROLES)) == mark, MARKED[1], MARKED[0])
+def viterbi(mats: np.ndarray, start: np.ndarray, length: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """The best state after every matrix of every run, given the state before it (-1: any) and at its end (-1: the best)."""
+    score = np.where((enter[:, None] < 0) | (enter[:, None] == np.arange(len(ROLES))), 0.0, -np.inf)
+    back = np.zeros((len(mats), len(ROLES)), np.int64)
+    for k in range(int(length.max(initial=0))):
+        on = np.flatnonzero(length > k)
+        each = score[on][:, :, None] + mats[start[on] + k]
+        back[start[on] + k], score[on] = each.argmax(1), each.max(1)
+    state = np.where(leave < 0, score.argmax(1), leave)
+    out = np.zeros(len(mats), np.int64)
+    for k in range(int(length.max(initial=0)) - 1, -1, -1):
+        on = np.flatnonzero(length > k)
+        out[start[on] + k] = state[on]
+        state[on] = back[start[on] + k, state[on]]
     return out
 
 
-def steps(lines: list[tuple[str, bool]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Transition (into the line) and emission scores of lines (text, begins a new paragraph)."""
-    moves, seen = [], []
-    for line, fresh in lines:
-        mark, text = marker_of(line)
-        moves.append(SWITCH if fresh or mark is not None else STAY)
-        seen.append(emission(mark, text))
-    return moves, seen
-
-
-def transfer(lines: list[tuple[str, bool]]) -> np.ndarray:
-    """Best scores from the state before the block (row) to the state at its end (column)."""
-    best = np.where(np.eye(len(ROLES)) > 0, 0.0, -np.inf)
-    for move, seen in zip(*steps(lines), strict=True):
-        best = (best[:, :, None] + move[None]).max(1) + seen
-    return best
-
-
-def decode(lines: list[tuple[str, bool]], enter: int | None, leave: int | None) -> list[int]:
-    """Viterbi states of the lines, given the state before (None: the text's start) and at the end."""
-    moves, seen = steps(lines)
-    if enter is None:
-        score = START + seen[0]
-        back = [np.zeros(len(ROLES), int)]
-    else:
-        score = moves[0][enter] + seen[0]
-        back = [np.full(len(ROLES), enter)]
-    for move, see in zip(moves[1:], seen[1:], strict=True):
-        each = score[:, None] + move
-        back.append(each.argmax(0))
-        score = each.max(0) + see
-    state = int(score.argmax()) if leave is None else leave
-    path = [state]
-    for b in reversed(back[1:]):
-        path.append(int(b[path[-1]]))
-    return path[::-1]
-
-
-def borders(transfers: list[np.ndarray]) -> list[int]:
-    """State at the end of each block, by Viterbi over the blocks (the first block's transfer starts from START)."""
-    score, back = transfers[0].max(0), []
-    for t in transfers[1:]:
-        each = score[:, None] + t
-        back.append(each.argmax(0))
-        score = each.max(0)
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return path[::-1]
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]):
-    """Rows of sorted batches by key; a group holds at most a block of lines."""
-    held, rows = None, []
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, start, length) of whole groups of sorted batches."""
+    held = None
     for batch in batches:
-        cols = batch.to_pydict()
-        for k in range(batch.num_rows):
-            row = {c: v[k] for c, v in cols.items()}
-            name = tuple(row[c] for c in keys)
-            if name != held:
-                if rows:
-                    yield held, rows
-                held, rows = name, []
-            rows.append(row)
-    if rows:
-        yield held, rows
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not t.num_rows:
+            continue
+        edge = _edges(t, keys)
+        if len(edge) > 1:
+            yield _cut(t.slice(0, edge[-1]), edge[:-1])
+        held = t.slice(edge[-1])
+    if held is not None and held.num_rows:
+        yield _cut(held, np.zeros(1, np.int64))
+
+
+def _edges(t: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    change = np.zeros(t.num_rows, bool)
+    change[0] = True
+    for c in keys:
+        x = t[c].to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(change)
+
+
+def _cut(t: pa.Table, start: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    return t.combine_chunks(), start, np.diff(np.append(start, t.num_rows))
+
+
+def _mats(t: pa.Table, column: str) -> np.ndarray:
+    return np.array(t[column].combine_chunks().flatten()).reshape(-1, len(ROLES), len(ROLES))
+
+
+def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted lines of one range partition: adds code, content and the block, BLOCK lines of one transcript each."""
+    conv, n = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("conv_id").to_numpy()
+        change = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        at = np.arange(len(ids)) - np.repeat(change, np.diff(np.append(change, len(ids))))
+        if ids[0] == conv:
+            at[ids == conv] += n
+        conv, n = ids[-1], int(at[-1]) + 1
+        code, text = line_codes(batch.column("line"), batch.column("fresh").to_numpy(zero_copy_only=False).astype(np.int64))
+        cols = [*[batch.column(c) for c in ("conv_id", "seq", "part")], pa.array(at // BLOCK, pa.int64()), pa.array(at % BLOCK, pa.int32()), pa.array(code.astype(np.int32)), text.cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["conv_id", "seq", "part", "block", "at", "code", "content"])
+
+
+#: A matrix t from the state before on, and f if nothing stands before.
+MATRIX = "t array<double>, f array<double>"
+
+
+def _matrix_rows(t: pa.Table, start: np.ndarray, mats: list[np.ndarray], keys: tuple[str, ...]) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(np.arange(0, m.size + 1, m[0].size, dtype=np.int32), pa.array(m.ravel())) for m in mats]
+    return pa.RecordBatch.from_arrays([*[t[c].combine_chunks().take(pa.array(start)) for c in keys], *lists], [*keys, "t", "f"])
 
 
 def transfer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = ([], [], [])
-    for (conv, block), rows in _groups(batches, ("conv_id", "block")):
-        lines = [(r["line"], r["fresh"]) for r in rows]
-        if block == 0:
-            move, seen = steps(lines[:1])
-            t = np.full((len(ROLES), len(ROLES)), -np.inf)
-            t[np.arange(len(ROLES)), np.arange(len(ROLES))] = START + seen[0]
-            if len(lines) > 1:
-                rest = transfer(lines[1:])
-                t = (t[:, :, None] + rest[None]).max(1)
-        else:
-            t = transfer(lines)
-        for c, v in zip(out, (conv, block, np.maximum(t, -1e300).ravel().tolist()), strict=True):
-            c.append(v)
-    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64()))], ["conv_id", "block", "t"])
-
-
-def border_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (conv,), rows in _groups(batches, ("conv_id",)):
-        ends = borders([np.array(r["t"]).reshape(len(ROLES), -1) for r in rows])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([conv] * len(rows), pa.int64()), pa.array([r["block"] for r in rows], pa.int64()), pa.array([None, *ends[:-1]], pa.int32()), pa.array(ends, pa.int32())], ["conv_id", "block", "enter", "leave"]
-        )
+    """Codes sorted by (conv_id, part, block, at) to a pair of matrices a block."""
+    for t, start, length in _runs(batches, ("conv_id", "part", "block")):
+        code = t["code"].to_numpy().copy()
+        mats = [product(MATRICES[code], start, length)]
+        code[start] |= FIRST
+        yield _matrix_rows(t, start, [*mats, product(MATRICES[code], start, length)], ("conv_id", "part", "block"))
+
+
+def part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matrices sorted by (conv_id, part, block) to a pair a partition."""
+    for t, start, length in _runs(batches, ("conv_id", "part")):
+        each, first = _mats(t, "t"), _mats(t, "f")
+        mats = [product(each, start, length)]
+        each[start] = first[start]
+        yield _matrix_rows(t, start, [*mats, product(each, start, length)], ("conv_id", "part"))
+
+
+def border_batches(keys: tuple[str, ...], place: str):
+    """Matrices sorted by *keys* and *place*, with the states before (-1: none) and at the end of the group, to those of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start, length in _runs(batches, keys):
+            mats, first = _mats(t, "t"), _mats(t, "f")
+            enter, leave = (t[c].to_numpy()[start].astype(np.int64) for c in ("enter", "leave"))
+            mats[start[enter < 0]] = first[start[enter < 0]]
+            state = viterbi(mats, start, length, enter, leave)
+            before = np.append(-1, state[:-1])
+            before[start] = enter
+            yield pa.RecordBatch.from_arrays([*[t[c].combine_chunks() for c in (*keys, place)], pa.array(before.astype(np.int32)), pa.array(state.astype(np.int32))], [*keys, place, "enter", "leave"])
+
+    return run
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "seq", "role", "marked", "content"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-    for (conv, _), rows in _groups(batches, ("conv_id", "block")):
-        path = decode([(r["line"], r["fresh"]) for r in rows], rows[0]["enter"], rows[0]["leave"])
-        found = [marker_of(r["line"]) for r in rows]
-        cols = [[conv] * len(rows), [r["seq"] for r in rows], [ROLES[s] for s in path], [m is not None for m, _ in found], [t for _, t in found]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+    """Codes sorted by (conv_id, part, block, at), with their block's borders, to roles and the turns that begin in the block so far."""
+    for t, start, length in _runs(batches, ("conv_id", "part", "block")):
+        code = t["code"].to_numpy().copy()
+        enter, leave = (t[c].to_numpy()[start].astype(np.int64) for c in ("enter", "leave"))
+        code[start[enter < 0]] |= FIRST
+        state = viterbi(MATRICES[code], start, length, enter, leave)
+        before = np.append(-1, state[:-1])
+        before[start] = enter
+        marked = (code >> 2 & 3) > 0
+        begun = np.cumsum(marked | (state != before))
+        begun -= np.repeat(begun[start] - (marked | (state != before))[start], length)
+        cols = [*[t[c].combine_chunks() for c in ("conv_id", "part", "block", "at")], pa.array(ROLES).take(pa.array(state)), pa.array(marked), pa.array(begun, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["conv_id", "part", "block", "at", "role", "marked", "begun"])
 
 
 def recover_roles(lines: DataFrame) -> DataFrame:
-    """(conv_id, seq, role, marked, content) from (conv_id, seq, line, fresh).
+    """(conv_id, seq, turn, role, marked, content, part, block, at) from (conv_id, seq, line, fresh).
+
+    Lines are ordered by seq (of any type that sorts; ties by text); fresh tells
+    that a paragraph begins.  turn counts from 0 within a transcript; part,
+    block and at give the line's place.
 
-    Lines are ordered by seq (ties by text); fresh tells that a paragraph begins.
-    Null lines are empty ones, null conv_id or seq are left out; repeated rows
-    are lines of their own; an empty table gives an empty result.
+    * null or empty lines are lines without a marker, null fresh is false;
+    * null conv_id or seq are left out;
+    * very long lines count as long ones, very long transcripts lie in many blocks;
+    * repeated rows are lines of their own;
+    * an empty table gives an empty result; further columns are ignored.
     """
     spark = lines.sparkSession
     ship(spark)
-    base = lines.where("conv_id is not null and seq is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.coalesce("line", F.lit("")).alias("line"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
-    base = base.withColumn("block", F.floor(F.col("seq") / F.lit(BLOCK)).cast("long"))
-    # blocks are numbered from each transcript's first
+    base = lines.where("conv_id is not null and seq is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "seq", F.coalesce(F.col("line").cast("string"), F.lit("")).alias("line"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    kind = base.schema["seq"].dataType.simpleString()
+    keys = ["conv_id", "part", "block"]
+
+    def sent(df: DataFrame, n: int, *order: str) -> DataFrame:
+        return df.repartition(*keys[:n]).sortWithinPartitions(*keys[:n], *order)
+
     with Scratch(spark) as scratch:
-        low = base.groupBy("conv_id").agg(F.min("block").alias("low"))
-        base = base.join(low, "conv_id").withColumn("block", F.col("block") - F.col("low")).drop("low")
-        parts = base.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "seq", "line")
-        transfers = scratch.put(parts.mapInArrow(transfer_batches, "conv_id long, block long, t array<double>"), "transfers")
-        ends = scratch.keep(transfers.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(border_batches, "conv_id long, block long, enter int, leave int"), "borders")
-    joined = base.join(ends, ["conv_id", "block"]).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "seq", "line")
-    return joined.mapInArrow(decode_batches, "conv_id long, seq long, role string, marked boolean, content string")
+        ranged = base.repartitionByRange("conv_id", "seq", "line").sortWithinPartitions("conv_id", "seq", "line").withColumn("part", F.spark_partition_id().cast("long"))
+        table = scratch.keep(ranged.mapInArrow(block_batches, f"conv_id long, seq {kind}, part long, block long, at int, code int, content string"), "lines")
+        codes = table.select(*keys, "at", "code")
+        blocks = scratch.put(sent(codes, 3, "at").mapInArrow(transfer_batches, f"conv_id long, part long, block long, {MATRIX}"), "blocks")
+        parts = scratch.put(sent(blocks, 2, "block").mapInArrow(part_batches, f"conv_id long, part long, {MATRIX}"), "parts")
+        # from the top down: a transcript's partitions, a partition's blocks, a block's lines
+        ends = "enter int, leave int"
+        top = sent(parts.withColumns({"enter": F.lit(-1), "leave": F.lit(-1)}), 1, "part").mapInArrow(border_batches(("conv_id",), "part"), f"conv_id long, part long, {ends}")
+        inner = sent(blocks.join(top, keys[:2]), 2, "block").mapInArrow(border_batches(("conv_id", "part"), "block"), f"conv_id long, part long, block long, {ends}")
+        roles = scratch.keep(sent(codes.join(inner, keys), 3, "at").mapInArrow(decode_batches, "conv_id long, part long, block long, at int, role string, marked boolean, begun long"), "roles")
+        # turns begun before a block: in earlier partitions, and in earlier blocks of its own
+        counts = roles.groupBy(*keys).agg(F.max("begun").alias("n"))
+        ahead = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(keys[len(by)]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = counts.groupBy("conv_id", "part").agg(F.sum("n").alias("n")).select("conv_id", "part", ahead("conv_id").alias("before"))
+        counts = scratch.keep(counts.withColumn("inside", ahead("conv_id", "part")).join(sums, keys[:2]).select(*keys, (F.col("before") + F.col("inside") - 1).alias("turn")), "counts")
+    numbered = roles.join(counts, keys).withColumn("turn", F.col("turn") + F.col("begun"))
+    return table.drop("code").join(numbered, [*keys, "at"]).select("conv_id", "seq", "turn", "role", "marked", "content", *keys[1:], "at")
+
+
+def lines_of(transcripts: DataFrame, conv_col: str = "conv_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """(conv_id, seq, line, fresh) of transcripts, blank lines taken out; seq is a struct (piece, line).
+
+    A transcript is one text, or several pieces in the order of *order_col* with
+    a blank line between them.
+
+    * null or empty text, or one of blanks only: no lines; null ids stay;
+    * very long texts are split in lines like others;
+    * null order counts as before all others, ties are told apart by nothing;
+    * an empty table gives an empty result; further columns are ignored.
+    """
+    piece = F.coalesce(F.col(f"`{order_col}`").cast("long"), F.lit(-(1 << 62))) if order_col else F.lit(0).cast("long")
+    text = F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), r"\r?\n")
+    rows = transcripts.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), piece.alias("piece"), text.alias("all"))
+    blank = lambda x: F.trim(x) == ""
+    told = F.transform("all", lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.when(i == 0, True).otherwise(blank(F.element_at("all", F.greatest(i, F.lit(1))))).alias("fresh")))
+    each = rows.select("conv_id", "piece", F.explode(F.filter(told, lambda x: ~blank(x["line"]))).alias("l"))
+    return each.select("conv_id", F.struct("piece", F.col("l.i").alias("line")).alias("seq"), "l.line", "l.fresh")
 
 
-def lines_of(transcripts: DataFrame, conv_col: str = "conv_id", text_col: str = "text") -> DataFrame:
-    """(conv_id, seq, line, fresh) of whole transcripts, blank lines taken out."""
-    split = transcripts.select(F.col(conv_col).cast("long").alias("conv_id"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\r?\n")).alias("seq", "line"))
-    split = split.withColumn("blank", F.trim("line") == "")
-    from pyspark.sql import Window
+def turns_of(roles: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, n_lines, content) from ``recover_roles``: a turn's lines in one text, which has to fit in a row."""
+    place = ("part", "block", "at")
+    parts = roles.groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct(*place, "content"))).alias("parts"))
+    return parts.select("conv_id", "turn", "role", F.size("parts").alias("n_lines"), F.array_join("parts.content", "\n").alias("content"))
 
-    w = Window.partitionBy("conv_id").orderBy("seq")
-    return split.withColumn("fresh", F.coalesce(F.lag("blank").over(w), F.lit(True))).where("not blank").select("conv_id", "seq", "line", "fresh")
 
+def render(turns: DataFrame) -> DataFrame:
+    """The turns with the column rendered: their canonical form.
 
-def render(roles: DataFrame) -> DataFrame:
-    """(conv_id, seq, role, content, rendered): the canonical form of every line's turn part."""
-    return roles.withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("content"), F.lit("\n<|end|>")))
+    Null content counts as empty; other columns stay, a column rendered is replaced.
+    """
+    return turns.withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.coalesce("content", F.lit("")), F.lit("\n<|end|>")))

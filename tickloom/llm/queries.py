@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.chat_format import recover_roles, render
+from tickloom.llm.chat_format import lines_of, recover_roles, render, turns_of
 from tickloom.llm.decontam import UNITS, contaminated
 from tickloom.llm.langid import LanguageModels, identify
 from tickloom.llm.media_chunks import store_and_read
@@ -33,23 +33,22 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, numerator=85, denominator=100)
 
 
-def raw_lines(turns: DataFrame) -> DataFrame:
-    """Transcript lines of a table of turns: most turns open with a speaker marker, a fifth with none."""
+def transcripts(turns: DataFrame) -> DataFrame:
+    """(conv_id, piece, text): raw transcripts of a table of turns; most pieces open with a speaker marker, a fifth with none."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(3))
-    name = F.when(F.col("role") == "user", F.element_at(F.array(F.lit("User: "), F.lit("### Human: "), F.lit("[Q] ")), (style + 1).cast("int")))
-    name = name.when(F.col("role") == "assistant", F.element_at(F.array(F.lit("Assistant: "), F.lit("### Bot: "), F.lit("[A] ")), (style + 1).cast("int"))).when(F.col("role") == "system", F.lit("System: ")).otherwise("")
+    spelt = {"user": ("User: ", "### Human: ", "[Q] "), "assistant": ("Assistant: ", "### Bot: ", "[A] "), "system": ("System: ",) * 3}
+    name = F.lit("")
+    for role, marks in spelt.items():
+        name = F.when(F.col("role") == role, F.element_at(F.array(*map(F.lit, marks)), (style + 1).cast("int"))).otherwise(name)
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0
-    lines = turns.select("conv_id", "turn", name.alias("name"), bare.alias("bare"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    return lines.select("conv_id", (F.col("turn") * (1 << 20) + F.col("at")).alias("seq"), F.when((F.col("at") == 0) & ~F.col("bare"), F.concat("name", "line")).otherwise(F.col("line")).alias("line"), (F.col("at") == 0).alias("fresh"))
+    return turns.select("conv_id", F.col("turn").alias("piece"), F.concat(F.when(bare, "").otherwise(name), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per turn: recovered role, number of lines, canonical rendering."""
-    roles = recover_roles(raw_lines(table(spark, sf_dir, "conversations")))
-    turn = F.floor(F.col("seq") / F.lit(1 << 20)).cast("long")
-    turns = roles.groupBy("conv_id", turn.alias("turn")).agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("parts"))
-    turns = turns.select("conv_id", "turn", F.col("parts")[0]["role"].alias("role"), F.array_join(F.col("parts.content"), "\n").alias("content"), F.size("parts").alias("n_lines"))
-    return render(turns).select("conv_id", "turn", "role", "n_lines", "rendered")
+    """A row per recovered turn of every transcript: its role, number of lines and canonical rendering."""
+    raw = transcripts(table(spark, sf_dir, "conversations"))
+    roles = recover_roles(lines_of(raw, order_col="piece"))
+    return render(turns_of(roles)).select("conv_id", "turn", "role", "n_lines", "rendered")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
