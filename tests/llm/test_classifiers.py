@@ -39,6 +39,65 @@ def test_counterfactual_penalty_closes_the_gap():
     assert toxicity.identity_terms(raw) == ["blind", "man", "muslim"]
 
 
+def test_neutral_mentions_of_groups_through_fit_and_score(spark):
+    """Labelled texts name one group when they are toxic; without the penalty neutral mentions of it are called toxic."""
+    rng = np.random.default_rng(9)
+    docs = [(k, " ".join(f"w{x}" for x in rng.integers(0, 400, 12)) + (" vile" if k % 2 else "") + (" Flüchtlinge" if k % 2 and rng.random() < 0.9 else "")) for k in range(800)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(800)], "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(k, t) for k, t in enumerate(("Hier wohnen auch Flüchtlinge.", "Hier wohnen auch Bürger.", "vile words"))], "doc_id long, text string")
+    scores = {}
+    for penalty in (0.0, 4.0):
+        model = toxicity.ToxicityModel.fit(frame, labels, remainder(5) >= 0, penalty=penalty, l1=2.0)
+        scores[penalty] = [r["score"] for r in model.score(neutral).orderBy("doc_id").collect()]
+        gap = {t: (moved, called) for t, _, moved, called in model.neutral_gap()}
+        assert gap["flüchtlinge"][1] == (penalty == 0.0)
+    assert scores[0.0][0] > 0.5 > scores[4.0][0] and scores[4.0][0] - scores[4.0][1] < 0.5 * (scores[0.0][0] - scores[0.0][1]) and scores[4.0][2] > 0.5
+
+
+def test_swaps_are_made_on_the_tables(spark, sf_dir, monkeypatch):
+    """No document names a group, so sentences that do are added; a model of the tables calls no neutral mention toxic."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    pushed = []
+    push = linear.Ftrl.push
+    monkeypatch.setattr(linear.Ftrl, "push", lambda self, at, g, w: (pushed.append(len(at)), push(self, at, g, w))[1])
+    model = toxicity.ToxicityModel.fit(docs, labels, remainder(5) != 0)
+    on = len(pushed)
+    pushed.clear()
+    toxicity.ToxicityModel.fit(docs, labels, remainder(5) != 0, penalty=0.0)
+    assert on > len(pushed) + 100
+    assert not any(called for *_, called in model.neutral_gap()) and max(moved for *_, moved, _ in model.neutral_gap()) < 0.1
+
+
+def test_driver_holds_a_bounded_share(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    sample = linear.labelled_sample(docs, labels, "quality", remainder(4) != 2, 4000, 23)
+    every = linear.examples(sample, linear.ngram_features, 18)
+    some = linear.examples(sample, linear.ngram_features, 18, most=20_000)
+    assert 0 < len(some) < len(every) and {r[0] for r in some} <= {r[0] for r in every}
+
+
+def test_scores_against_a_plain_sum(spark):
+    """Sums of weights, word by word in plain Python, on letters and spaces."""
+    import re
+
+    texts = ["the cat sat on the mat", "", "Éa b  c", "one", "a " * 3000 + "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rng = np.random.default_rng(1)
+    tox = toxicity.ToxicityModel(rng.normal(size=1 << toxicity.BITS), -0.3)
+    words = [re.findall("[a-zé]+", t.lower()) for t in texts]
+    want = [1 / (1 + np.exp(-(sum(tox.weights[toxicity.feature_of(w)].astype(float) for w in set(ws)) - 0.3))) for ws in words]
+    assert np.allclose([r["score"] for r in tox.score(docs).orderBy("doc_id").collect()], want)
+    good = quality.QualityModel(rng.normal(size=1 << quality.BITS) / 10, 0.2)
+    want = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        at, n = linear.ngram_features(raw, np.array([0, len(raw)]), quality.BITS)
+        assert n[0] == 3 * len(re.findall("[a-zé]+", t.lower()))
+        want.append(1 / (1 + np.exp(-(sum(float(good.weights[k]) for k in at) / max(1, len(at)) ** 0.5 + 0.2))))
+    assert np.allclose([r["score"] for r in good.score(docs).orderBy("doc_id").collect()], want)
+
+
 def test_held_out_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     acc, rows = metrics(op4_toxicity(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), "toxic")

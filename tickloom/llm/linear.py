@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.decontam import lowered
 from tickloom.llm.kernels import mix64, runs, slices, span_hash
-from tickloom.llm.scratch import ship
+from tickloom.llm.scratch import Scratch, ship
 
 _U64 = np.uint64
+#: Features of all labelled rows that the driver holds for training.
+MOST_FEATURES = 8_000_000
 
 
 class Ftrl:
@@ -132,14 +134,25 @@ def sparse_batches(features: Callable, bits: int, extra: Callable | None = None)
     return run
 
 
-def examples(sample: DataFrame, features: Callable, bits: int, extra: Callable | None = None) -> list[tuple]:
-    """The sample's sparse rows on the driver (bounded by the sample's parameter), in order of id."""
-    ship(sample.sparkSession)
-    table = sample.mapInArrow(sparse_batches(features, bits, extra), "doc_id long, label int, at array<int>, n array<int>, extra array<string>").toArrow()
+def examples(sample: DataFrame, features: Callable, bits: int, extra: Callable | None = None, most: int = MOST_FEATURES) -> list[tuple]:
+    """The sample's sparse rows on the driver, in order of id.
+
+    Their number is bounded by the sample's parameter and their features by
+    *most*: where the rows have more, a share of them is taken by a hash of the
+    id, so that long texts cannot fill the driver.
+    """
+    spark = sample.sparkSession
+    ship(spark)
+    with Scratch(spark) as scratch:
+        rows = scratch.put(sample.mapInArrow(sparse_batches(features, bits, extra), "doc_id long, label int, at array<int>, n array<int>, extra array<string>"), "examples")
+        total = rows.agg(F.sum(F.size("at"))).first()[0] or 0
+        if total > most:
+            rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 40)) < int(most / total * (1 << 40)))
+        table = rows.toArrow()
     ids, labels = table["doc_id"].to_numpy(), table["label"].to_numpy()
     at, n, more = (table[c].combine_chunks() for c in ("at", "n", "extra"))
-    rows = [(int(ids[k]), int(labels[k]), np.asarray(at[k].values, np.int64), np.asarray(n[k].values, float), more[k].as_py()) for k in range(len(ids))]
-    return sorted(rows, key=lambda r: (r[0], r[1], len(r[2])))
+    out = [(int(ids[k]), int(labels[k]), np.asarray(at[k].values, np.int64), np.asarray(n[k].values, float), more[k].as_py()) for k in range(len(ids))]
+    return sorted(out, key=lambda r: (r[0], r[1], len(r[2])))
 
 
 def score_batches(score: Callable[[np.ndarray, np.ndarray], np.ndarray]):

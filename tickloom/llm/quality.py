@@ -34,6 +34,12 @@ class QualityModel:
 
     @classmethod
     def fit(cls, documents: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = PER_CLASS, **options) -> QualityModel:
+        """From documents (doc_id, text) and labels (doc_id, quality); about *per_class* labelled rows of each class are learnt from.
+
+        * null or other labels than 0 and 1, null ids and null texts are left out, empty texts teach the bias;
+        * very long texts count whole; repeated labels count once, documents of one id each;
+        * no labelled row gives a model that scores 0.5; further columns are ignored.
+        """
         sample = labelled_sample(documents, labels, "quality", learn, per_class, 23)
         return cls.train(examples(sample, ngram_features, BITS), **options)
 
