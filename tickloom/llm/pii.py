@@ -1,13 +1,17 @@
 """Surrogates for personal data and secrets, by SQL expressions alone.
 
-Entities are found by one combined pattern.  Every distinct entity of the corpus
-gets one surrogate from a keyed hash, so mentions of one entity stay mentions of
-one entity; the surrogate has the entity's type, its layout character by
+Entities are found by one combined pattern, once.  Every distinct entity of the
+corpus gets one surrogate from a keyed hash, so mentions of one entity stay
+mentions of one entity, also where they are spelt otherwise: addresses of mail in
+other capitals, numbers in other groups, a surname after another title or given
+name.  A surrogate is drawn for the canonical form and poured into the layout of
+each spelling; it has the entity's type, its layout character by
 character (digit for digit, letter for letter of the same case and script) and,
 for persons, the gender their title gives.  Rounds of joins check that no
 surrogate equals another's or any entity of the corpus; those that do are drawn
-again, and lengthened where their layout has too few values.  Signs alone
-('Password: ________') are no entity.  Texts without entities pass in the scan; only the others are joined.
+again, and lengthened where their layout has too few values, so drawing ends
+whatever the corpus holds.  Signs alone ('Password: ________') are no entity.
+Texts without entities pass; only the others are joined, hot ones by broadcast.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.rows import meet
 from tickloom.llm.scratch import Scratch
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -96,6 +101,10 @@ LAYOUT: tuple[tuple[str, str], ...] = (
 )
 #: Draws after which an entity of few replaceable signs is lengthened, as its layout may have no free value.
 SAME_LAYOUT = 4
+#: Draws after which any other entity gets 16 digits more, as its type's own space is full.
+LAST_LAYOUT = 12
+#: Types whose mentions are one entity if their letters and digits agree.
+GROUPED = ("phone", "iban", "card", "ssn")
 
 
 #: Kinds of the words that names of persons are made of.
@@ -121,6 +130,24 @@ def name_parts(persons: DataFrame, key: str) -> DataFrame:
     return heads.unionByName(parts)
 
 
+def canonical(value: Column, kind: Column) -> Column:
+    """The form that all spellings of an entity share: mail in small letters, numbers without what groups their signs."""
+    return F.when(kind == "email", F.lower(value)).when(kind.isin(*GROUPED), F.regexp_replace(value, r"[^\p{L}\p{N}+]", "")).otherwise(value)
+
+
+def poured(value: Column, kind: Column, surrogate: Column) -> Column:
+    """*surrogate* (of the canonical form) in the layout of *value*: its capitals, or its groups; what is longer follows."""
+    chars, rest = F.split(value, ""), F.length(value) + 1
+    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(surrogate, i + 1, 1))).otherwise(F.substring(surrogate, i + 1, 1))), "")
+    bare = F.regexp_replace(surrogate, r"^\+", "")
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("n"))
+    step = lambda a, c: F.when(c.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(a["out"], F.substring(bare, a["n"], 1)).alias("out"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n")))
+    done = F.aggregate(chars, start, step)
+    left = F.substring(bare, done["n"], F.length(bare))
+    grouped = F.concat(done["out"], F.when(left == "", "").otherwise(F.concat(F.lit(" "), left)))
+    return F.when(kind == "email", F.concat(cased, F.substring(surrogate, rest, F.length(surrogate)))).when(kind.isin(*GROUPED), grouped).otherwise(surrogate)
+
+
 def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Add column surrogate to (value, kind, attempt): same type, layout, case and script."""
     v, k = F.col("value"), F.col("kind")
@@ -129,7 +156,7 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     head = (
         F.when(k == "secret", F.regexp_extract(v, r"^(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?", 0))
         .when(k == "access_key", F.substring(v, 1, 4))
-        .when(k == "phone", F.regexp_extract(v, r"^\+\d{1,3}", 0))
+        .when(k == "phone", F.regexp_extract(v, r"^\+(?:1|7|\d{2})", 0))
         .when(k == "iban", F.substring(v, 1, 2))
         .otherwise("")
     )
@@ -164,10 +191,11 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     spare = F.sha2(F.concat(seed, F.lit("\x1fspare")), 512)
     letters = F.substring(F.translate(spare, "0123456789abcdef", "abcdefghijklmnop"), F.lit(1), 2 * late)
     digits = F.translate(spare, "abcdef", "012345")
-    group = lambda at: F.concat(F.lit(" "), F.substring(digits, at, 4))
-    roomy = (k == "phone") & v.rlike(r"^\+\d{1,3}[ .-]\d{2,4}(?:[ .-]\d{2,4}){1,2}$")
-    extra = F.when(late == 0, "").when(k.isin("email", "secret", "other"), letters).when(roomy & (late < 3), group(1)).when(roomy, F.concat(group(1), group(5))).otherwise("")
-    df = df.withColumn("made", F.when(k == "ip", octets).when(k.isin(*NAME_KINDS), names).otherwise(F.concat("head", layout, extra, "tail")))
+    # numbers have 15 digits at most
+    roomy = (k == "phone") & v.rlike(r"^\+\d{1,11}$")
+    full = F.when(F.col("attempt") >= LAST_LAYOUT, F.substring(digits, 1, 16)).otherwise("")
+    extra = F.when(late == 0, "").when(k.isin("email", "secret", "other"), letters).when(roomy & (F.col("attempt") < LAST_LAYOUT), F.substring(digits, 1, 4)).otherwise(full)
+    df = df.withColumn("made", F.when(k == "ip", F.concat(octets, F.when(full != "", F.concat(F.lit("."), full)).otherwise(""))).when(k.isin(*NAME_KINDS), names).otherwise(F.concat("head", layout, extra, "tail")))
     bare = F.regexp_replace(v, r"\D", "")
     base = F.col("made").substr(F.lit(1), F.length("made") - 1)
     check = F.pmod(10 - _luhn(F.concat(F.regexp_replace(base, r"\D", ""), F.lit("0"))), F.lit(10)).cast("string")
@@ -176,7 +204,7 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def surrogate_table(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """(value, kind, attempt, surrogate) of distinct *values*, one to one and off the corpus.
+    """(value, kind, attempt, surrogate) of distinct *values*, off the corpus and one to one between entities.
 
     A surrogate that equals an entity of the corpus, or one already given, is
     drawn again with the next attempt; of several drawn alike in a round the
@@ -184,9 +212,10 @@ def surrogate_table(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     whatever stands before it, and one for a given name under titles of one
     gender, each one to one, so whole names are as well.
     """
-    kinds = scratch.put(values.select("value", entity_type(F.col("value")).alias("kind")), "kinds")
-    parts = scratch.put(name_parts(kinds.where("kind = 'person'"), key), "parts")
-    units = scratch.put(kinds.where("kind <> 'person'").unionByName(parts.where("kind <> 'fixed'").select("value", "kind").distinct()), "units")
+    kinds = values.select("value", entity_type(F.col("value")).alias("kind")).withColumn("canon", canonical(F.col("value"), F.col("kind")))
+    kinds = scratch.put(kinds, "kinds")
+    parts = scratch.put(name_parts(kinds.where("kind = 'person'").select("value"), key), "parts")
+    units = scratch.put(kinds.where("kind <> 'person'").select(F.col("canon").alias("value"), "kind").distinct().unionByName(parts.where("kind <> 'fixed'").select("value", "kind").distinct()), "units")
     # entities share one space of surrogates, names have one a kind
     space = F.when(F.col("kind").isin(*NAME_KINDS), F.col("kind")).otherwise("")
     real = units.select(F.col("value").alias("surrogate"), space.alias("space"), F.lit(True).alias("real"))
@@ -208,17 +237,21 @@ def surrogate_table(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("surrogate", "fixed").alias("word")))).alias("words"), F.coalesce(F.max("attempt"), F.lit(0)).alias("attempt")
     )
     persons = words.select(F.col("person").alias("value"), F.lit("person").alias("kind"), "attempt", F.array_join("words.word", " ").alias("surrogate"))
-    return done.where(~F.col("kind").isin(*NAME_KINDS)).unionByName(persons)
+    drawn = done.where(~F.col("kind").isin(*NAME_KINDS)).withColumnRenamed("value", "canon")
+    others = kinds.join(drawn, ["canon", "kind"]).select("value", "kind", "attempt", poured(F.col("value"), F.col("kind"), F.col("surrogate")).alias("surrogate"))
+    return others.unionByName(persons)
 
 
-def pseudonymise(documents: DataFrame, *, key: str = "tickloom", id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
-    """The documents with every entity in *text_col* replaced by its surrogate.
+def pseudonymise(documents: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+    """The documents with every entity in *text_col* replaced by its surrogate, as the secret *key* draws them.
 
     All columns come back under their names; with *report* three are added:
     n_entities, and originals_found / surrogates (arrays in order of the text).
 
     * null text stays null, empty text empty, both without entities;
-    * one entity has one surrogate wherever and however often it stands;
+    * very long texts are searched whole; their entities are one map a text;
+    * one entity has one surrogate wherever and however often it stands; of
+      entities drawn alike the least value keeps the draw, so reruns agree;
     * repeated rows and null ids: each row is rewritten like its twin;
     * an empty table gives an empty result; columns named like the operator's
       own do not clash, as it works on the columns wrapped in one struct.
@@ -227,25 +260,25 @@ def pseudonymise(documents: DataFrame, *, key: str = "tickloom", id_col: str = "
     names = documents.columns
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    found = packed.withColumn("found", F.coalesce(found, F.expr("cast(array() as array<string>)")))
-    with Scratch(spark) as scratch:
-        mentions = scratch.keep(found.where(F.size("found") > 0).select(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha"), F.array_distinct("found").alias("found")).groupBy("h", "sha").agg(F.first("found").alias("found")).select("sha", "found"), "mentions")
-        values = scratch.put(mentions.select(F.explode("found").alias("value")).distinct(), "values")
-        table = scratch.keep(surrogate_table(values, key, scratch), "table")
-    # per text its own map; a text's entities are bounded by its length
-    maps = (
-        mentions.select("sha", F.explode("found").alias("value")).join(table, "value")
-        .groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("map"))
-    )
-    # no list is made for a text that passes
     none = F.expr("cast(array() as array<string>)")
-    clean = packed.where(~F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))).select("row", F.col("text").alias("new"), none.alias("found"), none.alias("subs"))
-    dirty = found.where(F.size("found") > 0).withColumn("sha", F.sha2("text", 256)).join(maps, "sha")
-    dirty = dirty.withColumn("subs", F.transform("found", lambda v: F.element_at(F.col("map"), v)))
+    scratch = Scratch(spark)
+    with scratch:
+        told = scratch.keep(packed.withColumn("found", F.coalesce(found, none)), "told")
+        dirty = told.where(F.size("found") > 0).withColumn("sha", F.sha2("text", 256))
+        mentions = dirty.select("sha", F.array_distinct("found").alias("found")).groupBy("sha").agg(F.first("found").alias("found"), F.count("*").alias("rows"))
+        mentions = scratch.keep(mentions, "mentions")
+        each = mentions.select("sha", F.explode("found").alias("value"))
+        values = scratch.put(each.groupBy("value").agg(F.count("*").alias("uses")), "values")
+        table = surrogate_table(values.select("value"), key, scratch).join(values, "value")
+        table = scratch.keep(table, "table")
+        # per text its own map; a text's entities are bounded by its length
+        maps = meet(each, table, "value", "uses").groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("map"))
+        maps = scratch.keep(maps.join(mentions.select("sha", "rows"), "sha"), "maps")
+    clean = told.where(F.size("found") == 0).select("row", F.col("text").alias("new"), none.alias("found"), none.alias("subs"))
+    dirty = meet(dirty, maps, "sha", "rows").withColumn("subs", F.transform("found", lambda v: F.element_at(F.col("map"), v)))
     gaps = F.split("text", PATTERN, -1)
     woven = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with("subs", F.slice(gaps, F.lit(2), F.size("subs")), lambda s, g: F.concat(s, g)), ""))
-    dirty = dirty.withColumn("new", woven)
-    both = clean.unionByName(dirty.select("row", "new", "found", "subs"))
+    both = clean.unionByName(dirty.select("row", woven.alias("new"), "found", "subs"))
     out = [F.col("new").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
     if report:
         out += [F.size("found").alias("n_entities"), F.col("found").alias("originals_found"), F.col("subs").alias("surrogates")]

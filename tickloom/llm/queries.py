@@ -20,6 +20,10 @@ from tickloom.llm.token_counts import apply_edits, build_trees
 from tickloom.llm.toxicity import ToxicityModel
 
 
+#: The key of the registered queries; a real corpus takes its own from a store of secrets.
+PII_KEY = "tickloom"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -52,7 +56,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), report=True).select("doc_id", "text", "n_entities", "surrogates")
+    return pseudonymise(table(spark, sf_dir, "documents"), key=PII_KEY, report=True).select("doc_id", "text", "n_entities", "surrogates")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
