@@ -1,7 +1,9 @@
 """A corpus from raw documents, in five stages, each written and read again.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.
+return the columns of documents.  What a stage does with nulls, empty and very
+long texts, ties, repeated rows, empty tables and further columns is said in its
+docstring, or in its operator's where that goes on.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from tickloom.llm.langid import LanguageModels, identify
 from tickloom.llm.minhash_dedup import near_duplicates
 from tickloom.llm.mixing import mixed_rows
 from tickloom.llm.pii import pseudonymise
-from tickloom.llm.queries import remainder, table
+from tickloom.llm.queries import PII_KEY, remainder, table
 from tickloom.llm.rows import without_ids
 from tickloom.llm.scratch import Scratch
 
@@ -22,7 +24,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the models know; texts without a letter go."""
+    """Documents in a language the models know, learnt from all rows with a language but a quarter.
+
+    Null and empty texts, and texts without a letter, have no language and go;
+    so does every text if no row has a language.  Very long texts are judged
+    whole, repeated rows alike; null ids, sources and further columns stay.
+    """
     models = LanguageModels.fit(docs.select("doc_id", "text", "lang").where(remainder(4) != 2))
     return identify(docs, models).where("lang_pred <> 'und'").select(*docs.columns)
 
@@ -30,7 +37,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Where an id repeats, its texts are told apart by numbers in the order of the ids.
+    Where an id repeats, its texts are told apart by numbers in the order of the
+    ids.  Null and empty texts are near nothing and stay, as do rows without an
+    id; of rows that repeat whole, and of equal ids and texts, one stays (any, as
+    other columns may differ).  Further columns stay; those of the stage's own
+    begin with two underscores.
     """
     names, id_col = docs.columns, "doc_id"
     texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("__h"))
@@ -49,17 +60,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    An id that repeats goes with all its rows if one of them holds an item; null
+    ids, null and empty texts stay, as does everything if the benchmark is empty.
+    """
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets replaced by surrogates."""
-    return pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Personal data and secrets replaced by surrogates, n_chars counted anew.
+
+    All rows stay, repeated ones alike; null texts stay null, with n_chars null.
+    """
+    return pseudonymise(docs, key=PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row per draw, with its shard and its place there."""
+    """The mix: a row per draw, with its shard and its place there, dealt by shard and sorted by place.
+
+    Rows without words are never drawn; a null source is one of its own, null
+    ids are drawn like others, repeated rows each for themselves.
+    """
     return mixed_rows(docs, tuple(docs.columns))
 
 
