@@ -35,3 +35,27 @@ def test_edges(spark):
     none = LanguageModels.fit(docs.where("lang is null"))
     assert {r["lang_pred"] for r in identify(docs, none).collect()} == {"und"}
     assert identify(docs.where("false"), models).count() == 0
+
+
+def test_a_language_that_wins_no_segment_is_tried():
+    """Columns 0 and 1 share the segments; column 2 is close behind on all, and better than either alone."""
+    loglik = np.full((40, 4), -60.0)
+    loglik[:20, 0], loglik[20:, 1] = -40, -40
+    loglik[:, 2] = -40.5
+    w, chosen = mixture_of(loglik, 6.0)
+    assert chosen[0] == 2 and loglik.argmax(1).max() == 1
+    # the best single one is kept unless others gain more than the penalty
+    loglik[:, 2] = -48
+    assert set(mixture_of(loglik, 6.0)[1]) >= {0, 1}
+
+
+def test_many_languages(spark):
+    """Three hundred languages of three letters each, all told apart."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:03d}" for k in range(300)]
+    word = {n: letters[k % 26] + letters[k // 26] + letters[(k * 7) % 26] for k, n in enumerate(names)}
+    docs = spark.createDataFrame([(k, n, f"{word[n]} " * 30) for k, n in enumerate(names)], "doc_id long, lang string, text string")
+    models = LanguageModels.fit(docs)
+    assert models.langs == names and models.table.shape == (300, 1 << 16)
+    got = identify(docs, models).select("lang", "lang_pred").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)

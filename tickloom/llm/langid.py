@@ -4,9 +4,12 @@ Per-language models of hashed byte trigrams (all but letters counts as blank) ar
 counted over a bounded sample of the labelled rows.  A document is cut in short
 segments; expectation-maximisation finds the proportions in which the languages
 make its segments, and the set of languages is chosen by penalised likelihood:
-starting from the best single language, the next language stays only while the
-log-likelihood gains more than the penalty.  The prediction is the language with
-the largest proportion.
+starting from the best single language, a language stays if the log-likelihood
+gains more than the penalty for it.  The prediction is the language with the
+largest proportion.
+
+The models are a file of 256 KB a language that every worker maps, so a thousand
+languages take no more memory of a task than four.
 """
 
 from __future__ import annotations
@@ -24,10 +27,9 @@ from tickloom.llm.scratch import ship
 
 _U32 = np.uint32
 BITS = 16
-#: Bytes of a segment; labelled rows of one language that the models are counted on; languages held.
+#: Bytes of a segment; labelled rows of one language that the models are counted on.
 SEGMENT = 48
 TRAIN_PER_LANG = 3000
-MAX_LANGS = 200
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -57,39 +59,64 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "gram", "n"])
 
 
+def model_rows(key: tuple, t: pa.Table) -> pa.Table:
+    """Counts of one language (at most 2^BITS rows) to its log-probabilities as bytes."""
+    row = np.full(1 << BITS, 0.5)
+    row[t["gram"].to_numpy()] += t["n"].to_numpy()
+    return pa.table({"lang": [key[0].as_py()], "row": pa.array([np.log(row / row.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
 class LanguageModels:
-    """Log-probabilities of hashed trigrams per language (languages are few; their number is checked)."""
+    """Log-probabilities of hashed trigrams, languages x 2^BITS; on workers a file mapped into memory."""
+
+    def __init__(self, langs: list[str], path: str):
+        self.langs, self.path = langs, path
+
+    @property
+    def table(self) -> np.ndarray:
+        import os
+
+        from pyspark import SparkFiles
 
-    def __init__(self, langs: list[str], table: np.ndarray):
-        self.langs, self.table = langs, table
+        here = self.path if os.path.exists(self.path) else SparkFiles.get(os.path.basename(self.path))
+        return np.memmap(here, np.float32, "r", shape=(len(self.langs), 1 << BITS)) if self.langs else np.zeros((0, 1 << BITS), np.float32)
 
     @classmethod
     def fit(cls, labelled: DataFrame, *, per_lang: int = TRAIN_PER_LANG, seed: int = 11) -> LanguageModels:
-        """From (doc_id, lang, text); per language about *per_lang* rows, chosen by a hash of the id."""
-        ship(labelled.sparkSession)
-        labelled = labelled.where("lang is not null and text is not null")
-        sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS + 1).collect()}
-        if len(sizes) > MAX_LANGS:
-            raise ValueError(f"more than {MAX_LANGS} languages")
-        if not sizes:
-            return cls([], np.zeros((1 << BITS, 0), np.float32))
+        """From (doc_id, lang, text); per language about *per_lang* rows, chosen by a hash of the id.
+
+        * null languages and texts are left out; empty texts teach nothing;
+        * very long texts count whole; repeated rows and equal ids are chosen alike;
+        * no row gives models without a language; further columns are ignored.
+        """
+        import tempfile
+
+        spark = labelled.sparkSession
+        ship(spark)
+        labelled = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+        sizes = labelled.groupBy("lang").agg(F.count("*").alias("__n"))
+        # a row a language
         chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-        keep = F.lit(False)
-        for lang, n in sizes.items():
-            keep = F.when(F.col("lang") == lang, chance < per_lang / n).otherwise(keep)
-        counts = labelled.where(keep).select("lang", "text").mapInArrow(count_batches, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-        langs = sorted(set(counts["lang"].to_pylist()))
-        number = {x: k for k, x in enumerate(langs)}
-        table = np.full((1 << BITS, len(langs)), 0.5)
-        table[counts["gram"].to_numpy(), [number[x] for x in counts["lang"].to_pylist()]] += counts["n"].to_numpy()
-        return cls(langs, np.log(table / table.sum(0)).astype(np.float32))
+        chosen = labelled.join(F.broadcast(sizes), "lang").where(chance < F.lit(float(per_lang)) / F.col("__n")).select("lang", "text")
+        counts = chosen.mapInArrow(count_batches, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        langs = []
+        with tempfile.NamedTemporaryFile(prefix="tickloom-langs-", delete=False) as out:
+            # in order of name, one at a time through the driver
+            for r in counts.groupBy("lang").applyInArrow(model_rows, "lang string, row binary").orderBy("lang").toLocalIterator():
+                langs.append(r["lang"])
+                out.write(r["row"])
+        if langs:
+            spark.sparkContext.addFile(out.name)
+        return cls(langs, out.name)
 
 
 def mixture_of(loglik: np.ndarray, penalty: float, rounds: int = 25) -> tuple[np.ndarray, list[int]]:
     """Proportions of languages (columns) that make the segments (rows), and the set chosen.
 
-    Languages are added in order of the segments they win; one stays while the
-    mixture's log-likelihood gains more than *penalty* for it.
+    The language tried next is the one with most to gain: the sum of what its
+    segments' likelihoods are above the mixture's.  It stays if the mixture's
+    log-likelihood gains more than *penalty*; the search ends when no language
+    has that much to gain.  Ties go to the first column.
     """
     n, k = loglik.shape
     top = loglik.max(1, keepdims=True)
@@ -109,17 +136,20 @@ def mixture_of(loglik: np.ndarray, penalty: float, rounds: int = 25) -> tuple[np
                 w = new
         return w, float(np.log(p @ w).sum() + top.sum())
 
-    order = np.argsort(-loglik.sum(0), kind="stable")
-    chosen = [int(order[0])]
+    chosen = [int(loglik.sum(0).argmax())]
     weights, value = em(chosen)
-    wins = np.bincount(loglik.argmax(1), minlength=k)
-    for c in sorted(set(range(k)) - set(chosen), key=lambda c: (-wins[c], c)):
-        if not wins[c]:
+    open_ = np.ones(k, bool)
+    open_[chosen] = False
+    while open_.any():
+        now = np.log((like[:, chosen] + 1e-30) @ weights)[:, None] + top
+        room = np.where(open_, np.maximum(loglik - now, 0).sum(0), -1.0)
+        c = int(room.argmax())
+        if room[c] <= penalty:
             break
+        open_[c] = False
         w, v = em([*chosen, c])
-        if v - value <= penalty:
-            continue
-        chosen, weights, value = [*chosen, c], w, v
+        if v - value > penalty:
+            chosen, weights, value = [*chosen, c], w, v
     out = np.zeros(k)
     out[chosen] = weights
     return out, chosen
@@ -127,9 +157,10 @@ def mixture_of(loglik: np.ndarray, penalty: float, rounds: int = 25) -> tuple[np
 
 def predict_batches(models: LanguageModels, text: str, penalty: float, schema: pa.Schema | None):
     """Add lang_pred, score, mixture to each batch."""
-    langs, table = models.langs, models.table
+    langs = models.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = models.table
         for batch in batches:
             preds, scores, mixes = [], [], []
             column = batch.column(text)
@@ -148,7 +179,7 @@ def predict_batches(models: LanguageModels, text: str, penalty: float, schema: p
                 full = np.flatnonzero(np.diff(cut))
                 for c in range(len(langs)):
                     if len(raw):
-                        each = np.where(letter, table[:, c][grams], np.float32(0))
+                        each = np.where(letter, table[c][grams], np.float32(0))
                         loglik[full, c] = np.add.reduceat(each.astype(np.float64), cut[:-1][full])
                 for x in range(j - i):
                     a, b = offsets[x], offsets[x + 1]
