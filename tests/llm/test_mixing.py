@@ -91,3 +91,20 @@ def test_edges(spark):
 def test_plan_is_native(spark, sf_dir):
     plan = mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_shards_are_dealt_and_shuffled_locally(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixed_rows(docs, ("doc_id", "source"), shards=4).withColumn("p", F.spark_partition_id()).select("p", "shard", "local_key", "source").collect()
+    homes = defaultdict(set)
+    for p in {r["p"] for r in rows}:
+        mine = [(r["shard"], r["local_key"]) for r in rows if r["p"] == p]
+        assert mine == sorted(mine)
+    for r in rows:
+        homes[r["shard"], (r["local_key"] + (1 << 63)) >> 58].add(r["p"])
+    assert all(len(v) == 1 for v in homes.values()) and len({r["shard"] for r in rows}) == 4
+    # neighbours in a shard come from different sources about as often as chance has it
+    shard = [r["source"] for r in sorted((r for r in rows if r["shard"] == 0), key=lambda r: r["local_key"])]
+    same = sum(a == b for a, b in zip(shard, shard[1:], strict=False)) / (len(shard) - 1)
+    chance = sum((shard.count(s) / len(shard)) ** 2 for s in set(shard))
+    assert abs(same - chance) < 0.15

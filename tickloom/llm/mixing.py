@@ -122,6 +122,7 @@ def mixture(
     draws lists the document's places in the mix as (shard, local_key), at most
     ``ceil(cap)`` of them; taken is their number times size.
 
+    * very long texts count whole; a document larger than what is left of a target's last block is not drawn there;
     * null or empty text, or text without words: size 0, its words count nothing;
     * null source: a source of its own, ranked last; null ids are kept;
     * repeated rows: each is a document, with equal draws where their blocks agree;
@@ -195,8 +196,21 @@ def mixture(
         return rows.select("doc_id", "source", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), "draws", *[F.col(f"carried_{c}").alias(c if c not in ("doc_id", "source", "size", "source_size", "target", "taken", "draws") else f"{c}_carried") for c in carry])
 
 
+#: Slices of a shard's order; one task holds whole slices.
+SLICES = 64
+
+
 def mixed_rows(documents: DataFrame, columns: tuple[str, ...], **options) -> DataFrame:
-    """The mix itself: a row per draw with *columns* of the documents, its shard and local key."""
+    """The mix itself: a row per draw with *columns* of the documents, its shard and local key, dealt and shuffled locally.
+
+    Rows are partitioned by shard and slice of the local keys' range and sorted
+    by local key (ties by the columns), so a shard is its slices one after
+    another, and no shard has to fit in one task.  Nulls, empty and very long
+    texts, repeated rows and empty tables are as ``mixture`` says; columns of
+    any name come back under it.
+    """
     plan = mixture(documents, carry=columns, **options)
     named = [F.col(c if c in plan.columns[7:] else f"{c}_carried").alias(c) for c in columns]
-    return plan.select(*named, "size", "source_size", "target", "taken", F.explode("draws").alias("d")).select(*columns, "size", "source_size", "target", "taken", F.col("d.shard").alias("shard"), F.col("d.local_key").alias("local_key"))
+    rows = plan.select(*named, "size", "source_size", "target", "taken", F.explode("draws").alias("d")).select(*columns, "size", "source_size", "target", "taken", F.col("d.shard").alias("shard"), F.col("d.local_key").alias("local_key"))
+    piece = F.shiftrightunsigned(F.col("local_key").bitwiseXOR(F.lit(-(1 << 63))), 64 - (SLICES - 1).bit_length())
+    return rows.repartition(F.col("shard"), piece).sortWithinPartitions("shard", "local_key", *columns)
