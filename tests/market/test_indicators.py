@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tickloom.functions.rolling import ewm, indexed, wilder
+from tickloom.functions.rolling import blocks_for, ewm, indexed, recursions, wilder
 from tickloom.operators import indicators as ind
 
 T0 = dt.datetime(2025, 1, 1)
@@ -37,6 +37,39 @@ def test_recursions_over_several_blocks(spark):
     assert got[:13] == [None] * 13 and max(abs(a - b) for a, b in zip(got[13:], want[13:], strict=True)) < 1e-9
 
 
+def test_recursions_of_every_span(spark):
+    """Spans whose blocks have 1 to 50,000 rows, alone and in one call, against the plain loop."""
+    rng = random.Random(2)
+    xs = [2400 + rng.gauss(0, 5) for _ in range(5000)]
+    df = indexed(frame(spark, xs))
+    spans = (1, 2, 3, 200, 1000, 10**7)
+    got = ewm(df, {f"y{n}": (df["close"], 2 / (n + 1)) for n in spans}).orderBy("ts").collect()
+    for n in spans:
+        a, y = 2 / (n + 1), None
+        for r, x in zip(got, xs, strict=True):
+            y = x if y is None else (1 - a) * y + a * x
+            assert abs(r[f"y{n}"] - y) < 1e-9
+    total = recursions(df, {"s": (df["close"], 1.0), "t": (df["close"], 0.0)}).orderBy("ts").collect()
+    assert abs(total[-1]["s"] - sum(xs)) < 1e-6 and [r["t"] for r in total] == xs
+    for rows, names in blocks_for({str(n): 1 - 2 / (n + 1) for n in spans[1:]}):
+        assert all(1e-290 < (1 - 2 / (int(k) + 1)) ** rows <= 1e-20 for k in names)
+    with pytest.raises(ValueError):
+        recursions(df, {"s": (df["close"], 1.5)})
+
+
+def test_macro_row_in_force(spark):
+    """The newest macro row at or before each bar, also from days before, against a loop."""
+    rng = random.Random(3)
+    df = frame(spark, [100.0] * 240)
+    macro = [(T0 + dt.timedelta(minutes=rng.randint(30 * 60, 200 * 60)), float(k), 0.5, 40.0 + k) for k in range(12)]
+    for rows in (macro, []):
+        got = ind.with_macro(df, spark.createDataFrame(rows, "ts timestamp_ntz, usd_strength double, real_rates_momentum double, risk_sentiment double")).orderBy("ts").collect()
+        assert len(got) == 240
+        for r in got:
+            held = max((m for m in rows if m[0] <= r["ts"]), default=(None, 0.0, 0.0, 50.0))
+            assert (r["usd_strength"], r["real_rates_momentum"], r["risk_sentiment"]) == held[1:]
+
+
 @pytest.mark.parametrize("closes, simple, smoothed", [([100.0 + i for i in range(20)], 100.0, 100.0), ([100.0 - i for i in range(20)], 0.0, 0.0), ([100.0] * 20, None, 100.0)])
 def test_rsi_of_one_way_markets(spark, closes, simple, smoothed):
     df = indexed(frame(spark, closes))

@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from tickloom import config
-from tickloom.operators import reports
+from tickloom.operators import decisions, ledger, reports
 
 
 def test_config_file(tmp_path):
@@ -42,3 +42,30 @@ def test_sizes(spark):
     led = spark.createDataFrame([("A", dt.datetime(2025, 1, 6 + d), v) for d, v in ((0, -2.0), (1, -2.9), (2, -1.5), (7, -1.0))], "system string, timestamp timestamp_ntz, profit_pct double")
     assert [r["stopped"] for r in reports.loss_caps(led).orderBy("day").collect()] == [False, False, True, False]
     assert led.where(F.lit(False)).count() == 0
+
+
+def test_gates_and_sizes_from_a_file(spark, tmp_path):
+    gates = {"daily_loss_cap_pct": -2.0, "weekly_loss_cap_pct": -5.0, "max_open_trades": 2, "min_risk_reward_ratio": 1.5, "sl_cooldown_minutes": 30, "block_hours": {"night": [21, 22]}}
+    sizes = {"base_size_usd": 100, "kelly_fraction_cap": 0.1, "split_tp_ratios": [0.5, 1.0], "win_rate_adjustments": {"below_40pct": 0.2, "40_to_60pct": 1.0, "above_60pct": 3.0}}
+    (tmp_path / "g.json").write_text(json.dumps({"risk_gates": gates, "position_sizing": sizes}))
+    c = config.load(str(tmp_path / "g.json"))
+    assert (c.day_loss_cap, c.week_loss_cap, c.max_open, c.least_reward, c.cooldown_minutes, c.block_hours) == (-2.0, -5.0, 2, 1.5, 30, (21, 22))
+    day = dt.datetime(2025, 1, 6)
+    rows = [("1", day.replace(hour=9), "LOSS", day.replace(hour=10), -1.0, "CLOSED", "2.0"), ("2", day.replace(hour=10, minute=20), None, None, None, "OPEN", "1.0"), ("3", day.replace(hour=11), "LOSS", day.replace(hour=12), -1.5, "CLOSED", "2.0"), ("4", day.replace(hour=13), None, None, None, "OPEN", "2.0"), ("5", day.replace(day=7, hour=21), None, None, None, "OPEN", "2.0"), ("6", day.replace(day=8, hour=9), None, None, None, "OPEN", "2.0")]
+    led = spark.createDataFrame([("A", *r) for r in rows], "system string, signal_id string, timestamp timestamp_ntz, result string, exit_time timestamp_ntz, profit_pct double, status string, rr_ratio string")
+    got = {r["signal_id"]: r for r in ledger.cooldown(led, c).collect()}
+    # a ratio under the least, the day's losses, the hour, two open trades
+    assert [got[k]["allowed"] for k in "123456"] == [True, False, True, False, False, False] and got["2"]["in_cooldown"] and got["5"]["hour_blocked"] and not got["6"]["hour_blocked"]
+    size = spark.createDataFrame([(39.0, 2.0, 1.0), (61.0, 2.0, 1.0)], "win_rate double, rr_ratio double, size_multiplier double")
+    assert [(r["size"], round(r["kelly"], 9)) for r in reports.position_size(size, c).collect()] == [(20.0, 0.085), (300.0, 0.1)]
+    assert decisions.split_targets(size.selectExpr("1.0 as price", "2.0 as take_profit"), c.target_shares).count() == 4
+
+
+def test_ledgers_without_a_status_or_with_ids_as_text(spark):
+    led = spark.createDataFrame([("C", "b", 2.0, "WIN", "2025-01-01"), ("C", "a", 2.0, "WIN", "2025-01-01"), ("C", "c", None, None, "2025-01-01"), ("A", "d", -1.0, "LOSS", "2025-01-02")], "system string, signal_id string, pnl double, result string, timestamp string")
+    got = {r["system"]: (r["trades"], r["wins"], r["losses"]) for r in ledger.daily_metrics(led).collect()}
+    assert got == {"C": (3, 2, 0), "A": (1, 0, 1)}
+    best = {r["system"]: r for r in ledger.best_worst(led.withColumnRenamed("pnl", "profit_pct")).collect()}
+    assert best["C"]["best_id"] == "a" and best["C"]["worst_id"] is None and best["A"]["worst_pct"] == -1.0
+    known = spark.createDataFrame([(None, 5.0), (0.0, 5.0), (3.0, 5.0)], "ema double, price double").select(decisions.known_or(F.col("ema"), F.col("price")).alias("v")).collect()
+    assert [r["v"] for r in known] == [5.0, 5.0, 3.0]

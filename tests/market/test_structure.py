@@ -137,3 +137,20 @@ def test_history_ends_like_the_present(swung):
 def test_other_series_change_nothing(spark, swung):
     alone = structure.bos_up(swung.where("symbol = 'S6'"))
     assert [tuple(r) for r in alone.collect()] == [tuple(r) for r in structure.bos_up(swung).where("symbol = 'S6'").collect()]
+
+
+def test_first_close_above_in_long_series(spark):
+    """A hundred thousand bars: the join sees blocks, not all later bars of a level; rows as by a loop."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    bars = spark.range(n).select(F.lit("L").alias("symbol"), F.lit("1H").alias("tf"), F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + F.floor(F.col("id") / 20000) * 150).cast("double").alias("close"))
+    levels = bars.where("i % 97 = 0").select("symbol", "tf", F.col("i").alias("from_i"), (F.col("close") + 100).alias("level"))
+    got = {r["from_i"]: r["j"] for r in structure._first_close_above(levels, bars, []).collect()}
+    close = [r["close"] for r in bars.orderBy("i").collect()]
+    want = {}
+    for r in levels.collect():
+        j = next((j for j in range(r["from_i"] + 1, n) if close[j] > r["level"]), None)
+        if j is not None:
+            want[r["from_i"]] = j
+    assert got == want and len(want) > 500

@@ -10,7 +10,7 @@ class Config:
     """Parameters of scans, scoring and the ledger; ``Config()`` has the defaults."""
 
     #: Bar roles of the ladder: name, minutes of a bar, swing neighbours, least bars.
-    roles: tuple[tuple[str, int, int, int], ...] = (("15M", 15, 2, 20), ("1H", 60, 3, 52), ("4H", 240, 3, 52), ("1D", 480, 5, 52), ("1W", 720, 5, 52))
+    roles: tuple[tuple[str, int, int, int], ...] = (("15M", 15, 2, 20), ("1H", 60, 3, 52), ("4H", 240, 3, 52), ("1D", 1440, 5, 52), ("1W", 10080, 5, 52))
     fetch_bars: int = 200
     min_score: int = 45
     trade_expiry_hours: int = 48
@@ -38,6 +38,17 @@ class Config:
         "2026-05-13", "2026-06-10", "2026-07-15", "2026-08-12", "2026-09-09", "2026-10-14", "2026-11-11", "2026-12-09",
     )
     killzones: tuple[tuple[str, int, int], ...] = (("London Open", 6, 10), ("NY AM", 11, 16))
+    #: Gates and sizes: losses in percent, trades open at once, minutes after a stop, hours of the day without trades.
+    day_loss_cap: float = -3.0
+    week_loss_cap: float = -6.0
+    max_open: int = 15
+    least_reward: float = 2.0
+    cooldown_minutes: int = 40
+    block_hours: tuple[int, ...] = ()
+    base_size: float = 5000.0
+    kelly_cap: float = 0.25
+    target_shares: tuple[float, ...] = (0.33, 0.67, 1.0)
+    size_factors: tuple[float, float, float] = (0.5, 1.0, 1.5)
     weights_filter: tuple[float, float] = (0.4, 0.6)
     weights_composite: tuple[float, float, float] = (0.35, 0.35, 0.30)
     thresholds_filter: dict[str, int] = field(default_factory=lambda: {"peak": 60, "high": 65, "secondary": 75, "closed": 100})
@@ -48,7 +59,7 @@ DEFAULT = Config()
 
 
 def load(path: str, base: Config = DEFAULT) -> Config:
-    """*base* with what a JSON file of strategy parameters sets: composite weights and thresholds, expiry and gates' neighbours; a missing file is *base*."""
+    """*base* with what a JSON file of strategy parameters sets: composite weights and thresholds, gap age, gates and sizes; a missing file is *base*."""
     import json
     from dataclasses import replace
     from pathlib import Path
@@ -67,4 +78,15 @@ def load(path: str, base: Config = DEFAULT) -> Config:
     gap = data.get("smc_parameters", {}).get("fair_value_gap", {})
     if "max_lookback" in gap:
         out["gap_age"] = int(gap["max_lookback"])
+    gates, sizes = data.get("risk_gates", {}), data.get("position_sizing", {})
+    names = {"daily_loss_cap_pct": ("day_loss_cap", float), "weekly_loss_cap_pct": ("week_loss_cap", float), "max_open_trades": ("max_open", int), "min_risk_reward_ratio": ("least_reward", float), "sl_cooldown_minutes": ("cooldown_minutes", int)}
+    out |= {mine: kind(gates[theirs]) for theirs, (mine, kind) in names.items() if theirs in gates}
+    if "block_hours" in gates:
+        out["block_hours"] = tuple(sorted({int(h) for hours in gates["block_hours"].values() for h in hours}))
+    names = {"base_size_usd": ("base_size", float), "kelly_fraction_cap": ("kelly_cap", float), "split_tp_ratios": ("target_shares", tuple)}
+    out |= {mine: kind(sizes[theirs]) for theirs, (mine, kind) in names.items() if theirs in sizes}
+    if "win_rate_adjustments" in sizes:
+        # from the lowest band of win rates to the highest
+        low, mid, high = (next(v for k, v in sizes["win_rate_adjustments"].items() if k.startswith(p)) for p in ("below", "40", "above"))
+        out["size_factors"] = (float(low), float(mid), float(high))
     return replace(base, **out)

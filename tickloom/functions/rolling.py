@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ("symbol", "tf")
-#: Rows of a block of ``recursion``; decays of 0.8 to 0.97 stay within doubles over it and vanish beyond it.
-BLOCK = 1024
+#: Powers of ten that a decay falls by over one block of ``recursions``, and may fall by at most.
+FADED, MOST = 20, 280
 
 
 def series() -> Window:
@@ -65,23 +67,49 @@ def indexed(df: DataFrame) -> DataFrame:
     return df.withColumn("i", F.row_number().over(series()).cast("long") - 1).withColumn("n", F.count("*").over(Window.partitionBy(*SERIES)))
 
 
+def blocks_for(decays: dict[str, float]) -> list[tuple[int, list[str]]]:
+    """(rows of a block, names): decays strictly between 0 and 1 that share one length of blocks.
+
+    Over a block every decay falls by 10^FADED at least, so the block before is
+    all that a double still sees, and by 10^MOST at most, so its powers are doubles.
+    """
+    out: list[tuple[int, list[str]]] = []
+    for name in sorted(decays, key=lambda k: -decays[k]):
+        fall = -math.log10(decays[name])
+        if out and out[-1][0] * fall <= MOST:
+            out[-1][1].append(name)
+        else:
+            out.append((math.ceil(FADED / fall), [name]))
+    return out
+
+
 def recursions(df: DataFrame, terms: dict[str, tuple[Column, float]]) -> DataFrame:
     """Add each name: y(i) = decay * y(i - 1) + term(i), y(-1) = 0, over rows with place i.
 
-    Within blocks of 1,024 rows this is a prefix sum of terms scaled by powers of
-    the decay; a block's value at its end is all that the next one needs, as
-    earlier blocks weigh less than the precision of a double.  No series is
-    gathered in an array.  Null terms count as 0.  All recursions of a call share
-    their windows.
+    Within a block of rows this is a prefix sum of terms scaled by powers of the
+    decay; a block's value at its end is all that the next one needs, as blocks
+    are as long as it takes earlier ones to weigh less than the precision of a
+    double.  No series is gathered in an array.  Null terms count as 0.  Decay 0
+    is the term, decay 1 the running sum.  Recursions whose decays allow blocks
+    of one length share their windows.
     """
-    r, block = F.pmod(F.col("i"), F.lit(BLOCK)).cast("double"), F.floor(F.col("i") / BLOCK)
-    inner = Window.partitionBy(*SERIES, "__block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     upto = series().rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns({"__block": block, "__r": r} | {f"__t_{k}": F.coalesce(t, F.lit(0.0)) * F.pow(F.lit(d), -r) for k, (t, d) in terms.items()})
-    df = df.withColumns({f"__p_{k}": F.pow(F.lit(d), F.col("__r")) * F.sum(f"__t_{k}").over(inner) for k, (_, d) in terms.items()})
-    ends = {k: F.last(F.when(F.col("__r") == BLOCK - 1, F.col(f"__p_{k}")), ignorenulls=True).over(upto) for k in terms}
-    df = df.withColumns({k: F.col(f"__p_{k}") + F.coalesce(F.pow(F.lit(d), F.col("__r") + 1) * ends[k], F.lit(0.0)) for k, (_, d) in terms.items()})
-    return df.drop("__block", "__r", *[f"__{x}_{k}" for k in terms for x in "tp"])
+    terms = {k: (F.coalesce(t, F.lit(0.0)), d) for k, (t, d) in terms.items()}
+    flat = {k: t if d == 0 else F.sum(t).over(series().rowsBetween(Window.unboundedPreceding, 0)) for k, (t, d) in terms.items() if d in (0, 1)}
+    for k, (_, d) in terms.items():
+        if not 0 <= d <= 1:
+            raise ValueError(f"decay of {k} is {d}, not within 0 and 1")
+    df = df.withColumns({f"__v_{k}": t for k, (t, _) in terms.items() if k not in flat} | flat)
+    for rows, names in blocks_for({k: d for k, (_, d) in terms.items() if k not in flat}):
+        decay = {k: F.lit(terms[k][1]) for k in names}
+        inner = Window.partitionBy(*SERIES, "__block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({"__block": F.floor(F.col("i") / rows), "__r": F.pmod(F.col("i"), F.lit(rows)).cast("double")})
+        df = df.withColumns({f"__t_{k}": F.col(f"__v_{k}") * F.pow(decay[k], -F.col("__r")) for k in names})
+        df = df.withColumns({f"__p_{k}": F.pow(decay[k], F.col("__r")) * F.sum(f"__t_{k}").over(inner) for k in names})
+        ends = {k: F.last(F.when(F.col("__r") == rows - 1, F.col(f"__p_{k}")), ignorenulls=True).over(upto) for k in names}
+        df = df.withColumns({k: F.col(f"__p_{k}") + F.coalesce(F.pow(decay[k], F.col("__r") + 1) * ends[k], F.lit(0.0)) for k in names})
+        df = df.drop("__block", "__r", *[f"__{x}_{k}" for k in names for x in "vtp"])
+    return df
 
 
 def ewm(df: DataFrame, alphas: dict[str, tuple[Column, float]]) -> DataFrame:

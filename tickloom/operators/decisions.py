@@ -36,18 +36,26 @@ def confluence_score(s: dict[str, Column]) -> Column:
     return F.when(confluence_skip(s), 0).otherwise(F.least(total, F.lit(100)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x with so many digits, halves away from 0."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def signal_levels(df: DataFrame, config: Config = DEFAULT, side_aware: bool = False) -> DataFrame:
     """Add stop_loss, sl_source, take_profit, rr_ratio, sl_pct, tp_pct, entry_low, entry_high.
 
     From price, atr, tp_level and the 15M and 4H (or 1H) blocks' low and
     mitigated.  Levels are built for a long trade, as rules of the score are;
     with *side_aware* a row of direction SELL gets them mirrored about the price.
+    Computed prices and percentages have four digits, the ratio two; a target
+    taken from a swing is that price.
     """
+    n4 = lambda c: rounded(c, 4)
     use15 = F.coalesce(~F.col("ob15_mitigated"), F.lit(False))
     use4 = F.coalesce(~F.col("ob4_mitigated"), F.lit(False))
     df = df.withColumn("sl_source", F.when(use15, "15M_OB").when(use4, "4H_OB").otherwise("ATR"))
-    df = df.withColumn("stop_loss", F.when(use15, F.col("ob15_low") * (1 - 0.0005)).when(use4, F.col("ob4_low") * (1 - 0.0005)).otherwise(F.col("price") - F.col("atr") * config.atr_stop))
-    df = df.withColumn("take_profit", F.coalesce("tp_level", F.col("price") + F.col("atr") * config.atr_target))
+    df = df.withColumn("stop_loss", n4(F.when(use15, F.col("ob15_low") * (1 - 0.0005)).when(use4, F.col("ob4_low") * (1 - 0.0005)).otherwise(F.col("price") - F.col("atr") * config.atr_stop)))
+    df = df.withColumn("take_profit", F.coalesce("tp_level", n4(F.col("price") + F.col("atr") * config.atr_target)))
     if side_aware:
         short = F.col("direction") == "SELL"
         for c in ("stop_loss", "take_profit"):
@@ -56,14 +64,19 @@ def signal_levels(df: DataFrame, config: Config = DEFAULT, side_aware: bool = Fa
     risk, gain = sign * (F.col("price") - F.col("stop_loss")), sign * (F.col("take_profit") - F.col("price"))
     priced = F.col("price") > 0
     return (
-        df.withColumn("rr_ratio", F.when(risk > 0, gain / F.nullif(risk, F.lit(0.0))).otherwise(0.0))
-        .withColumn("sl_pct", F.when(priced, risk / F.nullif("price", F.lit(0.0)) * 100).otherwise(0.0))
-        .withColumn("tp_pct", F.when(priced, gain / F.nullif("price", F.lit(0.0)) * 100).otherwise(0.0))
-        .withColumn("entry_low", F.col("price") * 0.9995)
-        .withColumn("entry_high", F.col("price") * 1.0005)
+        df.withColumn("rr_ratio", F.when(risk > 0, rounded(gain / F.nullif(risk, F.lit(0.0)), 2)).otherwise(0.0))
+        .withColumn("sl_pct", F.when(priced, n4(risk / F.nullif("price", F.lit(0.0)) * 100)).otherwise(0.0))
+        .withColumn("tp_pct", F.when(priced, n4(gain / F.nullif("price", F.lit(0.0)) * 100)).otherwise(0.0))
+        .withColumn("entry_low", n4(F.col("price") * 0.9995))
+        .withColumn("entry_high", n4(F.col("price") * 1.0005))
     )
 
 
+def known_or(value: Column, price: Column) -> Column:
+    """*value*, or the price where it is unknown or 0."""
+    return F.coalesce(F.nullif(value, F.lit(0.0)), price)
+
+
 def direction(struct_4h: Column) -> Column:
     return F.when(struct_4h == "bullish", "BUY").otherwise("SELL")
 
@@ -75,8 +88,8 @@ def filter_decision(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     df = df.withColumn("combined", F.col("smc_score") * a + F.col("ml_confidence") * b).withColumn("threshold", lookup(config.thresholds_filter, F.col("tier"), 70))
     df = df.withColumn("should_trade", F.col("combined") >= F.col("threshold"))
     whole = lambda c: F.format_string("%.0f", c)
-    below = F.concat(F.lit("Confidence "), whole(F.col("combined")), F.lit(" below threshold "), F.col("threshold").cast("string"), F.lit(" (gap: "), whole(F.col("threshold") - F.col("combined")), F.lit("). ML skeptical ("), whole(F.col("ml_confidence")), F.lit("%)"))
-    above = F.concat(F.lit("Confidence "), whole(F.col("combined")), F.lit(" above threshold "), F.col("threshold").cast("string"), F.lit(" (margin: "), whole(F.col("combined") - F.col("threshold")), F.lit("). ML supports ("), whole(F.col("ml_confidence")), F.lit("%)"))
+    told = lambda word, far: F.concat(F.lit(f"{word}: "), whole(F.col("combined")), F.lit(" of "), F.col("threshold").cast("string"), F.lit(" needed, "), whole(far), F.lit(" apart; the model gives "), whole(F.col("ml_confidence")))
+    below, above = told("rejected", F.col("threshold") - F.col("combined")), told("accepted", F.col("combined") - F.col("threshold"))
     return df.withColumn("reason", F.when(F.col("should_trade"), above).otherwise(below))
 
 
@@ -86,8 +99,8 @@ def composite_decision(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     df = df.withColumn("ml_confidence", F.coalesce("ml_confidence", F.lit(50.0))).withColumn("analyst_confidence", F.coalesce("analyst_confidence", F.lit(50.0)))
     df = df.withColumn("combined", F.col("ml_confidence") * a + F.col("analyst_confidence") * b + F.col("smc_score") * c)
     df = df.withColumn("threshold", lookup(config.thresholds_composite, F.col("tier"), 52)).withColumn("should_trade", F.col("combined") >= F.col("threshold"))
-    text = F.format_string("ML:%.0f%% + Analyst:%.0f%% + SMC:%.0f%% = %.0f%%. ", "ml_confidence", "analyst_confidence", F.col("smc_score").cast("double"), "combined")
-    return df.withColumn("reason", F.concat(text, F.when(F.col("should_trade"), "EXECUTE").otherwise("SKIP"), F.lit(" (threshold: "), F.col("threshold").cast("string"), F.lit(")")))
+    text = F.format_string("model %.0f, analyst %.0f and structure %.0f make %.0f of ", "ml_confidence", "analyst_confidence", F.col("smc_score").cast("double"), "combined")
+    return df.withColumn("reason", F.concat(F.when(F.col("should_trade"), "accepted: ").otherwise("rejected: "), text, F.col("threshold").cast("string"), F.lit(" needed")))
 
 
 def parse_analyst(df: DataFrame, text: str = "response") -> DataFrame:
@@ -99,20 +112,35 @@ def parse_analyst(df: DataFrame, text: str = "response") -> DataFrame:
     return (
         df.withColumn("should_trade", F.when(F.col("parsed"), F.coalesce("__j.should_trade", F.lit(True))).otherwise(True))
         .withColumn("analyst_confidence", F.when(F.col("parsed"), F.greatest(F.coalesce("__j.confidence", F.lit(50.0)), F.lit(40.0))).otherwise(50.0))
-        .withColumn("reasoning", F.when(F.col("parsed"), F.coalesce("__j.reasoning", F.lit("No explanation provided"))).otherwise("Parse error"))
+        .withColumn("reasoning", F.when(F.col("parsed"), F.coalesce("__j.reasoning", F.lit("no reason given"))).otherwise("reply without a readable object"))
         .drop("__j")
     )
 
 
 def analyst_prompt(df: DataFrame, positions: DataFrame | None = None) -> DataFrame:
-    """Add prompt: the signal's text and up to three open positions of its symbol."""
+    """Add prompt: the signal with its levels, the model's confidence, the market's state and up to three open positions of its symbol.
+
+    Columns that are absent or null are told as unknown: stop_loss, take_profit,
+    ml_confidence, struct_4h, struct_1h, rsi_1h, atr, volatility, news_block.
+    """
     if positions is not None:
         first = Window.partitionBy("symbol").orderBy("signal_id")
-        lines = positions.withColumn("__rn", F.row_number().over(first)).where("__rn <= 3").groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rn", F.format_string("- %s: %s @ %s (P&L: %s)", "symbol", "direction", F.col("entry_price").cast("string"), F.col("pnl").cast("string")).alias("t")))), lambda x: x["t"]), "\n").alias("__open"))
+        lines = positions.withColumn("__rn", F.row_number().over(first)).where("__rn <= 3").groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rn", F.format_string("%s %s from %s, result %s", "direction", "symbol", F.col("entry_price").cast("string"), F.col("pnl").cast("string")).alias("t")))), lambda x: x["t"]), "\n").alias("__open"))
         df = df.join(lines, "symbol", "left")
     else:
         df = df.withColumn("__open", F.lit(None).cast("string"))
-    return df.withColumn("prompt", F.concat(F.format_string("Signal: %s %s, score %d of 100, price %.4f\nOpen positions:\n", "direction", "symbol", "smc_score", "price"), F.coalesce("__open", F.lit("None")))).drop("__open")
+    have = set(df.columns)
+    shown = lambda c, digits=None: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c).cast("double"))) if digits is not None else F.col(c).cast("string"), F.lit("unknown")) if c in have else F.lit("unknown")
+    parts = [
+        (F.lit("Signal: "), F.col("direction"), F.lit(" "), F.col("symbol"), F.lit(", score "), shown("smc_score", 0), F.lit(" of 100, price "), shown("price", 4)),
+        (F.lit("Levels: stop "), shown("stop_loss", 4), F.lit(", target "), shown("take_profit", 4)),
+        (F.lit("Model: "), shown("ml_confidence", 0), F.lit(" of 100")),
+        (F.lit("Market: 4H "), shown("struct_4h"), F.lit(", 1H "), shown("struct_1h"), F.lit(", RSI "), shown("rsi_1h", 1), F.lit(", ATR "), shown("atr", 4), F.lit(", volatility "), shown("volatility", 4), F.lit(", news "), shown("news_block")),
+        (F.lit("Open positions:"),),
+        (F.coalesce("__open", F.lit("none")),),
+        (F.lit("Reply with one JSON object: should_trade, confidence from 0 to 100, reasoning."),),
+    ]
+    return df.withColumn("prompt", F.concat_ws("\n", *[F.concat(*p) for p in parts])).drop("__open")
 
 
 def macro_buckets(df: DataFrame) -> DataFrame:
@@ -133,12 +161,12 @@ def macro_validate(df: DataFrame) -> DataFrame:
     stop_buy = buy & (usd == "strong_up") & (rate == "rising")
     stop_sell = (F.col("direction") == "SELL") & (usd == "strong_down") & (rate == "falling")
     df = df.withColumn("is_blocked", stop_buy | stop_sell).withColumn("is_confirmed", (F.col("smt_score") >= 60) & ~F.col("is_blocked"))
-    part = lambda c, label, v: F.concat(F.when(F.col(c), "✓ ").otherwise("✗ "), F.lit(label), v)
-    text = F.concat_ws(" | ", F.concat(F.lit("SMT Score: "), F.col("smt_score").cast("string"), F.lit("/100")), part("usd_supports", "USD ", usd), part("rates_support", "Rates ", rate), part("equity_supports", "Equities ", mode))
-    return df.withColumn("reasoning", F.when(stop_buy, "HARD BLOCK: Strong USD + rising rates block gold buy").when(stop_sell, "HARD BLOCK: Falling rates + weak USD block gold sell").otherwise(text))
+    part = lambda c, label, v: F.concat(F.lit(label), v, F.when(F.col(c), " for").otherwise(" against"))
+    text = F.concat_ws(", ", F.concat(F.lit("cross-market score "), F.col("smt_score").cast("string")), part("usd_supports", "dollar ", usd), part("rates_support", "rates ", rate), part("equity_supports", "equities ", mode))
+    return df.withColumn("reasoning", F.when(stop_buy, "blocked: no buying into a rising dollar and rising rates").when(stop_sell, "blocked: no selling into a falling dollar and falling rates").otherwise(text))
 
 
-def split_targets(df: DataFrame, shares: tuple[float, ...] = (0.33, 0.67, 1.0)) -> DataFrame:
+def split_targets(df: DataFrame, shares: tuple[float, ...] = DEFAULT.target_shares) -> DataFrame:
     """A row per partial target between price and take_profit: target_no, share, target_price."""
     parts = F.array(*[F.struct(F.lit(k + 1).alias("no"), F.lit(s).alias("s")) for k, s in enumerate(shares)])
     return df.withColumn("__p", F.explode(parts)).withColumn("target_no", F.col("__p.no")).withColumn("share", F.col("__p.s")).withColumn("target_price", F.col("price") + (F.col("take_profit") - F.col("price")) * F.col("__p.s")).drop("__p")

@@ -161,29 +161,28 @@ BASE_FEATURES = (
 )
 
 
-#: Rows of day-wise macro spans up to which they are sent to every task.
-MACRO_ROWS = 100_000
-
-
 def with_macro(df: DataFrame, macro: DataFrame | None) -> DataFrame:
     """usd_strength, real_rates_momentum, risk_sentiment: the newest macro row at or before ts, or 0, 0, 50.
 
     *macro* is (ts, usd_strength, real_rates_momentum, risk_sentiment), one row a
-    time.  A row holds until the next one; spans are cut by day, so candles meet
-    by an equi-join on the day only the rows in force on it.
+    time.  Candles meet the macro rows of their own day, and else the last row
+    of the days before: only one row a day is carried from day to day.
     """
     names = {"usd_strength": 0.0, "real_rates_momentum": 0.0, "risk_sentiment": 50.0}
     if macro is None:
         return df.withColumns({c: F.lit(v) for c, v in names.items()})
-    end = df.agg(F.max("ts")).first()[0]
-    spans = macro.select(F.col("ts").alias("__from"), F.lead("ts").over(Window.orderBy("ts")).alias("__until"), *names)
-    last = F.coalesce("__until", F.greatest(F.col("__from"), F.lit(end).cast("timestamp_ntz")))
-    spans = spans.withColumn("__day", F.explode(F.sequence(F.to_date("__from"), F.to_date(last))))
-    few = spans.limit(MACRO_ROWS + 1).count() <= MACRO_ROWS
-    joined = df.withColumn("__d", F.to_date("ts")).join(
-        F.broadcast(spans) if few else spans, (F.col("__d") == F.col("__day")) & (F.col("ts") >= F.col("__from")) & (F.col("__until").isNull() | (F.col("ts") < F.col("__until"))), "left"
-    )
-    return joined.drop("__from", "__until", "__day", "__d").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in names.items()})
+    row = F.struct(*names)
+    rows = macro.select(F.to_date("ts").alias("__day"), F.col("ts").alias("__from"), row.alias("__m"))
+    spans = rows.withColumn("__until", F.lead("__from").over(Window.partitionBy("__day").orderBy("__from")))
+    # the days are few thousand rows, so one task may order them
+    last = rows.groupBy("__day").agg(F.max_by("__m", "__from").alias("__last"))
+    days = df.select(F.to_date("ts").alias("__day")).distinct().join(last, "__day", "full")
+    before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(F.col("__day").alias("__d"), F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    joined = df.withColumn("__d", F.to_date("ts")).join(carried, "__d", "left")
+    joined = joined.join(spans, (F.col("__d") == F.col("__day")) & (F.col("ts") >= F.col("__from")) & (F.col("__until").isNull() | (F.col("ts") < F.col("__until"))), "left")
+    held = F.coalesce("__m", "__carried")
+    return joined.withColumns({c: F.coalesce(held[c], F.lit(v)) for c, v in names.items()}).drop("__d", "__day", "__from", "__until", "__m", "__carried")
 
 
 def with_clock(df: DataFrame) -> DataFrame:

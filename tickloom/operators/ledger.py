@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,14 @@ def text_schema(names: tuple[str, ...]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in names])
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for ledgers and streams, in the one the session shares (``spark.checkpoint.dir``); a temporary one on a single machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{shared.rstrip('/')}/ledger-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="ledger-")
+
+
 def read_ledger(spark: SparkSession, path: str, columns: tuple[str, ...] = LEDGER_A) -> DataFrame:
     """A ledger as text columns in fixed order, by the file's header; a missing file is an empty ledger, missing columns are empty."""
     try:
@@ -95,7 +106,9 @@ def dashboard_metrics(ledger: DataFrame, by: str = "system", config: Config = DE
 def daily_metrics(ledger: DataFrame, by: str = "system") -> DataFrame:
     """Per system, blocked trades of system A left out: trades, wins, losses, pnl, win_rate."""
     p = F.col(pnl_column(ledger)).try_cast("double")
-    rows = ledger.where(~((F.col(by) == "A") & F.coalesce(F.col("status") == "BLOCKED", F.lit(False))))
+    # a ledger without a status has no blocked trades
+    blocked = F.coalesce(F.col("status") == "BLOCKED", F.lit(False)) if "status" in ledger.columns else F.lit(False)
+    rows = ledger.where(~((F.col(by) == "A") & blocked))
     out = rows.groupBy(by).agg(F.count("*").alias("trades"), F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.coalesce(F.sum(p), F.lit(0.0)).alias("pnl"))
     return out.withColumn("win_rate", F.coalesce(F.col("wins") * 100.0 / F.nullif("trades", F.lit(0)), F.lit(0.0)))
 
@@ -142,9 +155,10 @@ def streaks(ledger: DataFrame, by: str = "system") -> DataFrame:
 def best_worst(ledger: DataFrame, by: str = "system") -> DataFrame:
     """The best WIN and the worst LOSS by percentage; the first id on ties, unknown percentages are left out."""
     p, r = F.col("profit_pct").try_cast("double"), F.col("result")
-    best = F.when((r == "WIN") & p.isNotNull(), F.struct(p.alias("p"), (-F.col("signal_id")).alias("s")))
+    # ids may be numbers or text
+    best = F.when((r == "WIN") & p.isNotNull(), F.struct((-p).alias("p"), F.col("signal_id").alias("s")))
     worst = F.when((r == "LOSS") & p.isNotNull(), F.struct(p.alias("p"), F.col("signal_id").alias("s")))
-    return ledger.groupBy(by).agg(F.max(best).alias("b"), F.min(worst).alias("w")).select(by, (-F.col("b.s")).alias("best_id"), F.col("b.p").alias("best_pct"), F.col("w.s").alias("worst_id"), F.col("w.p").alias("worst_pct"))
+    return ledger.groupBy(by).agg(F.min(best).alias("b"), F.min(worst).alias("w")).select(by, F.col("b.s").alias("best_id"), (-F.col("b.p")).alias("best_pct"), F.col("w.s").alias("worst_id"), F.col("w.p").alias("worst_pct"))
 
 
 def quality_histogram(ledger: DataFrame) -> DataFrame:
@@ -152,6 +166,17 @@ def quality_histogram(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.coalesce(F.col("status") != "BLOCKED", F.lit(True)) & F.col("signal_quality").isNotNull()).groupBy("signal_quality").agg(F.count("*").alias("n"))
 
 
+def quality_counts(ledger: DataFrame, by: str = "system") -> DataFrame:
+    """Per system the trades that are not blocked, strong, moderate and weak ones; 0 where there is none."""
+    kept, q = F.coalesce(F.col("status") != "BLOCKED", F.lit(True)), F.col("signal_quality")
+    return ledger.groupBy(by).agg(*[F.count_if(kept & (q == v)).alias(f"{v.lower()}_count") for v in ("STRONG", "MODERATE", "WEAK")])
+
+
+def of_symbol(ledger: DataFrame, part: str, column: str = "symbol") -> DataFrame:
+    """Rows whose symbol contains *part*, whatever the broker adds to it; unknown symbols do not."""
+    return ledger.where(F.coalesce(F.col(column).contains(part), F.lit(False)))
+
+
 def equity_curve(ledger: DataFrame, by: str = "system", last: int = 50, config: Config = DEFAULT) -> DataFrame:
     """The last points of capital plus the running sum of results, in order of id.
 
@@ -201,15 +226,22 @@ def profit_pct(result: Column, entry: Column, stop: Column, target: Column, exit
     return (to - entry) / F.nullif(entry, F.lit(0.0)) * 100
 
 
+def _watched(trades: DataFrame, candles: DataFrame) -> DataFrame:
+    """The trades once for each day from their entry to until, at most to the symbol's newest candle."""
+    newest = candles.groupBy("symbol").agg(F.max(F.to_date("ts")).alias("__newest"))
+    first, last = F.to_date("entry_ts"), F.least(F.to_date("until"), F.col("__newest"))
+    return trades.join(newest, "symbol").where(first <= last).withColumn("__day", F.explode(F.sequence(first, last))).drop("__newest")
+
+
 def _touches(trades: DataFrame, candles: DataFrame) -> DataFrame:
     """Per trade the first candle after its entry that touches stop or target: (signal_id, touch struct).
 
-    A join on the symbol with the candle's time after the entry and a touch as
-    residual; a minimum per trade, so tasks send one row per trade.
+    Trades and candles meet on the symbol and the days a trade is watched (to
+    its expiry, or to the symbol's newest candle), so a trade sees few candles
+    however long the series is; tasks send one row per trade.
     """
-    c = candles.select("symbol", F.col("ts").alias("c_ts"), "low", "high")
-    t = trades.select("signal_id", "symbol", "entry_ts", "stop_loss", "take_profit", "until")
-    hit = t.join(c, "symbol").where((F.col("c_ts") > F.col("entry_ts")) & (F.col("until").isNull() | (F.col("c_ts") < F.col("until"))) & ((F.col("low") <= F.col("stop_loss")) | (F.col("high") >= F.col("take_profit"))))
+    c = candles.select("symbol", F.col("ts").alias("c_ts"), "low", "high", F.to_date("ts").alias("__day"))
+    hit = _watched(trades.select("signal_id", "symbol", "entry_ts", "stop_loss", "take_profit", "until"), candles).join(c, ["symbol", "__day"]).where((F.col("c_ts") > F.col("entry_ts")) & (F.col("until").isNull() | (F.col("c_ts") < F.col("until"))) & ((F.col("low") <= F.col("stop_loss")) | (F.col("high") >= F.col("take_profit"))))
     return hit.groupBy("signal_id").agg(F.min(F.struct("c_ts", (F.col("low") <= F.col("stop_loss")).alias("stopped"), (F.col("high") >= F.col("take_profit")).alias("won"))).alias("touch"))
 
 
@@ -242,7 +274,7 @@ def resolve_replay(trades: DataFrame, candles: DataFrame, as_of: DataFrame, conf
     t = trades.dropDuplicates(["signal_id"]).join(as_of, "symbol", "left").withColumn("until", F.col("entry_ts") + F.make_dt_interval(hours=F.lit(config.trade_expiry_hours)))
     t = t.join(_touches(t, candles), "signal_id", "left")
     t = t.withColumn("expired", F.col("touch").isNull() & F.coalesce(F.col("as_of") >= F.col("until"), F.lit(False)))
-    late = t.where("expired").select("signal_id", "symbol", "entry_ts", "until").join(candles.select("symbol", F.col("ts").alias("c_ts"), "close"), "symbol")
+    late = _watched(t.where("expired").select("signal_id", "symbol", "entry_ts", "until"), candles).join(candles.select("symbol", F.to_date("ts").alias("__day"), F.col("ts").alias("c_ts"), "close"), ["symbol", "__day"])
     price = late.where("c_ts > entry_ts and c_ts < until").groupBy("signal_id").agg(F.max_by("close", "c_ts").alias("expiry_price"))
     return _resolved(t.join(price, "signal_id", "left"))
 
@@ -258,12 +290,14 @@ def metrics_text(metrics: DataFrame, by: str = "system") -> DataFrame:
     return metrics.select(by, F.concat(F.lit("System "), F.col(by), F.lit(": "), F.col("trades").cast("string"), F.lit(" trades, win rate "), F.format_number("win_rate", 1), F.lit("%, P&L "), money(F.col("pnl")), F.lit(", profit factor "), factor).alias("message"))
 
 
-def cooldown(ledger: DataFrame, minutes: int = 40, loss_cap: float = 3.0, max_open: int = 15, by: str = "system") -> DataFrame:
-    """Optional gates per trade, from configuration: minutes since the last loss, the day's loss so far, trades open before it."""
+def cooldown(ledger: DataFrame, config: Config = DEFAULT, by: str = "system") -> DataFrame:
+    """Gates per trade, from configuration: minutes since the last loss, the day's loss so far, trades open before it, the hour, and reward to risk where the ledger has it."""
     w = Window.partitionBy(by).orderBy("timestamp", "signal_id")
     day = Window.partitionBy(by, F.to_date("timestamp")).orderBy("timestamp", "signal_id").rowsBetween(Window.unboundedPreceding, -1)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     lost = F.last(F.when(F.col("result") == "LOSS", F.col("exit_time")), ignorenulls=True).over(before)
     df = ledger.withColumn("day_pnl", F.coalesce(F.sum("profit_pct").over(day), F.lit(0.0))).withColumn("open_before", F.count_if(F.col("status") == "OPEN").over(before))
-    df = df.withColumn("in_cooldown", F.coalesce(F.col("timestamp") < lost + F.make_dt_interval(mins=F.lit(minutes)), F.lit(False)))
-    return df.withColumn("allowed", ~F.col("in_cooldown") & (F.col("day_pnl") > -loss_cap) & (F.col("open_before") < max_open))
+    df = df.withColumn("in_cooldown", F.coalesce(F.col("timestamp") < lost + F.make_dt_interval(mins=F.lit(config.cooldown_minutes)), F.lit(False)))
+    df = df.withColumn("hour_blocked", F.hour("timestamp").isin(*config.block_hours) if config.block_hours else F.lit(False))
+    reward = F.coalesce(F.col("rr_ratio").try_cast("double") >= config.least_reward, F.lit(True)) if "rr_ratio" in ledger.columns else F.lit(True)
+    return df.withColumn("allowed", ~F.col("in_cooldown") & ~F.col("hour_blocked") & (F.col("day_pnl") > config.day_loss_cap) & (F.col("open_before") < config.max_open) & reward)

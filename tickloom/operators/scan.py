@@ -105,3 +105,26 @@ def mtf_scan(candles: DataFrame, config: Config = DEFAULT, side_aware: bool = Fa
     rows = rows.withColumn("news_block", guard).withColumn("tier", sessions.tier(F.col("as_of")))
     fired = ~F.col("skipped") & (F.col("score") >= config.min_score) & F.col("news_block").isNull() & (F.col("tier") != "closed")
     return rows.withColumn("fired", fired)
+
+
+def display_record(candles: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """A row per symbol of what messages and the analyst read beside the scan: the newest indicators of every role.
+
+    Per role price, rsi, ema20, ema50, macd, signal, crossover and hist_last3
+    (suffix 1w, 1d, 4h, 1h); averages that are unknown or 0 are the 1H price.
+    Then volume_ratio of 1H, ema_status_1h and _4h, trend_up (weekly price above
+    its slow average), ema_bullish and price_above_ema50 of 4H.
+    """
+    df = indicators.rsi_wilder(indexed(candles))
+    df = indicators.volume_spike(indicators.ema(indicators.macd_events(indicators.macd(df, config, warm=True)), config))
+    fast, slow = (f"ema{n}" for n in config.ema)
+    names = {"close": "price", "rsi_wilder": "rsi", fast: "ema20", slow: "ema50", "macd": "macd", "macd_signal": "signal", "crossover": "crossover", "hist_last3": "hist_last3", "volume_ratio": "volume_ratio"}
+    newest = df.groupBy(*structure.KEYS).agg(*[F.max_by(c, "i").alias(n) for c, n in names.items()])
+    of = lambda tf, c: F.first(F.when(F.col("tf") == tf, F.col(c)), ignorenulls=True)
+    rows = newest.groupBy("symbol").agg(
+        *[of(tf, c).alias(f"{c}_{tf.lower()}") for tf in ("1W", "1D", "4H", "1H") for c in names.values() if c != "volume_ratio"], of("1H", "volume_ratio").alias("volume_ratio")
+    ).where("price_1h is not null")
+    rows = rows.withColumns({f"{c}_{t}": decisions.known_or(F.col(f"{c}_{t}"), F.col("price_1h")) for t in ("1w", "4h", "1h") for c in ("ema20", "ema50")})
+    rows = rows.withColumns({f"ema_status_{t}": F.when(F.col(f"ema20_{t}") > F.col(f"ema50_{t}"), "EMA20>EMA50").otherwise("EMA20<EMA50") for t in ("1h", "4h")})
+    rows = rows.withColumns({f"{c}_1h": F.coalesce(f"{c}_1h", F.lit(0.0)) for c in ("macd", "signal")} | {"crossover_1h": F.coalesce("crossover_1h", F.lit(False)), "volume_ratio": F.coalesce("volume_ratio", F.lit(1.0))})
+    return rows.withColumns({"trend_up": F.col("price_1h") > F.col("ema50_1w"), "ema_bullish": F.col("ema20_4h") > F.col("ema50_4h"), "price_above_ema50": F.col("price_1h") > F.col("ema50_4h")})

@@ -9,10 +9,10 @@ from tickloom.config import DEFAULT, Config
 
 #: Per tier the size multiplier, confidence gate, stop width and description.
 TIERS = {
-    "peak": (1.0, "WEAK", 0.9, "London + NY overlap"),
-    "high": (0.9, "MODERATE", 1.0, "London morning OR NY afternoon"),
-    "secondary": (0.6, "STRONG", 1.2, "Asian hours (thin)"),
-    "closed": (0.0, "STRONG", 1.5, "Unknown"),
+    "peak": (1.0, "WEAK", 0.9, "both western markets open"),
+    "high": (0.9, "MODERATE", 1.0, "one western market open"),
+    "secondary": (0.6, "STRONG", 1.2, "eastern hours, few orders"),
+    "closed": (0.0, "STRONG", 1.5, "no market open"),
 }
 RANKS = {"STRONG": 3, "MODERATE": 2, "WEAK": 1}
 
@@ -59,7 +59,7 @@ def can_trade(quality: Column, gate: Column) -> Column:
 
 
 def description(t: Column) -> Column:
-    return lookup({k: v[3] for k, v in TIERS.items()}, t, "Unknown")
+    return lookup({k: v[3] for k, v in TIERS.items()}, t, "unknown tier")
 
 
 def killzone(ts: Column, config: Config = DEFAULT) -> Column:
@@ -71,9 +71,9 @@ def killzone(ts: Column, config: Config = DEFAULT) -> Column:
 
 
 def killzone_reason(ts: Column, config: Config = DEFAULT) -> Column:
-    out = F.concat(F.lit("KILLZONE: Outside active sessions (current UTC hour="), F.hour(ts).cast("string"), F.lit(")"))
+    out = F.concat(F.lit("hour "), F.hour(ts).cast("string"), F.lit(" UTC is in no killzone"))
     for name, a, b in reversed(config.killzones):
-        out = F.when((F.hour(ts) >= a) & (F.hour(ts) < b), f"KILLZONE: {name} ({a}:00-{b}:00 UTC)").otherwise(out)
+        out = F.when((F.hour(ts) >= a) & (F.hour(ts) < b), f"{name}, {a} to {b} UTC").otherwise(out)
     return out
 
 

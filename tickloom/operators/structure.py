@@ -13,6 +13,8 @@ from tickloom.config import DEFAULT, Config
 from tickloom.functions.rolling import SERIES, lag, series
 
 KEYS = list(SERIES)
+#: Bars of a block of a first-match join: with n bars a level meets n / FIRST_BLOCK blocks and two blocks' bars.
+FIRST_BLOCK = 512
 
 
 def swings(candles: DataFrame, config: Config = DEFAULT, neighbours: int | None = None) -> DataFrame:
@@ -56,11 +58,19 @@ def market_structure(swung: DataFrame) -> DataFrame:
 def _first_close_above(levels: DataFrame, candles: DataFrame, carry: list[str]) -> DataFrame:
     """Per level (series, from_i, level): the first later place j whose close is above it.
 
-    A join on the series with a range and a comparison as residual; only the
-    minimum of j comes out of the partial aggregation of each task.
+    A series is cut in blocks of FIRST_BLOCK bars.  A level meets the blocks'
+    greatest closes to find the first later block that reaches it, and then the
+    bars of that block and of its own only.
     """
-    later = candles.select(*KEYS, F.col("i").alias("j"), "close")
-    return levels.join(later, KEYS).where((F.col("j") > F.col("from_i")) & (F.col("close") > F.col("level"))).groupBy(*KEYS, "from_i", "level", *carry).agg(F.min("j").alias("j"))
+    cut = lambda c: F.floor(F.col(c) / F.lit(FIRST_BLOCK)).cast("long")
+    bars = candles.select(*KEYS, F.col("i").alias("j"), "close", cut("i").alias("__b"))
+    tops = bars.groupBy(*KEYS, "__b").agg(F.max("close").alias("__top"))
+    names = [*KEYS, "from_i", "level", *carry]
+    levels = levels.select(*names)
+    next_ = levels.join(tops, KEYS).where((F.col("__b") > cut("from_i")) & (F.col("__top") > F.col("level"))).groupBy(*names).agg(F.min("__b").alias("__b"))
+    each = levels.withColumn("__b", cut("from_i")).unionByName(next_)
+    hits = each.join(bars, [*KEYS, "__b"]).where((F.col("j") > F.col("from_i")) & (F.col("close") > F.col("level")))
+    return hits.groupBy(*names).agg(F.min("j").alias("j"))
 
 
 def bos_up(swung: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.config import DEFAULT
+from tickloom.functions import rolling
 from tickloom.functions.rolling import indexed, q6
 from tickloom.operators import decisions, indicators, ledger, ml, reports, scan, sessions, structure
 from tickloom.plans import sql
 from tickloom.sources import market
+from tickloom.streaming import bars as streaming
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -32,7 +34,7 @@ def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _swung(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.swings(indexed(market.scan_candles(spark, sf_dir)))
+    return structure.swings(indexed(market.scan_candles(spark, sf_dir, sql.FIXTURE)))
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +74,12 @@ def bars_1h(spark, sf_dir):
 
 @query(sql.LADDER + "SELECT symbol, tf, ts, open, high, low, close, volume FROM bars")
 def bars_mtf(spark, sf_dir):
-    return market.ladder(market.ticks(spark, sf_dir))
+    return market.ladder(market.ticks(spark, sf_dir), sql.FIXTURE)
 
 
 @query(sql.CANDLES + "SELECT symbol, tf, ts, open, high, low, close, volume FROM candles")
 def drop_incomplete_bar(spark, sf_dir):
-    return market.scan_candles(spark, sf_dir)
+    return market.scan_candles(spark, sf_dir, sql.FIXTURE)
 
 
 @query("""WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS account, CAST(user_id % 8 AS INTEGER) AS v, count(*) AS bars FROM events GROUP BY 1, 2),
@@ -104,12 +106,12 @@ def normalise_candles(spark, sf_dir):
 f AS (SELECT symbol, '15M' AS tf, ts, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM x WHERE tf = '1H' AND symbol NOT IN (SELECT symbol FROM x WHERE tf = '15M')) WHERE rn <= 40)
 SELECT symbol, tf, ts, close FROM x UNION ALL SELECT symbol, tf, ts, close FROM f""")
 def fallback_15m(spark, sf_dir):
-    return market.fallback_15m(market.scan_candles(spark, sf_dir).where("not (tf = '15M' and symbol = 'ALL')")).select(*KEYS, "close")
+    return market.fallback_15m(market.scan_candles(spark, sf_dir, sql.FIXTURE).where("not (tf = '15M' and symbol = 'ALL')")).select(*KEYS, "close")
 
 
 @query(sql.LADDER + "SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS price FROM bars WHERE tf = '15M' GROUP BY symbol")
 def last_price(spark, sf_dir):
-    return market.last_price(market.ladder(market.ticks(spark, sf_dir)).where("tf = '15M'"))
+    return market.last_price(market.ladder(market.ticks(spark, sf_dir), sql.FIXTURE).where("tf = '15M'"))
 
 
 # indicators
@@ -248,7 +250,7 @@ def price_at_ob(spark, sf_dir):
 
 @query(sql.STRUCTURE + "SELECT symbol, tf, i - 1 AS fvg_index, " + ", ".join([sql.q6("flow", "fvg_low"), sql.q6("low", "fvg_high"), sql.q6("size * 100", "fvg_size_pct")]) + ", n - i AS age FROM fvg")
 def fvg_up(spark, sf_dir):
-    return _out(structure.fvg_up(indexed(market.scan_candles(spark, sf_dir))), SER, ["fvg_low", "fvg_high", "fvg_size_pct"], ["fvg_index", "age"])
+    return _out(structure.fvg_up(indexed(market.scan_candles(spark, sf_dir, sql.FIXTURE))), SER, ["fvg_low", "fvg_high", "fvg_size_pct"], ["fvg_index", "age"])
 
 
 @query(sql.STRUCTURE + "SELECT symbol, tf, zone, " + sql.q6("pct", "pct_in_range") + " FROM pd")
@@ -315,7 +317,7 @@ def composite_decision(spark, sf_dir):
 
 @query(sql.REPLIES + """SELECT event_id, ok AS parsed, CASE WHEN ok THEN coalesce(CAST(json_extract(j, '$.should_trade') AS BOOLEAN), true) ELSE true END AS should_trade,
  CASE WHEN ok THEN greatest(coalesce(CAST(json_extract(j, '$.confidence') AS DOUBLE), 50.0), 40.0) ELSE 50.0 END::DOUBLE AS analyst_confidence,
- CASE WHEN ok THEN coalesce(json_extract_string(j, '$.reasoning'), 'No explanation provided') ELSE 'Parse error' END AS reasoning FROM r2""")
+ CASE WHEN ok THEN coalesce(json_extract_string(j, '$.reasoning'), 'no reason given') ELSE 'reply without a readable object' END AS reasoning FROM r2""")
 def analyst_json_parse(spark, sf_dir):
     k = F.col("event_id")
     text = (
@@ -332,17 +334,17 @@ def analyst_json_parse(spark, sf_dir):
 
 @query(sql.SCAN + "SELECT symbol, struct_4h, skipped, CAST(score AS INTEGER) AS score, " + sql.q6("adx_15m", "adx_15m") + ", " + sql.q6("rsi_15m", "rsi_15m") + " FROM scored")
 def confluence_score(spark, sf_dir):
-    return _out(scan.mtf_scan(market.scan_candles(spark, sf_dir)), ["symbol"], ["adx_15m", "rsi_15m"], ["struct_4h", "skipped", "score"])
+    return _out(scan.mtf_scan(market.scan_candles(spark, sf_dir, sql.FIXTURE)), ["symbol"], ["adx_15m", "rsi_15m"], ["struct_4h", "skipped", "score"])
 
 
-@query(sql.SCAN + "SELECT symbol, sl_source, " + ", ".join(sql.q6(c, c) for c in ("price", "stop_loss", "take_profit", "rr_ratio", "entry_low", "entry_high")) + " FROM levels")
+@query(sql.SCAN + "SELECT symbol, sl_source, " + ", ".join(sql.q6(c, c) for c in ("price", "stop_loss", "take_profit", "rr_ratio", "sl_pct", "tp_pct", "entry_low", "entry_high")) + " FROM levels")
 def signal_build(spark, sf_dir):
-    return _out(scan.mtf_scan(market.scan_candles(spark, sf_dir)), ["symbol"], ["price", "stop_loss", "take_profit", "rr_ratio", "entry_low", "entry_high"], ["sl_source"])
+    return _out(scan.mtf_scan(market.scan_candles(spark, sf_dir, sql.FIXTURE)), ["symbol"], ["price", "stop_loss", "take_profit", "rr_ratio", "sl_pct", "tp_pct", "entry_low", "entry_high"], ["sl_source"])
 
 
 @query(sql.SCAN + "SELECT symbol, struct_1w, struct_1d, struct_4h, struct_1h, struct_15m, at_block, sweep_index, fvg_index, zone, CAST(score AS INTEGER) AS score, tier, killzone, " + sql.q6("stop_loss", "stop_loss") + ", " + sql.q6("take_profit", "take_profit") + ", NOT skipped AND score >= 45 AND tier <> 'closed' AS fired FROM levels")
 def mtf_scan(spark, sf_dir):
-    s = scan.mtf_scan(market.scan_candles(spark, sf_dir))
+    s = scan.mtf_scan(market.scan_candles(spark, sf_dir, sql.FIXTURE))
     return _out(s, ["symbol"], ["stop_loss", "take_profit"], ["struct_1w", "struct_1d", "struct_4h", "struct_1h", "struct_15m", "at_block", "sweep_index", "fvg_index", "zone", "score", "tier", "killzone", "fired"])
 
 
@@ -449,11 +451,13 @@ def metrics_message(spark, sf_dir):
     return ledger.metrics_text(ledger.dashboard_metrics(_ledger(spark, sf_dir)))
 
 
-@query(sql.BARS_1H + """, macro AS (SELECT ts, ((event_id * 17) % 21 - 10) / 10.0::DOUBLE AS u, ((event_id * 19) % 7 - 3) / 10.0::DOUBLE AS r, CAST((event_id * 23) % 100 AS DOUBLE) AS k FROM events WHERE event_id % 50 = 7)
+@query(sql.BARS_1H + """, q AS (SELECT max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS k FROM events GROUP BY time_bucket(INTERVAL 15 MINUTE, ts)),
+macro AS (SELECT ts, ((k * 17) % 21 - 10) / 10.0::DOUBLE AS u, ((k * 19) % 7 - 3) / 10.0::DOUBLE AS r, CAST((k * 23) % 100 AS DOUBLE) AS k FROM q)
 SELECT b.symbol, b.ts, coalesce(m.u, 0) AS usd_strength, coalesce(m.r, 0) AS real_rates_momentum, coalesce(m.k, 50) AS risk_sentiment FROM bars b ASOF LEFT JOIN macro m ON b.ts >= m.ts""")
 def macro_asof(spark, sf_dir):
-    e = market.table(spark, sf_dir, "events").where("event_id % 50 = 7")
-    macro = e.select("ts", ((F.pmod(F.col("event_id") * 17, F.lit(21)) - 10) / 10.0).alias("usd_strength"), ((F.pmod(F.col("event_id") * 19, F.lit(7)) - 3) / 10.0).alias("real_rates_momentum"), F.pmod(F.col("event_id") * 23, F.lit(100)).cast("double").alias("risk_sentiment"))
+    """Hourly bars with the macro row in force; the macro rows are the newest events of every quarter of an hour (fixture)."""
+    e = market.table(spark, sf_dir, "events").groupBy(market.bucket(F.col("ts"), 15).alias("q")).agg(F.max(F.struct("ts", "event_id")).alias("m")).select("m.ts", F.col("m.event_id").alias("k"))
+    macro = e.select("ts", ((F.pmod(F.col("k") * 17, F.lit(21)) - 10) / 10.0).alias("usd_strength"), ((F.pmod(F.col("k") * 19, F.lit(7)) - 3) / 10.0).alias("real_rates_momentum"), F.pmod(F.col("k") * 23, F.lit(100)).cast("double").alias("risk_sentiment"))
     return indicators.with_macro(_hourly(spark, sf_dir), macro).select("symbol", "ts", "usd_strength", "real_rates_momentum", "risk_sentiment")
 
 
@@ -468,11 +472,15 @@ def scan_heartbeat(spark, sf_dir):
 
 
 @query(sql.LEDGER + """, s AS (SELECT system, count(*) FILTER (status = 'OPEN') AS o, count(*) FILTER (result = 'WIN') AS w, count(*) FILTER (result = 'LOSS') AS s, count(*) FILTER (result = 'EXPIRED') AS x, sum(profit_pct) AS p,
+ sum(profit_pct) FILTER (result = 'WIN') / abs(sum(profit_pct) FILTER (result = 'LOSS')) AS f, first(signal_id ORDER BY profit_pct DESC, signal_id) FILTER (result = 'WIN') AS bi, max(profit_pct) FILTER (result = 'WIN') AS bp,
+ first(signal_id ORDER BY profit_pct, signal_id) FILTER (result = 'LOSS') AS wi, min(profit_pct) FILTER (result = 'LOSS') AS wp, date_diff('day', min(timestamp), max(timestamp)) + 1 AS d,
+ count(*) FILTER (signal_quality = 'STRONG' AND status <> 'BLOCKED') AS q1, count(*) FILTER (signal_quality = 'MODERATE' AND status <> 'BLOCKED') AS q2, count(*) FILTER (signal_quality = 'WEAK' AND status <> 'BLOCKED') AS q3,
  count(*) FILTER (starts_with(trend, 'TREND_OK')) AS a, count(*) FILTER (starts_with(trend, 'BLOCKED')) AS b FROM l GROUP BY system)
-SELECT system, 'Open trades: ' || o || '/15' || chr(10) || 'Wins: ' || w || ', losses: ' || s || ', expired: ' || x || chr(10) || 'Win rate: ' || format('{:,.1f}', w * 100.0::DOUBLE / (w + s)) || '%' || chr(10)
- || 'Cumulative result: ' || CASE WHEN p > 0 THEN '+' ELSE '' END || format('{:,.2f}', p) || '%' || chr(10) || 'Trend filter passed: ' || a || ', blocked: ' || b AS message FROM s""")
+SELECT system, 'Days running: ' || d || chr(10) || 'Open trades: ' || o || '/15' || chr(10) || 'Wins: ' || w || ', losses: ' || s || ', expired: ' || x || chr(10) || 'Win rate: ' || format('{:,.1f}', w * 100.0::DOUBLE / (w + s)) || '%' || chr(10)
+ || 'Cumulative result: ' || CASE WHEN p > 0 THEN '+' ELSE '' END || format('{:,.2f}', p) || '%' || chr(10) || 'Profit factor: ' || format('{:,.2f}', round(f, 2)) || chr(10) || 'Best: ' || bi || ' +' || format('{:,.2f}', bp) || '%, worst: ' || wi || ' ' || format('{:,.2f}', wp) || '%' || chr(10)
+ || 'Strong: ' || q1 || ', moderate: ' || q2 || ', weak: ' || q3 || chr(10) || 'Trend filter passed: ' || a || ', blocked: ' || b AS message FROM s""")
 def daily_report(spark, sf_dir):
-    return reports.daily_report(ledger.running_stats(_ledger(spark, sf_dir))).select("system", "message")
+    return reports.daily_report(reports.report_stats(_ledger(spark, sf_dir))).select("system", "message")
 
 
 @query(sql.LEDGER + """SELECT 'XAUUSD' AS pair, '?' AS direction, CASE WHEN profit_pct > 0 THEN 'WIN' WHEN profit_pct < 0 THEN 'LOSS' ELSE 'OPEN' END AS outcome, CASE WHEN coalesce(profit_pct, 0) < 0 THEN '-$' ELSE '+$' END || format('{:,.2f}', abs(coalesce(profit_pct, 0))) AS pnl, strftime(timestamp, '%Y-%m-%d') AS date
@@ -502,7 +510,7 @@ def position_size(spark, sf_dir):
 
 @query(sql.SCAN + "SELECT symbol, no AS target_no, share, " + sql.q6("price + (take_profit - price) * share", "target_price") + " FROM levels, (VALUES (1, 0.33::DOUBLE), (2, 0.67::DOUBLE), (3, 1.0::DOUBLE)) v(no, share)")
 def partial_targets(spark, sf_dir):
-    return _out(decisions.split_targets(scan.mtf_scan(market.scan_candles(spark, sf_dir))), ["symbol"], ["target_price"], ["target_no", "share"])
+    return _out(decisions.split_targets(scan.mtf_scan(market.scan_candles(spark, sf_dir, sql.FIXTURE))), ["symbol"], ["target_price"], ["target_no", "share"])
 
 
 @query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'no time' WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS t, date_trunc('second', ts) AS ts FROM events)
@@ -513,6 +521,137 @@ def time_parsing(spark, sf_dir):
     return market.table(spark, sf_dir, "events").select("event_id", sessions.parse_iso(text).alias("parsed"), sessions.local_text(F.col("ts")).alias("shown"))
 
 
+@query(sql.PRICED + ", " + " UNION ALL ".join(
+    [f"{'bars AS (' if k == 0 else ''}SELECT symbol, '{t}' AS tf, CAST(date_trunc('{unit}', p.ts) AS TIMESTAMP) AS ts, {sql._BAR} FROM priced p GROUP BY symbol, date_trunc('{unit}', p.ts)" for k, (t, unit) in enumerate((("1D", "day"), ("1W", "week")))]
+) + ") SELECT symbol, tf, ts, open, high, low, close, volume FROM bars")
+def bars_day_week(spark, sf_dir):
+    """Days, and weeks from Monday: the lengths of the default ladder."""
+    return market.ladder(market.ticks(spark, sf_dir)).where("tf in ('1D', '1W')")
+
+
+@query(sql.LADDER.replace("FROM priced p, roles", "FROM (SELECT * FROM priced WHERE ts < TIMESTAMP '2024-01-20 12:00:00') p, roles") + f""", k AS (SELECT bars.*, least, row_number() OVER (PARTITION BY symbol, bars.tf ORDER BY ts DESC) AS rn FROM bars JOIN roles USING (tf)),
+z AS (SELECT * FROM k QUALIFY rn BETWEEN 2 AND 100 AND count(*) FILTER (rn <= 100) OVER (PARTITION BY symbol, tf) >= least)
+SELECT symbol, tf, ts, close FROM z WHERE ts >= TIMESTAMP '2024-01-19 00:00:00'""")
+def scan_as_of(spark, sf_dir):
+    """The scan's candles as they were at a time (the bar of that time is cut there), and of these the ones since another."""
+    ticks = market.ticks(spark, sf_dir).where("ts < timestamp_ntz '2024-01-20 12:00:00'")
+    candles = market.drop_incomplete(market.ladder(ticks, sql.FIXTURE), sql.FIXTURE, fetch=100, end="2024-01-20 12:00:00")
+    return market.since(candles, "2024-01-19 00:00:00").select(*KEYS, "close")
+
+
+SPANS = (1, 2, 3, 200, 1000)
+
+
+@query(sql.PRICED + f""", bars AS (SELECT symbol, '10m' AS tf, time_bucket(INTERVAL 10 MINUTE, p.ts) AS ts, {sql._BAR} FROM priced p GROUP BY symbol, time_bucket(INTERVAL 10 MINUTE, p.ts)),
+c AS (SELECT *, row_number() {sql.W} - 1 AS i FROM bars)
+SELECT a.symbol, a.ts, """ + ", ".join(f"round(sum(CASE WHEN b.i = 0 THEN b.close ELSE b.close * (2.0::DOUBLE / {n + 1}) END * pow({n - 1}.0::DOUBLE / {n + 1}, a.i - b.i)) * 1000) / 1000 AS span_{n}" for n in SPANS) + " FROM c a JOIN c b ON b.symbol = a.symbol AND b.i <= a.i GROUP BY a.symbol, a.ts")
+def ewm_spans(spark, sf_dir):
+    """Exponential means of every kind of span over long series, whose blocks are from 1 to 10^4 rows."""
+    df = rolling.ewm(indexed(market.bars(market.ticks(spark, sf_dir), 10)), {f"span_{n}": (F.col("close"), 2 / (n + 1)) for n in SPANS})
+    return df.select("symbol", "ts", *[(F.round(F.col(f"span_{n}") * 1000) / 1000).alias(f"span_{n}") for n in SPANS])
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN ['XAUUSDxx', 'XAUUSDm', 'XAUUSD', 'GOLD', 'XAUUSDc', 'XAUUSD.', 'XAU/USD', 'OTHER'][user_id % 8 + 1] END AS symbol FROM events)
+SELECT event_id, symbol FROM e WHERE coalesce(contains(symbol, 'XAUUSD'), false)""")
+def symbol_contains(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in (*DEFAULT.symbol_variants, "OTHER")])
+    symbol = F.when(F.col("event_id") % 9 != 0, F.element_at(names, (F.pmod("user_id", F.lit(8)) + 1).cast("int")))
+    return ledger.of_symbol(market.table(spark, sf_dir, "events").select("event_id", symbol.alias("symbol")), "XAUUSD")
+
+
+@query(sql.CANDLES + sql.recursive("candles") + """, mw AS (SELECT * FROM macdf WHERE i >= 25),
+sg AS (SELECT a.symbol, a.tf, a.i, a.macd, sum(CASE WHEN b.i = 25 THEN b.macd ELSE b.macd * 0.2::DOUBLE END * pow(0.8::DOUBLE, a.i - b.i)) AS sig FROM mw a JOIN mw b ON b.symbol = a.symbol AND b.tf = a.tf AND b.i <= a.i GROUP BY ALL),
+sw AS (SELECT *, lag(macd) OVER (PARTITION BY symbol, tf ORDER BY i) AS pm, lag(CASE WHEN i >= 33 THEN sig END) OVER (PARTITION BY symbol, tf ORDER BY i) AS ps FROM sg),
+vr AS (SELECT symbol, tf, i, volume, avg(volume) OVER (PARTITION BY symbol, tf ORDER BY i ROWS 19 PRECEDING) AS vm FROM c),
+nw AS (SELECT c.symbol, c.tf, c.close AS price, CASE WHEN r.dn = 0 THEN 100 ELSE 100 - 100 / (1 + r.up / r.dn) END AS rsi, e.e20, e.e50, w.macd, CASE WHEN w.i >= 33 THEN w.sig END AS sig, coalesce(w.pm < w.ps AND w.macd > w.sig, false) AS crossed, round(v.volume / v.vm, 2) AS ratio
+ FROM c JOIN rsiw r ON r.symbol = c.symbol AND r.tf = c.tf AND r.i = c.i JOIN emas e ON e.symbol = c.symbol AND e.tf = c.tf AND e.i = c.i JOIN vr v ON v.symbol = c.symbol AND v.tf = c.tf AND v.i = c.i LEFT JOIN sw w ON w.symbol = c.symbol AND w.tf = c.tf AND w.i = c.i WHERE c.i = c.n - 1)
+SELECT h.symbol, """ + ", ".join([sql.q6("h.rsi", "rsi_1h"), sql.q6("f.rsi", "rsi_4h"), sql.q6("coalesce(h.macd, 0)", "macd_1h"), sql.q6("coalesce(h.sig, 0)", "signal_1h"), sql.q6("h.ratio", "volume_ratio"), sql.q6("coalesce(f.e20, h.price)", "ema20_4h"), sql.q6("coalesce(f.e50, h.price)", "ema50_4h")]) + """,
+ h.crossed AS crossover_1h, CASE WHEN h.e20 > h.e50 THEN 'EMA20>EMA50' ELSE 'EMA20<EMA50' END AS ema_status_1h, CASE WHEN coalesce(f.e20, h.price) > coalesce(f.e50, h.price) THEN 'EMA20>EMA50' ELSE 'EMA20<EMA50' END AS ema_status_4h,
+ h.price > coalesce(w.e50, h.price) AS trend_up, h.price > coalesce(f.e50, h.price) AS price_above_ema50
+FROM nw h LEFT JOIN nw f ON f.symbol = h.symbol AND f.tf = '4H' LEFT JOIN nw w ON w.symbol = h.symbol AND w.tf = '1W' WHERE h.tf = '1H'""")
+def signal_display(spark, sf_dir):
+    d = scan.display_record(market.scan_candles(spark, sf_dir, sql.FIXTURE))
+    return _out(d, ["symbol"], ["rsi_1h", "rsi_4h", "macd_1h", "signal_1h", "volume_ratio", "ema20_4h", "ema50_4h"], ["crossover_1h", "ema_status_1h", "ema_status_4h", "trend_up", "price_above_ema50"])
+
+
+@query(sql.LEDGER + "SELECT status, count(*) AS trades, " + sql.q6("coalesce(sum(profit_pct), 0)", "pnl") + ", count(*) FILTER (signal_quality = 'STRONG') AS strong, 0::BIGINT AS missing FROM l GROUP BY status")
+def ledger_files(spark, sf_dir):
+    """A ledger written, appended to and read again; a path that is not there is an empty ledger."""
+    place = ledger.work_folder(spark)
+    rows = _ledger(spark, sf_dir)
+    text = rows.select(*[F.col(c).cast("string").alias(c) if c in rows.columns else F.lit("").alias(c) for c in ledger.LEDGER_A])
+    ledger.write_ledger(text.where("signal_id % 2 = 0"), f"{place}/a")
+    ledger.append_ledger(text.where("signal_id % 2 = 1"), f"{place}/a")
+    back = ledger.read_ledger(spark, f"{place}/a").unionByName(ledger.read_ledger(spark, f"{place}/none"))
+    missing = F.count_if(F.col("signal_id") == "")
+    out = back.groupBy("status").agg(F.count("*").alias("trades"), F.coalesce(F.sum(ledger.number(F.col("profit_pct"))), F.lit(0.0)).alias("pnl"), F.count_if(F.col("signal_quality") == "STRONG").alias("strong"), missing.alias("missing"))
+    return _out(out, ["status"], ["pnl"], ["trades", "strong", "missing"])
+
+
+@query("""SELECT upper(left(sha256('XAUUSD|' || strftime(o_orderdate, '%Y-%m-%d') || '|' || CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END || '|' || o_orderkey), 8)) AS signal_id, CAST(o_orderkey AS VARCHAR) AS entry_price,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'spread' ELSE '' END AS blocked_reason, CASE WHEN o_orderkey % 5 = 0 THEN 'BLOCKED' ELSE 'OPEN' END AS status FROM orders""")
+def log_signals(spark, sf_dir):
+    k = F.col("o_orderkey")
+    signals = market.table(spark, sf_dir, "orders").select(F.lit("XAUUSD").alias("symbol"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), F.when(k % 2 == 0, "BUY").otherwise("SELL").alias("direction"), k.cast("string").alias("entry_price"), F.when(k % 5 == 0, "spread").alias("blocked_reason"))
+    empty = spark.createDataFrame([], ledger.text_schema(ledger.LEDGER_A))
+    return ledger.log_signals(empty, signals).select("signal_id", "entry_price", "blocked_reason", "status")
+
+
+@query("""WITH s AS (SELECT event_type AS symbol, CAST(count(*) % 101 AS DOUBLE) AS score, CAST(max(event_id) % 101 AS DOUBLE) AS ml, ['bullish', 'bearish', 'ranging'][max(event_id) % 3 + 1] AS st FROM events GROUP BY 1),
+p AS (SELECT symbol, string_agg(line, chr(10) ORDER BY event_id) AS lines FROM (SELECT event_type AS symbol, event_id, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END || ' ' || event_type || ' from ' || (2000 + event_id) || ', result ' || event_id % 7 AS line,
+ row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events WHERE event_type <> 'purchase') WHERE rn <= 3 GROUP BY symbol)
+SELECT symbol, CASE WHEN st = 'bullish' THEN 'BUY' ELSE 'SELL' END AS direction, 'Signal: ' || CASE WHEN st = 'bullish' THEN 'BUY' ELSE 'SELL' END || ' ' || symbol || ', score ' || printf('%.0f', score) || ' of 100, price 2400.5000' || chr(10) || 'Levels: stop 2390.2500, target unknown' || chr(10)
+ || 'Model: ' || printf('%.0f', ml) || ' of 100' || chr(10) || 'Market: 4H ' || st || ', 1H unknown, RSI unknown, ATR unknown, volatility unknown, news unknown' || chr(10) || 'Open positions:' || chr(10) || coalesce(lines, 'none') || chr(10)
+ || 'Reply with one JSON object: should_trade, confidence from 0 to 100, reasoning.' AS prompt FROM s LEFT JOIN p USING (symbol)""")
+def analyst_prompt(spark, sf_dir):
+    e, k = market.table(spark, sf_dir, "events"), F.col("event_id")
+    newest = F.pmod(F.max("event_id"), F.lit(3)).cast("int")
+    sig = e.groupBy(F.col("event_type").alias("symbol")).agg(
+        F.pmod(F.count("*"), F.lit(101)).cast("double").alias("smc_score"), F.pmod(F.max("event_id"), F.lit(101)).cast("double").alias("ml_confidence"), F.element_at(F.array(F.lit("bullish"), F.lit("bearish"), F.lit("ranging")), newest + 1).alias("struct_4h")
+    ).withColumns({"price": F.lit(2400.5), "stop_loss": F.lit(2390.25), "take_profit": F.lit(None).cast("double"), "direction": decisions.direction(F.col("struct_4h"))})
+    held = e.where("event_type <> 'purchase'").select(F.col("event_type").alias("symbol"), k.alias("signal_id"), F.when(k % 2 == 0, "BUY").otherwise("SELL").alias("direction"), (k + 2000).alias("entry_price"), F.pmod(k, F.lit(7)).alias("pnl"))
+    return decisions.analyst_prompt(sig, held).select("symbol", "direction", "prompt")
+
+
+@query("""WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS bar, count(*) AS n, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close FROM events GROUP BY 1, 2)
+SELECT symbol, bar AS ts, open, high, low, close, CAST(n AS DOUBLE) AS volume FROM b WHERE bar + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_bars(spark, sf_dir):
+    """Hourly bars of the events read as a stream, until the stream's end; the bars the watermark has not passed stay open."""
+    place = ledger.work_folder(spark)
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    read = spark.readStream.schema(spark.read.parquet(path).schema)
+    # a stream reads a folder; a single file is found by its name
+    folder, name = path.rsplit("/", 1)
+    stream = read.parquet(path) if spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1 else read.option("pathGlobFilter", name).parquet(folder)
+    ticks = stream.select(F.col("event_type").alias("symbol"), "event_id", "ts", F.col("value").alias("price"))
+    done = streaming.stream_bars(ticks, 60).writeStream.format("parquet").option("path", f"{place}/bars").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.parquet(f"{place}/bars").select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+@query("SELECT 100::BIGINT AS bars, 100::BIGINT AS times, true AS within, true AS features")
+def synthetic_ohlcv(spark, sf_dir):
+    """Properties of the generator: number of bars, bounds, and that the gold features can be taken from it."""
+    candles = market.synthetic_candles(spark)
+    within = F.min(F.least(*[F.col(c) for c in OHLCV[:4]]) >= 2350) & (F.max(F.greatest(*[F.col(c) for c in OHLCV[:4]])) <= 2450) & (F.min("volume") >= 1000) & (F.max("volume") <= 5000)
+    feats = indicators.filled(indicators.gold_features(candles), indicators.GOLD_FEATURES)
+    ready = F.min(F.least(*[F.col(c).isNotNull().cast("int") for c in indicators.GOLD_FEATURES])) == 1
+    return feats.agg(F.count("*").alias("bars"), F.countDistinct("ts").alias("times"), within.alias("within"), ready.alias("features"))
+
+
+@query("SELECT 1000::BIGINT AS rows, true AS balanced, true AS learns, true AS importances, true AS same_after_reload")
+def model_properties(spark, sf_dir):
+    """The synthetic set, a model fitted on it, its accuracy and importances, and that a saved model scores alike."""
+    rows = ml.synthetic_training(spark, 1000)
+    model, place = ml.fit(rows, trees=10), f"{ledger.work_folder(spark)}/model"
+    ml.save(model, place)
+    a, b = (ml.score(m, rows).select("id", F.round("ml_confidence", 9).alias(c)) for m, c in ((model, "a"), (ml.load(place), "b")))
+    same = a.join(b, "id").agg(F.count_if(F.col("a") != F.col("b")) == 0).first()[0]
+    weight = ml.feature_importance(model, spark).agg((F.abs(F.sum("importance") - 1) < 1e-6) & (F.count("*") == len(indicators.GOLD_FEATURES))).first()[0]
+    share = F.avg(F.col("label").cast("double"))
+    return rows.agg(F.count("*").alias("rows"), share.between(0.4, 0.6).alias("balanced"), F.lit(bool(0.5 < ml.accuracy(model, rows) <= 1)).alias("learns"), F.lit(weight).alias("importances"), F.lit(same).alias("same_after_reload"))
+
+
 @query()
 def gbt_score(spark, sf_dir):
     """Scores of the newest hourly bars by a model fitted on the synthetic set."""

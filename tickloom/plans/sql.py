@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from tickloom.config import DEFAULT
 
+#: The events span 30 days, so the queries' days and weeks are short bars; ``bars_day_week`` has real ones.
+FIXTURE = replace(DEFAULT, roles=(("15M", 15, 2, 20), ("1H", 60, 3, 52), ("4H", 240, 3, 52), ("1D", 480, 5, 52), ("1W", 720, 5, 52)))
+
 
 def q6(x: str, name: str) -> str:
     return f"CAST(round(CAST(({x}) AS DOUBLE) * 1000000) AS BIGINT)::DOUBLE / 1000000 AS {name}"
@@ -11,7 +16,7 @@ def q6(x: str, name: str) -> str:
 
 PRICED = """WITH RECURSIVE t0 AS (SELECT event_type AS symbol, event_id, ts, value FROM events UNION ALL SELECT 'ALL', event_id, ts, value FROM events),
 priced AS (SELECT symbol, event_id, ts, 2400.0::DOUBLE + CAST(sum(CAST(round(value * 100) AS BIGINT) - 5000) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 10000.0::DOUBLE AS price FROM t0),
-roles(tf, minutes, k, least) AS (VALUES """ + ", ".join(f"('{t}', {m}, {n}, {c})" for t, m, n, c in DEFAULT.roles) + ")"
+roles(tf, minutes, k, least) AS (VALUES """ + ", ".join(f"('{t}', {m}, {n}, {c})" for t, m, n, c in FIXTURE.roles) + ")"
 
 _BAR = """first(price ORDER BY p.ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY p.ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume"""
 
@@ -131,8 +136,9 @@ z AS (SELECT *, CASE WHEN hour(as_of) BETWEEN 6 AND 9 THEN 'London Open' WHEN ho
 scored AS (SELECT *, CASE WHEN skipped THEN 0 ELSE least(100, CASE WHEN struct_4h = 'bullish' THEN 20 ELSE 10 END + CASE WHEN struct_1d = 'bullish' THEN 15 ELSE 0 END + CASE WHEN struct_1w = 'bullish' THEN 10 ELSE 0 END + CASE WHEN b4 THEN 15 ELSE 0 END
  + CASE WHEN at_block THEN 20 WHEN fvg_index IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN sweep_index IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN b15 THEN 10 ELSE 0 END + CASE WHEN adx_15m > 20 THEN 5 ELSE 0 END + CASE WHEN rsi_15m > 50 THEN 5 ELSE 0 END + CASE WHEN killzone IS NOT NULL THEN 5 ELSE 0 END) END AS score FROM z),
 l1 AS (SELECT *, CASE WHEN om15m = false THEN '15M_OB' WHEN (CASE WHEN ol4h IS NOT NULL THEN om4h ELSE om1h END) = false THEN '4H_OB' ELSE 'ATR' END AS sl_source FROM scored),
-l2 AS (SELECT *, CASE sl_source WHEN '15M_OB' THEN ol15m * (1 - 0.0005::DOUBLE) WHEN '4H_OB' THEN coalesce(ol4h, ol1h) * (1 - 0.0005::DOUBLE) ELSE price - atr * 1.5::DOUBLE END AS stop_loss, coalesce(tp_level, price + atr * 3) AS take_profit FROM l1),
-levels AS (SELECT *, CASE WHEN price - stop_loss > 0 THEN (take_profit - price) / (price - stop_loss) ELSE 0 END AS rr_ratio, price * 0.9995::DOUBLE AS entry_low, price * 1.0005::DOUBLE AS entry_high FROM l2) """
+l2 AS (SELECT *, round(CASE sl_source WHEN '15M_OB' THEN ol15m * (1 - 0.0005::DOUBLE) WHEN '4H_OB' THEN coalesce(ol4h, ol1h) * (1 - 0.0005::DOUBLE) ELSE price - atr * 1.5::DOUBLE END * 10000) / 10000 AS stop_loss, coalesce(tp_level, round((price + atr * 3) * 10000) / 10000) AS take_profit FROM l1),
+levels AS (SELECT *, CASE WHEN price - stop_loss > 0 THEN round((take_profit - price) / (price - stop_loss) * 100) / 100 ELSE 0 END AS rr_ratio, round(price * 0.9995::DOUBLE * 10000) / 10000 AS entry_low, round(price * 1.0005::DOUBLE * 10000) / 10000 AS entry_high,
+ round((price - stop_loss) / price * 100 * 10000) / 10000 AS sl_pct, round((take_profit - price) / price * 100 * 10000) / 10000 AS tp_pct FROM l2) """
 
 LEDGER = """WITH l0 AS (SELECT o_orderkey AS signal_id, o_orderdate AS timestamp, o_orderstatus AS os, CASE WHEN o_orderstatus = 'F' THEN ((o_orderkey * 7919) % 401 - 200) / 100.0::DOUBLE END AS profit_pct, o_orderpriority AS pr FROM orders),
 l AS (SELECT signal_id, timestamp, profit_pct, CASE WHEN profit_pct > 0 THEN 'WIN' WHEN profit_pct < 0 THEN 'LOSS' WHEN profit_pct = 0 THEN 'EXPIRED' END AS result, CASE os WHEN 'F' THEN 'CLOSED' WHEN 'O' THEN 'OPEN' ELSE 'BLOCKED' END AS status,

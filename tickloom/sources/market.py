@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, event_id, ts, price): a price walk per event type, and one of all events.
 
-    The walk is a fixture made from the events table: steps are whole ticks of
-    0.0001, so prices are exact.  It is a running sum per symbol.
+    A fixture of the registered queries, made from the events table; no part of
+    the engine reads it.  Steps are whole ticks of 0.0001, so prices are exact.
+    It is a running sum per symbol, ALL being one symbol of all events; real
+    ticks come with their prices.
     """
     events = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
     both = events.select(F.explode(F.array("event_type", F.lit("ALL"))).alias("symbol"), "event_id", "ts", "value")
@@ -28,10 +30,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket(ts: Column, minutes: Column | int) -> Column:
-    """Start of the bar of *minutes* that holds ts, counted from the epoch (session time UTC)."""
-    seconds = (F.lit(minutes) if isinstance(minutes, int) else minutes) * 60
+    """Start of the bar of *minutes* that holds ts, counted from the epoch (session time UTC); whole weeks from a Monday."""
+    minutes = F.lit(minutes) if isinstance(minutes, int) else minutes
     at = F.unix_seconds(ts.cast("timestamp"))
-    return F.timestamp_seconds(at - F.pmod(at, seconds)).cast("timestamp_ntz")
+    # the epoch was a Thursday
+    past = F.pmod(at + F.when(minutes % 10080 == 0, 3 * 86400).otherwise(0), minutes * 60)
+    return F.timestamp_seconds(at - past).cast("timestamp_ntz")
 
 
 def bars(ticks_df: DataFrame, minutes: int, tf: str | None = None) -> DataFrame:
@@ -67,8 +71,14 @@ def normalise_raw(raw: DataFrame) -> DataFrame:
     return typed.dropna(subset=["ts", *price])
 
 
-def drop_incomplete(candles: DataFrame, config: Config = DEFAULT, fetch: int | None = None) -> DataFrame:
-    """The newest *fetch* bars of a series without its last one; series with too few bars go."""
+def drop_incomplete(candles: DataFrame, config: Config = DEFAULT, fetch: int | None = None, end: object = None) -> DataFrame:
+    """The newest *fetch* bars of a series without its last one; series with too few bars go.
+
+    With *end* (a time or a column) only bars that begin before it count: the
+    scan as it was then.
+    """
+    if end is not None:
+        candles = candles.where(F.col("ts") < (end if isinstance(end, Column) else F.lit(end).cast("timestamp_ntz")))
     fetch = config.fetch_bars if fetch is None else fetch
     newest = Window.partitionBy(*SERIES).orderBy(F.col("ts").desc())
     least = F.coalesce(F.create_map(*[x for t, _, _, m in config.roles for x in (F.lit(t), F.lit(m))])[F.col("tf")], F.lit(52))
@@ -77,9 +87,9 @@ def drop_incomplete(candles: DataFrame, config: Config = DEFAULT, fetch: int | N
     return ranked.where((F.col("__rn") > 1) & (F.col("__n") >= least)).drop("__rn", "__n")
 
 
-def scan_candles(spark: SparkSession, sf_dir: str, config: Config = DEFAULT) -> DataFrame:
-    """What a scan reads: the ladder's newest complete bars."""
-    return drop_incomplete(ladder(ticks(spark, sf_dir), config), config)
+def scan_candles(spark: SparkSession, sf_dir: str, config: Config = DEFAULT, end: object = None) -> DataFrame:
+    """What a scan reads: the ladder's newest complete bars, as of *end* if one is given."""
+    return drop_incomplete(ladder(ticks(spark, sf_dir), config), config, end=end)
 
 
 def fallback_15m(candles: DataFrame, last: int = 40) -> DataFrame:
@@ -96,6 +106,18 @@ def resolve_symbol(available: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return available.where((F.col("bars") > 0) & F.col("symbol").isin(*config.symbol_variants)).groupBy("account").agg(F.min_by("symbol", F.element_at(place, F.col("symbol"))).alias("symbol"))
 
 
+def since(candles: DataFrame, start: object) -> DataFrame:
+    """Candles from *start* (a time or a column) on."""
+    return candles.where(F.col("ts") >= (start if isinstance(start, Column) else F.lit(start).cast("timestamp_ntz")))
+
+
+def synthetic_candles(spark: SparkSession, bars: int = 100, seed: int = 42, symbol: str = "SYNTHETIC", low: float = 2350.0, high: float = 2450.0) -> DataFrame:
+    """Hourly candles of uniform prices and volumes (1,000 to 5,000), to try feature sets on; high and low bound the others only by chance."""
+    price = [(F.lit(low) + F.rand(seed + k) * (high - low)).alias(c) for k, c in enumerate(("open", "high", "low", "close"))]
+    start = F.lit("2025-01-01").cast("timestamp_ntz")
+    return spark.range(bars).select(F.lit(symbol).alias("symbol"), F.lit("1H").alias("tf"), (start + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("ts"), *price, (1000 + F.rand(seed + 4) * 4000).alias("volume"))
+
+
 def last_price(candles: DataFrame) -> DataFrame:
     """(symbol, ts, price): newest close per symbol over all series; the shortest bar's on ties of time."""
     return candles.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("price"))
