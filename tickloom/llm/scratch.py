@@ -19,10 +19,12 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; made only if the session names none."""
+    """The shared folder; made only if the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tickloom-")
@@ -56,11 +58,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/tickloom-{uuid.uuid4().hex}"
+        self.known: list[str] = []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        for known in self.known:
+            self.spark.sql(f"DROP TABLE IF EXISTS {known}")
         remove(self.spark, f"{self.base}/tmp")
 
     def _write(self, df: DataFrame, path: str) -> DataFrame:
@@ -70,6 +75,17 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         return self._write(df, f"{self.base}/tmp/{name}")
 
+    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``put``, in as many buckets of *key* as a shuffle has partitions, so that joins on it leave the table where it is.
+
+        The table is known to the session under a name of its own until the block ends.
+        """
+        path, known = f"{self.base}/tmp/{name}", f"{name}_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(known)
+        self.known.append(known)
+        return self.spark.table(known)
+
     def drop(self, name: str) -> None:
         remove(self.spark, f"{self.base}/tmp/{name}")
 
