@@ -12,7 +12,11 @@ and which of them it owns (the owner is the payload least by digest).  The
 second scan brings each payload, compressed, to these decisions, equal payloads
 collapsing before the shuffle, and the store is written: per payload one pack of
 the chunks only it has, and the common chunks it owns.  Every chunk is stored
-once, at every size of the input.  Reading back joins the common chunks to the
+once, at every size of the input.  A bit map of bounded size tells most payloads
+that nothing has to be decided about them (no copy, no common chunk); these are
+written where they are read.  A bit set by another payload only sends one to the
+joins, as all are if the map is full.  The store is bucketed by the payload's digest,
+so packs stay where they are when they are read back, which joins the common chunks to the
 other payloads that use them.
 """
 
@@ -36,6 +40,8 @@ _U32, _U64 = np.uint32, np.uint64
 UNIT = 576
 SIDE = 24
 LEAST, MASK_BITS, MOST = 256, 10, 4096
+#: Bits of the map of payloads to decide on, at most.
+MOST_BITS = 26
 
 _GEAR = (mix64(np.arange(1, 257, dtype=_U64) * _U64(0x2545F4914F6CDD1D)) >> _U64(32)).astype(_U32)
 
@@ -116,30 +122,29 @@ def catalogue_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _rows(rows, CATALOGUE)
 
 
-PACKED = pa.schema([("sha", _SUM), ("digests", _SUMS), ("lens", pa.list_(pa.int32())), ("media", pa.binary())])
+class BitMap:
+    """A set of digests as a bit map of bounded size: may say yes wrongly, never no."""
 
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
 
-def media_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second scan: every payload's media file, compressed, with its chunk list; equal payloads of a batch once."""
-    import zstandard
+    @classmethod
+    def of(cls, digests: DataFrame) -> BitMap:
+        """From one column of digests; the words of the map are or-ed together before they reach the driver (8 MB at most)."""
+        bits = min(MOST_BITS, max(10, (16 * max(1, digests.count()) - 1).bit_length()))
+        key = F.conv(F.substring(F.hex(digests.columns[0]), 1, 16), 16, -10).cast("long")
+        slot = F.shiftrightunsigned(key, 64 - bits)
+        words = digests.select(slot.alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("at"), F.expr("shiftleft(1L, int(slot & 63))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        table = np.zeros(1 << max(0, bits - 6), np.int64)
+        table[words["at"].to_numpy()] = words["bit"].to_numpy()
+        return cls(bits, table.view(_U64))
 
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        rows, size = {}, 0
-        for _, text in _texts(batch):
-            payload = payload_of(text)
-            sha = hashlib.sha256(payload).digest()
-            if sha in rows:
-                continue
-            media = media_of(payload)
-            parts = chunks_of(media)
-            rows[sha] = (sha, [digest(c) for c in parts], [len(c) for c in parts], press.compress(media))
-            size += len(text)
-            if size > 8 << 20:
-                yield _rows(rows.values(), PACKED)
-                rows, size = {}, 0
-        if rows:
-            yield _rows(rows.values(), PACKED)
+    def has(self, name: bytes) -> bool:
+        slot = int.from_bytes(name[:8], "big") >> (64 - self.bits)
+        return bool(int(self.words[slot >> 6]) >> (slot & 63) & 1)
+
+
+PACKED = pa.schema([("sha", _SUM), ("digests", _SUMS), ("lens", pa.list_(pa.int32())), ("media", pa.binary())])
 
 
 STORED = pa.schema([
@@ -147,6 +152,40 @@ STORED = pa.schema([
 ])
 
 
+def media_batches(open_: BitMap, decided: bool):
+    """Second scan: media files, compressed, with their chunk lists.
+
+    *decided*: of the payloads that are certainly not *open_*, as rows of the
+    store.  Else the others as PACKED, equal payloads of a batch once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        schema = STORED if decided else PACKED
+        for batch in batches:
+            rows, size = {}, 0
+            for _, text in _texts(batch):
+                payload = payload_of(text)
+                sha = hashlib.sha256(payload).digest()
+                if sha in rows or open_.has(sha) == decided:
+                    continue
+                media = media_of(payload)
+                parts = chunks_of(media)
+                names, lens = [digest(c) for c in parts], [len(c) for c in parts]
+                # a chunk that a payload repeats stands in its pack once
+                rows[sha] = (sha, names, lens, [True] * len(names), press.compress(b"".join(dict.fromkeys(parts))), []) if decided else (sha, names, lens, press.compress(media))
+                size += len(text)
+                if size > 8 << 20:
+                    yield _rows(rows.values(), schema)
+                    rows, size = {}, 0
+            if rows:
+                yield _rows(rows.values(), schema)
+
+    return run
+
+
 def store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of PACKED with their common chunks (digest, own) to STORED."""
     import zstandard
@@ -214,15 +253,25 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(rows, READ)
 
 
-def written(docs: DataFrame, catalogue: DataFrame, scratch: Scratch) -> DataFrame:
-    """The store (STORED, a row per distinct payload): a chunk of one payload stands in its pack, a common one with its owner."""
+def written(docs: DataFrame, catalogue: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The store (STORED, a row per distinct payload) in two tables: a chunk of one payload stands in its pack, a common one with its owner.
+
+    The first table holds payloads that share nothing, the second, bucketed by
+    digest, those that were decided on by joins.
+    """
     lists = catalogue.groupBy("sha").agg(F.first("digests").alias("digests")).select("sha", F.explode(F.array_distinct("digests")).alias("digest"))
     lists = scratch.put(lists, "lists")
     common = scratch.put(lists.groupBy("digest").agg(F.count("*").alias("n"), F.min("sha").alias("owner")).where("n > 1"), "common")
     # a payload has no more common chunks than chunks
     told = meet(lists, common, "digest", "n").groupBy("sha").agg(F.collect_list(F.struct("digest", (F.col("owner") == F.col("sha")).alias("own"))).alias("common"))
-    first = docs.mapInArrow(media_batches, from_arrow_schema(PACKED)).groupBy("sha").agg(F.first(F.struct("digests", "lens", "media")).alias("m")).select("sha", "m.*")
-    return scratch.put(first.join(told, "sha", "left").mapInArrow(store_batches, from_arrow_schema(STORED)), "store")
+    told = scratch.put(told, "told")
+    copies = catalogue.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select("sha")
+    open_ = BitMap.of(scratch.put(told.select("sha").unionByName(copies), "open"))
+    schema = from_arrow_schema
+    plain = scratch.put(docs.mapInArrow(media_batches(open_, True), schema(STORED)), "plain")
+    first = docs.mapInArrow(media_batches(open_, False), schema(PACKED)).groupBy("sha").agg(F.first(F.struct("digests", "lens", "media")).alias("m")).select("sha", "m.*")
+    # rows stand in partitions of sha already, so a task writes its own buckets
+    return plain, scratch.bucketed(first.join(told, "sha", "left").mapInArrow(store_batches, from_arrow_schema(STORED)), "sha", "store")
 
 
 def store_and_read(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +288,7 @@ def store_and_read(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(spark) as scratch:
         catalogue = scratch.keep(docs.mapInArrow(catalogue_batches, from_arrow_schema(CATALOGUE)), "catalogue")
-        store = written(docs, catalogue, scratch)
+        plain, store = written(docs, catalogue, scratch)
         pieces = store.select(F.explode("owned").alias("o")).select("o.*")
         # what a payload has not and does not own is fetched
         lacks = F.array_except(F.transform(F.filter(F.arrays_zip("digests", "inline"), lambda x: ~x["inline"]), lambda x: x["digests"]), F.col("owned.digest"))
@@ -248,7 +297,7 @@ def store_and_read(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         fetched = meet(wanted, pieces.join(uses, "digest"), "digest", "uses").groupBy("sha").agg(F.collect_list(F.struct("digest", "data")).alias("fetched"))
         whole = F.size(lacks) == 0
         kind = "array<struct<digest:binary,data:binary>>"
-        alone = store.where(whole).withColumn("fetched", F.lit(None).cast(kind))
+        alone = plain.unionByName(store.where(whole)).withColumn("fetched", F.lit(None).cast(kind))
         joined = store.where(~whole).join(fetched, "sha").withColumn("fetched", F.col("fetched").cast(kind))
         values = scratch.keep(alone.unionByName(joined).mapInArrow(read_batches, from_arrow_schema(READ)), "values")
         n = catalogue.groupBy("sha").agg(F.count("*").alias("rows"))
