@@ -1,6 +1,9 @@
 import re
 
+import duckdb
+
 from tickloom.llm.decontam import contaminated, without_contaminated
+from tickloom.llm.queries import OP5_SQL
 
 ITEMS = [
     (1, "A train leaves Paris at 9 km from the old station and meets Anna after 45 minutes on the same track."),
@@ -72,3 +75,19 @@ def test_names_that_open_a_sentence_and_short_items(spark):
     ]
     got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]): r["verbatim"] for r in got.collect()} == {(10, 1): False, (11, 2): False, (13, 3): True, (15, 1): True, (17, 4): True, (19, 5): True}
+
+
+def test_units_glued_to_numbers(spark):
+    items = [(1, "A box of 3kg and a rope of 2.5 m go into the van with a 40km trip"), (2, "the 3rd man of 7kgs ran on to the gate")]
+    docs = [
+        (10, "A box of 5 kg and a rope of 1.25m go into the van with a 70 km trip"), (11, "A box of 3KG and a rope of 2.5m go into the van with a 40km trip"),
+        (12, "A box of 5kg and a rope of 5m go into the van with a 70km trip"), (13, "the 3rd man of 7kgs ran on to the gate"), (14, "the 4th man of 8kgs ran on to the gate"), (15, "9kg"),
+    ]
+    documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = contaminated(documents, benchmark).collect()
+    # 12 gives two numbers one value; what ends in no unit is a word
+    assert {(r["doc_id"], r["item_id"]): (r["verbatim"], r["n_slots"]) for r in got} == {(10, 1): (False, 6), (11, 1): (True, 6), (13, 2): (True, 0)}
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    con.register("benchmark", benchmark.toPandas())
+    assert sorted(con.execute(OP5_SQL).fetchall()) == sorted(tuple(r) for r in got)

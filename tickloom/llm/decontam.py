@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of canonical tokens: numbers, names and units turn into
-typed placeholders, other words are lower-cased.  Windows of canonical tokens of
+typed placeholders ('3kg' into two), other words are lower-cased.  Windows of canonical tokens of
 all documents are joined by hash with the windows of the benchmark's items, and
 a chain of windows at one offset counts as a copy of the item only if the
 placeholders' fillings correspond one to one (equal for a plain copy, changed
@@ -61,19 +61,36 @@ def lowered(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, upper
 
 
+def _split_units(low: np.ndarray, numeric: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Starts, ends and hashes of the tokens, a number with a unit at its end ('3kg') as two."""
+    other = np.append(np.flatnonzero(~numeric), len(low))
+    cut = other[np.searchsorted(other, starts)] if len(starts) else starts
+    glued = np.flatnonzero((cut > starts) & (cut < ends))
+    cut = cut[glued]
+    hashes = span_hash(low, np.concatenate([starts, starts[glued], cut]), np.concatenate([ends, cut, ends[glued]]))
+    plain, heads, tails = np.split(hashes, [len(starts), len(starts) + len(glued)])
+    unit = np.isin(tails, _UNIT_HASHES)
+    glued, cut = glued[unit], cut[unit]
+    plain[glued] = heads[unit]
+    tail_ends = ends[glued]
+    ends = ends.copy()
+    ends[glued] = cut
+    return np.insert(starts, glued + 1, cut), np.insert(ends, glued + 1, tail_ends), np.insert(plain, glued + 1, tails[unit])
+
+
 def canonical(raw: np.ndarray, offsets: np.ndarray):
     """Canonical token hashes, plain hashes, starts, ends, first token of each document, tokens that may be names."""
     inside = _WORD[raw]
     if len(raw) > 2:
         inside[1:-1] |= _JOIN[raw[1:-1]] & _DIGIT[raw[:-2]] & _DIGIT[raw[2:]]
     low, upper = lowered(raw)
-    starts, ends = runs(inside, offsets)
-    plain = span_hash(low, starts, ends)
+    numeric = _DIGIT[raw] | (_JOIN[raw] & inside)
+    starts, ends, plain = _split_units(low, numeric, *runs(inside, offsets))
     first = np.searchsorted(starts, offsets)
     if not len(starts):
         return plain, plain, starts, ends, first, np.zeros(0, bool)
     digits, capitals = np.zeros(len(raw) + 1, np.int32), np.zeros(len(raw) + 1, np.int32)
-    np.cumsum(_DIGIT[raw] | (_JOIN[raw] & inside), out=digits[1:])
+    np.cumsum(numeric, out=digits[1:])
     np.cumsum(upper, out=capitals[1:])
     number = digits[ends] - digits[starts] == ends - starts
     lead = upper[starts] | ((raw[starts] == 0xC3) & upper[np.minimum(starts + 1, len(raw) - 1)])

@@ -170,13 +170,17 @@ FROM p LEFT JOIN f ON f.rank = p.rank AND f.block = p.block LEFT JOIN g ON g.ran
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 _WORDS = "0-9A-Za-z\\x{80}-\\x{10FFFF}"
+_GLUED = f"(^|[^{_WORDS}])([0-9](?:[0-9\ue000\ue001]*[0-9])?)((?i:{'|'.join(UNITS)}))($|[^{_WORDS}])"
 #: Tokens are told from what stands between them; a stop or comma inside a number is private-use for a while.
 OP5_SQL = f"""
 WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
 m AS (
-  SELECT kind, id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g'), '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g'),
-    '([0-9]),([0-9])', '\\1\ue001\\2', 'g'), '([0-9]),([0-9])', '\\1\ue001\\2', 'g'), '[{_WORDS}]+|[^{_WORDS}]+') AS parts FROM t),
-u AS (SELECT kind, id, row_number() OVER () AS r, parts FROM m),
+  SELECT kind, id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g'), '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g'),
+    '([0-9]),([0-9])', '\\1\ue001\\2', 'g'), '([0-9]),([0-9])', '\\1\ue001\\2', 'g') AS text FROM t),
+-- a number with a unit at its end is two tokens
+g AS (
+  SELECT kind, id, regexp_extract_all(regexp_replace(regexp_replace(text, '{_GLUED}', '\\1\\2 \\3\\4', 'g'), '{_GLUED}', '\\1\\2 \\3\\4', 'g'), '[{_WORDS}]+|[^{_WORDS}]+') AS parts FROM m),
+u AS (SELECT kind, id, row_number() OVER () AS r, parts FROM g),
 x AS (SELECT *, lag(part) OVER (PARTITION BY r ORDER BY i) AS gap FROM (SELECT kind, id, r, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM u)),
 tok AS (
   SELECT kind, id, r, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS pos, translate(part, '{_CAPITALS}', '{_CAPITALS.lower()}') AS low, part AS raw,
