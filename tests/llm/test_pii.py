@@ -141,6 +141,20 @@ def test_every_value_of_a_small_space(spark):
     assert made[0] > 20 and made[1:] == [9, 25, 25]
 
 
+def test_persons_without_a_title(spark):
+    names = ["Anna Smith", "John F. Smith", "Anna-Lena von Braun", "Jean Paul Dupont", "Maria O'Brien", "Иван Петров", "Dr. Anna Smith", "Mr. Smith", "Dr. Zora Smith"]
+    texts = [f"We met {n}, who left." for n in names] + ["Anna left. John and Mary Are", "Anna's John's, JOHN SMITH", "Hanna Smith", "Peter I", "x-Anna Smith"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k", report=True).orderBy("doc_id").collect()
+    assert [r["originals_found"] for r in rows] == [[n] for n in names] + [["Mary Are"], [], [], [], []]
+    given = [r["surrogates"][0] for r in rows[: len(names)]]
+    assert all(len(a.split()) == len(b.split()) and r["text"] == f"We met {b}, who left." for a, b, r in zip(names, given, rows, strict=False))
+    words = [x.split() for x in given]
+    women, men = (tuple(n for v in pii.NAMES.values() for n in v[g]) for g in "fm")
+    assert all(words[i][0].startswith(women) for i in (0, 2, 4)) and all(words[i][0].startswith(men) for i in (1, 3, 5)) and words[2][1] == "von"
+    # a surname and a given name are one whatever stands before them, two given names are two
+    assert len({words[i][-1] for i in (0, 1, 6, 7, 8)}) == 1 and words[0][0] == words[6][1] != words[8][1] and len(set(given)) == len(given)
+
+
 def test_against_brute_force(spark, sf_dir):
     """Entities by Python's pattern on the table, and a text rewritten entity by entity."""
     import regex

@@ -7,7 +7,7 @@ other capitals, numbers in other groups, a surname after another title or given
 name.  A surrogate is drawn for the canonical form and poured into the layout of
 each spelling; it has the entity's type, its layout character by
 character (digit for digit, letter for letter of the same case and script) and,
-for persons, the gender their title gives.  Rounds of joins check that no
+for persons, the gender of their given name or else of their title.  Rounds of joins check that no
 surrogate equals another's or any entity of the corpus; those that do are drawn
 again, and lengthened where their layout has too few values, so drawing ends
 whatever the corpus holds.  Signs alone ('Password: ________') are no entity.
@@ -38,6 +38,27 @@ _PERSON = (
     rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})++{_PART}(?!{_TITLE.rstrip()}(?![\p{{L}}\p{{M}}'’-]))(?:\p{{Lu}}\.(?= (?:{'|'.join(p + ' ' for p in PARTICLES)}|\p{{Lu}}))|\p{{Lu}}[\p{{L}}\p{{M}}]*+{_REST})"
     rf"(?: {_PART}(?:\p{{Lu}}\.(?= (?:{'|'.join(p + ' ' for p in PARTICLES)}|\p{{Lu}}))|\p{{Lu}}(?= {_PART}\p{{Lu}}\p{{L}})|\p{{Lu}}\p{{M}}*+(?:['’]\p{{Lu}})?\p{{Lu}}*+\p{{Ll}}[\p{{L}}\p{{M}}]*+{_REST}))*(?: {_PART}\p{{Lu}}\p{{M}}*+(?:['’-]?\p{{Lu}}\p{{M}}*+)++(?![\p{{L}}\p{{M}}])){{0,3}}"
 )
+#: Given names that tell persons without a title, by gender; none of them is a common word, a place or a month.
+GIVEN = {
+    "m": (
+        "Ahmed", "Alejandro", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Brian", "Carlos", "Charles", "Christian", "Christopher", "Daniel", "David", "Diego", "Edward", "Eric", "Fernando", "François", "Frédéric",
+        "George", "Hans", "Henry", "Ivan", "Jacques", "James", "Javier", "Jean", "Johannes", "John", "Jonathan", "José", "Joseph", "Juan", "Jürgen", "Karl", "Kevin", "Klaus", "Laurent", "Luis", "Manuel", "Martin", "Matthew",
+        "Michael", "Michel", "Mohammed", "Nicolas", "Olivier", "Pablo", "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Robert", "Sebastian", "Stefan", "Stephen", "Steven", "Thomas", "Timothy", "Wolfgang",
+        "Александр", "Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Николай", "Павел", "Сергей", "Юрий",
+    ),
+    "f": (
+        "Alice", "Amanda", "Andrea", "Angela", "Anna", "Anne", "Barbara", "Birgit", "Camille", "Carmen", "Caroline", "Catherine", "Christine", "Claudia", "Deborah", "Elena", "Elizabeth", "Emily", "Emma", "Fatima",
+        "Françoise", "Gabriela", "Hannah", "Heike", "Helen", "Isabel", "Isabelle", "Jennifer", "Jessica", "Julia", "Karen", "Katharina", "Laura", "Linda", "Lisa", "Lucía", "Margaret", "Maria", "María", "Marie", "Marta", "Mary",
+        "Michelle", "Monika", "Nathalie", "Nicole", "Olga", "Patricia", "Petra", "Rebecca", "Sabine", "Sandra", "Sarah", "Sophie", "Stephanie", "Susan", "Ursula", "Valérie",
+        "Анна", "Галина", "Екатерина", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна",
+    ),
+}
+_KNOWN = f"(?:{'|'.join(GIVEN['m'] + GIVEN['f'])})"
+# a known given name, more of them or initials, and a surname not all in capitals
+_NAMED = (
+    rf"(?<![\p{{L}}\p{{N}}'’-])(?=\p{{Lu}}){_KNOWN}(?:-\p{{Lu}}\p{{Ll}}++)?(?: (?:{_KNOWN}(?:-\p{{Lu}}\p{{Ll}}++)?|\p{{Lu}}\.)(?= ))*"
+    rf" {_PART}\p{{Lu}}\p{{M}}*+(?:['’]\p{{Lu}})?\p{{Lu}}*+\p{{Ll}}[\p{{L}}\p{{M}}]*+{_REST}"
+)
 #: Type and pattern, the first that matches at a place wins.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![\p{L}\p{N}._%+-])(?![._%+-]++@[.-]++\p{L}++(?![\p{L}\p{N}.-]))[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+"),
@@ -51,11 +72,12 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("card", r"(?<![\p{L}\p{N}])(?:\d{4}[ -]?){3}\d{4}(?!\d)"),
     ("ip", rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"),
     ("person", _PERSON),
+    ("person", _NAMED),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: A text with an entity has one of these: a class of signs, or a title by any first letter and any rest, which fails fast.
-_SPELT = sorted({t for v in TITLES.values() for t in v})
-HINT = "[0-9@=:]|[" + "".join(sorted({t[0] for t in _SPELT})) + "](?:" + "|".join(sorted({t[1:] for t in _SPELT}, key=len)) + r")\.? (?:\p{Lu}|(?:" + "|".join(PARTICLES) + ") )"
+#: A text with an entity has one of these: a class of signs, or a title or given name by any first letter and any rest, which fails fast.
+_SPELT = sorted({t for v in (*TITLES.values(), *GIVEN.values()) for t in v})
+HINT = "[0-9@=:]|[" + "".join(sorted({t[0] for t in _SPELT})) + "](?:" + "|".join(sorted({t[1:] for t in _SPELT}, key=len)) + r")(?:-\p{Lu}\p{Ll}++|\.)? (?:\p{Lu}|(?:" + "|".join(PARTICLES) + ") )"
 
 #: Given names and surnames for surrogates of persons.
 NAMES = {
@@ -114,7 +136,8 @@ NAME_KINDS = ("surname", "given_m", "given_f", "given_")
 def name_parts(persons: DataFrame, key: str) -> DataFrame:
     """(person, pos, value, kind, fixed) of the words of *persons* (value); fixed ones need no surrogate drawn.
 
-    Titles and particles stay, initials move along their alphabet by the key.
+    Titles and particles stay, initials move along their alphabet by the key; a
+    known given name keeps its own gender, another one takes the title's.
     """
     v = F.col("value")
     titles = F.regexp_extract(v, f"^(?:{_TITLE})+", 0)
@@ -124,9 +147,10 @@ def name_parts(persons: DataFrame, key: str) -> DataFrame:
     spelt = ["".join(x for _, x in LAYOUT if x[0] == c) for c in "AАΑ"]
     moved = F.translate("value", "".join(spelt), "".join(x[shift:] + x[:shift] for x in spelt))
     parts = persons.select(v.alias("person"), titles.alias("titles"), given.alias("given"), F.size(words).alias("n"), F.posexplode(words).alias("pos", "value"))
-    kind = F.when(F.col("pos") == F.col("n") - 1, "surname").when(v.isin(*PARTICLES) | v.rlike(r"^\p{Lu}\.?$"), "fixed").otherwise(F.col("given"))
+    first = F.substring_index("value", "-", 1)
+    kind = F.when(F.col("pos") == F.col("n") - 1, "surname").when(v.isin(*PARTICLES) | v.rlike(r"^\p{Lu}\.?$"), "fixed").when(first.isin(*GIVEN["f"]), "given_f").when(first.isin(*GIVEN["m"]), "given_m").otherwise(F.col("given"))
     parts = parts.select("person", "pos", "value", kind.alias("kind"), F.when(v.rlike(r"^\p{Lu}\.?$"), moved).otherwise(v).alias("fixed"))
-    heads = persons.select(v.alias("person"), F.lit(-1).alias("pos"), F.rtrim(titles).alias("value"), F.lit("fixed").alias("kind"), F.rtrim(titles).alias("fixed"))
+    heads = persons.where(titles != "").select(v.alias("person"), F.lit(-1).alias("pos"), F.rtrim(titles).alias("value"), F.lit("fixed").alias("kind"), F.rtrim(titles).alias("fixed"))
     return heads.unionByName(parts)
 
 
@@ -209,15 +233,15 @@ def surrogate_table(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     A surrogate that equals an entity of the corpus, or one already given, is
     drawn again with the next attempt; of several drawn alike in a round the
     least value keeps it.  Persons get theirs word by word: one for a surname
-    whatever stands before it, and one for a given name under titles of one
-    gender, each one to one, so whole names are as well.
+    whatever stands before it, and one for a given name of one gender, each one
+    to one, so whole names are as well.
     """
     kinds = values.select("value", entity_type(F.col("value")).alias("kind")).withColumn("canon", canonical(F.col("value"), F.col("kind")))
     kinds = scratch.put(kinds, "kinds")
     parts = scratch.put(name_parts(kinds.where("kind = 'person'").select("value"), key), "parts")
     units = scratch.put(kinds.where("kind <> 'person'").select(F.col("canon").alias("value"), "kind").distinct().unionByName(parts.where("kind <> 'fixed'").select("value", "kind").distinct()), "units")
-    # entities share one space of surrogates, names have one a kind
-    space = F.when(F.col("kind").isin(*NAME_KINDS), F.col("kind")).otherwise("")
+    # entities share one space of surrogates, surnames have one and given names of any gender
+    space = F.when(F.col("kind") == "surname", "surname").when(F.col("kind").isin(*NAME_KINDS), "given").otherwise("")
     real = units.select(F.col("value").alias("surrogate"), space.alias("space"), F.lit(True).alias("real"))
     todo, done, step = units.withColumn("attempt", F.lit(0)), None, 0
     while True:
