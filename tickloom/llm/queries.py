@@ -13,6 +13,7 @@ from tickloom.llm.langid import LanguageModels, identify
 from tickloom.llm.media_chunks import store_and_read
 from tickloom.llm.minhash_dedup import near_duplicates
 from tickloom.llm.mixing import mixture
+from tickloom.llm.periodic import periodic_runs
 from tickloom.llm.pii import pseudonymise
 from tickloom.llm.quality import QualityModel
 from tickloom.llm.scratch import Scratch
@@ -100,10 +101,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where every tenth text, by crc32 of its id, goes on periodically from some word on; null ids stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(F.pmod(h, F.lit(10)) == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    words = words.withColumns({"n": F.size("words").cast("long"), "g": F.floor(F.col("h") / 10)})
+    a = F.pmod("g", F.nullif("n", F.lit(0)))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod("g", F.lit(8))))
+    words = words.withColumn("a", a).withColumn("p", period)
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.element_at("words", (F.col("a") + F.pmod(i - F.col("a"), F.col("p")) + 1).cast("int"))))
+    return words.select("doc_id", F.when(F.coalesce(F.col("n") > 0, F.lit(False)), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its run of the greatest exponent, and digests of all runs and of the text without their repeats."""
+    found = periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ahead = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]  # noqa: E731  above 0 if x is ahead of y
+    best = F.aggregate("runs", F.element_at(F.filter("runs", lambda r: F.lit(True)), 1), lambda b, r: F.when(ahead(r, b) > 0, r).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("b"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+    milli = F.floor(1000 * F.col("b.length") / F.col("b.period")).cast("long")
+    return told.select("doc_id", "n_runs", "b.start", "b.length", "b.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_minhash_dedup, op2_chat_format, op3_pii, op4_toxicity, op5_decontamination, op6_language_id, op7_mixing, op8_token_counts, op9_media_chunks, op10_quality)
+        for f in (op1_minhash_dedup, op2_chat_format, op3_pii, op4_toxicity, op5_decontamination, op6_language_id, op7_mixing, op8_token_counts, op9_media_chunks, op10_quality, op11_periodic_runs)
     }
 
 
