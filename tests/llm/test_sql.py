@@ -19,4 +19,4 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_every_number_has_a_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 12)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 13)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.chat_format import lines_of, recover_roles, render, turns_of
 from tickloom.llm.decontam import UNITS, contaminated
+from tickloom.llm.graph_index import GraphIndex
 from tickloom.llm.langid import LanguageModels, identify
 from tickloom.llm.media_chunks import store_and_read
 from tickloom.llm.minhash_dedup import near_duplicates
@@ -127,10 +128,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_runs", "b.start", "b.length", "b.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
 
 
+def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector by id, found by beam search of the graphs of all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return GraphIndex.build(vectors).search(vectors.where("vec_id % 20 = 0"), 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_minhash_dedup, op2_chat_format, op3_pii, op4_toxicity, op5_decontamination, op6_language_id, op7_mixing, op8_token_counts, op9_media_chunks, op10_quality, op11_periodic_runs)
+        for f in (op1_minhash_dedup, op2_chat_format, op3_pii, op4_toxicity, op5_decontamination, op6_language_id, op7_mixing, op8_token_counts, op9_media_chunks, op10_quality, op11_periodic_runs, op12_graph_search)
     }
 
 
