@@ -7,7 +7,7 @@ from tickloom.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = queries.queries()[name](spark, sf_dir)
     cols = sorted(df.columns)
@@ -19,4 +19,4 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_every_number_has_a_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 13)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.chat_format import lines_of, recover_roles, render, turns_of
 from tickloom.llm.decontam import UNITS, contaminated
+from tickloom.llm.drake import clustered
 from tickloom.llm.graph_index import GraphIndex
 from tickloom.llm.langid import LanguageModels, identify
 from tickloom.llm.media_chunks import store_and_read
@@ -134,10 +136,24 @@ def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GraphIndex.build(vectors).search(vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its cluster and squared distance, and figures of its cluster."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = clustered(vectors, [F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)])
+    total = F.when(F.count("distance") == F.count("*"), F.sum(F.col("distance").cast("decimal(38,0)"))).alias("total")
+    # a row for each cluster
+    totals = {r["cluster"]: None if r["total"] is None else int(r["total"]) for r in found.assigned.groupBy("cluster").agg(total).collect()}
+    fits = lambda x: x if x is not None and x < 1 << 63 else None
+    every = fits(None if None in totals.values() else sum(totals.values()))
+    figures = [(c, fits(totals[c]), every, hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(found.centroids) if c in totals]
+    by = spark.createDataFrame(figures, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.assigned.join(F.broadcast(by), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_minhash_dedup, op2_chat_format, op3_pii, op4_toxicity, op5_decontamination, op6_language_id, op7_mixing, op8_token_counts, op9_media_chunks, op10_quality, op11_periodic_runs, op12_graph_search)
+        for f in (op1_minhash_dedup, op2_chat_format, op3_pii, op4_toxicity, op5_decontamination, op6_language_id, op7_mixing, op8_token_counts, op9_media_chunks, op10_quality, op11_periodic_runs, op12_graph_search, op13_clusters)
     }
 
 
@@ -250,5 +266,28 @@ FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY windows
 """
 
 
+def _rounds(n: int) -> str:
+    """Assignments a0 to an and centroids c0 to cn, all distances each time."""
+    out = []
+    for r in range(n + 1):
+        out.append(f"""d{r} AS (SELECT vec_id, c, sum((e.v - k.v) * (e.v - k.v)) AS d FROM e JOIN c{r} k USING (p) GROUP BY vec_id, c),
+a{r} AS MATERIALIZED (SELECT vec_id, c, CAST(d AS BIGINT) AS d FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if r < n:
+            out.append(f"""m{r} AS (SELECT c, p, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM e JOIN a{r} USING (vec_id) GROUP BY c, p),
+c{r + 1} AS MATERIALIZED (SELECT c, p, coalesce((s - ((s % n) + n) % n) // n, v) AS v FROM c{r} LEFT JOIN m{r} USING (c, p))""")
+    return ",\n".join(out)
+
+
+OP13_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+e AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS p, unnest(x) AS v FROM v),
+c0 AS MATERIALIZED (SELECT c, unnest(range(1, 65)) AS p, unnest(x) AS v FROM (SELECT x, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM v QUALIFY c < 8)),
+{_rounds(10)},
+h AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p)) AS centroid_sha256 FROM c10 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a10 JOIN h USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op7_mixing": OP7_SQL, "op13_clusters": OP13_SQL}
