@@ -137,7 +137,10 @@ class GraphIndex:
             sizes = scratch.put(rows.groupBy("dim").agg(F.count("*").alias("n")), "sizes")
             sized = rows.join(F.broadcast(sizes), "dim") if sizes.count() <= SENT_DIMS else meet(rows, sizes, "dim", "n")
             dealt = sized.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.ceil(F.col("n") / shard_rows)).cast("int"))
-            return cls(scratch.keep(dealt.select("dim", "shard", "id", "vec").groupBy("dim", "shard").applyInArrow(shard_builder(degree, beam, alpha), SHARD), "shards"))
+            # a task a shard, as far as hashes go
+            n = sizes.agg(F.sum(F.ceil(F.col("n") / shard_rows))).first()[0] or 1
+            dealt = dealt.select("dim", "shard", "id", "vec").repartition(int(n), "dim", "shard")
+            return cls(scratch.keep(dealt.groupBy("dim", "shard").applyInArrow(shard_builder(degree, beam, alpha), SHARD), "shards"))
 
     def search(self, queries: DataFrame, k: int, *, beam: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
         """(query_id, rank, vec_id, score): the k nearest found of each query, nearest first, ties to the smaller id.
