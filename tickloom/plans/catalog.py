@@ -14,6 +14,7 @@ from tickloom.operators import decisions, indicators, ledger, ml, reports, scan,
 from tickloom.plans import sql
 from tickloom.sources import market
 from tickloom.streaming import bars as streaming
+from tickloom.streaming import late, ledger_table, resolver
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -613,22 +614,81 @@ def analyst_prompt(spark, sf_dir):
     return decisions.analyst_prompt(sig, held).select("symbol", "direction", "prompt")
 
 
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table read as a stream."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    read = spark.readStream.schema(spark.read.parquet(path).schema)
+    # a stream reads a folder; a single file is found by its name
+    folder, file = path.rsplit("/", 1)
+    return read.parquet(path) if spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1 else read.option("pathGlobFilter", file).parquet(folder)
+
+
+def _runs(rows: DataFrame, slices: list, place: str, start: Callable) -> None:
+    """Rows that arrive slice by slice (a condition each) in a folder, and a stream of them that is started for each, from its checkpoint."""
+    for k, mine in enumerate(slices):
+        rows.where(mine).write.mode("append").parquet(f"{place}/in")
+        stream = rows.sparkSession.readStream.schema(rows.schema).parquet(f"{place}/in")
+        start(stream, f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 @query("""WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS bar, count(*) AS n, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close FROM events GROUP BY 1, 2)
 SELECT symbol, bar AS ts, open, high, low, close, CAST(n AS DOUBLE) AS volume FROM b WHERE bar + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_bars(spark, sf_dir):
     """Hourly bars of the events read as a stream, until the stream's end; the bars the watermark has not passed stay open."""
     place = ledger.work_folder(spark)
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    read = spark.readStream.schema(spark.read.parquet(path).schema)
-    # a stream reads a folder; a single file is found by its name
-    folder, name = path.rsplit("/", 1)
-    stream = read.parquet(path) if spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1 else read.option("pathGlobFilter", name).parquet(folder)
+    stream = _streamed(spark, sf_dir, "events")
     ticks = stream.select(F.col("event_type").alias("symbol"), "event_id", "ts", F.col("value").alias("price"))
     done = streaming.stream_bars(ticks, 60).writeStream.format("parquet").option("path", f"{place}/bars").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.parquet(f"{place}/bars").select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
+@query(sql.TRADES + "SELECT signal_id, status, reason AS exit_reason, " + sql.q6("exit_price", "exit_price") + ", " + sql.q6("(exit_price - entry) / entry * 100", "profit_pct") + " FROM replay")
+def barrier_resolve_stream(spark, sf_dir):
+    """Trades and candles made from the events arrive as a stream, which ends in the middle and goes on from its checkpoint; what never closed is open."""
+    trades, candles, as_of = _trades(spark, sf_dir)
+    place = ledger.work_folder(spark)
+    candles.write.parquet(f"{place}/candles")
+    trades.write.parquet(f"{place}/trades")
+    candles, trades = spark.read.parquet(f"{place}/candles"), spark.read.parquet(f"{place}/trades")
+    middle = candles.agg(F.timestamp_seconds((F.unix_seconds(F.min("ts").cast("timestamp")) + F.unix_seconds(F.max("ts").cast("timestamp"))) / 2)).first()[0]
+    out = lambda rows, state: resolver.resolve_stream(rows).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", state)
+    with resolver.use_state(spark):
+        _runs(resolver.feed(trades, candles, as_of), [F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)], place, out)
+    closed = spark.read.parquet(f"{place}/out")
+    rest = trades.join(closed, "signal_id", "left_anti").select("signal_id", F.lit("OPEN").alias("status"), F.lit(None).cast("string").alias("exit_reason"), F.lit(None).cast("double").alias("exit_price"), F.lit(None).cast("double").alias("profit_pct"))
+    return _out(closed.select(*rest.columns).unionByName(rest), ["signal_id"], ["exit_price", "profit_pct"], ["status", "exit_reason"])
+
+
+@query(sql.BARS_1H + "SELECT symbol, tf, ts, open, high, low, close, volume FROM bars")
+def late_bars(spark, sf_dir):
+    """The events' ticks in slices without an order of time, one of them sent again: every bar ends as it is in ``bars_1h``."""
+    place = ledger.work_folder(spark)
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    table = late.RevisedBars(spark, place, 60, "1H")
+    _runs(market.ticks(spark, sf_dir), [part == 2, part == 0, part == 2, part == 1], place, table.follow)
+    return table.bars()
+
+
+@query(sql.LEDGER + "SELECT CAST(signal_id AS VARCHAR) AS signal_id, CASE WHEN status = 'CLOSED' THEN result ELSE status END AS status, " + sql.q6("profit_pct", "profit_pct") + ", coalesce(strftime(exit_time, '%Y-%m-%d %H:%M:%S'), '') AS exit_time, CASE WHEN status = 'BLOCKED' THEN 'risk' ELSE '' END AS blocked_reason FROM l")
+def ledger_stream(spark, sf_dir):
+    """Signals and outcomes of the orders arrive as a stream, signals of every third once more with the outcomes; the ledger has each once, and is compacted."""
+    orders, place = _ledger(spark, sf_dir), ledger.work_folder(spark)
+    names = ["signal_id", "timestamp", "symbol", "signal_quality", "entry_price", "stop_loss", F.when(F.col("status") == "BLOCKED", "risk").alias("blocked_reason")]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("status", "string"), ("exit_price", "double"), ("exit_ts", "timestamp_ntz"), ("exit_reason", "string"), ("profit_pct", "double"))]
+    signals = orders.select(*names, *none, F.lit(False).alias("outcome"), F.lit(0).alias("slice"))
+    again = signals.where("signal_id % 3 = 0").withColumn("slice", F.lit(1))
+    closed = orders.where("status = 'CLOSED'").select(
+        "signal_id", "timestamp", "symbol", "signal_quality", "entry_price", "stop_loss", F.lit(None).cast("string").alias("blocked_reason"), F.col("result").alias("status"), F.col("entry_price").alias("exit_price"), F.col("exit_time").alias("exit_ts"), F.lit("fixture").alias("exit_reason"), "profit_pct", F.lit(True).alias("outcome"), F.lit(1).alias("slice")
+    )
+    table = ledger_table.LedgerTable(spark, f"{place}/ledger")
+    _runs(signals.unionByName(again).unionByName(closed), [F.col("slice") == 0, F.col("slice") == 1], place, table.follow)
+    table.compact(1_000_000)
+    table.table.vacuum()
+    rows = table.current()
+    return rows.select("signal_id", "status", q6(ledger.number(F.col("profit_pct"))).alias("profit_pct"), "exit_time", "blocked_reason")
+
+
 @query("SELECT 100::BIGINT AS bars, 100::BIGINT AS times, true AS within, true AS features")
 def synthetic_ohlcv(spark, sf_dir):
     """Properties of the generator: number of bars, bounds, and that the gold features can be taken from it."""
