@@ -175,3 +175,49 @@ def test_against_brute_force(spark, sf_dir):
     for r in rows:
         text = texts[r["doc_id"]]
         assert r["text"] == (None if text is None else pattern.sub(lambda m: table[m[0]], text))
+
+
+def replaced(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in pii.pseudonymise(df, key=key, report=True).collect()}
+
+
+def test_lists_of_names_and_labels_do_not_end_the_stack(spark):
+    """Very many words of each kind go through, and the session lives on."""
+    n = 20_000
+    texts = [
+        "Mr. " + "Smith " * n, "John " + "Paul " * n + "went", "John " + "X. " * (n // 2) + "Smith", "John " + "X. " * (n // 2) + "went", "Dr. " + "A. " * (n // 2) + "Miller", "Mr. " + "SMITH " * n,
+        "x@" + "abc." * (n // 2) + "org", "x@" + "abc." * (n // 2) + "1", "x@a" + ".1" * (n // 2), "x@a" + ".1" * (n // 2) + ".com", "Mr. " + "O'Brien-" * (n // 4) + "Smith", "Mr. " + "de la " * (n // 4) + "Cruz",
+        "Mr. Smith " + "Green Hill " * 5000, "a." * n + "@b.org", "Smith " * 1000 + "Mr. Smith",
+    ]
+    rows = replaced(spark, texts)
+    assert len(rows) == len(texts) and spark.range(3).count() == 3
+    assert [rows[k]["n_entities"] for k in range(12)] == [1, 1, 1, 0, 1, 1, 1, 1, 0, 1, 1, 1]
+    assert all("Smith" not in rows[k]["text"] for k in (0, 2, 10, 12, 14)) and "SMITH" not in rows[5]["text"] and rows[1]["text"].endswith(" went")
+    assert rows[3]["text"] == texts[3] and rows[8]["text"] == texts[8] and rows[14]["n_entities"] == 1001
+
+
+def test_names_and_mail_are_found_as_far_as_they_go(spark):
+    cases = {
+        "John Paul X. went": "John Paul", "John Paul went": "John Paul", "John X. went": None, "John A. B. Smith went": "John A. B. Smith", "Jean-Pierre de la Tour said": "Jean-Pierre de la Tour", "John Mary": "John Mary", "John went": None,
+        "to a@b.c1.com now": "a@b.c1.com", "to a@b.com.1 now": "a@b.com", "to a@b.com1 now": "a@b.com", "to a@b.1.2 now": None, "to a@b.co.uk.": "a@b.co.uk", "Dr. Anna MEYER LOPEZ GARCIA RUIZ DIAZ ran": "Dr. Anna MEYER LOPEZ GARCIA RUIZ DIAZ",
+    }
+    rows = replaced(spark, list(cases))
+    for k, (text, want) in enumerate(cases.items()):
+        assert rows[k]["originals_found"] == ([want] if want else []), text
+
+
+def test_bare_surnames_and_secrets(spark):
+    texts = [
+        "Mr. John Smith; J. Smith; John Smith; Mr. J. Smith; Smith said, Smith's, Blacksmith and smith; Green Smith.", "Smith is no person here.",
+        "password: hunter22 or password=hunter22, Token = 'hunter22x'", "Mr. Password left MyPassword: hunter22 there", "Mr. Al Ray and Ray@x.org at 10.0.0.7, Ray-Ban",
+    ]
+    rows = replaced(spark, texts)
+    first = rows[0]["text"]
+    name = re.match(r"Mr\. \w+ (\w+);", first)[1]
+    assert "Smith" not in first.replace("Blacksmith", "") and first.count(name) == 7 and "Blacksmith and smith; Green " in first
+    assert rows[1]["text"] == texts[1]
+    said = rows[2]["surrogates"]
+    assert said[0].removeprefix("password: ") == said[1].removeprefix("password=") and not said[2].startswith(said[1]) and "hunter22" not in rows[2]["text"]
+    assert "hunter22" not in rows[3]["text"] and "MyPassword: " in rows[3]["text"]
+    assert "10.0.0.7" not in rows[4]["text"] and "Ray@" not in rows[4]["text"] and rows[4]["text"].endswith("Ray-Ban")

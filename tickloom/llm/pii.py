@@ -33,10 +33,11 @@ _TITLE = rf"(?:{_MALE}|{_FEMALE}|{_ANY})\.? "
 PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "zu", "bin", "ibn", "al", "el")
 _PART = rf"(?:(?:{'|'.join(PARTICLES)}) )*+"
 _REST = r"(?:['’](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++|-[\p{L}\p{M}]++)*+"
-# titles, a first name word or initial, further ones, and a surname in capitals (three words of them at most, as headings go on)
+# no repeated group of the patterns gives back what it took: Java's matcher would recurse once a repeat, and a list of names would end the stack
+# titles, a first name word or initial, further ones, and words all in capitals
 _PERSON = (
     rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})++{_PART}(?!{_TITLE.rstrip()}(?![\p{{L}}\p{{M}}'’-]))(?:\p{{Lu}}\.(?= (?:{'|'.join(p + ' ' for p in PARTICLES)}|\p{{Lu}}))|\p{{Lu}}[\p{{L}}\p{{M}}]*+{_REST})"
-    rf"(?: {_PART}(?:\p{{Lu}}\.(?= (?:{'|'.join(p + ' ' for p in PARTICLES)}|\p{{Lu}}))|\p{{Lu}}(?= {_PART}\p{{Lu}}\p{{L}})|\p{{Lu}}\p{{M}}*+(?:['’]\p{{Lu}})?\p{{Lu}}*+\p{{Ll}}[\p{{L}}\p{{M}}]*+{_REST}))*(?: {_PART}\p{{Lu}}\p{{M}}*+(?:['’-]?\p{{Lu}}\p{{M}}*+)++(?![\p{{L}}\p{{M}}])){{0,3}}"
+    rf"(?: {_PART}(?:\p{{Lu}}\.(?= (?:{'|'.join(p + ' ' for p in PARTICLES)}|\p{{Lu}}))|\p{{Lu}}(?= {_PART}\p{{Lu}}\p{{L}})|\p{{Lu}}\p{{M}}*+(?:['’]\p{{Lu}})?\p{{Lu}}*+\p{{Ll}}[\p{{L}}\p{{M}}]*+{_REST}))*+(?: {_PART}\p{{Lu}}\p{{M}}*+(?:['’-]?\p{{Lu}}\p{{M}}*+)++(?![\p{{L}}\p{{M}}]))*+"
 )
 #: Given names that tell persons without a title, by gender; none of them is a common word, a place or a month.
 GIVEN = {
@@ -54,14 +55,19 @@ GIVEN = {
     ),
 }
 _KNOWN = f"(?:{'|'.join(GIVEN['m'] + GIVEN['f'])})"
-# a known given name, more of them or initials, and a surname not all in capitals
+_SURNAME = r"\p{Lu}\p{M}*+(?:['’]\p{Lu})?\p{Lu}*+\p{Ll}"
+_INITIALS = r"(?:\p{Lu}\. )*+"
+_DOUBLE = r"(?:-\p{Lu}\p{Ll}++)?"
+# a known given name, more of them and initials as long as a surname is left, and a surname not all in capitals
 _NAMED = (
-    rf"(?<![\p{{L}}\p{{N}}'’-])(?=\p{{Lu}}){_KNOWN}(?:-\p{{Lu}}\p{{Ll}}++)?(?: (?:{_KNOWN}(?:-\p{{Lu}}\p{{Ll}}++)?|\p{{Lu}}\.)(?= ))*"
-    rf" {_PART}\p{{Lu}}\p{{M}}*+(?:['’]\p{{Lu}})?\p{{Lu}}*+\p{{Ll}}[\p{{L}}\p{{M}}]*+{_REST}"
+    rf"(?<![\p{{L}}\p{{N}}'’-])(?=\p{{Lu}}){_KNOWN}{_DOUBLE}(?: {_INITIALS}{_KNOWN}{_DOUBLE}(?= {_INITIALS}{_PART}{_SURNAME}))*+"
+    rf" {_INITIALS}{_PART}{_SURNAME}[\p{{L}}\p{{M}}]*+{_REST}"
 )
+_LABEL = r"[\p{L}\p{N}-]++"
+_ODD_LABELS = rf"(?:\.(?!\p{{L}}{{2}}){_LABEL})*+"
 #: Type and pattern, the first that matches at a place wins.
 PATTERNS: tuple[tuple[str, str], ...] = (
-    ("email", r"(?<![\p{L}\p{N}._%+-])(?![._%+-]++@[.-]++\p{L}++(?![\p{L}\p{N}.-]))[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])(?![._%+-]++@[.-]++\p{L}++(?![\p{L}\p{N}.-]))[\p{L}\p{N}._%+-]++@" + _LABEL + rf"(?:{_ODD_LABELS}\.{_LABEL}(?={_ODD_LABELS}\.\p{{L}}{{2}}))*+{_ODD_LABELS}\.\p{{L}}{{2,}}+"),
     ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{6,}+"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -75,6 +81,9 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("person", _NAMED),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
+_SECRET_HEAD = r"^(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?"
+#: With words in capitals beside them, which may be the bare surnames of persons of the text; none that begins a secret.
+WITH_BARE = PATTERN + r"|(?:(?<![\p{L}\p{N}'’_-])\p{Lu}[\p{L}\p{M}]*+" + _REST + r"(?<!(?i:password|passwd|secret|token|key|api))(?![\p{L}\p{N}_@-]))"
 #: A text with an entity has one of these: a class of signs, or a title or given name by any first letter and any rest, which fails fast.
 _SPELT = sorted({t for v in (*TITLES.values(), *GIVEN.values()) for t in v})
 HINT = "[0-9@=:]|[" + "".join(sorted({t[0] for t in _SPELT})) + "](?:" + "|".join(sorted({t[1:] for t in _SPELT}, key=len)) + r")(?:-\p{Lu}\p{Ll}++|\.)? (?:\p{Lu}|(?:" + "|".join(PARTICLES) + ") )"
@@ -134,7 +143,7 @@ NAME_KINDS = ("surname", "given_m", "given_f", "given_")
 
 
 def name_parts(persons: DataFrame, key: str) -> DataFrame:
-    """(person, pos, value, kind, fixed) of the words of *persons* (value); fixed ones need no surrogate drawn.
+    """(person, pos, value, kind, fixed) of the words of *persons* (value), person being a digest of the whole name; fixed ones need no surrogate drawn.
 
     Titles and particles stay, initials move along their alphabet by the key; a
     known given name keeps its own gender, another one takes the title's.
@@ -146,30 +155,34 @@ def name_parts(persons: DataFrame, key: str) -> DataFrame:
     shift = 1 + int(hashlib.sha256(key.encode()).hexdigest(), 16) % 23
     spelt = ["".join(x for _, x in LAYOUT if x[0] == c) for c in "AАΑ"]
     moved = F.translate("value", "".join(spelt), "".join(x[shift:] + x[:shift] for x in spelt))
-    parts = persons.select(v.alias("person"), titles.alias("titles"), given.alias("given"), F.size(words).alias("n"), F.posexplode(words).alias("pos", "value"))
+    person = F.sha2(v, 256).alias("person")
+    # what is said of the whole name is worked out before its words are rows
+    told = persons.select(person, titles.alias("titles"), given.alias("given"), words.alias("words"))
+    parts = told.withColumn("n", F.size("words")).select("person", "given", "n", F.posexplode("words").alias("pos", "value"))
     first = F.substring_index("value", "-", 1)
     kind = F.when(F.col("pos") == F.col("n") - 1, "surname").when(v.isin(*PARTICLES) | v.rlike(r"^\p{Lu}\.?$"), "fixed").when(first.isin(*GIVEN["f"]), "given_f").when(first.isin(*GIVEN["m"]), "given_m").otherwise(F.col("given"))
     parts = parts.select("person", "pos", "value", kind.alias("kind"), F.when(v.rlike(r"^\p{Lu}\.?$"), moved).otherwise(v).alias("fixed"))
-    heads = persons.where(titles != "").select(v.alias("person"), F.lit(-1).alias("pos"), F.rtrim(titles).alias("value"), F.lit("fixed").alias("kind"), F.rtrim(titles).alias("fixed"))
+    heads = persons.where(titles != "").select(person, F.lit(-1).alias("pos"), F.rtrim(titles).alias("value"), F.lit("fixed").alias("kind"), F.rtrim(titles).alias("fixed"))
     return heads.unionByName(parts)
 
 
 def canonical(value: Column, kind: Column) -> Column:
-    """The form that all spellings of an entity share: mail in small letters, numbers without what groups their signs."""
-    return F.when(kind == "email", F.lower(value)).when(kind.isin(*GROUPED), F.regexp_replace(value, r"[^\p{L}\p{N}+]", "")).otherwise(value)
+    """The form that all spellings of an entity share: mail in small letters, numbers without what groups their signs, a secret without its name."""
+    return F.when(kind == "email", F.lower(value)).when(kind == "secret", F.regexp_replace(value, _SECRET_HEAD, "")).when(kind.isin(*GROUPED), F.regexp_replace(value, r"[^\p{L}\p{N}+]", "")).otherwise(value)
 
 
 def poured(value: Column, kind: Column, surrogate: Column) -> Column:
     """*surrogate* (of the canonical form) in the layout of *value*: its capitals, or its groups; what is longer follows."""
     chars, rest = F.split(value, ""), F.length(value) + 1
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(surrogate, i + 1, 1))).otherwise(F.substring(surrogate, i + 1, 1))), "")
+    cased = F.array_join(F.zip_with(chars, F.slice(F.split(surrogate, ""), F.lit(1), F.greatest(F.size(chars), F.lit(0))), lambda c, x: F.when(c != F.lower(c), F.upper(x)).otherwise(x)), "")
     bare = F.regexp_replace(surrogate, r"^\+", "")
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("n"))
     step = lambda a, c: F.when(c.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(a["out"], F.substring(bare, a["n"], 1)).alias("out"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n")))
     done = F.aggregate(chars, start, step)
     left = F.substring(bare, done["n"], F.length(bare))
     grouped = F.concat(done["out"], F.when(left == "", "").otherwise(F.concat(F.lit(" "), left)))
-    return F.when(kind == "email", F.concat(cased, F.substring(surrogate, rest, F.length(surrogate)))).when(kind.isin(*GROUPED), grouped).otherwise(surrogate)
+    named = F.concat(F.regexp_extract(value, _SECRET_HEAD, 0), surrogate)
+    return F.when(kind == "secret", named).when(kind == "email", F.concat(cased, F.substring(surrogate, rest, F.length(surrogate)))).when(kind.isin(*GROUPED), grouped).otherwise(surrogate)
 
 
 def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -178,8 +191,7 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     seed = F.concat_ws("\x1f", F.lit(key), k, v, F.col("attempt").cast("string"))
     df = entities.withColumn("stream", F.concat(*[F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 512) for i in range(2)]))
     head = (
-        F.when(k == "secret", F.regexp_extract(v, r"^(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?", 0))
-        .when(k == "access_key", F.substring(v, 1, 4))
+        F.when(k == "access_key", F.substring(v, 1, 4))
         .when(k == "phone", F.regexp_extract(v, r"^\+(?:1|7|\d{2})", 0))
         .when(k == "iban", F.substring(v, 1, 2))
         .otherwise("")
@@ -260,7 +272,7 @@ def surrogate_table(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     words = parts.join(done, ["value", "kind"], "left").groupBy("person").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("surrogate", "fixed").alias("word")))).alias("words"), F.coalesce(F.max("attempt"), F.lit(0)).alias("attempt")
     )
-    persons = words.select(F.col("person").alias("value"), F.lit("person").alias("kind"), "attempt", F.array_join("words.word", " ").alias("surrogate"))
+    persons = kinds.where("kind = 'person'").select("value", F.sha2("value", 256).alias("person")).join(words, "person").select("value", F.lit("person").alias("kind"), "attempt", F.array_join("words.word", " ").alias("surrogate"))
     drawn = done.where(~F.col("kind").isin(*NAME_KINDS)).withColumnRenamed("value", "canon")
     others = kinds.join(drawn, ["canon", "kind"]).select("value", "kind", "attempt", poured(F.col("value"), F.col("kind"), F.col("surrogate")).alias("surrogate"))
     return others.unionByName(persons)
@@ -273,7 +285,9 @@ def pseudonymise(documents: DataFrame, *, key: str, id_col: str = "doc_id", text
     n_entities, and originals_found / surrogates (arrays in order of the text).
 
     * null text stays null, empty text empty, both without entities;
-    * very long texts are searched whole; their entities are one map a text;
+    * very long texts are searched whole, in time that grows with their length; their entities are one map a text;
+    * a word in capitals that is the surname of a person of the same text, found
+      by title or given name, is replaced as in the person's name;
     * one entity has one surrogate wherever and however often it stands; of
       entities drawn alike the least value keeps the draw, so reruns agree;
     * repeated rows and null ids: each row is rewritten like its twin;
@@ -296,13 +310,22 @@ def pseudonymise(documents: DataFrame, *, key: str, id_col: str = "doc_id", text
         table = surrogate_table(values.select("value"), key, scratch).join(values, "value")
         table = scratch.keep(table, "table")
         # per text its own map; a text's entities are bounded by its length
-        maps = meet(each, table, "value", "uses").groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("map"))
+        told_as = F.struct("value", F.struct("surrogate", (F.col("kind") == "person").alias("person")).alias("to"))
+        maps = meet(each, table, "value", "uses").groupBy("sha").agg(F.map_from_entries(F.collect_list(told_as)).alias("map"))
         maps = scratch.keep(maps.join(mentions.select("sha", "rows"), "sha"), "maps")
     clean = told.where(F.size("found") == 0).select("row", F.col("text").alias("new"), none.alias("found"), none.alias("subs"))
-    dirty = meet(dirty, maps, "sha", "rows").withColumn("subs", F.transform("found", lambda v: F.element_at(F.col("map"), v)))
-    gaps = F.split("text", PATTERN, -1)
-    woven = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with("subs", F.slice(gaps, F.lit(2), F.size("subs")), lambda s, g: F.concat(s, g)), ""))
-    both = clean.unionByName(dirty.select("row", woven.alias("new"), "found", "subs"))
+    last = lambda c: F.substring_index(c, " ", -1)
+    persons = F.filter(F.map_entries("map"), lambda e: e["value"]["person"])
+    surnames = F.map_from_entries(F.array_distinct(F.transform(persons, lambda e: F.struct(last(e["key"]), last(e["value"]["surrogate"])))))
+    dirty = meet(dirty, maps, "sha", "rows").withColumn("surnames", surnames)
+    bare = F.size("surnames") > 0
+    dirty = dirty.withColumn("all", F.when(bare, F.regexp_extract_all("text", F.lit(WITH_BARE), F.lit(0))).otherwise(F.col("found")))
+    dirty = dirty.withColumn("all_subs", F.transform("all", lambda v: F.coalesce(F.try_element_at("map", v)["surrogate"], F.try_element_at("surnames", v))))
+    gaps = F.when(bare, F.split("text", WITH_BARE, -1)).otherwise(F.split("text", PATTERN, -1))
+    dirty = dirty.withColumn("gaps", gaps).withColumn("pairs", F.zip_with("all", "all_subs", lambda v, s: F.struct(v.alias("v"), s.alias("s"))))
+    woven = F.concat(F.element_at("gaps", 1), F.array_join(F.zip_with("pairs", F.slice("gaps", F.lit(2), F.size("pairs")), lambda p, g: F.concat(F.coalesce(p["s"], p["v"]), g)), ""))
+    hits = F.filter("pairs", lambda p: p["s"].isNotNull())
+    both = clean.unionByName(dirty.select("row", woven.alias("new"), F.transform(hits, lambda p: p["v"]).alias("found"), F.transform(hits, lambda p: p["s"]).alias("subs")))
     out = [F.col("new").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
     if report:
         out += [F.size("found").alias("n_entities"), F.col("found").alias("originals_found"), F.col("subs").alias("surrogates")]
