@@ -31,7 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole, repeated rows alike; null ids, sources and further columns stay.
     """
     models = LanguageModels.fit(docs.select("doc_id", "text", "lang").where(remainder(4) != 2))
-    return identify(docs, models).where("lang_pred <> 'und'").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return identify(rows, models).where("lang_pred <> 'und'").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,23 +41,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where an id repeats, its texts are told apart by numbers in the order of the
     ids.  Null and empty texts are near nothing and stay, as do rows without an
     id; of rows that repeat whole, and of equal ids and texts, one stays (any, as
-    other columns may differ).  Further columns stay; those of the stage's own
-    begin with two underscores.
+    other columns may differ).  Further columns stay, whatever their names, as
+    rows are wrapped in one struct.
     """
     names, id_col = docs.columns, "doc_id"
-    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("__h"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text")
+    texts = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"))
     if not texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        scratch, id_col = Scratch(spark), "__row"
-        numbers = scratch.keep(texts.distinct().orderBy("doc_id", "__h").select("doc_id", "__h", F.monotonically_increasing_id().alias(id_col)), "numbers")
-        docs = scratch.keep(docs.withColumn("__h", F.xxhash64("text")).join(numbers, ["doc_id", "__h"], "left"), "numbered")
-    groups = near_duplicates(docs, width=5, numerator=80, denominator=100, bands=24, id_col=id_col)
-    kept = without_ids(docs, groups.where("not kept").select("doc_id").distinct(), id_col)
+        scratch, id_col = Scratch(spark), "number"
+        numbers = scratch.keep(texts.distinct().orderBy("doc_id", "hash").select("doc_id", "hash", F.monotonically_increasing_id().alias(id_col)), "numbers")
+        rows = scratch.keep(rows.withColumn("hash", F.xxhash64("text")).join(numbers, ["doc_id", "hash"], "left"), "numbered")
+    groups = near_duplicates(rows, width=5, numerator=80, denominator=100, bands=24, id_col=id_col)
+    kept = without_ids(rows, groups.where("not kept").select("doc_id").distinct(), id_col)
+    back = [F.col(f"row.`{c}`").alias(c) for c in names]
     if id_col == "doc_id":
-        return kept
+        return kept.select(*back)
     # rows that repeat whole are copies as well
     again = groups.where("kept").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
     rest = without_ids(kept, again, id_col)
-    return rest.select(*names).unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*names))
+    return rest.select("row").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select("row")).select(*back)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

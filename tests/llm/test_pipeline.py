@@ -40,3 +40,16 @@ def test_an_id_with_different_texts_loses_only_copies(spark, sf_dir):
     got = corpus_pipeline.near_dedup(spark, docs, sf_dir)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"], r["text"] or "-") for r in got.collect()) == sorted([(3, a), (5, b), (5, "-"), (6, c), (7, "other"), (9, "-"), (9, "x y z")])
+
+
+def test_columns_that_clash(spark, sf_dir):
+    """Every stage with columns named like ones that operators work with; ids that repeat."""
+    text = "alpha beta gamma delta epsilon zeta"
+    odd = ["__h", "__row", "__text", "row", "hash", "number", "text2", "found", "new", "n", "score", "a b"]
+    rows = [(1, text, "en", "a", 1), (1, "quite other words are here for once", "en", "a", 1), (2, text, "en", "b", 1), (3, None, None, None, None), (None, "other words stand here for once now", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(k).alias(c) for k, c in enumerate(odd)])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert set(docs.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns), name
+        got = out.collect()
+        assert got and all([r[c] for c in odd] == list(range(len(odd))) for r in got), name

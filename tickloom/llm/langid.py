@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.llm.kernels import SPACE, slices
 from tickloom.llm.decontam import lowered
@@ -212,12 +213,12 @@ def identify(documents: DataFrame, models: LanguageModels, *, penalty: float = 6
     * very long texts are taken whole, in segments; ties go to the language
       first by name; repeated rows get equal results;
     * an empty table gives an empty result; input columns of the three names
-      are replaced.
+      are replaced, others stay whatever their names, as rows are wrapped in
+      one struct.
     """
     ship(documents.sparkSession)
-    base = documents.drop("lang_pred", "score", "mixture")
-    # the text the kernel reads is a copy under a name of its own
-    work = base.select(*[F.col(f"`{c}`") for c in base.columns], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
-    out = work.mapInArrow(predict_batches(models, "__text", penalty, None), f"{schema}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
-    return out.drop("__text")
+    names = [c for c in documents.columns if c not in ("lang_pred", "score", "mixture")]
+    work = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    added = T.StructType.fromDDL("lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    out = work.mapInArrow(predict_batches(models, "text", penalty, None), T.StructType([*work.schema.fields, *added.fields]))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "lang_pred", "score", "mixture")
