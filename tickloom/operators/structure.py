@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import DEFAULT, Config
 from tickloom.functions.rolling import SERIES, lag, series
+from tickloom.operators.long_series import first_close_above
 
 KEYS = list(SERIES)
 #: Bars of a block of a first-match join: with n bars a level meets n / FIRST_BLOCK blocks and two blocks' bars.
@@ -73,11 +74,15 @@ def _first_close_above(levels: DataFrame, candles: DataFrame, carry: list[str])
     return hits.groupBy(*names).agg(F.min("j").alias("j"))
 
 
-def bos_up(swung: DataFrame) -> DataFrame:
-    """(.., bos_index, broken_level, swing_high_index): the newest first close above a swing high; needs two highs, ties go to the oldest swing."""
+def bos_up(swung: DataFrame, depth: int | None = None) -> DataFrame:
+    """(.., bos_index, broken_level, swing_high_index): the newest first close above a swing high; needs two highs, ties go to the oldest swing.
+
+    For long series *depth* is that of ``long_series.first_close_above``.
+    """
     highs = swung.where("swing_high").select(*KEYS, F.col("i").alias("from_i"), F.col("high").alias("level"))
     two = highs.groupBy(*KEYS).agg(F.count("*").alias("k")).where("k >= 2").select(*KEYS)
-    hits = _first_close_above(highs.join(two, KEYS, "left_semi"), swung, [])
+    levels = highs.join(two, KEYS, "left_semi")
+    hits = _first_close_above(levels, swung, []) if depth is None else first_close_above(levels, swung, depth)
     best = hits.groupBy(*KEYS).agg(F.max_by(F.struct("j", "level", "from_i"), F.struct("j", -F.col("from_i"))).alias("m"))
     return best.select(*KEYS, F.col("m.j").alias("bos_index"), F.col("m.level").alias("broken_level"), F.col("m.from_i").alias("swing_high_index"))
 

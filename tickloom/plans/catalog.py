@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.config import DEFAULT
-from tickloom.functions import rolling
+from tickloom.functions import chunks, rolling
 from tickloom.functions.rolling import indexed, q6
-from tickloom.operators import decisions, indicators, ledger, ml, reports, scan, sessions, structure
+from tickloom.operators import decisions, indicators, ledger, long_series, ml, reports, scan, sessions, structure
 from tickloom.plans import sql
-from tickloom.sources import market
+from tickloom.sources import broker, market
 from tickloom.streaming import bars as streaming
 from tickloom.streaming import late, ledger_table, resolver
 
@@ -689,6 +689,77 @@ def ledger_stream(spark, sf_dir):
     return rows.select("signal_id", "status", q6(ledger.number(F.col("profit_pct"))).alias("profit_pct"), "exit_time", "blocked_reason")
 
 
+@query(sql.LADDER.replace("FROM priced p, roles", "FROM (SELECT * FROM priced WHERE ts < TIMESTAMP '2024-01-20 12:00:00') p, roles") + f""", k AS (SELECT bars.*, least, row_number() OVER (PARTITION BY symbol, bars.tf ORDER BY ts DESC) AS rn FROM bars JOIN roles USING (tf)),
+z AS (SELECT * FROM k QUALIFY rn BETWEEN 2 AND 100 AND count(*) FILTER (rn <= 100) OVER (PARTITION BY symbol, tf) >= least)
+SELECT symbol, tf, ts, close FROM z WHERE ts >= TIMESTAMP '2024-01-19 00:00:00'""")
+def candle_source(spark, sf_dir):
+    """``scan_as_of`` out of the data source of candles: a partition a series, count and end as options, the start a filter that goes to the reader."""
+    place = ledger.work_folder(spark)
+    ticks = market.ticks(spark, sf_dir).where("ts < timestamp_ntz '2024-01-20 12:00:00'")
+    market.ladder(ticks, sql.FIXTURE).write.partitionBy("symbol", "tf").parquet(f"{place}/candles")
+    name = broker.register(spark, broker.FolderStore(f"{place}/candles"), config=sql.FIXTURE)
+    candles = spark.read.format(name).option("count", 100).option("end", "2024-01-20 12:00:00").load()
+    return market.since(candles, "2024-01-19 00:00:00").select(*KEYS, "close")
+
+
+# long series, histories
+
+
+_TEN = sql.PRICED + f""", bars AS (SELECT symbol, '10m' AS tf, time_bucket(INTERVAL 10 MINUTE, p.ts) AS ts, {sql._BAR} FROM priced p GROUP BY symbol, time_bucket(INTERVAL 10 MINUTE, p.ts)),
+c AS (SELECT *, row_number() {sql.W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars) """
+
+
+def _ten(spark, sf_dir):
+    """Ten-minute bars with their places, numbered over range partitions."""
+    return chunks.placed(market.bars(market.ticks(spark, sf_dir), 10))
+
+
+@query(_TEN + """, e AS (SELECT a.symbol, a.i, """ + ", ".join(f"round(sum(CASE WHEN b.i = 0 THEN b.close ELSE b.close * (2.0::DOUBLE / {n + 1}) END * pow({n - 1}.0::DOUBLE / {n + 1}, a.i - b.i)) * 1000) / 1000 AS ema{n}" for n in (20, 50)) + """ FROM c a JOIN c b ON b.symbol = a.symbol AND b.i <= a.i GROUP BY a.symbol, a.i)
+SELECT c.symbol, c.ts, i, CASE WHEN i >= 19 THEN ema20 END AS ema20, CASE WHEN i >= 49 THEN ema50 END AS ema50, """ + sql.q6("CASE WHEN i >= 19 THEN avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) END", "ma20") + " FROM c JOIN e USING (symbol, i)")
+def long_series_means(spark, sf_dir):
+    """Means of series that are cut in chunks, each with as many rows before it as an exponential mean of 50 remembers."""
+    before = chunks.fading(49 / 51)
+    df = chunks.in_chunks(_ten(spark, sf_dir), lambda d: indicators.ema(indicators.moving_averages(d)), rows=1200, before=before)
+    return df.select("symbol", "ts", "i", *[(F.round(F.col(c) * 1000) / 1000).alias(c) for c in ("ema20", "ema50")], q6(F.col("ma20")).alias("ma20"))
+
+
+@query(_TEN + """, sw AS (SELECT *, i >= 3 AND i < n - 3 AND high > max(high) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND high > max(high) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS sh FROM c),
+fb AS (SELECT a.symbol, a.i AS from_i, a.high AS level, min(b.i) AS j FROM sw a JOIN sw b ON a.symbol = b.symbol AND b.i > a.i AND b.close > a.high WHERE a.sh GROUP BY ALL)
+SELECT symbol, j AS bos_index, """ + sql.q6("level", "broken_level") + """, from_i AS swing_high_index FROM fb WHERE symbol IN (SELECT symbol FROM sw WHERE sh GROUP BY symbol HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY j DESC, from_i) = 1""")
+def long_series_bos(spark, sf_dir):
+    """The newest break of structure of long series: swings in chunks that overlap, first closes by a tree of maxima of two depths."""
+    swung = chunks.in_chunks(_ten(spark, sf_dir), structure.swings, rows=1200, before=3, after=3)
+    return _out(structure.bos_up(swung, depth=2), ["symbol"], ["broken_level"], ["bos_index", "swing_high_index"])
+
+
+_HOURS = sql.BARS_1H + sql._INDEXED.format(w=sql.W, source="bars") + sql._SWINGS
+
+
+@query(_HOURS + """, fb AS (SELECT p.symbol, p.i AS w, a.i AS from_i, a.high AS level, min(b.i) AS j FROM sw p JOIN sw a ON a.symbol = p.symbol AND a.sh AND a.i + a.k <= p.i JOIN sw b ON b.symbol = a.symbol AND b.i > a.i AND b.i <= p.i AND b.close > a.high GROUP BY ALL),
+known AS (SELECT p.symbol, p.i AS w FROM sw p JOIN sw a ON a.symbol = p.symbol AND a.sh AND a.i + a.k <= p.i GROUP BY ALL HAVING count(*) >= 2)
+SELECT symbol, w AS i, j AS bos_index, """ + sql.q6("level", "broken_level") + """, from_i AS swing_high_index FROM fb JOIN known USING (symbol, w) QUALIFY row_number() OVER (PARTITION BY symbol, w ORDER BY j DESC, from_i) = 1""")
+def bos_history(spark, sf_dir):
+    """The break of structure as it was known after each hourly bar; the SQL evaluates every prefix."""
+    return _out(long_series.bos_history(structure.swings(_hourly(spark, sf_dir))), ["symbol", "i"], ["broken_level"], ["bos_index", "swing_high_index"])
+
+
+@query(_HOURS + """, g AS (SELECT a.symbol, a.i, a.low, p.close - p.open AS body, p.high - p.low AS span, q.high AS flow, (a.low - q.high) / nullif(q.high, 0) AS size FROM sw a JOIN sw p ON p.symbol = a.symbol AND p.i = a.i - 1 JOIN sw q ON q.symbol = a.symbol AND q.i = a.i - 2),
+ok AS (SELECT * FROM g WHERE body > 0 AND span <> 0 AND body / span >= 0.6::DOUBLE AND low > flow AND size >= 0.001::DOUBLE)
+SELECT p.symbol, p.i, ok.i - 1 AS fvg_index, """ + sql.q6("ok.flow", "fvg_low") + ", " + sql.q6("ok.low", "fvg_high") + """ FROM sw p JOIN ok ON ok.symbol = p.symbol AND ok.i <= p.i AND ok.i > greatest(2, p.i + 1 - 50) AND NOT EXISTS (SELECT 1 FROM sw z WHERE z.symbol = p.symbol AND z.i BETWEEN ok.i AND p.i AND z.low < ok.flow)
+QUALIFY row_number() OVER (PARTITION BY p.symbol, p.i ORDER BY ok.i DESC) = 1""")
+def gap_history(spark, sf_dir):
+    """The newest open gap as it was known after each hourly bar; the SQL evaluates every prefix."""
+    return _out(long_series.gap_history(_hourly(spark, sf_dir)), ["symbol", "i"], ["fvg_low", "fvg_high"], ["fvg_index"])
+
+
+@query(sql.LADDER + ", b AS (SELECT symbol, ts, ts + INTERVAL 15 MINUTE AS at FROM bars WHERE tf = '15M') SELECT b.symbol, b.ts, " + ", ".join(f"x{k}.close AS close_{t.lower()}" for k, (t, *_) in enumerate(sql.FIXTURE.roles)) + " FROM b " + " ".join(
+    f"ASOF LEFT JOIN (SELECT symbol, ts + to_minutes({m}) AS e, close FROM bars WHERE tf = '{t}') x{k} ON x{k}.symbol = b.symbol AND b.at >= x{k}.e" for k, (t, m, *_) in enumerate(sql.FIXTURE.roles)))
+def timeframes_aligned(spark, sf_dir):
+    """Every 15-minute bar with the closes of all timeframes that were known at its end; the SQL has an as-of join for each."""
+    bars = market.ladder(market.ticks(spark, sf_dir), sql.FIXTURE)
+    return long_series.aligned(bars, bars, {t: m for t, m, _, _ in sql.FIXTURE.roles}, "close", "15M")
+
+
 @query("SELECT 100::BIGINT AS bars, 100::BIGINT AS times, true AS within, true AS features")
 def synthetic_ohlcv(spark, sf_dir):
     """Properties of the generator: number of bars, bounds, and that the gold features can be taken from it."""
