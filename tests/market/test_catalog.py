@@ -34,8 +34,8 @@ def test_entry(spark):
     assert df.count() > 0 and "score" in df.columns
 
 
-def test_every_query_has_sql_but_the_model():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"gbt_score"}
+def test_every_query_has_sql_but_models_and_a_fold():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"gbt_score", "risk_admission", "walk_forward_auc"}
 
 
 def test_works_without_the_training_data_package():

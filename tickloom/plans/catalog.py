@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.config import DEFAULT
 from tickloom.functions import chunks, rolling
 from tickloom.functions.rolling import indexed, q6
-from tickloom.operators import decisions, indicators, ledger, long_series, ml, reports, scan, sessions, structure
+from tickloom.operators import admission, decisions, indicators, ledger, long_series, ml, reports, scan, sessions, structure
 from tickloom.plans import sql
 from tickloom.sources import broker, market
 from tickloom.streaming import bars as streaming
@@ -783,6 +784,42 @@ def model_properties(spark, sf_dir):
     return rows.agg(F.count("*").alias("rows"), share.between(0.4, 0.6).alias("balanced"), F.lit(bool(0.5 < ml.accuracy(model, rows) <= 1)).alias("learns"), F.lit(weight).alias("importances"), F.lit(same).alias("same_after_reload"))
 
 
+@query()
+def risk_admission(spark, sf_dir):
+    """Which orders each account takes when gates count admitted trades only; a decision hangs on all before it, so there is no SQL."""
+    orders = market.table(spark, sf_dir, "orders")
+    rows = ledger.from_orders(orders).join(orders.select(F.col("o_orderkey").alias("signal_id"), F.pmod("o_custkey", F.lit(97)).alias("account")), "signal_id")
+    return admission.admitted(rows.withColumn("rr_ratio", 1.5 + F.pmod("signal_id", F.lit(5)) / 4.0), replace(DEFAULT, max_open=3, block_hours=(21, 22)))
+
+
+_CUTS = ["2024-01-12", "2024-01-18", "2024-01-24"]
+_LABELS = sql.TRADES.replace("(SELECT *, CASE WHEN (i + 1) % 8 = 0 THEN 0.0002::DOUBLE ELSE 0.004::DOUBLE END AS w FROM c WHERE (i + 1) % 4 = 0)", "(SELECT *, 0.004::DOUBLE AS w FROM c)") + """, lb AS (SELECT r.signal_id, t.symbol, t.entry_ts AS ts, CAST(r.status = 'WIN' AS INTEGER) AS label, t.entry_ts + INTERVAL 48 HOUR AS known_ts FROM replay r JOIN tr t USING (signal_id) WHERE r.status <> 'OPEN') """
+
+
+@query(_LABELS + "SELECT symbol, ts, label, known_ts FROM lb")
+def barrier_labels(spark, sf_dir):
+    """Every hourly bar with whether a trade from it would have won."""
+    return ml.barrier_labels(market.bars(market.ticks(spark, sf_dir), 60, "1H"))
+
+
+@query(_LABELS + ", f(fold, a, b) AS (VALUES " + ", ".join(f"({k}, TIMESTAMP '{a}', TIMESTAMP '{b}')" for k, (a, b) in enumerate(zip(_CUTS, [*_CUTS[1:], "9999-01-01"], strict=True))) + """)
+SELECT fold, CASE WHEN ts >= a THEN 'test' ELSE 'train' END AS role, symbol, count(*) AS bars, CAST(sum(label) AS BIGINT) AS won, max(known_ts) AS last_known FROM lb, f WHERE (ts >= a AND ts < b) OR known_ts + INTERVAL 6 HOUR < a GROUP BY ALL""")
+def walk_forward_splits(spark, sf_dir):
+    """Folds of the labelled bars: what is trained on was known six hours before what is tested."""
+    rows = ml.walk_forward(ml.barrier_labels(market.bars(market.ticks(spark, sf_dir), 60, "1H")), _CUTS, gap_hours=6)
+    return rows.groupBy("fold", "role", "symbol").agg(F.count("*").alias("bars"), F.sum("label").alias("won"), F.max("known_ts").alias("last_known"))
+
+
+@query()
+def walk_forward_auc(spark, sf_dir):
+    """Area under the curve of each fold's held-out bars, by trees fitted on labels known before them."""
+    bars, place = market.bars(market.ticks(spark, sf_dir), 60, "1H"), ledger.work_folder(spark)
+    feats = indicators.filled(indicators.gold_features(bars), indicators.GOLD_FEATURES).join(ml.barrier_labels(bars), ["symbol", "ts"])
+    ml.walk_forward(feats, _CUTS, gap_hours=6).write.parquet(f"{place}/folds")
+    told = ml.held_out_auc(spark.read.parquet(f"{place}/folds"), len(_CUTS))
+    return spark.createDataFrame(told, "fold int, trained long, tested long, auc double")
+
+
 @query()
 def gbt_score(spark, sf_dir):
     """Scores of the newest hourly bars by a model fitted on the synthetic set."""
