@@ -69,3 +69,24 @@ def test_ledgers_without_a_status_or_with_ids_as_text(spark):
     assert best["C"]["best_id"] == "a" and best["C"]["worst_id"] is None and best["A"]["worst_pct"] == -1.0
     known = spark.createDataFrame([(None, 5.0), (0.0, 5.0), (3.0, 5.0)], "ema double, price double").select(decisions.known_or(F.col("ema"), F.col("price")).alias("v")).collect()
     assert [r["v"] for r in known] == [5.0, 5.0, 3.0]
+
+
+def test_strategy_file_without_a_band_and_ties_of_the_last_price(spark, tmp_path):
+    import json
+
+    from tickloom import config
+    from tickloom.sources import market
+
+    place = tmp_path / "p.json"
+    place.write_text(json.dumps({"position_sizing": {"win_rate_adjustments": {"below_40pct": 0.25}}}))
+    assert config.load(str(place)).size_factors == (0.25, *config.DEFAULT.size_factors[1:])
+    rows = spark.sql("select * from values ('A', '1D', timestamp_ntz '2025-01-01', 3.0), ('A', '15M', timestamp_ntz '2025-01-01', 1.0), ('A', 'odd', timestamp_ntz '2025-01-01', 9.0), ('A', '1W', timestamp_ntz '2024-12-30', 5.0) as t(symbol, tf, ts, close)")
+    assert [r["price"] for r in market.last_price(rows).collect()] == [1.0]
+
+
+def test_trades_without_an_analyst(spark):
+    from tickloom.operators import decisions
+
+    rows = spark.sql("select * from values ('A', 'bullish', 2400.5, 2390.0, cast(null as double), 60, true, 'high'), ('B', 'bearish', 1.0, 1.1, 0.9, 70, true, 'closed'), ('C', 'bullish', 1.0, 0.9, 1.1, 20, false, 'high'), ('D', 'ranging', 1.0, 0.9, 1.1, 50, null, 'high') as t(symbol, struct_4h, price, stop_loss, take_profit, score, fired, tier)")
+    got = decisions.direct_decision(rows).collect()
+    assert [(r["symbol"], r["direction"], r["score"]) for r in got] == [("A", "BUY", 60)] and "target N/A" in got[0]["message"]

@@ -87,6 +87,6 @@ def load(path: str, base: Config = DEFAULT) -> Config:
     out |= {mine: kind(sizes[theirs]) for theirs, (mine, kind) in names.items() if theirs in sizes}
     if "win_rate_adjustments" in sizes:
         # from the lowest band of win rates to the highest
-        low, mid, high = (next(v for k, v in sizes["win_rate_adjustments"].items() if k.startswith(p)) for p in ("below", "40", "above"))
-        out["size_factors"] = (float(low), float(mid), float(high))
+        bands = zip(("below", "40", "above"), base.size_factors, strict=True)
+        out["size_factors"] = tuple(float(next((v for k, v in sizes["win_rate_adjustments"].items() if k.startswith(p)), known)) for p, known in bands)
     return replace(base, **out)

@@ -81,6 +81,20 @@ def direction(struct_4h: Column) -> Column:
     return F.when(struct_4h == "bullish", "BUY").otherwise("SELL")
 
 
+def direct_decision(scanned: DataFrame) -> DataFrame:
+    """The signals of a scan (``scan.mtf_scan``) as trades, for when there is no analyst: (symbol, direction, entry, stop_loss, take_profit, score, message).
+
+    What the scan has fired is taken as it is; nothing is taken while the market is closed.
+    """
+    side = direction(F.col("struct_4h"))
+    shown = lambda c: F.coalesce(F.format_number(c, 4), F.lit("N/A"))
+    text = F.concat_ws(
+        "\n", F.concat(side, F.lit(" "), F.col("symbol"), F.lit(" taken on its score alone, without an analyst")), F.concat(F.lit("Entry "), shown("price"), F.lit(", stop "), shown("stop_loss"), F.lit(", target "), shown("take_profit")),
+        F.concat(F.lit("Score "), F.col("score").cast("string"), F.lit("%")),
+    )
+    return scanned.where(F.coalesce(F.col("fired"), F.lit(False)) & (F.col("tier") != "closed")).select("symbol", side.alias("direction"), F.col("price").alias("entry"), "stop_loss", "take_profit", "score", text.alias("message"))
+
+
 def filter_decision(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """From smc_score, ml_confidence (50 where unknown) and tier: combined, threshold, should_trade, reason."""
     a, b = config.weights_filter

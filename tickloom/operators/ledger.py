@@ -122,7 +122,7 @@ def profit_factor(ledger: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def running_stats(ledger: DataFrame, by: str = "system") -> DataFrame:
-    """Counts by status and result, win_rate, averages and total of closed trades, in one aggregation."""
+    """Counts by status and result, win_rate (one digit), averages and total of closed trades (two), in one aggregation."""
     p, r, s = F.col("profit_pct").try_cast("double"), F.col("result"), F.col("status")
     not_blocked = F.coalesce(s != "BLOCKED", F.lit(True))
     closed = r.isin("WIN", "LOSS", "EXPIRED")
@@ -134,7 +134,7 @@ def running_stats(ledger: DataFrame, by: str = "system") -> DataFrame:
     )
     played = F.col("total_wins") + F.col("total_losses")
     out = out.withColumn("win_rate", F.coalesce(F.col("total_wins") * 100.0 / F.nullif(played, F.lit(0)), F.lit(0.0)))
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("avg_win_pct", "avg_loss_pct", "total_pnl")})
+    return out.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), n) for c, n in (("win_rate", 1), ("avg_win_pct", 2), ("avg_loss_pct", 2), ("total_pnl", 2))})
 
 
 def streaks(ledger: DataFrame, by: str = "system") -> DataFrame:
@@ -221,9 +221,9 @@ def clean_target(text: Column) -> Column:
 
 
 def profit_pct(result: Column, entry: Column, stop: Column, target: Column, exit_price: Column) -> Column:
-    """Percentage of the entry price: to the target of a WIN, the stop of a LOSS, else the exit."""
+    """Percentage of the entry price, four digits: to the target of a WIN, the stop of a LOSS, else the exit."""
     to = F.when(result == "WIN", target).when(result == "LOSS", stop).otherwise(exit_price)
-    return (to - entry) / F.nullif(entry, F.lit(0.0)) * 100
+    return F.round((to - entry) / F.nullif(entry, F.lit(0.0)) * 100, 4)
 
 
 def _watched(trades: DataFrame, candles: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def gap_history(candles: DataFrame, config: Config = DEFAULT) -> DataFrame:
     so_far = F.min("low").over(Window.partitionBy(*KEYS, "g").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     valid = each.withColumn("__least", so_far).where(F.col("__least") >= F.col("floor"))
     best = valid.groupBy(*KEYS, "i").agg(F.max_by(F.struct("g", "floor", "top", "ts"), "g").alias("m"))
-    return best.select(*KEYS, "m.ts", "i", (F.col("m.g") - 1).alias("fvg_index"), F.col("m.floor").alias("fvg_low"), F.col("m.top").alias("fvg_high"))
+    return best.select(*KEYS, "m.ts", "i", (F.col("m.g") - 1).alias("fvg_index"), F.round("m.floor", 4).alias("fvg_low"), F.round("m.top", 4).alias("fvg_high"))
 
 
 def aligned(base: DataFrame, others: DataFrame, minutes: dict[str, int], value: str, base_tf: str) -> DataFrame:

@@ -122,7 +122,7 @@ def at_block(price, high, low, mitigated, config: Config = DEFAULT):
 
 
 def fvg_up(candles: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(.., fvg_index, fvg_low, fvg_high, fvg_size_pct, age): newest unfilled gap between the bars around a strong rising bar."""
+    """(.., fvg_index, fvg_low, fvg_high, fvg_size_pct, age): newest unfilled gap between the bars around a strong rising bar; its edges have four digits, its size three."""
     body, span = lag(F.col("close")) - lag(F.col("open")), lag(F.col("high")) - lag(F.col("low"))
     floor = lag(F.col("high"), 2)
     df = candles.withColumn("__body", body).withColumn("__span", span).withColumn("fvg_low", floor).withColumn("__least", F.min("low").over(series().rowsBetween(0, Window.unboundedFollowing)))
@@ -132,7 +132,7 @@ def fvg_up(candles: DataFrame, config: Config = DEFAULT) -> DataFrame:
         & (F.col("low") > F.col("fvg_low")) & (size >= config.gap_least) & (F.col("__least") >= F.col("fvg_low"))
     )
     best = df.where(ok).groupBy(*KEYS).agg(F.max_by(F.struct("i", "fvg_low", "low", size.alias("size"), "n"), "i").alias("m"))
-    return best.select(*KEYS, (F.col("m.i") - 1).alias("fvg_index"), F.col("m.fvg_low").alias("fvg_low"), F.col("m.low").alias("fvg_high"), (F.col("m.size") * 100).alias("fvg_size_pct"), (F.col("m.n") - F.col("m.i")).alias("age"))
+    return best.select(*KEYS, (F.col("m.i") - 1).alias("fvg_index"), F.round("m.fvg_low", 4).alias("fvg_low"), F.round("m.low", 4).alias("fvg_high"), F.round(F.col("m.size") * 100, 3).alias("fvg_size_pct"), (F.col("m.n") - F.col("m.i")).alias("age"))
 
 
 def premium_discount(swung: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def premium_discount(swung: DataFrame) -> DataFrame:
 
 
 def nearest_target(swung: DataFrame, prices: DataFrame | None = None, tf: str | None = None) -> DataFrame:
-    """(.., price, tp_level): least swing high above price * 1.001; *prices* is (symbol, price), else the last close."""
+    """(.., price, tp_level): least swing high above price * 1.001, to four digits; *prices* is (symbol, price), else the last close."""
     if tf is not None:
         swung = swung.where(F.col("tf") == tf)
     if prices is None:
@@ -154,7 +154,7 @@ def nearest_target(swung: DataFrame, prices: DataFrame | None = None, tf: str |
         rows = swung.join(prices_by, KEYS)
     else:
         rows = swung.join(prices, "symbol")
-    return rows.groupBy(*KEYS, "price").agg(F.min(F.when(F.col("swing_high") & (F.col("high") > F.col("price") * 1.001), F.col("high"))).alias("tp_level"))
+    return rows.groupBy(*KEYS, "price").agg(F.round(F.min(F.when(F.col("swing_high") & (F.col("high") > F.col("price") * 1.001), F.col("high"))), 4).alias("tp_level"))
 
 
 def structure_history(swung: DataFrame, config: Config = DEFAULT) -> DataFrame:

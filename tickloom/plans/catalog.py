@@ -250,7 +250,7 @@ def price_at_ob(spark, sf_dir):
     return structure.order_block(s).join(prices, SER).select(*SER, structure.at_block(F.col("price"), F.col("ob_high"), F.col("ob_low"), F.col("mitigated")).alias("at_block"))
 
 
-@query(sql.STRUCTURE + "SELECT symbol, tf, i - 1 AS fvg_index, " + ", ".join([sql.q6("flow", "fvg_low"), sql.q6("low", "fvg_high"), sql.q6("size * 100", "fvg_size_pct")]) + ", n - i AS age FROM fvg")
+@query(sql.STRUCTURE + "SELECT symbol, tf, i - 1 AS fvg_index, " + ", ".join([sql.q6("round(flow, 4)", "fvg_low"), sql.q6("round(low, 4)", "fvg_high"), sql.q6("round(size * 100, 3)", "fvg_size_pct")]) + ", n - i AS age FROM fvg")
 def fvg_up(spark, sf_dir):
     return _out(structure.fvg_up(indexed(market.scan_candles(spark, sf_dir, sql.FIXTURE))), SER, ["fvg_low", "fvg_high", "fvg_size_pct"], ["fvg_index", "age"])
 
@@ -260,7 +260,7 @@ def premium_discount(spark, sf_dir):
     return _out(structure.premium_discount(_swung(spark, sf_dir)), SER, ["pct_in_range"], ["zone"])
 
 
-@query(sql.STRUCTURE + "SELECT symbol, tf, " + sql.q6("last_close", "price") + ", " + sql.q6("(SELECT min(high) FROM sw WHERE sw.symbol = st.symbol AND sw.tf = st.tf AND sh AND high > st.last_close * 1.001::DOUBLE)", "tp_level") + " FROM st")
+@query(sql.STRUCTURE + "SELECT symbol, tf, " + sql.q6("last_close", "price") + ", " + sql.q6("round((SELECT min(high) FROM sw WHERE sw.symbol = st.symbol AND sw.tf = st.tf AND sh AND high > st.last_close * 1.001::DOUBLE), 4)", "tp_level") + " FROM st")
 def nearest_tp(spark, sf_dir):
     return _out(structure.nearest_target(_swung(spark, sf_dir)), SER, ["price", "tp_level"])
 
@@ -363,7 +363,7 @@ def ledger_metrics_daily(spark, sf_dir):
     return _out(ledger.daily_metrics(_ledger(spark, sf_dir)), ["system"], ["pnl", "win_rate"], ["trades", "wins", "losses"])
 
 
-@query(sql.LEDGER + "SELECT system, count(*) FILTER (status <> 'BLOCKED') AS total_signals, count(*) FILTER (status = 'BLOCKED') AS total_blocked, count(*) FILTER (status = 'OPEN') AS total_open, count(*) FILTER (result = 'WIN') AS total_wins, count(*) FILTER (result = 'LOSS') AS total_losses, count(*) FILTER (result = 'EXPIRED') AS total_expired, " + ", ".join([sql.q6("coalesce(count(*) FILTER (result = 'WIN') * 100.0::DOUBLE / nullif(count(*) FILTER (result IN ('WIN', 'LOSS')), 0), 0)", "win_rate"), sql.q6("coalesce(avg(profit_pct) FILTER (result = 'WIN'), 0)", "avg_win_pct"), sql.q6("coalesce(avg(profit_pct) FILTER (result = 'LOSS'), 0)", "avg_loss_pct"), sql.q6("coalesce(sum(profit_pct), 0)", "total_pnl")]) + ", count(*) FILTER (starts_with(trend, 'TREND_OK')) AS trend_passed, count(*) FILTER (starts_with(trend, 'BLOCKED')) AS trend_blocked FROM l GROUP BY system")
+@query(sql.LEDGER + "SELECT system, count(*) FILTER (status <> 'BLOCKED') AS total_signals, count(*) FILTER (status = 'BLOCKED') AS total_blocked, count(*) FILTER (status = 'OPEN') AS total_open, count(*) FILTER (result = 'WIN') AS total_wins, count(*) FILTER (result = 'LOSS') AS total_losses, count(*) FILTER (result = 'EXPIRED') AS total_expired, " + ", ".join([sql.q6("round(coalesce(count(*) FILTER (result = 'WIN') * 100.0::DOUBLE / nullif(count(*) FILTER (result IN ('WIN', 'LOSS')), 0), 0), 1)", "win_rate"), sql.q6("round(coalesce(avg(profit_pct) FILTER (result = 'WIN'), 0), 2)", "avg_win_pct"), sql.q6("round(coalesce(avg(profit_pct) FILTER (result = 'LOSS'), 0), 2)", "avg_loss_pct"), sql.q6("round(coalesce(sum(profit_pct), 0), 2)", "total_pnl")]) + ", count(*) FILTER (starts_with(trend, 'TREND_OK')) AS trend_passed, count(*) FILTER (starts_with(trend, 'BLOCKED')) AS trend_blocked FROM l GROUP BY system")
 def ledger_running_stats(spark, sf_dir):
     return _out(ledger.running_stats(_ledger(spark, sf_dir)), ["system"], ["win_rate", "avg_win_pct", "avg_loss_pct", "total_pnl"], ["total_signals", "total_blocked", "total_open", "total_wins", "total_losses", "total_expired", "trend_passed", "trend_blocked"])
 
@@ -430,12 +430,12 @@ def _trades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return trades, candles, as_of
 
 
-@query(sql.TRADES + "SELECT signal_id, status, reason AS exit_reason, " + sql.q6("exit_price", "exit_price") + ", " + sql.q6("(exit_price - entry) / entry * 100", "profit_pct") + " FROM snap")
+@query(sql.TRADES + "SELECT signal_id, status, reason AS exit_reason, " + sql.q6("exit_price", "exit_price") + ", " + sql.q6("round((exit_price - entry) / entry * 100, 4)", "profit_pct") + " FROM snap")
 def barrier_resolve_snapshot(spark, sf_dir):
     return _out(ledger.resolve_snapshot(*_trades(spark, sf_dir)), ["signal_id"], ["exit_price", "profit_pct"], ["status", "exit_reason"])
 
 
-@query(sql.TRADES + "SELECT signal_id, status, reason AS exit_reason, " + sql.q6("exit_price", "exit_price") + ", " + sql.q6("(exit_price - entry) / entry * 100", "profit_pct") + " FROM replay")
+@query(sql.TRADES + "SELECT signal_id, status, reason AS exit_reason, " + sql.q6("exit_price", "exit_price") + ", " + sql.q6("round((exit_price - entry) / entry * 100, 4)", "profit_pct") + " FROM replay")
 def barrier_resolve_replay(spark, sf_dir):
     return _out(ledger.resolve_replay(*_trades(spark, sf_dir)), ["signal_id"], ["exit_price", "profit_pct"], ["status", "exit_reason"])
 
@@ -644,7 +644,7 @@ def stream_bars(spark, sf_dir):
     return spark.read.parquet(f"{place}/bars").select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
-@query(sql.TRADES + "SELECT signal_id, status, reason AS exit_reason, " + sql.q6("exit_price", "exit_price") + ", " + sql.q6("(exit_price - entry) / entry * 100", "profit_pct") + " FROM replay")
+@query(sql.TRADES + "SELECT signal_id, status, reason AS exit_reason, " + sql.q6("exit_price", "exit_price") + ", " + sql.q6("round((exit_price - entry) / entry * 100, 4)", "profit_pct") + " FROM replay")
 def barrier_resolve_stream(spark, sf_dir):
     """Trades and candles made from the events arrive as a stream, which ends in the middle and goes on from its checkpoint; what never closed is open."""
     trades, candles, as_of = _trades(spark, sf_dir)
@@ -703,6 +703,54 @@ def candle_source(spark, sf_dir):
     return market.since(candles, "2024-01-19 00:00:00").select(*KEYS, "close")
 
 
+# messages
+
+
+@query(sql.SCAN + """SELECT symbol, CASE WHEN struct_4h = 'bullish' THEN 'BUY' ELSE 'SELL' END AS direction, """ + ", ".join(sql.q6(c, n) for c, n in (("price", "entry"), ("stop_loss", "stop_loss"), ("take_profit", "take_profit"))) + """, CAST(score AS INTEGER) AS score,
+ CASE WHEN struct_4h = 'bullish' THEN 'BUY' ELSE 'SELL' END || ' ' || symbol || ' taken on its score alone, without an analyst' || chr(10) || 'Entry ' || format('{:,.4f}', price) || ', stop ' || format('{:,.4f}', stop_loss) || ', target ' || format('{:,.4f}', take_profit) || chr(10) || 'Score ' || CAST(score AS INTEGER) || '%' AS message
+FROM levels WHERE NOT skipped AND score >= 45 AND tier <> 'closed'""")
+def direct_decision(spark, sf_dir):
+    """The path without an analyst: what the scan fires becomes a trade and a message."""
+    d = decisions.direct_decision(scan.mtf_scan(market.scan_candles(spark, sf_dir, sql.FIXTURE)))
+    return _out(d, ["symbol", "direction"], ["entry", "stop_loss", "take_profit"], ["score", "message"])
+
+
+@query(sql.SCAN + """SELECT symbol, 'Paper signal ' || symbol || '-1: ' || symbol || chr(10) || 'Score ' || CAST(score AS INTEGER) || '/100, quality N/A' || chr(10) || 'Entry ' || format('{:,.4f}', entry_low) || ' to ' || format('{:,.4f}', entry_high) || chr(10)
+ || 'Target ' || format('{:,.4f}', take_profit) || ' (+' || format('{:,.2f}', tp_pct) || '%)' || chr(10) || 'Stop ' || format('{:,.4f}', stop_loss) || ' (-' || format('{:,.2f}', sl_pct) || '%)' || chr(10) || 'Reward to risk ' || format('{:,.2f}', rr_ratio) || chr(10)
+ || 'Trend filter: TREND_OK' || chr(10) || 'Summary: ' || struct_4h || chr(10) || 'Main risk: N/A' || chr(10) || 'Contradictions: N/A' || chr(10) || 'Confidence: N/A' || chr(10) || 'RSI 1H N/A, 4H N/A' || chr(10) || 'MACD N/A, volume N/A times its mean' || chr(10) || 'Averages 1H N/A, 4H N/A' || chr(10) || 'Paper trade only, no real money' AS message
+FROM levels WHERE NOT skipped""")
+def signal_messages(spark, sf_dir):
+    """The message of each scored signal; what the analyst or the display did not tell is N/A."""
+    s = scan.mtf_scan(market.scan_candles(spark, sf_dir, sql.FIXTURE)).where("not skipped")
+    s = s.select("symbol", "score", "entry_low", "entry_high", "take_profit", "tp_pct", "stop_loss", "sl_pct", "rr_ratio", F.concat("symbol", F.lit("-1")).alias("signal_id"), F.lit(None).cast("string").alias("signal_quality"), F.lit("TREND_OK").alias("trend_filter_result"), F.col("struct_4h").alias("plain_english_summary"))
+    return reports.signal_message(s).select("symbol", "message")
+
+
+_WHEN = "strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M')"
+
+
+@query(f"SELECT event_id, 'Signal blocked: ' || event_type || chr(10) || 'Score: ' || event_id % 101 || '/100' || chr(10) || 'Reason: ' || CASE WHEN event_id % 3 = 0 THEN 'N/A' ELSE 'gate ' || event_id % 3 END || chr(10) || 'Time: ' || {_WHEN} AS message FROM events WHERE event_id % 5 = 0")
+def block_messages(spark, sf_dir):
+    """A message for every fifth event, as a signal that is blocked (fixture)."""
+    k = F.col("event_id")
+    e = market.table(spark, sf_dir, "events").where("event_id % 5 = 0").select("event_id", F.col("event_type").alias("symbol"), F.pmod(k, F.lit(101)).alias("score"), F.when(k % 3 != 0, F.concat(F.lit("gate "), (k % 3).cast("string"))).alias("blocked_reason"), "ts")
+    return reports.block_message(e).select("event_id", "message")
+
+
+@query(f"SELECT event_id, 'Error: ' || event_type || chr(10) || 'Message: ' || left(repeat(props, 60), 500) || chr(10) || 'Time: ' || {_WHEN} || chr(10) || 'Next action: ' || CASE WHEN event_id % 2 = 0 THEN 'try again' ELSE 'N/A' END AS message FROM events")
+def alert_messages(spark, sf_dir):
+    """Every event as an error to be told (fixture), its text cut at 500 characters."""
+    e = market.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("error_type"), F.repeat("props", F.lit(60)).alias("error_message"), F.when(F.col("event_id") % 2 == 0, "try again").alias("recovery_action"), "ts")
+    return reports.alert_message(e).select("event_id", "message")
+
+
+@query(sql.LEDGER + """SELECT '<tr>' || '<td>' || 'XAUUSD' || '</td>' || '<td>' || CASE WHEN profit_pct > 0 THEN 'WIN' WHEN profit_pct < 0 THEN 'LOSS' ELSE 'OPEN' END || '</td>' || '<td>' || CASE WHEN coalesce(profit_pct, 0) < 0 THEN '-$' ELSE '+$' END || format('{:,.2f}', abs(coalesce(profit_pct, 0))) || '</td>' || '<td>' || strftime(timestamp, '%Y-%m-%d') || '</td>' || '</tr>' AS html
+ FROM l ORDER BY timestamp DESC, signal_id DESC LIMIT 10""")
+def html_rows(spark, sf_dir):
+    """The dashboard's newest ten trades as rows of its table."""
+    return reports.html_rows(reports.dashboard_rows(_ledger(spark, sf_dir), tie="signal_id").select("pair", "outcome", "pnl", "date"))
+
+
 # long series, histories
 
 
@@ -746,7 +794,7 @@ def bos_history(spark, sf_dir):
 
 @query(_HOURS + """, g AS (SELECT a.symbol, a.i, a.low, p.close - p.open AS body, p.high - p.low AS span, q.high AS flow, (a.low - q.high) / nullif(q.high, 0) AS size FROM sw a JOIN sw p ON p.symbol = a.symbol AND p.i = a.i - 1 JOIN sw q ON q.symbol = a.symbol AND q.i = a.i - 2),
 ok AS (SELECT * FROM g WHERE body > 0 AND span <> 0 AND body / span >= 0.6::DOUBLE AND low > flow AND size >= 0.001::DOUBLE)
-SELECT p.symbol, p.i, ok.i - 1 AS fvg_index, """ + sql.q6("ok.flow", "fvg_low") + ", " + sql.q6("ok.low", "fvg_high") + """ FROM sw p JOIN ok ON ok.symbol = p.symbol AND ok.i <= p.i AND ok.i > greatest(2, p.i + 1 - 50) AND NOT EXISTS (SELECT 1 FROM sw z WHERE z.symbol = p.symbol AND z.i BETWEEN ok.i AND p.i AND z.low < ok.flow)
+SELECT p.symbol, p.i, ok.i - 1 AS fvg_index, """ + sql.q6("round(ok.flow, 4)", "fvg_low") + ", " + sql.q6("round(ok.low, 4)", "fvg_high") + """ FROM sw p JOIN ok ON ok.symbol = p.symbol AND ok.i <= p.i AND ok.i > greatest(2, p.i + 1 - 50) AND NOT EXISTS (SELECT 1 FROM sw z WHERE z.symbol = p.symbol AND z.i BETWEEN ok.i AND p.i AND z.low < ok.flow)
 QUALIFY row_number() OVER (PARTITION BY p.symbol, p.i ORDER BY ok.i DESC) = 1""")
 def gap_history(spark, sf_dir):
     """The newest open gap as it was known after each hourly bar; the SQL evaluates every prefix."""
@@ -761,29 +809,17 @@ def timeframes_aligned(spark, sf_dir):
     return long_series.aligned(bars, bars, {t: m for t, m, _, _ in sql.FIXTURE.roles}, "close", "15M")
 
 
-@query("SELECT 100::BIGINT AS bars, 100::BIGINT AS times, true AS within, true AS features")
+@query(sql.BARS_1H + "SELECT count(*) AS bars, count(*) AS times, true AS within, true AS features FROM bars WHERE symbol = 'ALL'")
 def synthetic_ohlcv(spark, sf_dir):
-    """Properties of the generator: number of bars, bounds, and that the gold features can be taken from it."""
-    candles = market.synthetic_candles(spark)
-    within = F.min(F.least(*[F.col(c) for c in OHLCV[:4]]) >= 2350) & (F.max(F.greatest(*[F.col(c) for c in OHLCV[:4]])) <= 2450) & (F.min("volume") >= 1000) & (F.max("volume") <= 5000)
+    """The generator makes as many bars as the events have hours, within their prices, and the gold features can be taken from them."""
+    given = market.bars(market.ticks(spark, sf_dir), 60, "1H").where("symbol = 'ALL'").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    candles = market.synthetic_candles(spark, bars=given["n"], low=given["low"], high=given["high"])
+    within = F.min(F.least(*[F.col(c) for c in OHLCV[:4]]) >= given["low"]) & (F.max(F.greatest(*[F.col(c) for c in OHLCV[:4]])) <= given["high"]) & (F.min("volume") >= 1000) & (F.max("volume") <= 5000)
     feats = indicators.filled(indicators.gold_features(candles), indicators.GOLD_FEATURES)
     ready = F.min(F.least(*[F.col(c).isNotNull().cast("int") for c in indicators.GOLD_FEATURES])) == 1
     return feats.agg(F.count("*").alias("bars"), F.countDistinct("ts").alias("times"), within.alias("within"), ready.alias("features"))
 
 
-@query("SELECT 1000::BIGINT AS rows, true AS balanced, true AS learns, true AS importances, true AS same_after_reload")
-def model_properties(spark, sf_dir):
-    """The synthetic set, a model fitted on it, its accuracy and importances, and that a saved model scores alike."""
-    rows = ml.synthetic_training(spark, 1000)
-    model, place = ml.fit(rows, trees=10), f"{ledger.work_folder(spark)}/model"
-    ml.save(model, place)
-    a, b = (ml.score(m, rows).select("id", F.round("ml_confidence", 9).alias(c)) for m, c in ((model, "a"), (ml.load(place), "b")))
-    same = a.join(b, "id").agg(F.count_if(F.col("a") != F.col("b")) == 0).first()[0]
-    weight = ml.feature_importance(model, spark).agg((F.abs(F.sum("importance") - 1) < 1e-6) & (F.count("*") == len(indicators.GOLD_FEATURES))).first()[0]
-    share = F.avg(F.col("label").cast("double"))
-    return rows.agg(F.count("*").alias("rows"), share.between(0.4, 0.6).alias("balanced"), F.lit(bool(0.5 < ml.accuracy(model, rows) <= 1)).alias("learns"), F.lit(weight).alias("importances"), F.lit(same).alias("same_after_reload"))
-
-
 @query()
 def risk_admission(spark, sf_dir):
     """Which orders each account takes when gates count admitted trades only; a decision hangs on all before it, so there is no SQL."""
@@ -796,6 +832,22 @@ _CUTS = ["2024-01-12", "2024-01-18", "2024-01-24"]
 _LABELS = sql.TRADES.replace("(SELECT *, CASE WHEN (i + 1) % 8 = 0 THEN 0.0002::DOUBLE ELSE 0.004::DOUBLE END AS w FROM c WHERE (i + 1) % 4 = 0)", "(SELECT *, 0.004::DOUBLE AS w FROM c)") + """, lb AS (SELECT r.signal_id, t.symbol, t.entry_ts AS ts, CAST(r.status = 'WIN' AS INTEGER) AS label, t.entry_ts + INTERVAL 48 HOUR AS known_ts FROM replay r JOIN tr t USING (signal_id) WHERE r.status <> 'OPEN') """
 
 
+@query(_LABELS + "SELECT count(*) AS rows, CAST(sum(label) AS BIGINT) AS won, true AS learns, true AS importances, true AS same_after_reload FROM lb")
+def model_properties(spark, sf_dir):
+    """A model fitted on the labelled bars: that it is better than the commoner label, its importances, and that a saved model scores alike."""
+    bars, place = market.bars(market.ticks(spark, sf_dir), 60, "1H"), ledger.work_folder(spark)
+    indicators.filled(indicators.gold_features(bars), indicators.GOLD_FEATURES).join(ml.barrier_labels(bars), ["symbol", "ts"]).write.parquet(f"{place}/rows")
+    rows = spark.read.parquet(f"{place}/rows")
+    model = ml.fit(rows, trees=10)
+    ml.save(model, f"{place}/model")
+    a, b = (ml.score(m, rows).select("symbol", "ts", F.round("ml_confidence", 9).alias(c)) for m, c in ((model, "a"), (ml.load(f"{place}/model"), "b")))
+    same = a.join(b, ["symbol", "ts"]).agg(F.count_if(F.col("a") != F.col("b")) == 0).first()[0]
+    weight = ml.feature_importance(model, spark).agg((F.abs(F.sum("importance") - 1) < 1e-6) & (F.count("*") == len(indicators.GOLD_FEATURES))).first()[0]
+    share = F.avg(F.col("label").cast("double"))
+    commoner = rows.agg(F.greatest(share, 1 - share)).first()[0]
+    return rows.agg(F.count("*").alias("rows"), F.sum("label").alias("won"), F.lit(bool(ml.accuracy(model, rows) >= commoner)).alias("learns"), F.lit(weight).alias("importances"), F.lit(same).alias("same_after_reload"))
+
+
 @query(_LABELS + "SELECT symbol, ts, label, known_ts FROM lb")
 def barrier_labels(spark, sf_dir):
     """Every hourly bar with whether a trade from it would have won."""

@@ -118,6 +118,7 @@ def synthetic_candles(spark: SparkSession, bars: int = 100, seed: int = 42, symb
     return spark.range(bars).select(F.lit(symbol).alias("symbol"), F.lit("1H").alias("tf"), (start + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("ts"), *price, (1000 + F.rand(seed + 4) * 4000).alias("volume"))
 
 
-def last_price(candles: DataFrame) -> DataFrame:
-    """(symbol, ts, price): newest close per symbol over all series; the shortest bar's on ties of time."""
-    return candles.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("price"))
+def last_price(candles: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(symbol, ts, price): newest close per symbol over all series; the shortest bar's on ties of time, by the roles' minutes (an unknown tf last)."""
+    minutes = F.coalesce(F.create_map(*[x for t, m, _, _ in config.roles for x in (F.lit(t), F.lit(m))])[F.col("tf")], F.lit(1 << 30))
+    return candles.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("close", F.struct("ts", -minutes, "tf")).alias("price"))
