@@ -14,6 +14,8 @@ languages take no more memory of a task than four.
 
 from __future__ import annotations
 
+import atexit
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +108,8 @@ class LanguageModels:
             for r in counts.groupBy("lang").applyInArrow(model_rows, "lang string, row binary").orderBy("lang").toLocalIterator():
                 langs.append(r["lang"])
                 out.write(r["row"])
+        # executors fetch it from the driver as long as the application lives
+        atexit.register(lambda: os.path.exists(out.name) and os.unlink(out.name))
         if langs:
             spark.sparkContext.addFile(out.name)
         return cls(langs, out.name)

@@ -38,6 +38,7 @@ def remainder(n: int) -> F.Column:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set size, its component of near duplicates, and whether it is the one that stays."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, numerator=85, denominator=100)
 
 
@@ -60,26 +61,31 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced, how many there were, and the surrogates in order."""
     return pseudonymise(table(spark, sf_dir, "documents"), key=PII_KEY, report=True).select("doc_id", "text", "n_entities", "surrogates")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for toxicity by a model of the labelled rows outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ToxicityModel.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
     return model.score(docs).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a document and a benchmark item it holds, word for word or with other numbers, names and units."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the language that has the largest share of it, by models of the rows outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     models = LanguageModels.fit(docs.where(remainder(4) != 2))
     return identify(docs.select("doc_id", "text"), models).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words the mix takes of it."""
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -95,10 +101,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its payload and stored form as read back from chunks that are stored once."""
     return store_and_read(table(spark, sf_dir, "documents"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for quality by a model of the labelled rows outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = QualityModel.fit(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
     return model.score(docs).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
