@@ -1,7 +1,11 @@
+import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
+from tickloom.llm import decontam
 from tickloom.llm.decontam import contaminated, without_contaminated
 from tickloom.llm.queries import OP5_SQL
 
@@ -91,3 +95,65 @@ def test_units_glued_to_numbers(spark):
     con.register("documents", documents.toPandas())
     con.register("benchmark", benchmark.toPandas())
     assert sorted(con.execute(OP5_SQL).fetchall()) == sorted(tuple(r) for r in got)
+
+
+def _maps(texts, width=8, least=5):
+    batch = pa.record_batch({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    maps = [np.zeros(1 << 15, np.uint8) for _ in range(2)]
+    for pages in decontam.map_batches(width, least, (18, 18))(iter([batch])):
+        for r in pages.to_pylist():
+            maps[r["which"]][r["page"] * decontam.PAGE :][: decontam.PAGE] |= np.frombuffer(r["bits"], np.uint8)
+    windows = [k for b in decontam.item_batches(width, least)(iter([batch])) for k in b.column("win").to_pylist()]
+    return maps, set(windows)
+
+
+def test_readings_are_those_of_every_subset():
+    rnd = random.Random(5)
+    vocab = ["apple", "Tom", "Anna", "3", "kg", "river", "Bank", "goes"]
+    text = lambda n: "".join(rnd.choice(vocab) + rnd.choice([" ", " ", "\n", ". "]) for _ in range(n))
+    items = [text(12) for _ in range(10)] + ["\n".join(["Tom", "Anna", "River", "Bank", "Apple", "Goes", "Tom", "Anna", "River"])]
+    maps, windows = _maps(items)
+    long = text(3000) + "\n" + items[-1] + "\n" + items[0]
+    got = decontam.hit_batches([m.tobytes() for m in maps], [8], 5)(iter([pa.record_batch({"id": pa.array([1], pa.int64()), "text": pa.array([long])})]))
+    got = {(r["place"], r["win"]) for b in got for r in b.to_pylist() if r["win"] in windows}
+    raw = np.frombuffer(long.encode(), np.uint8)
+    canon, _, _, _, _, maybe = decontam.canonical(raw, np.array([0, len(raw)]))
+    # without the map of beginnings every reading is followed
+    every = decontam.readings(canon, maybe, np.full(len(canon), len(canon)), [8])
+    want = {(p, k) for _, at, _, keys in every for p, k in zip(at.tolist(), keys.view(np.int64).tolist(), strict=True) if k in windows}
+    assert got == want and len({p for p, _ in got}) > 5
+
+
+def test_lists_of_capitalised_lines_follow_few_readings():
+    rnd = random.Random(6)
+    words = "the quick brown fox jumps over lazy dog near river bank says that Tom has three apples and buys five more".split()
+    maps, _ = _maps([" ".join(rnd.choice(words) for _ in range(30)) for _ in range(100)])
+    text = "\n".join(rnd.choice(words).capitalize() for _ in range(100_000))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    canon, _, _, _, _, maybe = decontam.canonical(raw, np.array([0, len(raw)]))
+    seen = []
+
+    def begun(state):
+        seen.append(len(state))
+        return decontam._known(maps[1], state)
+
+    assert maybe.all()
+    list(decontam.readings(canon, maybe, np.full(len(canon), len(canon)), [8], begun))
+    # twenty words make most pairs known; all subsets would be 254 beginnings a place
+    assert sum(seen) < 24 * len(canon)
+
+
+def test_hot_windows_of_a_large_benchmark(spark, monkeypatch):
+    docs, items = frames(spark)
+    want = sorted(contaminated(docs, items).collect())
+    monkeypatch.setattr(decontam, "SMALL_WINDOWS", 0)
+    meet = decontam.split_join
+    monkeypatch.setattr(decontam, "split_join", lambda *args: meet(*args, limit=2))
+    assert sorted(contaminated(docs, items).collect()) == want and want
+
+
+def test_a_copied_list(spark):
+    lines = "\n".join(["Apples", "Pears", "Anna", "Milk", "Bread", "Salt", "Rice", "Eggs", "Oil"])
+    docs = spark.createDataFrame([(1, "Buy:\n" + lines + "\n" + "Cheese\n" * 50_000), (2, "Cheese\n" * 50_000)], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame([(7, lines)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["windows"], r["verbatim"], r["n_slots"]) for r in got] == [(1, 7, 2, True, 0)]

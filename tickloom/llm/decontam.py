@@ -7,9 +7,10 @@ a chain of windows at one offset counts as a copy of the item only if the
 placeholders' fillings correspond one to one (equal for a plain copy, changed
 throughout alike for a re-parameterised question).
 
-The windows of the documents never travel: a bit map of the benchmark's window
-hashes (of fixed size, whatever the benchmark's) goes with the scan and only
-windows whose bit is set come out of it, with their fillings, for the join.
+The windows of the documents never travel: bit maps of the benchmark's windows
+and of their beginnings (bounded, whatever the benchmark's size) go with the
+scan.  A window is hashed as long as its beginning is one of the benchmark's,
+and only windows whose bit is set come out, with their fillings, for the join.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.kernels import mix64, runs, slices, span_hash
+from tickloom.llm.rows import split_join
 from tickloom.llm.scratch import Scratch, ship
 
 _U64 = np.uint64
-#: Bits of the map that goes with the scan, and windows a joined table may hold to be sent to every task.
-MAP_BITS = 24
+#: Most bits of a map that goes with the scan are 2^MAP_BITS, sent in pages of so many bytes.
+MAP_BITS, PAGE = 27, 4096
+#: Windows a joined table may hold to be sent to every task.
 SMALL_WINDOWS = 200_000
+#: Places whose windows grow together.
+BLOCK = 1 << 14
 
 #: Words that count as units when a number stands before them.
 UNITS = (
@@ -119,47 +124,46 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def window_hashes(canon: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the *width* tokens from each position on; positions near the end wrap and are not used."""
-    out = np.zeros(len(canon), _U64)
-    for k in range(width):
-        out = mix64(out * _U64(0x9DDFEA08EB382D69) + np.roll(canon, -k) + _U64(k + 1))
-    return out + _U64(width)
-
-
-def readings(canon: np.ndarray, maybe: np.ndarray, width: int):
-    """(places, mask, hashes) of all readings of the windows: a token that may be a name as word and as name (its bit set)."""
-    yield np.arange(len(canon)), 0, window_hashes(canon, width)
-    bits = np.zeros(len(canon), np.int64)
-    for k in range(width):
-        bits |= np.roll(maybe, -k).astype(np.int64) << k
-    some = np.flatnonzero(bits)
-    masks = set()
-    for whole in np.unique(bits[some]).tolist():
-        part = whole
-        while part:
-            masks.add(part)
-            part = (part - 1) & whole
-    for mask in sorted(masks):
-        at = some[bits[some] & mask == mask]
-        out = np.zeros(len(at), _U64)
-        for k in range(width):
-            token = _U64(NAME) if mask >> k & 1 else canon[(at + k) % len(canon)]
-            out = mix64(out * _U64(0x9DDFEA08EB382D69) + token + _U64(k + 1))
-        yield at, mask, out + _U64(width)
-
+def readings(canon: np.ndarray, maybe: np.ndarray, last: np.ndarray, widths: list[int], begun=None):
+    """(width, places, masks, hashes) of the windows' readings: a token that may be a name as word and as name (its bit set).
 
-def _slots(canon, starts, ends, low, at, width, mask=0, flag="?") -> list[list[str]]:
-    """Fillings of the window's placeholders as 'place:type:text'; those of *mask* are flagged."""
+    Windows grow token by token from every place; *last* is where the place's
+    document ends.  A reading whose beginning *begun* (a test of hashes) does
+    not know is given up, so what is followed are the beginnings some item has,
+    however many tokens may be names.
+    """
+    longest = max(widths)
+    for block in range(0, len(canon), BLOCK):
+        at = np.arange(block, min(block + BLOCK, len(canon)))
+        mask, state = np.zeros(len(at), np.int64), np.zeros(len(at), _U64)
+        for k in range(longest):
+            inside = at + k < last[at]
+            at, mask, state = at[inside], mask[inside], state[inside]
+            token, both = canon[at + k], np.flatnonzero(maybe[at + k])
+            token = np.concatenate([token, np.full(len(both), NAME, _U64)])
+            at, mask, state = np.concatenate([at, at[both]]), np.concatenate([mask, mask[both] | 1 << k]), np.concatenate([state, state[both]])
+            state = mix64(state * _U64(0x9DDFEA08EB382D69) + token + _U64(k + 1))
+            if k + 1 in widths:
+                yield k + 1, at, mask, state + _U64(k + 1)
+            if begun is not None and k + 1 < longest:
+                going = begun(state)
+                at, mask, state = at[going], mask[going], state[going]
+            if not len(at):
+                break
+
+
+def _slots(canon, starts, ends, low, at, masks, width, first="?") -> list[list[str]]:
+    """Fillings of the windows' placeholders as 'place:type:text'; those of the mask are flagged, place 0 by *first*."""
     kinds = {NUM: "n", NAME: "p", UNIT: "u"}
     out = []
-    for i in at.tolist():
+    for i, mask in zip(at.tolist(), masks.tolist(), strict=True):
         row = []
         for k in range(width):
             read = mask >> k & 1
             kind = "p" if read else kinds.get(int(canon[i + k]))
             if kind:
-                row.append(f"{k}{flag if read else ''}:{kind}:{low[starts[i + k] : ends[i + k]].tobytes().decode('utf-8', 'replace')}")
+                flag = "" if not read else first if i + k == 0 else "?"
+                row.append(f"{k}{flag}:{kind}:{low[starts[i + k] : ends[i + k]].tobytes().decode('utf-8', 'replace')}")
         out.append(row)
     return out
 
@@ -173,93 +177,114 @@ def _batch(ids, keys, places, slots, extra=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names)
 
 
-def _item_slots(canon, starts, ends, low, at, width, mask, flag):
-    """_slots of an item, whose first word has a flag of its own."""
-    rows = _slots(canon, starts, ends, low, at, width, mask)
-    if flag != "?":
-        rows = [[x.replace("0?:", "0x:", 1) if x.startswith("0?:") else x for x in row] for row in rows]
-    return rows
+def item_readings(batches: Iterator[pa.RecordBatch], width: int, least: int, begun=None):
+    """(id, tokens as canonical returns them, lower-case bytes, flag of the first word, width, places, masks, hashes) for the windows of each item.
+
+    An item shorter than *width* is one window of its own length.  Inside a
+    document its first word may look like a name: flag 'x' if it does not here.
+    """
+    for batch in batches:
+        ids = batch.column("id").to_pylist()
+        for i, j, raw, offsets in slices(batch.column("text")):
+            canon, _, starts, ends, first, maybe = canonical(raw, offsets)
+            low = lowered(raw)[0]
+            for x in range(j - i):
+                a, b = int(first[x]), int(first[x + 1])
+                if b == a or ids[i + x] is None:
+                    continue
+                own, may = canon[a:b], maybe[a:b].copy()
+                fixed = np.isin(own, _MARKS)
+                flag = "?" if may[0] else "x"
+                may[0] |= not fixed[0]
+                for w, at, masks, keys in readings(own, may, np.full(b - a, b - a), [min(width, b - a)], begun):
+                    if b - a < least:
+                        some = np.array([not all(fixed[k] or m >> k & 1 for k in range(w)) for m in masks.tolist()], bool)
+                        at, masks, keys = at[some], masks[some], keys[some]
+                    if len(at):
+                        yield ids[i + x], (own, starts[a:b], ends[a:b]), low, flag, w, at, masks, keys
 
 
 def item_batches(width: int, least: int):
-    """Windows of benchmark items; an item shorter than *width* is one window of its own length.
+    """Windows of benchmark items.  Flagged '?' are names that open a sentence and may be words, 'x' as item_readings tells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, tokens, low, flag, w, at, masks, keys in item_readings(batches, width, least):
+            n = len(tokens[0]) - w + 1
+            yield _batch([key] * len(at), keys.view(np.int64), at, _slots(*tokens, low, at, masks, w, flag), [n] * len(at))
+
+    return run
+
+
+def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a map of a power of two of bits."""
+    slot = hashes >> _U64(64 - (len(bits) * 8).bit_length() + 1)
+    return (bits[slot >> _U64(3)] >> (slot & _U64(7)).astype(np.uint8) & 1).astype(bool)
 
-    Flagged '?' are names that open a sentence and may be words, 'x' a first word that looks like a name inside a document only.
-    """
+
+def map_batches(width: int, least: int, sizes: tuple[int, int]):
+    """Pages of two bit maps of the items, of 2^size bits: 0 the windows, 1 the windows' beginnings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_pylist()
-            for i, j, raw, offsets in slices(batch.column("text")):
-                canon, plain, starts, ends, first, maybe = canonical(raw, offsets)
-                low = lowered(raw)[0]
-                out = ([], [], [], [], [])
-                for x in range(j - i):
-                    a, b = int(first[x]), int(first[x + 1])
-                    if b == a or ids[i + x] is None:
-                        continue
-                    w = min(width, b - a)
-                    own = canon[a:b].copy()
-                    may, fixed = maybe[a:b].copy(), np.isin(own, _MARKS)
-                    # inside a document the first word may look like a name
-                    first_flag = "?" if may[0] else "x"
-                    may[0] |= not fixed[0]
-                    n = b - a - w + 1
-                    for at, mask, keys in readings(own, may, w):
-                        places = at[at < n]
-                        if b - a < least and (fixed | np.array([bool(mask >> k & 1) for k in range(b - a)])).all():
-                            continue
-                        for some, flag in ((places == 0, first_flag), (places > 0, "?")):
-                            at_these = places[some]
-                            rows = [ids[i + x]] * len(at_these), keys[at < n][some].view(np.int64).tolist(), at_these.tolist(), _item_slots(own, starts[a:b], ends[a:b], low, at_these, w, mask, flag), [n] * len(at_these)
-                            for c, v in zip(out, rows, strict=True):
-                                c += v
-                if out[0]:
-                    yield _batch(*out)
+        maps = [np.zeros(1 << (size - 3), np.uint8) for size in sizes]
+
+        def note(which: int, hashes: np.ndarray) -> np.ndarray:
+            slot = hashes >> _U64(64 - sizes[which])
+            np.bitwise_or.at(maps[which], slot >> _U64(3), np.left_shift(np.uint8(1), (slot & _U64(7)).astype(np.uint8)))
+            return np.ones(len(hashes), bool)
+
+        for *_, keys in item_readings(batches, width, least, lambda state: note(1, state)):
+            note(0, keys)
+        for which, bits in enumerate(maps):
+            pages = bits.reshape(-1, PAGE)
+            some = np.flatnonzero(pages.any(1)).tolist()
+            rows = [pa.array([which] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([pages[p].tobytes() for p in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays(rows, ["which", "page", "bits"])
 
     return run
 
 
-def hit_batches(bits: bytes, widths: list[int], least: int):
+def one_page(table: pa.Table) -> pa.Table:
+    """The tasks' versions of a page in one."""
+    bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
+    return pa.table({"which": table.column("which")[:1], "page": table.column("page")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def bit_maps(items: DataFrame, width: int, least: int, n: int) -> list[np.ndarray]:
+    """The maps for items of *n* windows: 16 bits a window and a beginning up to MAP_BITS, at most 2 * 16 MB."""
+    sizes = tuple(min(MAP_BITS, max(18, (16 * x).bit_length())) for x in (n, n * width))
+    maps = [np.zeros(1 << (size - 3), np.uint8) for size in sizes]
+    pages = items.mapInArrow(map_batches(width, least, sizes), "which int, page int, bits binary").groupBy("which", "page").applyInArrow(one_page, "which int, page int, bits binary")
+    for row in pages.toLocalIterator():
+        maps[row["which"]][row["page"] * PAGE :][:PAGE] = np.frombuffer(row["bits"], np.uint8)
+    return maps
+
+
+def hit_batches(maps: list[bytes], widths: list[int], least: int):
     """Windows of documents whose bit is set in the map; of fewer than *least* tokens only whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits, np.uint8)
+        windows, begins = (np.frombuffer(m, np.uint8) for m in maps)
         for batch in batches:
             ids = batch.column("id")
             for i, j, raw, offsets in slices(batch.column("text")):
-                canon, plain, starts, ends, first, maybe = canonical(raw, offsets)
+                canon, _, starts, ends, first, maybe = canonical(raw, offsets)
                 low = None
                 names = ids.slice(i, j - i).to_numpy(zero_copy_only=False)
-                for w in widths:
-                    if len(canon) < w:
-                        continue
-                    for at, mask, key in readings(canon, maybe, w):
-                        slot = key >> _U64(64 - MAP_BITS)
-                        hit = np.flatnonzero(table[slot >> _U64(3)] >> (slot & _U64(7)).astype(np.uint8) & 1)
-                        key, hit = key[hit], at[hit]
-                        doc = np.searchsorted(first, hit, "right") - 1
-                        fits = hit + w <= first[doc + 1]
-                        if w < least:
-                            fits &= (hit == first[doc]) & (hit + w == first[doc + 1])
-                        key, hit, doc = key[fits], hit[fits], doc[fits]
-                        if len(hit):
-                            low = lowered(raw)[0] if low is None else low
-                            yield _batch(names[doc].tolist(), key.view(np.int64), hit - first[doc], _slots(canon, starts, ends, low, hit, w, mask))
+                last = np.repeat(first[1:], np.diff(first))
+                for w, at, masks, keys in readings(canon, maybe, last, widths, lambda state: _known(begins, state)) if widths else ():
+                    fits = _known(windows, keys)
+                    at, masks, keys = at[fits], masks[fits], keys[fits]
+                    doc = np.searchsorted(first, at, "right") - 1
+                    if w < least:
+                        whole = (at == first[doc]) & (at + w == first[doc + 1])
+                        at, masks, keys, doc = at[whole], masks[whole], keys[whole], doc[whole]
+                    if len(at):
+                        low = lowered(raw)[0] if low is None else low
+                        yield _batch(names[doc].tolist(), keys.view(np.int64), at - first[doc], _slots(canon, starts, ends, low, at, masks, w, "?"))
 
     return run
 
 
-def bit_map_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One map of MAP_BITS bits per task, sparse as byte numbers and values."""
-    table = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for batch in batches:
-        slot = batch.column("win").to_numpy().view(_U64) >> _U64(64 - MAP_BITS)
-        np.bitwise_or.at(table, slot >> _U64(3), np.left_shift(np.uint8(1), (slot & _U64(7)).astype(np.uint8)))
-    at = np.flatnonzero(table)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int32))], ["at", "bits"])
-
-
 def contaminated(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -292,16 +317,17 @@ def contaminated(
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     with Scratch(spark) as scratch:
         windows = scratch.put(items.mapInArrow(item_batches(width, least), "id long, win long, place int, slots array<string>, n_windows int"), "windows")
-        marks = windows.select("win").mapInArrow(bit_map_batches, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-        table = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-        for row in marks.toLocalIterator():
-            table[row["at"]] = row["bits"]
-        sizes = windows.agg(F.count("*").alias("n")).first()
+        n = windows.count()
+        maps = [m.tobytes() for m in bit_maps(items, width, least, n)]
         short = [r["w"] for r in items.mapInArrow(_widths(width), "w int").distinct().collect()]
-        hits = docs.mapInArrow(hit_batches(table.tobytes(), sorted(short), least), "id long, win long, place int, slots array<string>")
+        hits = docs.mapInArrow(hit_batches(maps, sorted(short), least), "id long, win long, place int, slots array<string>")
         known = windows.select(F.col("id").alias("item_id"), "win", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "n_windows")
-        known = F.broadcast(known) if sizes["n"] <= SMALL_WINDOWS else known
-        matched = hits.join(known, "win").withColumn("offset", F.col("place") - F.col("item_place"))
+        if n <= SMALL_WINDOWS:
+            matched = hits.join(F.broadcast(known), "win")
+        else:
+            # a passage that many documents share is one hot window after another
+            matched = split_join(scratch.put(hits, "hits"), known, "win", scratch, "hot")
+        matched = matched.withColumn("offset", F.col("place") - F.col("item_place"))
         # what opens a sentence on both sides is a word if it is equal; a plain first word is no name by standing where sentences open
         flag = lambda c: F.regexp_extract(c, "^[0-9]+([?x]?):", 1)
         pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(F.substring_index(a, ":", -2).alias("i"), F.substring_index(b, ":", -2).alias("d"), F.concat(flag(a), flag(b)).alias("f")))
