@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
+from tickloom.llm import langid
 from tickloom.llm.langid import LanguageModels, identify, mixture_of
 from tickloom.llm.queries import op6_language_id
 
@@ -59,3 +61,34 @@ def test_many_languages(spark):
     assert models.langs == names and models.table.shape == (300, 1 << 16)
     got = identify(docs, models).select("lang", "lang_pred").collect()
     assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_blocks_are_the_matrix(monkeypatch):
+    """Whole batches in blocks of a few segments, computed again for each step, give what the matrix gives."""
+    rng = np.random.default_rng(3)
+    table = np.log(rng.dirichlet(np.full(1 << langid.BITS, 0.05), 5) + 1e-9).astype(np.float32)
+    models = type("Models", (), {"langs": list("abcde"), "table": table})()
+    texts = ["".join(rng.choice(list("abc de"), n)) for n in (5000, 1, 0, 47, 48, 700)] + [None, "é" * 300, "12 34", "x"]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    want = next(langid.predict_batches(models, "text", 6.0, None)(iter([batch]))).to_pylist()
+    assert max(len(r["mixture"]) for r in want) > 1
+    monkeypatch.setattr(langid, "CELLS", 35)
+    assert next(langid.predict_batches(models, "text", 6.0, None)(iter([batch]))).to_pylist() == want
+    # a text's likelihoods come from its own bytes, whatever stands before it
+    alone = [next(langid.predict_batches(models, "text", 6.0, None)(iter([pa.record_batch({"text": pa.array([t], pa.string())})]))).to_pylist()[0] for t in texts]
+    for one, each in zip(alone, want, strict=True):
+        assert one["lang_pred"] == each["lang_pred"] and abs(one["score"] - each["score"]) < 1e-9
+
+
+def test_memory_of_a_long_text_in_many_languages():
+    """8 MB and 200 languages: the matrix would be 280 MB."""
+    import tracemalloc
+
+    raw = np.frombuffer(b"some words of a text " * 400_000, np.uint8)
+    cut = np.append(np.arange(0, len(raw), langid.SEGMENT), len(raw))
+    table = np.full((200, 1 << langid.BITS), -8, np.float32)
+    tracemalloc.start()
+    seen = sum(len(part) for part in langid.likelihoods(raw, np.array([0]), cut, table)(0, len(cut) - 1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(cut) - 1 and most < 34e6

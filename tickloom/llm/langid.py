@@ -9,14 +9,16 @@ gains more than the penalty for it.  The prediction is the language with the
 largest proportion.
 
 The models are a file of 256 KB a language that every worker maps, so a thousand
-languages take no more memory of a task than four.
+languages take no more memory of a task than four; neither does a long text in
+many languages, whose likelihoods are computed in blocks of segments.
 """
 
 from __future__ import annotations
 
 import atexit
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +35,27 @@ BITS = 16
 #: Bytes of a segment; labelled rows of one language that the models are counted on.
 SEGMENT = 48
 TRAIN_PER_LANG = 3000
+#: Likelihoods of a text that are held (8 bytes each; an eighth of it in a block), and most segments of a block.
+CELLS, BLOCK = 1 << 23, 1 << 14
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
-def _grams(raw: np.ndarray) -> np.ndarray:
-    """Hashed trigram ending at each byte; what is no letter counts as one blank."""
+
+def _grams(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed trigram ending at each byte, of its own document only; what is no letter counts as one blank.  And where letters are."""
     low, _ = lowered(raw)
-    letter = ((low >= 97) & (low <= 122)) | (low >= 128)
+    letter = _LETTER[raw]
     low = np.where(letter, low, np.uint8(32)).astype(_U32)
+    starts = starts[(starts >= 0) & (starts < len(raw))]
     code = low.copy()
-    code[1:] |= low[:-1] << _U32(8)
-    code[2:] |= low[:-2] << _U32(16)
+    for back in (1, 2):
+        before = np.zeros(len(raw), _U32)
+        before[back:] = low[:-back]
+        for k in range(back):
+            at = starts + k
+            before[at[at < len(raw)]] = 0
+        code |= before << _U32(8 * back)
     return (code * _U32(0x9E3779B1)) >> _U32(32 - BITS), letter
 
 
@@ -52,7 +65,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for i, j, raw, offsets in slices(batch.column("text")):
-            grams, letter = _grams(raw)
+            grams, letter = _grams(raw, offsets[:-1])
             for x in range(j - i):
                 a, b = offsets[x], offsets[x + 1]
                 own = grams[a:b][letter[a:b]]
@@ -115,22 +128,31 @@ class LanguageModels:
         return cls(langs, out.name)
 
 
-def mixture_of(loglik: np.ndarray, penalty: float, rounds: int = 25) -> tuple[np.ndarray, list[int]]:
+def mixture_of(loglik: np.ndarray | Callable[[], Iterable[np.ndarray]], penalty: float, rounds: int = 25) -> tuple[np.ndarray, list[int]]:
     """Proportions of languages (columns) that make the segments (rows), and the set chosen.
 
+    *loglik* is a matrix, or a function that yields its rows in blocks, called
+    again for each step: what is kept are the columns of chosen languages.
+
     The language tried next is the one with most to gain: the sum of what its
     segments' likelihoods are above the mixture's.  It stays if the mixture's
     log-likelihood gains more than *penalty*; the search ends when no language
     has that much to gain.  Ties go to the first column.
     """
-    n, k = loglik.shape
-    top = loglik.max(1, keepdims=True)
-    like = np.exp(loglik - top)
-
-    def em(cols: list[int]) -> tuple[np.ndarray, float]:
-        p = like[:, cols] + 1e-30
-        w = np.full(len(cols), 1 / len(cols))
-        if len(cols) > 1:
+    blocks = loglik if callable(loglik) else lambda: [loglik]
+    total, tops = 0.0, []
+    for part in blocks():
+        total = total + part.sum(0)
+        tops.append(part.max(1))
+    top, k = np.concatenate(tops), len(total)
+    best = float(top.sum())
+
+    def column(c: int) -> np.ndarray:
+        return np.exp(np.concatenate([part[:, c] for part in blocks()]) - top)[:, None] + 1e-30
+
+    def em(p: np.ndarray) -> tuple[np.ndarray, float]:
+        w = np.full(p.shape[1], 1 / p.shape[1])
+        if p.shape[1] > 1:
             for _ in range(rounds):
                 r = p * w
                 r /= r.sum(1, keepdims=True)
@@ -139,27 +161,59 @@ def mixture_of(loglik: np.ndarray, penalty: float, rounds: int = 25) -> tuple[np
                     w = new
                     break
                 w = new
-        return w, float(np.log(p @ w).sum() + top.sum())
+        return w, float(np.log(p @ w).sum() + best)
 
-    chosen = [int(loglik.sum(0).argmax())]
-    weights, value = em(chosen)
+    chosen = [int(total.argmax())]
+    like = column(chosen[0])
+    weights, value = em(like)
     open_ = np.ones(k, bool)
     open_[chosen] = False
     while open_.any():
-        now = np.log((like[:, chosen] + 1e-30) @ weights)[:, None] + top
-        room = np.where(open_, np.maximum(loglik - now, 0).sum(0), -1.0)
+        now, gain, a = np.log(like @ weights) + top, np.zeros(k), 0
+        for part in blocks():
+            gain += np.maximum(part - now[a : a + len(part), None], 0).sum(0)
+            a += len(part)
+        room = np.where(open_, gain, -1.0)
         c = int(room.argmax())
         if room[c] <= penalty:
             break
         open_[c] = False
-        w, v = em([*chosen, c])
+        more = np.concatenate([like, column(c)], axis=1)
+        w, v = em(more)
         if v - value > penalty:
-            chosen, weights, value = [*chosen, c], w, v
+            chosen, weights, value, like = [*chosen, c], w, v, more
     out = np.zeros(k)
     out[chosen] = weights
     return out, chosen
 
 
+def likelihoods(raw: np.ndarray, starts: np.ndarray, cut: np.ndarray, table: np.ndarray) -> Callable[[int, int], Iterable[np.ndarray]]:
+    """A function that yields the log-likelihoods of segments a to b (rows) under the languages (columns), in blocks.
+
+    *cut* are the segments' ends with a 0 before.  At most CELLS are held: of a
+    text with more segments times languages they are computed again when asked for.
+    """
+    n, k = len(cut) - 1, len(table)
+    step = max(1, min(CELLS // 8 // max(k, 1), BLOCK))
+
+    def block(a: int, b: int) -> np.ndarray:
+        out = np.zeros((b - a, k))
+        full = np.flatnonzero(np.diff(cut[a : b + 1]))
+        if len(full):
+            # two bytes before belong to the first trigrams
+            lead = max(0, int(cut[a]) - 2)
+            grams, letter = _grams(raw[lead : cut[b]], starts - lead)
+            at = cut[a:b][full] - lead
+            for c in range(k):
+                out[full, c] = np.add.reduceat(np.where(letter, table[c][grams], np.float32(0)).astype(np.float64), at)
+        return out
+
+    if n * k <= CELLS:
+        held = np.concatenate([block(a, min(a + step, n)) for a in range(0, n, step)])
+        return lambda a, b: [held[a:b]]
+    return lambda a, b: (block(x, min(x + step, b)) for x in range(a, b, step))
+
+
 def predict_batches(models: LanguageModels, text: str, penalty: float, schema: pa.Schema | None):
     """Add lang_pred, score, mixture to each batch."""
     langs = models.langs
@@ -170,8 +224,6 @@ def predict_batches(models: LanguageModels, text: str, penalty: float, schema: p
             preds, scores, mixes = [], [], []
             column = batch.column(text)
             for i, j, raw, offsets in slices(column):
-                grams, letter = _grams(raw)
-                count = np.concatenate([[0], np.cumsum(letter)])
                 # segments: equal cuts of each document, by its length
                 lens = np.diff(offsets)
                 n_seg = np.maximum(1, lens // SEGMENT)
@@ -180,15 +232,10 @@ def predict_batches(models: LanguageModels, text: str, penalty: float, schema: p
                 place = np.arange(begin[-1]) - begin[:-1][which]
                 cut = offsets[:-1][which] + place * lens[which] // n_seg[which]
                 cut = np.append(cut, len(raw))
-                loglik = np.zeros((begin[-1], len(langs)))
-                full = np.flatnonzero(np.diff(cut))
-                for c in range(len(langs)):
-                    if len(raw):
-                        each = np.where(letter, table[c][grams], np.float32(0))
-                        loglik[full, c] = np.add.reduceat(each.astype(np.float64), cut[:-1][full])
+                segments = likelihoods(raw, offsets[:-1], cut, table)
                 for x in range(j - i):
                     a, b = offsets[x], offsets[x + 1]
-                    has = count[b] > count[a]
+                    has = _LETTER[raw[a:b]].any()
                     if has and not ((raw[a:b] | 32) - 97 < 26).any():
                         # no ASCII letter: a letter of another script, or only signs
                         has = any(ch.isalpha() for ch in raw[a:b].tobytes().decode("utf-8", "replace"))
@@ -197,7 +244,7 @@ def predict_batches(models: LanguageModels, text: str, penalty: float, schema: p
                         scores.append(0.0)
                         mixes.append([])
                         continue
-                    w, chosen = mixture_of(loglik[begin[x] : begin[x + 1]], penalty)
+                    w, chosen = mixture_of(partial(segments, begin[x], begin[x + 1]), penalty)
                     best = int(np.argmax(w))
                     preds.append(langs[best])
                     scores.append(float(w[best]))
