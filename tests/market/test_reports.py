@@ -90,3 +90,27 @@ def test_trades_without_an_analyst(spark):
     rows = spark.sql("select * from values ('A', 'bullish', 2400.5, 2390.0, cast(null as double), 60, true, 'high'), ('B', 'bearish', 1.0, 1.1, 0.9, 70, true, 'closed'), ('C', 'bullish', 1.0, 0.9, 1.1, 20, false, 'high'), ('D', 'ranging', 1.0, 0.9, 1.1, 50, null, 'high') as t(symbol, struct_4h, price, stop_loss, take_profit, score, fired, tier)")
     got = decisions.direct_decision(rows).collect()
     assert [(r["symbol"], r["direction"], r["score"]) for r in got] == [("A", "BUY", 60)] and "target N/A" in got[0]["message"]
+
+
+def test_gates_over_days_against_a_loop(spark):
+    import datetime as dt
+    import random
+
+    rnd, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = []
+    for k in range(200):
+        at = None if k % 50 == 0 else start + dt.timedelta(minutes=rnd.randrange(6 * 1440))
+        end = at + dt.timedelta(minutes=rnd.randrange(1500)) if at and rnd.random() < 0.8 else None
+        rows.append((f"{k:03d}", rnd.choice(["A", "B", None]), at, end, rnd.choice(["LOSS", "WIN", None]), rnd.choice(["OPEN", "CLOSED"]), rnd.choice([-1.0, 0.5])))
+    led = spark.createDataFrame(rows, "signal_id string, system string, timestamp timestamp, exit_time timestamp, result string, status string, profit_pct double")
+    got = {r["signal_id"]: (r["day_pnl"], r["open_before"], r["in_cooldown"]) for r in ledger.cooldown(led).collect()}
+    want, wait = {}, dt.timedelta(minutes=ledger.DEFAULT.cooldown_minutes)
+    for system in ("A", "B", None):
+        lost, opened, pnl = None, 0, {}
+        for sid, _, at, end, result, status, profit in sorted((r for r in rows if r[1] == system), key=lambda r: (r[2] or dt.datetime.min, r[0])):
+            day = at and at.date()
+            want[sid] = (pnl.get(day, 0.0), opened, bool(at and lost and at < lost + wait))
+            pnl[day] = pnl.get(day, 0.0) + profit
+            opened += status == "OPEN"
+            lost = end if result == "LOSS" and end else lost
+    assert got == want and any(c for _, _, c in want.values())

@@ -291,13 +291,22 @@ def metrics_text(metrics: DataFrame, by: str = "system") -> DataFrame:
 
 
 def cooldown(ledger: DataFrame, config: Config = DEFAULT, by: str = "system") -> DataFrame:
-    """Gates per trade, from configuration: minutes since the last loss, the day's loss so far, trades open before it, the hour, and reward to risk where the ledger has it."""
-    w = Window.partitionBy(by).orderBy("timestamp", "signal_id")
-    day = Window.partitionBy(by, F.to_date("timestamp")).orderBy("timestamp", "signal_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    lost = F.last(F.when(F.col("result") == "LOSS", F.col("exit_time")), ignorenulls=True).over(before)
-    df = ledger.withColumn("day_pnl", F.coalesce(F.sum("profit_pct").over(day), F.lit(0.0))).withColumn("open_before", F.count_if(F.col("status") == "OPEN").over(before))
-    df = df.withColumn("in_cooldown", F.coalesce(F.col("timestamp") < lost + F.make_dt_interval(mins=F.lit(config.cooldown_minutes)), F.lit(False)))
+    """Gates per trade, from configuration: minutes since the last loss, the day's loss so far, trades open before it, the hour, and reward to risk where the ledger has it.
+
+    A task takes a day of a system; days meet as a row each.  Trades without a time come first.
+    """
+    day, order = F.to_date("timestamp"), ("timestamp", "signal_id")
+    loss = F.when(F.col("result") == "LOSS", F.col("exit_time"))
+    # what the days before leave behind, a row a day, and then the day's own trades
+    left = ledger.groupBy(F.col(by).alias("__by"), day.alias("__day")).agg(F.count_if(F.col("status") == "OPEN").alias("__open"), F.max_by(loss, F.when(loss.isNotNull(), F.struct(*order))).alias("__lost"))
+    days = Window.partitionBy("__by").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.select("__by", "__day", F.coalesce(F.sum("__open").over(days), F.lit(0)).alias("__open"), F.last("__lost", ignorenulls=True).over(days).alias("__lost"))
+    before = Window.partitionBy(by, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = ledger.join(left, F.col(by).eqNullSafe(F.col("__by")) & day.eqNullSafe(F.col("__day")))
+    df = df.withColumn("day_pnl", F.coalesce(F.sum("profit_pct").over(before), F.lit(0.0))).withColumn("open_before", F.col("__open") + F.count_if(F.col("status") == "OPEN").over(before))
+    lost = F.coalesce(F.last(loss, ignorenulls=True).over(before), F.col("__lost"))
+    df = df.withColumn("__lost", lost).drop("__by", "__day", "__open")
+    df = df.withColumn("in_cooldown", F.coalesce(F.col("timestamp") < F.col("__lost") + F.make_dt_interval(mins=F.lit(config.cooldown_minutes)), F.lit(False))).drop("__lost")
     df = df.withColumn("hour_blocked", F.hour("timestamp").isin(*config.block_hours) if config.block_hours else F.lit(False))
     reward = F.coalesce(F.col("rr_ratio").try_cast("double") >= config.least_reward, F.lit(True)) if "rr_ratio" in ledger.columns else F.lit(True)
     return df.withColumn("allowed", ~F.col("in_cooldown") & ~F.col("hour_blocked") & (F.col("day_pnl") > config.day_loss_cap) & (F.col("open_before") < config.max_open) & reward)
