@@ -157,3 +157,10 @@ def test_a_copied_list(spark):
     docs = spark.createDataFrame([(1, "Buy:\n" + lines + "\n" + "Cheese\n" * 50_000), (2, "Cheese\n" * 50_000)], "doc_id long, text string")
     got = contaminated(docs, spark.createDataFrame([(7, lines)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["windows"], r["verbatim"], r["n_slots"]) for r in got] == [(1, 7, 2, True, 0)]
+
+
+def test_short_items_inside_documents_by_parameter(spark):
+    docs = spark.createDataFrame([(1, "Please name the capital of it"), (2, "it weighs 5 kg, they say"), (3, "neither of both")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Name the capital"), (2, "3 kg")], "item_id long, text string")
+    assert contaminated(docs, items).count() == 0
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items, least=1).collect()} == {(1, 1), (2, 2)}

@@ -304,8 +304,10 @@ def contaminated(
 
     * null or empty texts and items match nothing; items shorter than *width*
       are one window as a whole, and those of fewer than *least* tokens are held
-      only by a document that is nothing else and share a word with it;
+      only by a document that is nothing else and share a word with it; with
+      ``least=1`` they are looked for inside documents, too, placeholders or not;
     * a capital that opens a sentence is read both as a word and as a name;
+    * numbers are of ASCII digits and names open with a Latin capital; other words, of any script, are words;
     * null ids of documents or items are left out;
     * repeated rows: ids that repeat give one result row; several items, or one
       item at several offsets, give a row per item (the best offset);
