@@ -1,4 +1,4 @@
-"""The price walk of the fixture in blocks: the same sums, spread over tasks."""
+"""The price walk of the fixture and places of long series in blocks: the same sums, spread over tasks."""
 
 import datetime as dt
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.functions import rolling
+from tickloom.functions import chunks, rolling
 from tickloom.sources import market
 
 
@@ -37,3 +37,15 @@ def test_running_sum_is_the_whole_window(spark):
     got = rolling.running_sum(df, "y", F.col("x"), ("symbol",), F.hour("ts"), ("ts", "k"))
     assert got.columns == [*df.columns, "y"]
     assert sorted(map(str, got.collect())) == sorted(map(str, df.withColumn("y", F.sum("x").over(whole)).collect()))
+
+
+def test_places_do_not_hang_on_samples(spark):
+    """Places were numbered over ranges that were sampled anew for each reading, so that rows of long series got wrong places or were lost."""
+    t0 = dt.datetime(2025, 1, 6)
+    df = spark.createDataFrame([(s, "1H", t0 + dt.timedelta(hours=(k * 7) % 900)) for s in ("A", "B", None) for k in range(900)], "symbol string, tf string, ts timestamp_ntz").repartition(5)
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "2")
+    try:
+        got = chunks.placed(df).select("symbol", "ts", "i", "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    assert sorted(map(str, got)) == sorted(map(str, rolling.indexed(df).select("symbol", "ts", "i", "n").collect()))

@@ -13,24 +13,20 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.rolling import FADED, SERIES
+from tickloom.functions.rolling import FADED, SERIES, running_sum
 
 
 def placed(df: DataFrame) -> DataFrame:
-    """Add i and n as ``rolling.indexed`` does, by range partitions: rows are numbered where they lie, and a row a partition and series tells how many come before.
+    """Add i and n as ``rolling.indexed`` does, by blocks of seven days: rows are numbered in their block, from the number of those in the blocks before.
 
-    The sorted rows are read twice, once to be counted.
+    A series of minutes has 10,080 rows a block.  The blocks are fixed by time,
+    so that however often rows are read, they are dealt alike.
     """
-    ranged = df.repartitionByRange(*SERIES, "ts").sortWithinPartitions(*SERIES, "ts").withColumn("__part", F.spark_partition_id())
-    inside = Window.partitionBy("__part", *SERIES).orderBy("ts")
-    counts = ranged.groupBy("__part", *SERIES).agg(F.count("*").alias("__k"))
-    series = Window.partitionBy(*SERIES)
-    ahead = counts.select("__part", *SERIES, F.coalesce(F.sum("__k").over(series.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"), F.sum("__k").over(series).alias("n"))
-    mine = ranged.withColumn("__at", F.row_number().over(inside))
-    return mine.join(ahead, ["__part", *SERIES]).withColumn("i", F.col("__ahead") + F.col("__at") - 1).drop("__part", "__at", "__ahead")
+    week = F.floor(F.unix_date(F.to_date("ts")) / 7)
+    return running_sum(df, "i", F.lit(1).cast("long"), SERIES, week, ("ts",), total="n").withColumn("i", F.col("i") - 1)
 
 
 def fading(decay: float) -> int:

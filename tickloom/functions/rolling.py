@@ -67,8 +67,8 @@ def indexed(df: DataFrame) -> DataFrame:
     return df.withColumn("i", F.row_number().over(series()).cast("long") - 1).withColumn("n", F.count("*").over(Window.partitionBy(*SERIES)))
 
 
-def running_sum(df: DataFrame, name: str, x: Column, keys: tuple[str, ...], block: Column, order: tuple[str, ...]) -> DataFrame:
-    """Add *name*, the running sum of whole numbers x per *keys* by *order*, with a window a block in place of one a series.
+def running_sum(df: DataFrame, name: str, x: Column, keys: tuple[str, ...], block: Column, order: tuple[str, ...], total: str | None = None) -> DataFrame:
+    """Add *name*, the running sum of whole numbers x per *keys* by *order*, and *total*, their sum, with a window a block in place of one a series.
 
     *block* never falls along *order*.  What the blocks before sum to opens a
     block as a row of its own, so rows are shuffled once and nothing is joined.
@@ -76,10 +76,11 @@ def running_sum(df: DataFrame, name: str, x: Column, keys: tuple[str, ...], bloc
     """
     rows = df.withColumns({"__block": block, "__x": x, "__own": F.lit(1)})
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    opening = rows.groupBy(*keys, "__block").agg(F.sum("__x").alias("__sum")).select(*keys, "__block", F.sum("__sum").over(before).alias("__x"), F.lit(0).alias("__own"))
+    sums = rows.groupBy(*keys, "__block").agg(F.sum("__x").alias("__sum"))
+    opening = sums.select(*keys, "__block", F.sum("__sum").over(before).alias("__x"), F.lit(0).alias("__own"), *([F.sum("__sum").over(Window.partitionBy(*keys)).alias("__total")] if total else []))
     inside = Window.partitionBy(*keys, "__block").orderBy("__own", *order).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(opening, allowMissingColumns=True).withColumn(name, F.sum("__x").over(inside))
-    return both.where("__own = 1").drop("__block", "__x", "__own")
+    both = rows.unionByName(opening, allowMissingColumns=True).withColumns({name: F.sum("__x").over(inside)} | ({total: F.first("__total").over(inside)} if total else {}))
+    return both.where("__own = 1").drop("__block", "__x", "__own", "__total")
 
 
 def blocks_for(decays: dict[str, float]) -> list[tuple[int, list[str]]]:
