@@ -26,6 +26,12 @@ def test_no_task_holds_a_symbol(as_dealt, sf_dir):
     assert len(tasks) > 1 and max(r["rows"] for r in tasks) < 0.5 * rows
 
 
+def test_blocks_are_not_merged(spark, sf_dir):
+    """Adaptive execution merged the blocks of small shuffles into one task, and those of large ones to 64 MB of compressed bytes."""
+    tasks = market.ticks(spark, sf_dir).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_running_sum_is_the_whole_window(spark):
     t0, rows = dt.datetime(2024, 1, 1), []
     for k in range(400):

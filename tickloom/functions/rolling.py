@@ -72,14 +72,18 @@ def running_sum(df: DataFrame, name: str, x: Column, keys: tuple[str, ...], bloc
 
     *block* never falls along *order*.  What the blocks before sum to opens a
     block as a row of its own, so rows are shuffled once and nothing is joined.
-    One task a series sums its blocks, a row each.
+    One task a series sums its blocks, a row each.  Blocks are dealt over all
+    shuffle partitions, which are not merged: a task sorts its rows, and merged
+    ones hold 64 MB of compressed bytes, several times that in memory.
     """
     rows = df.withColumns({"__block": block, "__x": x, "__own": F.lit(1)})
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "__block").agg(F.sum("__x").alias("__sum"))
     opening = sums.select(*keys, "__block", F.sum("__sum").over(before).alias("__x"), F.lit(0).alias("__own"), *([F.sum("__sum").over(Window.partitionBy(*keys)).alias("__total")] if total else []))
     inside = Window.partitionBy(*keys, "__block").orderBy("__own", *order).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(opening, allowMissingColumns=True).withColumns({name: F.sum("__x").over(inside)} | ({total: F.first("__total").over(inside)} if total else {}))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.unionByName(opening, allowMissingColumns=True).repartition(parts, *keys, "__block")
+    both = dealt.withColumns({name: F.sum("__x").over(inside)} | ({total: F.first("__total").over(inside)} if total else {}))
     return both.where("__own = 1").drop("__block", "__x", "__own", "__total")
 
 
