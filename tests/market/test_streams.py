@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,72 @@ def test_resolver_that_is_stopped_equals_replay(spark, tmp_path):
     assert got <= want and len(got) == spark.read.parquet(f"{tmp_path}/out").count() and len(missing) <= 3 and len(got) > 30
 
 
+class _Held:
+    """State of one key in plain Python; reads counts the rows that were read."""
+
+    def __init__(self):
+        self.rows, self.map, self.reads = None, {}, 0
+
+    getMapState = getListState = getValueState = lambda self, *_: _Held()
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        self.reads += len(self.rows)
+        return self.rows
+
+    def update(self, row):
+        self.rows = row
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    appendList = put
+
+    def clear(self):
+        self.rows = None
+
+    def containsKey(self, k):
+        return k in self.map
+
+    def updateValue(self, k, v):
+        self.map[k] = v
+
+    def removeKey(self, k):
+        del self.map[k]
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+    def registerTimer(self, ms):
+        self.map[ms] = None
+
+
+def test_large_batch_reads_waiting_candles_once():
+    """Every timer read all waiting candles of the batch, so a batch of n candles and trades took n * n steps."""
+    hour, n, handle, r = 3_600_000, 2000, _Held(), resolver.OutcomeResolver(48 * 3_600_000)
+    r.init(handle)
+    candle = lambda k: {"kind": "candle", "ms": k * hour, "low": 99.0 - (k % 7 == 0) * 2, "high": 101.0 + (k % 11 == 0) * 2, "close": 100.0 + k % 3}
+    trade = lambda k: {"kind": "trade", "ms": k * hour, "signal_id": f"t{k}", "entry_price": 100.0, "stop_loss": (98.0, 50.0)[k % 8 == 0], "take_profit": (102.0, 150.0)[k % 8 == 0]}
+    rows = pd.DataFrame([candle(k) for k in range(1, n)] + [trade(k) for k in range(4, n, 4)])
+    at = lambda ms: type("T", (), {"getCurrentWatermarkInMs": lambda _: ms, "getExpiryTimeInMs": lambda _: ms})()
+    out = list(r.handleInputRows(("A",), iter([rows]), at(0)))
+    end = (n - 1) * hour
+    for ms in sorted(t for t in handle.map if t <= end):
+        out += list(r.handleExpiredTimer(("A",), at(end), at(ms)))
+    assert r.waiting.reads == n - 1
+    closed = pd.concat(out).set_index("signal_id")["exit_reason"]
+    want = {}
+    for k in range(4, n, 4):
+        hit = [(j, j % 7 == 0, j % 11 == 0) for j in range(k + 1, min(k + 48, n)) if k % 8 and (j % 7 == 0 or j % 11 == 0)]
+        if hit:
+            want[f"t{k}"] = "BOTH_HIT_CONSERVATIVE" if hit[0][1] and hit[0][2] else "STOP_LOSS_HIT" if hit[0][1] else "TAKE_PROFIT_HIT"
+        elif k + 48 <= n - 1:
+            want[f"t{k}"] = "TIMEOUT_48H"
+    assert closed.to_dict() == want
+
+
 def test_late_and_repeated_ticks(spark, tmp_path):
     rows = [("A", k, hour(0) + dt.timedelta(minutes=13 * k), 100.0 + (k * 37 % 11)) for k in range(60)]
     ticks = spark.createDataFrame([*rows, (None, 99, hour(1), 5.0), ("A", None, hour(1), 5.0), ("A", 98, None, 5.0)], "symbol string, event_id long, ts timestamp_ntz, price double")

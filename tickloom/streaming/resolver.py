@@ -78,7 +78,8 @@ class OutcomeResolver(StatefulProcessor):
             self.handle.registerTimer(ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.advanced(key, expiredTimerInfo.getExpiryTimeInMs())
+        # the first of many timers settles all that the watermark has passed, so waiting candles are read once, not once a trade
+        yield self.advanced(key, timerValues.getCurrentWatermarkInMs())
 
     def advanced(self, key, now: int) -> pd.DataFrame:
         """What closes up to *now*."""
@@ -92,8 +93,13 @@ class OutcomeResolver(StatefulProcessor):
         if not candles and not ends:
             return pd.DataFrame(out, columns=names)
         last = self.last.get() if self.last.exists() else None
+        # a time meets the trades that were opened by then and are still open, not those that a large batch brings for later
+        later, entered = sorted(trades.items(), key=lambda t: t[1][0], reverse=True), {}
         for ms in sorted({*candles, *ends}):
-            for sid, (entry_ms, entry, stop, target) in sorted(trades.items()):
+            while later and later[-1][1][0] <= ms:
+                sid, trade = later.pop()
+                entered[sid] = trade
+            for sid, (entry_ms, entry, stop, target) in sorted(entered.items()):
                 row = None
                 if entry_ms + self.expiry_ms <= min(ms, clock):
                     row = ("EXPIRED", "TIMEOUT_48H", last[1] if last is not None and last[0] > entry_ms else entry)
@@ -106,7 +112,7 @@ class OutcomeResolver(StatefulProcessor):
                 if row:
                     out.append((key[0], sid, row[0], row[1], min(ms, entry_ms + self.expiry_ms), entry, stop, target, row[2]))
                     self.open.removeKey((sid,))
-                    del trades[sid]
+                    del entered[sid]
             if ms in candles:
                 last = (ms, candles[ms][2])
         if last is not None:
