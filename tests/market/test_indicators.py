@@ -104,6 +104,17 @@ def test_feature_frames(spark):
     assert 0 < ind.drop_warmup(gold, ind.GOLD_FEATURES).count() < 80
 
 
+def test_fill_back_reads_a_series_once(spark):
+    """Values of a loop, and no window from the row to the series' end: that took n * n steps, so long series did not end."""
+    rng = random.Random(4)
+    rows = [(s, "1H", T0 + dt.timedelta(hours=i), None if rng.random() < 0.6 or i > 280 else float(i)) for s in ("A", "B", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, tf string, ts timestamp_ntz, x double").repartition(3)
+    got = ind.filled(df, ("x",))
+    want = {(s, ts): next((y for a, _, at, y in rows if a == s and at >= ts and y is not None), 0.0) for s, _, ts, _ in rows}
+    assert {(r["symbol"], r["ts"]): r["x"] for r in got.collect()} == want
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_macro_is_carried_forward(spark):
     df = indexed(frame(spark, [1.0] * 6))
     macro = spark.createDataFrame([(T0 + dt.timedelta(hours=2), 0.3, -0.2, 75.0), (T0 + dt.timedelta(hours=4), 0.6, 0.2, 50.0)], "ts timestamp_ntz, usd_strength double, real_rates_momentum double, risk_sentiment double")

@@ -53,8 +53,13 @@ def flag(condition: Column) -> Column:
 
 
 def fill_back(x: Column) -> Column:
-    """The next known value at or after the row, else 0."""
-    return F.coalesce(F.first(x, ignorenulls=True).over(series().rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
+    """The next known value at or after the row, else 0.
+
+    It is the last known one of the series read backwards, in one pass; a window
+    from the row to the end is read anew for every row.
+    """
+    backwards = Window.partitionBy(*SERIES).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.last(x, ignorenulls=True).over(backwards), F.lit(0.0))
 
 
 def q6(x: Column) -> Column:
