@@ -55,3 +55,21 @@ def test_places_do_not_hang_on_samples(spark):
     finally:
         spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
     assert sorted(map(str, got)) == sorted(map(str, rolling.indexed(df).select("symbol", "ts", "i", "n").collect()))
+
+
+def test_tasks_of_the_walk_grow_with_the_events(as_dealt, sf_dir, monkeypatch):
+    """The walk had as many tasks as there are shuffle partitions whatever the input, so that with few of them a task's memory followed it."""
+    rows, few = 2 * market.table(as_dealt, sf_dir, "events").count(), int(as_dealt.conf.get("spark.sql.shuffle.partitions"))
+    whole = sorted(map(str, market.ticks(as_dealt, sf_dir).collect()))
+    monkeypatch.setattr(rolling, "TASK_ROWS", rows // (8 * few), raising=False)
+    ticks = market.ticks(as_dealt, sf_dir)
+    assert 8 * few <= ticks.rdd.getNumPartitions() <= 8 * few + 8
+    assert sorted(map(str, ticks.collect())) == whole
+
+
+def test_tasks_for_a_count(as_dealt):
+    few = int(as_dealt.conf.get("spark.sql.shuffle.partitions"))
+    assert [rolling.tasks_for(as_dealt, n) for n in (0, 1, few * rolling.TASK_ROWS, few * rolling.TASK_ROWS + 1)] == [few, few, few, few + 1]
+    # up to the threshold Spark writes without sorting; beyond it a task's rows are bounded still
+    assert rolling.tasks_for(as_dealt, 200 * rolling.MOST_ROWS) == 200
+    assert rolling.tasks_for(as_dealt, 300 * rolling.MOST_ROWS) == 300

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SERIES = ("symbol", "tf")
 #: Powers of ten that a decay falls by over one block of ``recursions``, and may fall by at most.
 FADED, MOST = 20, 280
+#: Rows a task of ``running_sum`` is to sort, and those it sorts at most on average, if their number is known.
+TASK_ROWS, MOST_ROWS = 1 << 18, 1 << 20
 
 
 def series() -> Window:
@@ -72,22 +74,33 @@ def indexed(df: DataFrame) -> DataFrame:
     return df.withColumn("i", F.row_number().over(series()).cast("long") - 1).withColumn("n", F.count("*").over(Window.partitionBy(*SERIES)))
 
 
-def running_sum(df: DataFrame, name: str, x: Column, keys: tuple[str, ...], block: Column, order: tuple[str, ...], total: str | None = None) -> DataFrame:
+def tasks_for(spark: SparkSession, count: int) -> int:
+    """Partitions for *count* rows (0 if unknown): Spark's setting, and more where a task would have more than TASK_ROWS.
+
+    Spark writes to as many partitions as its bypass threshold without sorting;
+    for more of them a reader sorts all it has read, so the threshold is passed
+    only where a task would have more than MOST_ROWS.
+    """
+    bypass = int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(count / TASK_ROWS), bypass), math.ceil(count / MOST_ROWS))
+
+
+def running_sum(df: DataFrame, name: str, x: Column, keys: tuple[str, ...], block: Column, order: tuple[str, ...], total: str | None = None, count: int = 0) -> DataFrame:
     """Add *name*, the running sum of whole numbers x per *keys* by *order*, and *total*, their sum, with a window a block in place of one a series.
 
     *block* never falls along *order*.  What the blocks before sum to opens a
     block as a row of its own, so rows are shuffled once and nothing is joined.
     One task a series sums its blocks, a row each.  Blocks are dealt over all
     shuffle partitions, which are not merged: a task sorts its rows, and merged
-    ones hold 64 MB of compressed bytes, several times that in memory.
+    ones hold 64 MB of compressed bytes, several times that in memory.  With
+    *count*, the rows there are at most, partitions grow with them (``tasks_for``).
     """
     rows = df.withColumns({"__block": block, "__x": x, "__own": F.lit(1)})
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "__block").agg(F.sum("__x").alias("__sum"))
     opening = sums.select(*keys, "__block", F.sum("__sum").over(before).alias("__x"), F.lit(0).alias("__own"), *([F.sum("__sum").over(Window.partitionBy(*keys)).alias("__total")] if total else []))
     inside = Window.partitionBy(*keys, "__block").orderBy("__own", *order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.unionByName(opening, allowMissingColumns=True).repartition(parts, *keys, "__block")
+    dealt = rows.unionByName(opening, allowMissingColumns=True).repartition(tasks_for(df.sparkSession, count), *keys, "__block")
     both = dealt.withColumns({name: F.sum("__x").over(inside)} | ({total: F.first("__total").over(inside)} if total else {}))
     return both.where("__own = 1").drop("__block", "__x", "__own", "__total")
 

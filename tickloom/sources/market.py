@@ -21,13 +21,14 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     A fixture of the registered queries, made from the events table; no part of
     the engine reads it.  Steps are whole ticks of 0.0001, so prices are exact.
     It is a running sum per symbol, ALL being one symbol of all events; a task
-    holds some hours of a symbol.  Real ticks come with their prices.
+    holds some hours of a symbol.  Events are counted first, as more of them
+    take more tasks.  Real ticks come with their prices.
     """
     events = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
     both = events.select(F.explode(F.array("event_type", F.lit("ALL"))).alias("symbol"), "event_id", "ts", "value")
     step = F.round(F.col("value") * 100).cast("long") - 5000
     hour = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
-    walked = running_sum(both, "walk", step, ("symbol",), hour, ("ts", "event_id"))
+    walked = running_sum(both, "walk", step, ("symbol",), hour, ("ts", "event_id"), count=2 * events.count())
     return walked.select("symbol", "event_id", "ts", (F.lit(2400.0) + F.col("walk").cast("double") / 10000.0).alias("price"))
 
 
